@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from querylens.llm import line_dedup, mixing, quality_rules
+from querylens.llm import decontaminate, line_dedup, mixing, ngram_join, quality_rules
 
 
 def queries() -> dict:
     return {
+        "op1_ngram_join": ngram_join.op1_ngram_join,
+        "op2_decontaminate": decontaminate.op2_decontaminate,
         "op4_mixing": mixing.op4_mixing,
         "op9_line_dedup": line_dedup.op9_line_dedup,
         "op10_quality_rules": quality_rules.op10_quality_rules,
@@ -14,4 +16,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_line_dedup": line_dedup.SQL, "op10_quality_rules": quality_rules.SQL}
+    return {"op2_decontaminate": decontaminate.SQL, "op9_line_dedup": line_dedup.SQL, "op10_quality_rules": quality_rules.SQL}
