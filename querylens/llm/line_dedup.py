@@ -101,7 +101,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     drops = hits.groupBy("doc_id").agg(F.collect_set(F.struct("h1", "h2")).alias("_drops"))
     joined = docs.select(*cols, F.col(id_col).alias("_doc"), F.split(text, "\n").alias("_lines")).join(drops.withColumnRenamed("doc_id", "_doc"), "_doc", "left")
     marked = joined.withColumn("_keys", F.when(F.col("_drops").isNotNull(), line_keys(text, min_chars)))
-    kept = F.when(F.col("_drops").isNull(), F.col("_lines")).otherwise(F.filter("_lines", lambda x, i: ~F.coalesce(F.array_contains(F.col("_drops"), F.get("_keys", i)), F.lit(False))))
+    left = F.zip_with("_lines", "_keys", lambda x, k: F.when(~F.coalesce(F.array_contains(F.col("_drops"), k), F.lit(False)), x))
+    kept = F.when(F.col("_drops").isNull(), F.col("_lines")).otherwise(F.filter(left, lambda x: x.isNotNull()))
     out = marked.select(*cols, F.size("_lines").cast("long").alias("n_lines"), kept.alias("_kept"))
     return out.select(*cols, "n_lines", (F.col("n_lines") - F.size("_kept")).cast("long").alias("n_dropped"), F.array_join("_kept", "\n").alias("kept_text"))
 
