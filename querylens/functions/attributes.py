@@ -2,13 +2,8 @@
 
 from __future__ import annotations
 
-import ast
-import json
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from querylens.functions.text import match_form, phrase_values
 
@@ -66,29 +61,20 @@ def last_wins(entries: Column) -> Column:
     return F.map_from_arrays(keys, F.transform(keys, lambda k: F.element_at(F.filter(filled, lambda e: e["k"] == k), -1)["v"]))
 
 
-@F.pandas_udf(T.MapType(T.StringType(), T.StringType()))
-def literal_map(texts: pd.Series) -> pd.Series:
-    """Maps written as Python or JSON literals; anything else is an empty map."""
-
-    def one(s):
-        for read in (json.loads, ast.literal_eval):
-            try:
-                found = read(s)
-            except (ValueError, SyntaxError, TypeError, MemoryError, RecursionError):
-                continue
-            if isinstance(found, dict):
-                return {str(k).strip().lower(): str(v).strip().lower() for k, v in found.items() if str(k).strip()}
-        return {}
-
-    return texts.map(one)
+def literal_map(c: Column) -> Column:
+    """Maps written as JSON or Python literals (single quotes, None, True, False); anything else is an empty map."""
+    text = F.coalesce(c, F.lit(""))
+    for python, json in (("None", "null"), ("True", "true"), ("False", "false")):
+        text = F.regexp_replace(text, rf"(?<=[:\[,\s]){python}(?=\s*[,}}\]])", json)
+    found = F.map_entries(F.from_json(text, "map<string,string>", {"allowSingleQuotes": "true", "mode": "PERMISSIVE"}))
+    folded = F.transform(found, lambda e: F.struct(F.lower(F.trim(e["key"])).alias("k"), F.lower(F.trim(F.coalesce(e["value"], F.lit("none")))).alias("v")))
+    return last_wins(F.coalesce(folded, F.array().cast("array<struct<k:string,v:string>>")))
 
 
 def attribute_map(c: Column, literals: bool = True) -> Column:
-    """Flat, JSON or Python-literal attributes as one map. Only braces pay for the Python reader."""
+    """Flat, JSON or Python-literal attributes as one map."""
     low = F.trim(F.coalesce(c, F.lit("")))
-    if not literals:
-        return flat_map(c)
-    return F.when(low.startswith("{"), literal_map(F.when(low.startswith("{"), low))).otherwise(flat_map(c))
+    return F.when(low.startswith("{"), literal_map(low)).otherwise(flat_map(c)) if literals else flat_map(c)
 
 
 def attribute_value(m: Column, keys: tuple[str, ...]) -> Column:

@@ -110,11 +110,13 @@ def wide_features(df: DataFrame) -> DataFrame:
 
     Input: query, title, brand, category, attributes, bm25_score, dense_score, cross_encoder_score, bm25_rank, dense_rank.
     """
-    q, t = X.match_form(F.col("query")), X.match_form(F.col("title"))
-    qt, tt, ct = X.token_set(F.col("query")), X.token_set(F.col("title")), X.token_set(F.col("category"))
-    m = A.attribute_map(F.col("attributes"))
-    colour, size, material = A.item_colour(m), A.item_size(m), A.item_material(m)
-    cm, sm, mm = A.three_way(A.query_colours(F.col("query")), colour), A.three_way(A.query_sizes(F.col("query")), size), A.three_way(A.query_materials(F.col("query")), material)
+    q, t, qt, tt, ct = (F.col(c) for c in ("_q", "_t", "_qt", "_tt", "_ct"))
+    colour, size, material = F.col("_colour"), F.col("_size"), F.col("_material")
+    cm, sm, mm = F.col("_cm"), F.col("_sm"), F.col("_mm")
+    own = df.columns
+    df = df.withColumns({"_q": X.match_form(F.col("query")), "_t": X.match_form(F.col("title")), "_qt": X.token_set(F.col("query")), "_tt": X.token_set(F.col("title")), "_ct": X.token_set(F.col("category")), "_map": A.attribute_map(F.col("attributes"))})
+    df = df.withColumns({"_colour": A.item_colour(F.col("_map")), "_size": A.item_size(F.col("_map")), "_material": A.item_material(F.col("_map"))})
+    df = df.withColumns({"_cm": A.three_way(A.query_colours(F.col("query")), colour), "_sm": A.three_way(A.query_sizes(F.col("query")), size), "_mm": A.three_way(A.query_materials(F.col("query")), material)})
     bm25, dense, cross = F.col("bm25_score"), F.col("dense_score"), F.col("cross_encoder_score")
     rb, rd = F.col("bm25_rank"), F.col("dense_rank")
     made = {
@@ -128,7 +130,7 @@ def wide_features(df: DataFrame) -> DataFrame:
         "score_cross": cross, "score_cross_sigmoid": N.sigmoid(cross), "score_bm25_log1p": F.log1p(F.greatest(bm25, F.lit(0.0))), "score_bm25_dense": bm25 * dense, "score_cross_bm25": cross * bm25, "score_cross_dense": cross * dense,
         "score_mean": (bm25 + dense + cross) / 3, "score_max": F.greatest(bm25, dense, cross), "score_min": F.least(bm25, dense, cross), "score_dense_minus_cross": dense - N.sigmoid(cross),
     }
-    return df.select("*", *[c.cast("double").alias(n) for n, c in made.items()])
+    return df.select(*own, *[c.cast("double").alias(n) for n, c in made.items()])
 
 
 def item_text(df: DataFrame, with_attributes: bool = True) -> Column:

@@ -2,10 +2,712 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from querylens.functions import attributes as A
+from querylens.functions import numeric as N
+from querylens.functions import text as X
+from querylens.operators import drift as D
+from querylens.operators import features as FE
+from querylens.operators import learners as L
+from querylens.operators import metrics as M
+from querylens.operators import quality as Q
+from querylens.operators import ranking as K
+from querylens.operators import retrieval as R
+from querylens.operators import sampling as S
+from querylens.plans import adapters as T
+from querylens.plans import sql as Z
+from querylens.sources import tables as IO
+from querylens.streaming import groups as G
+
+Query = Callable[[SparkSession, str], DataFrame]
+_queries: dict[str, Query] = {}
+_sql: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f: Query) -> Query:
+        _queries[f.__name__] = f
+        if sql is not None:
+            _sql[f.__name__] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_sql)
+
+
+def rounded(df: DataFrame, *columns: str, places: int = 6) -> DataFrame:
+    return df.withColumns({c: F.round(c, places) for c in columns})
+
+
+def nudged(df: DataFrame, *columns: str) -> DataFrame:
+    """Rounded after a shift of 3.1e-8, for values whose exact decimals often end in a tie."""
+    return df.withColumns({c: F.round(F.col(c) + 3.1e-8, 6) for c in columns})
+
+
+# --- Retrieval --------------------------------------------------------------------------------------------------------
+
+
+def _bm25(s, d, form, idf, k1, ratio, top):
+    return R.bm25(T.corpus(s, d), T.terms(s, d), X.words(form(F.col("text"))), X.words(form(F.col("query"))), idf, k1, 0.75, ratio, "doc_id", "query_id", top)
+
+
+_search = Z.split(r"trim(regexp_replace(regexp_replace(lower(replace(replace(%s, 'İ', 'i'), 'I', 'ı')), '[!-/:-@\[-`{-~]', ' ', 'g'), '\s+', ' ', 'g'))")
+
+
+@query(Z.bm25(_search % "text", _search % "query", "okapi", 1.2, 0.75, None, 5))
+def bm25_topk(s, d):
+    return _bm25(s, d, X.search_form, "okapi", 1.2, None, 5)
+
+
+@query(Z.bm25(Z.split(Z.match("text")), Z.split(Z.match("query")), "floored", 1.5, 0.75, 0.15, 50))
+def bm25_hardneg_topk(s, d):
+    return _bm25(s, d, X.match_form, "floored", 1.5, 0.15, 50)
+
+
+@query(Z.bm25(Z.split(Z.spaced("text")), Z.split(Z.spaced("query")), "eligible", 1.5, 0.75, 0.3, 20))
+def bm25_unified_topk(s, d):
+    return _bm25(s, d, X.spaced_form, "eligible", 1.5, 0.3, 20)
+
+
+@query("SELECT query_id, doc_id, (20 - (rank - 1)) / 20.0::DOUBLE AS score, rank FROM (" + Z.bm25(Z.split(Z.spaced("text")), Z.split(Z.spaced("query")), "eligible", 1.5, 0.75, 0.3, 20) + ")")
+def bm25_rank_decay(s, d):
+    return R.rank_decay(bm25_unified_topk(s, d), 20)
+
+
+_DENSE = "dense AS (SELECT query_id, vec_id, score, rank FROM (SELECT a.vec_id AS query_id, b.vec_id, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) DESC, b.vec_id) AS rank FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0) WHERE rank <= 10)"
+
+
+@query(f"WITH {_DENSE} SELECT * FROM dense")
+def dense_topk(s, d):
+    v = T.table(s, d, "embeddings").select("vec_id", "embedding")
+    return R.dense_top(v.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv")), v, 10)
+
+
+def _two_lists(s, d):
+    """Two rankings of the scored pairs, best 50 of each term, as (query_id, item_id, score, rank)."""
+    e = T.scored(s, d).select(F.col("term_id").alias("query_id"), "item_id", "p", "q")
+    a = K.top_k(e.select("query_id", "item_id", F.col("p").alias("score")), ["query_id"], [F.col("score").desc(), F.col("item_id")], 50)
+    b = K.top_k(e.select("query_id", "item_id", F.col("q").alias("score")), ["query_id"], [F.col("score").desc(), F.col("item_id")], 50)
+    return a, b
+
+
+_LISTS = f"{Z.SCORED}, " + ", ".join(f"{n} AS (SELECT * FROM (SELECT term_id AS query_id, item_id, {c} AS score, row_number() OVER (PARTITION BY term_id ORDER BY {c} DESC, item_id) AS rank FROM scored) WHERE rank <= 50)" for n, c in (("la", "p"), ("lb", "q")))
+_UNION = "u AS (SELECT query_id, item_id, round(sum(s), 9) AS rrf_score FROM (SELECT query_id, item_id, %s / (60 + rank) AS s FROM la UNION ALL SELECT query_id, item_id, %s / (60 + rank) FROM lb) GROUP BY ALL)"
+
+
+@query(f"WITH {_LISTS}, {_UNION % ('1.0::DOUBLE', '1.0::DOUBLE')} SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf_score DESC, item_id) AS rank FROM u) WHERE rank <= 100")
+def rrf_fusion(s, d):
+    a, b = _two_lists(s, d)
+    return R.rrf([(a, 1.0), (b, 1.0)], top=100)
+
+
+@query(f"WITH {_LISTS}, {_UNION % ('0.5::DOUBLE', '0.5::DOUBLE')} SELECT * FROM u")
+def rrf_weighted(s, d):
+    a, b = _two_lists(s, d)
+    return R.rrf([(a, 0.5), (b, 0.5)])
+
+
+def _scale(t: str, flat: str, c: str = "score", group: str = "query_id") -> str:
+    w = f"OVER (PARTITION BY {group})"
+    return f"CASE WHEN max({c}) {w} > min({c}) {w} THEN ({c} - min({c}) {w}) / (max({c}) {w} - min({c}) {w}) ELSE {flat} END"
+
+
+@query(f"""WITH {_LISTS}, a AS (SELECT query_id, item_id, {_scale('la', '(CASE WHEN score > 0 THEN 1.0 ELSE 0.0 END)')} AS b FROM la), b AS (SELECT query_id, item_id, {_scale('lb', '1.0')} AS d FROM lb)
+SELECT query_id, item_id, round(0.5 * coalesce(b, 0.0) + 0.5 * coalesce(d, 0.0), 9) AS score FROM a FULL JOIN b USING (query_id, item_id)""")
+def linear_fusion(s, d):
+    return R.linear_fusion(*_two_lists(s, d))
+
+
+@query(f"""WITH {_LISTS}, j AS (SELECT query_id, item_id, la.score AS bm25_score, la.rank AS bm25_rank, lb.score AS dense_score, lb.rank AS dense_rank FROM la FULL JOIN lb USING (query_id, item_id)),
+k AS (SELECT *, round(coalesce(0.5::DOUBLE / (60 + bm25_rank), 0.0) + coalesce(0.5::DOUBLE / (60 + dense_rank), 0.0), 9) AS rrf_score FROM j)
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf_score DESC, item_id) AS rank FROM k) WHERE rank <= 100""")
+def hybrid_retrieve(s, d):
+    return R.hybrid(*_two_lists(s, d))
+
+
+@query(f"WITH {Z.SCORED} SELECT term_id, item_id, round(0.4 * ({_scale('', '1.0', 'p', 'term_id')}) + 0.6 * ({_scale('', '1.0', 'q', 'term_id')}), 9) AS combined FROM scored")
+def minmax_rerank(s, d):
+    e = T.scored(s, d).select("term_id", "item_id", F.col("p").alias("score"), F.col("q").alias("rerank_score"))
+    return R.minmax_rerank(e, 0.4).select("term_id", "item_id", "combined")
+
+
+_TOK = r"list_filter(string_split(regexp_replace(strip_accents(lower(coalesce(%s, ''))), '[^\pL\pN_]+', ' ', 'g'), ' '), lambda t: length(t) >= 2)"
+_VOCAB = f"""tx AS (SELECT row_number() OVER () AS id, {_TOK % 'text'} AS t FROM documents), n AS (SELECT count(*) AS n FROM tx),
+ tf AS (SELECT id, token, count(*) AS tf FROM (SELECT id, unnest(t) AS token FROM tx) GROUP BY ALL), vc AS (SELECT token, sum(tf)::BIGINT AS cf, count(*) AS df FROM tf GROUP BY token HAVING count(*) >= 2 ORDER BY cf DESC, token LIMIT 10000),
+ vocab AS (SELECT token, cf, df, ln((1 + n)::DOUBLE / (1 + df)) + 1 AS idf FROM vc, n)"""
+
+
+@query(f"WITH {_VOCAB} SELECT token, cf, df, round(idf, 6) AS idf FROM vocab")
+def tfidf_vocab(s, d):
+    return rounded(R.tfidf_vocabulary(T.corpus(s, d)), "idf")
+
+
+@query(f"""WITH {_VOCAB}, {Z.TERMS}, qs AS (SELECT query_id, token, count(*) AS tf FROM (SELECT query_id, unnest({_TOK % 'query'}) AS token FROM terms) GROUP BY ALL), ds AS (SELECT doc_id, token, count(*) AS tf FROM (SELECT doc_id, unnest({_TOK % 'text'}) AS token FROM documents) GROUP BY ALL),
+ qw AS (SELECT query_id, token, (1 + ln(tf)) * idf AS w FROM qs JOIN vocab USING (token)), dw AS (SELECT doc_id, token, (1 + ln(tf)) * idf AS w FROM ds JOIN vocab USING (token)),
+ qn AS (SELECT query_id, sqrt(sum(w * w)) AS n FROM qw GROUP BY 1), dn AS (SELECT doc_id, sqrt(sum(w * w)) AS n FROM dw GROUP BY 1),
+ dp AS (SELECT query_id, doc_id, sum(qw.w / qn.n * dw.w / dn.n) AS c FROM qw JOIN dw USING (token) JOIN qn USING (query_id) JOIN dn USING (doc_id) GROUP BY ALL),
+ pr AS (SELECT doc_id, query_id FROM documents JOIN terms ON query_id = doc_id % (SELECT count(*) FROM terms))
+ SELECT query_id, doc_id, round(coalesce(c, 0.0), 6) AS tfidf_cosine FROM pr LEFT JOIN dp USING (query_id, doc_id)""")
+def tfidf_cosine(s, d):
+    c, t = T.corpus(s, d), T.terms(s, d)
+    v = R.tfidf_vocabulary(c)
+    pairs = c.select("doc_id", F.pmod("doc_id", F.lit(t.count())).alias("query_id")).join(t.select("query_id"), "query_id", "left_semi")
+    return R.tfidf_cosine(pairs, R.tfidf_weights(t, v, "query_id", "query"), R.tfidf_weights(c, v, "doc_id"), "query_id", "doc_id").select("query_id", "doc_id", "tfidf_cosine")
+
+
+# --- Text and attributes ----------------------------------------------------------------------------------------------
+
+_A, _B = "coalesce(a.text, '')", "coalesce(b.query, '')"
+
+
+def _text_pairs(s, d):
+    t = T.terms(s, d)
+    return T.corpus(s, d).withColumn("query_id", F.pmod("doc_id", F.lit(t.count()))).join(F.broadcast(t), "query_id")
+
+
+@query(f"""WITH {Z.TERMS}, x AS (SELECT doc_id, query_id, {Z.tokens('query')} AS q, {Z.tokens('text')} AS t, {Z.match('query')} AS mq, {Z.match('text')} AS mt, lang || '/' || source AS category FROM documents JOIN terms ON query_id = doc_id % (SELECT count(*) FROM terms)),
+ y AS (SELECT *, list_distinct(list_transform(range(1, greatest(length(mq) - 1, 2)), lambda i: substring(mq, i, 3))) AS gq, list_distinct(list_transform(range(1, greatest(length(left(mt, 40)) - 1, 2)), lambda i: substring(left(mt, 40), i, 3))) AS gt, regexp_replace(mq, '[^ -~]', '', 'g') AS aq, regexp_replace(left(mt, 40), '[^ -~]', '', 'g') AS ah FROM x)
+ SELECT doc_id, query_id, round({Z.jaccard('q', 't')}, 6) AS overlap, round({Z.coverage('q', 't')}, 6) AS coverage, round({Z.coverage('t', 'q')}, 6) AS precision, (contains(' ' || mt || ' ', ' ' || mq || ' ') AND mq <> '')::INT AS phrase,
+ len({Z.model_tokens('t')})::INT AS n_model_tokens, round(CASE WHEN greatest(length(aq), length(ah)) = 0 THEN 1.0 ELSE 1 - levenshtein(aq, ah)::DOUBLE / greatest(length(aq), length(ah)) END, 6) AS levenshtein,
+ round({Z.jaccard('gq', 'gt')}, 6) AS trigrams FROM y""")
+def text_similarity(s, d):
+    q, t, mq, mt = (F.col(c) for c in ("_q", "_t", "_mq", "_mt"))
+    forms = _text_pairs(s, d).withColumns({"_mq": X.match_form(F.col("query")), "_mt": X.match_form(F.col("text"))})
+    forms = forms.withColumns({"_q": F.array_distinct(X.words(mq)), "_t": F.array_distinct(X.words(mt)), "_head": F.substring(mt, 1, 40)})
+    head = F.col("_head")
+    made = forms.select(
+        "doc_id", "query_id", X.jaccard(q, t).alias("overlap"), X.share_of_first(q, t).alias("coverage"), X.share_of_first(t, q).alias("precision"), X.holds_phrase(mt, mq).cast("int").alias("phrase"),
+        F.size(X.model_tokens(t)).alias("n_model_tokens"), X.levenshtein_similarity(F.regexp_replace(mq, "[^ -~]", ""), F.regexp_replace(head, "[^ -~]", "")).alias("levenshtein"), X.char_ngram_jaccard(mq, head).alias("trigrams"),
+    )
+    return rounded(made, "overlap", "coverage", "precision", "levenshtein", "trigrams")
+
+
+@query(f"""WITH {Z.CATALOGUE}, x AS (SELECT item_id, brand, title, category, {Z.levels('category')} AS l FROM catalogue)
+ SELECT item_id, coalesce(l[1], '') AS l1, coalesce(l[2], '') AS l2, coalesce(l[3], '') AS l3, len(l)::INT AS depth, array_to_string({Z.levels('lower(category)')}[1:2], '/') AS category_key, replace(category, '/', ' ') AS flat, {Z.phrase("brand || ' ' || title", 'brand')}::INT AS brand_match,
+ round({Z.ratio("CASE WHEN lower(l[1]) = 'promo' THEN (CASE WHEN l[2] = 'ring' THEN 2 ELSE 1 END) ELSE 0 END", "2")}, 6) AS prefix FROM x""")
+def category_levels(s, d):
+    lv = X.category_levels(F.col("category"))
+    return T.catalogue(s, d).select(
+        "item_id", *[X.category_level(lv, i).alias(f"l{i}") for i in (1, 2, 3)], F.size(lv).alias("depth"), X.category_key(F.col("category")).alias("category_key"), X.flat_category(F.col("category")).alias("flat"),
+        X.holds_phrase(F.concat_ws(" ", "brand", "title"), F.col("brand")).cast("int").alias("brand_match"), F.round(X.category_overlap(F.col("category"), F.lit("promo/ring")), 6).alias("prefix"),
+    )
+
+
+@query(rf"""WITH {Z.CATALOGUE} SELECT item_id, {Z.match('attributes')} AS matched, {Z.spaced('attributes')} AS spaced, lower(replace(replace(brand, 'İ', 'i'), 'I', 'ı')) AS turkish, trim(regexp_replace(regexp_replace(lower(replace(replace(attributes, 'İ', 'i'), 'I', 'ı')), '[!-/:-@\[-`{{-~]', ' ', 'g'), '\s+', ' ', 'g')) AS searched,
+ {Z.match('attributes')} AS flat_attributes, {Z.spaced("title || ' ' || brand || ' ' || replace(category, '/', ' ')")} || ' ' || {Z.match('attributes')} AS item_text FROM catalogue""")
+def text_forms(s, d):
+    c = T.catalogue(s, d)
+    a = F.col("attributes")
+    return c.select("item_id", X.match_form(a).alias("matched"), X.spaced_form(a).alias("spaced"), X.turkish_lower(F.col("brand")).alias("turkish"), X.search_form(a).alias("searched"), A.flat_text(A.attribute_map(a, False)).alias("flat_attributes"), FE.item_text(c).alias("item_text"))
+
+
+def _pair_features(s, d):
+    return FE.lexical_features(T.pairs(s, d).select("term_id", "item_id"), T.pair_terms(s, d), T.catalogue(s, d), literals=False)
+
+
+_QSIZES = r"list_distinct(regexp_extract_all(lower(query), '([0-9]{1,3})\s*beden', 1))"
+_IC = f"coalesce({Z.values('a_renk', A.COLOURS)}[1], '')"
+_LEX = f"""{Z.PAIRS}, {Z.PAIR_TERMS}, {Z.CATALOGUE}, j AS (SELECT term_id, item_id, query, title, category, brand, split_part(split_part(attributes, ',', 1), ': ', 2) AS a_renk, split_part(attributes, 'beden: ', 2) AS a_beden FROM pairs LEFT JOIN pair_terms USING (term_id) LEFT JOIN catalogue USING (item_id)),
+ t AS (SELECT *, {Z.tokens('query')} AS qt, {Z.tokens('title')} AS tt, {Z.tokens('category')} AS ct, {Z.levels('category')} AS lv, {Z.values('query', A.COLOURS)} AS qc, {_QSIZES} AS qs, {Z.values('query', A.MATERIALS)} AS qm, {_IC} AS ic FROM j),
+ lex AS (SELECT term_id, item_id, round({Z.jaccard('qt', 'tt')}, 5) AS query_title_overlap, round({Z.coverage('qt', 'tt')}, 5) AS query_title_coverage, round({Z.coverage('tt', 'qt')}, 5) AS query_title_precision, {Z.phrase('title', 'query')}::INT AS query_title_phrase,
+  round({Z.jaccard('qt', 'ct')}, 5) AS query_category_overlap, round({Z.coverage('qt', 'ct')}, 5) AS query_category_coverage, {Z.phrase('query', 'brand')}::INT AS query_brand_match, round({Z.jaccard('qt', Z.tokens('lv[1]'))}, 5) AS query_cat_l1_overlap, round({Z.jaccard('qt', Z.tokens('lv[2]'))}, 5) AS query_cat_l2_overlap,
+  (len(list_intersect({Z.model_tokens('qt')}, {Z.model_tokens('tt')})) > 0)::INT AS query_model_token_match, length(title)::INT AS title_len, coalesce(length(query), 0)::INT AS query_len, len(tt)::INT AS title_token_count, len(qt)::INT AS query_token_count, len(lv)::INT AS cat_depth,
+  {Z.three_way('qc', 'ic')} AS query_color_match, {Z.three_way('qs', 'a_beden')} AS query_size_match, {Z.three_way('qm', "''")} AS query_material_match FROM t)"""
+
+
+@query(f"WITH {_LEX} SELECT * FROM lex")
+def lexical_features(s, d):
+    f = _pair_features(s, d)
+    shares = [c for c in f.columns if c.endswith(("overlap", "coverage", "precision")) and "l3" not in c]
+    ints = ["query_title_phrase", "query_brand_match", "query_model_token_match", "title_len", "query_len", "title_token_count", "query_token_count", "cat_depth", "query_color_match", "query_size_match", "query_material_match"]
+    return f.select("term_id", "item_id", *[F.round(F.col(c).cast("double"), 5).alias(c) for c in shares], *[F.col(c).cast("int").alias(c) for c in ints])
+
+
+@query()
+def all_lexical_features(s, d):
+    """All 23 columns, as floats."""
+    return _pair_features(s, d)
+
+
+@query()
+def wide_features(s, d):
+    j = T.pairs(s, d).join(T.pair_terms(s, d), "term_id").join(T.catalogue(s, d), "item_id")
+    n = F.col("item_id")
+    made = j.withColumns({"bm25_score": (n % 97) / 10.0, "dense_score": (n % 89) / 89.0, "cross_encoder_score": (n % 83) / 20.0 - 2.0, "bm25_rank": n % 50 + 1, "dense_rank": n % 40 + 1})
+    return FE.wide_features(made).drop("query", "title", "category", "brand", "attributes", "label")
+
+
+def _ctx(c: str) -> str:
+    n = "count(*) OVER g"
+    r = f"(rank() OVER (PARTITION BY term_id ORDER BY {c} DESC) + (count(*) OVER (PARTITION BY term_id, {c}) - 1) / 2.0)"
+    return f"round(1 - ({r} - 1) / greatest({n} - 1, 1) + 3.1e-8, 6)"
+
+
+@query(f"""WITH {Z.SCORED}, x AS (SELECT term_id, item_id, p AS query_title_overlap, q AS query_title_coverage, round(p * q, 6) AS query_category_overlap, round((p + q) / 2, 6) AS tfidf_cosine FROM scored)
+ SELECT term_id, item_id, round(ln(1 + count(*) OVER g) + 3.1e-8, 6) AS candidate_count_log1p, {_ctx('query_title_overlap')} AS query_title_overlap_rank, {_ctx('query_title_coverage')} AS query_title_coverage_rank, {_ctx('query_category_overlap')} AS query_category_overlap_rank, {_ctx('tfidf_cosine')} AS tfidf_cosine_rank,
+ round(max(query_title_overlap) OVER g - query_title_overlap + 3.1e-8, 6) AS query_title_overlap_gap, round(max(tfidf_cosine) OVER g - tfidf_cosine + 3.1e-8, 6) AS tfidf_cosine_gap, round(query_title_overlap - avg(query_title_overlap) OVER g + 3.1e-8, 6) AS query_title_overlap_delta_mean, round(tfidf_cosine - avg(tfidf_cosine) OVER g + 3.1e-8, 6) AS tfidf_cosine_delta_mean FROM x WINDOW g AS (PARTITION BY term_id)""")
+def context_features(s, d):
+    e = T.scored(s, d).select("term_id", "item_id", F.col("p").alias("query_title_overlap"), F.col("q").alias("query_title_coverage"), F.round(F.col("p") * F.col("q"), 6).alias("query_category_overlap"), F.round((F.col("p") + F.col("q")) / 2, 6).alias("tfidf_cosine"))
+    return nudged(FE.context_features(e).select("term_id", "item_id", *FE.CONTEXT), *FE.CONTEXT)
+
+
+_SEG = f"{Z.tokens('query')}"
+
+
+@query(f"""WITH {Z.PAIR_TERMS}, x AS (SELECT term_id, {_SEG} AS t FROM pair_terms) SELECT term_id, CASE WHEN len(t) = 1 THEN 'Head' WHEN len(t) BETWEEN 2 AND 3 THEN 'Medium' ELSE 'Tail' END AS length_class,
+ list_has_any(t, [{", ".join(f"'{w}'" for g in A.COLOURS.values() for w in g.split(",") if " " not in w)}]) AS has_color, list_has_any(t, ['xs', 's', 'm', 'l', 'xl', 'xxl', '3xl', 'beden', 'numara', 'size']) AS has_size, list_has_any(t, [{", ".join(f"'{w}'" for g in A.MATERIALS.values() for w in g.split(","))}]) AS has_material,
+ len(list_filter(t, lambda w: regexp_matches(w, '[0-9]'))) > 0 AS has_model_code FROM x""")
+def query_segments(s, d):
+    return T.pair_terms(s, d).select("term_id", *[c.alias(n) for n, c in FE.query_segments(F.col("query")).items()])
+
+
+# --- Joins ------------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT o_orderkey, o_totalprice, c_name, n_name, r_name FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey")
+def star_join(s, d):
+    o, c, n, r = (T.table(s, d, x) for x in ("orders", "customer", "nation", "region"))
+    dims = n.join(r, F.col("n_regionkey") == F.col("r_regionkey"), "left")
+    return o.join(c, F.col("o_custkey") == F.col("c_custkey"), "left").join(R.small_or_not(dims, 10_000), F.col("c_nationkey") == F.col("n_nationkey"), "left").select("o_orderkey", "o_totalprice", "c_name", "n_name", "r_name")
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')")
+def semi_join(s, d):
+    o = T.table(s, d, "orders").filter("o_orderpriority = '1-URGENT'")
+    return T.table(s, d, "customer").select("c_custkey", "c_name").join(o, F.col("c_custkey") == F.col("o_custkey"), "left_semi")
+
+
+@query(f"WITH {Z.PAIRS}, x AS (SELECT DISTINCT l_suppkey AS term_id, l_partkey AS item_id FROM lineitem WHERE l_returnflag = 'R') SELECT term_id, item_id FROM pairs ANTI JOIN x USING (term_id, item_id)")
+def anti_join(s, d):
+    blocked = T.table(s, d, "lineitem").filter("l_returnflag = 'R'").select(F.col("l_suppkey").alias("term_id"), F.col("l_partkey").alias("item_id"))
+    return T.pairs(s, d).select("term_id", "item_id").join(blocked, ["term_id", "item_id"], "left_anti")
+
+
+@query("""WITH i AS (SELECT p_partkey AS item_id, p_type AS category, p_brand AS brand, split_part(p_name, ' ', 1) AS colour FROM part), p AS (SELECT a.item_id, a.category, a.brand, a.colour, b.item_id AS other_id, b.colour AS other_colour, row_number() OVER (PARTITION BY a.item_id ORDER BY b.item_id) AS rank
+ FROM i a JOIN i b ON a.category = b.category AND a.brand = b.brand AND a.item_id <> b.item_id AND a.colour <> b.colour) SELECT * FROM p WHERE rank <= 5""")
+def self_join_conflict(s, d):
+    return S.colour_conflicts(T.table(s, d, "part").select(F.col("p_partkey").alias("item_id"), F.col("p_type").alias("category"), F.col("p_brand").alias("brand"), F.split("p_name", " ")[0].alias("colour")))
+
+
+# --- Sampling ---------------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {Z.PAIRS}, n AS (SELECT term_id, count(*) AS n_pos FROM pairs GROUP BY term_id) SELECT term_id, n_pos, greatest(ceil(n_pos * 1.5)::BIGINT, 100, n_pos) AS total, greatest(ceil(n_pos * 1.5)::BIGINT, 100, n_pos) - n_pos AS n_neg FROM n")
+def candidate_targets(s, d):
+    return S.candidate_targets(T.pairs(s, d), 100, 1.5)
+
+
+@query(f"""WITH {Z.SCORED}, g AS (SELECT term_id, count(*) AS n, sum(label)::BIGINT AS p FROM scored GROUP BY 1) SELECT count(*) AS n_terms, sum(n)::BIGINT AS n_rows, sum(p)::BIGINT AS n_positive, (sum(n) - sum(p))::BIGINT AS n_negative, round(avg(n), 6) AS mean_size, median(n)::DOUBLE AS median_size, round(quantile_cont(n, 0.99), 6) AS p99_size,
+ max(n) AS max_size, round(sum(p) / sum(n), 6) AS prevalence, round(avg(p), 6) AS positives_per_term FROM g""")
+def candidate_distribution(s, d):
+    return rounded(S.candidate_distribution(T.scored(s, d)), "mean_size", "p99_size", "prevalence", "positives_per_term")
+
+
+@query(f"WITH {Z.PAIRS}, k AS (SELECT p_partkey AS item_id, p_type AS c FROM part), t AS (SELECT DISTINCT term_id, c FROM pairs JOIN k USING (item_id) WHERE term_id % 10 = 0 OR true) SELECT term_id, count(*) AS n FROM (SELECT DISTINCT term_id, k.item_id FROM t JOIN k USING (c) ANTI JOIN pairs USING (term_id, item_id)) GROUP BY 1".replace(" WHERE term_id % 10 = 0 OR true", ""))
+def category_pool(s, d):
+    items = T.table(s, d, "part").select(F.col("p_partkey").alias("item_id"), F.col("p_type").alias("category_key"))
+    p = T.pairs(s, d)
+    return S.category_pool(p, items, p).groupBy("term_id").agg(F.count("*").alias("n"))
+
+
+def _sampled(s, d):
+    """Positives (returned lines), and the catalogue with category keys."""
+    li = T.table(s, d, "lineitem").filter("l_returnflag = 'R' and l_quantity >= 45")
+    pos = li.select(F.col("l_suppkey").alias("term_id"), F.col("l_partkey").alias("item_id")).distinct().withColumn("label", F.lit(1))
+    return pos, T.table(s, d, "part").select(F.col("p_partkey").alias("item_id"), F.col("p_type").alias("category_key"))
+
+
+def _hits(s, d):
+    li = T.table(s, d, "lineitem").groupBy(F.col("l_suppkey").alias("term_id"), F.col("l_partkey").alias("item_id")).agg(F.round(F.sum("l_quantity"), 2).alias("score"))
+    return K.top_k(li, ["term_id"], [F.col("score").desc(), F.col("item_id")], 200)
+
+
+@query()
+def random_negatives(s, d):
+    pos, items = _sampled(s, d)
+    return S.training_set(pos, items, 3)
+
+
+@query()
+def mixed_negatives(s, d):
+    pos, items = _sampled(s, d)
+    return S.mixed_set(pos, items, _hits(s, d), 2)
+
+
+@query()
+def shaped_set(s, d):
+    pos, items = _sampled(s, d)
+    return S.shaped_set(pos, items, _hits(s, d))
+
+
+@query()
+def complete_terms(s, d):
+    return K.complete_groups(T.pairs(s, d), "term_id", 20)
+
+
+_HITS = "h AS (SELECT * FROM (SELECT l_suppkey AS term_id, l_partkey AS item_id, round(sum(l_quantity), 2) AS score, row_number() OVER (PARTITION BY l_suppkey ORDER BY round(sum(l_quantity), 2) DESC, l_partkey) AS rank FROM lineitem GROUP BY 1, 2) WHERE rank <= 200)"
+_POS = "pos AS (SELECT DISTINCT l_suppkey AS term_id, l_partkey AS item_id, 1 AS label FROM lineitem WHERE l_returnflag = 'R' AND l_quantity >= 45)"
+
+
+@query(f"WITH {_HITS}, {_POS}, f AS (SELECT term_id, item_id, row_number() OVER (PARTITION BY term_id ORDER BY rank, item_id) AS k FROM h ANTI JOIN pos USING (term_id, item_id)), n AS (SELECT term_id, count(*) AS n FROM pos GROUP BY 1) SELECT term_id, item_id, 0 AS label, 'bm25' AS neg_source FROM f JOIN n USING (term_id) WHERE k <= n")
+def hard_negatives(s, d):
+    return S.hard_negatives(_hits(s, d), _sampled(s, d)[0], 1)
+
+
+@query(f"WITH {_HITS}, {_POS} SELECT term_id, item_id, rank FROM h ANTI JOIN pos USING (term_id, item_id) WHERE rank <= 20")
+def retrieval_negatives(s, d):
+    return S.retrieval_negatives(_hits(s, d), _sampled(s, d)[0], 20).select("term_id", "item_id", "rank")
+
+
+@query(f"""WITH {_HITS}, {_POS}, {Z.PAIR_TERMS}, c AS (SELECT DISTINCT term_id FROM pos ORDER BY 1 LIMIT 20), a AS (SELECT term_id, item_id, 1 AS label, 'POSITIVE' AS label_status, rank AS bm25_rank, 'training' AS source FROM pos SEMI JOIN c USING (term_id) LEFT JOIN h USING (term_id, item_id)),
+ b AS (SELECT term_id, item_id, 0, 'UNVERIFIED', rank, 'bm25' FROM (SELECT *, row_number() OVER (PARTITION BY term_id ORDER BY rank, item_id) AS k FROM h SEMI JOIN c USING (term_id) ANTI JOIN pos USING (term_id, item_id)) WHERE k <= 10)
+ SELECT u.*, query AS query_text, p_name AS item_title FROM (SELECT * FROM a UNION ALL SELECT * FROM b) u LEFT JOIN pair_terms USING (term_id) LEFT JOIN part ON p_partkey = item_id""")
+def golden_set(s, d):
+    items = T.table(s, d, "part").select(F.col("p_partkey").alias("item_id"), F.col("p_name").alias("title"))
+    return S.golden_set(T.pair_terms(s, d), _sampled(s, d)[0], _hits(s, d), items, 20, 10)
+
+
+@query(f"""WITH {_HITS}, {_POS}, {Z.PAIR_TERMS}, f AS (SELECT term_id, p_name AS text, min(rank) AS rank FROM h ANTI JOIN pos USING (term_id, item_id) JOIN part ON p_partkey = item_id WHERE rank <= 20 GROUP BY 1, 2), l AS (SELECT term_id, list(text ORDER BY rank, text)[1:10] AS x FROM f GROUP BY 1),
+ p AS (SELECT term_id, min(item_id) AS item_id FROM pos GROUP BY 1) SELECT query, p_name AS positive_doc, array_to_string(x, '|') AS hard_negatives FROM p JOIN pair_terms USING (term_id) JOIN part ON p_partkey = item_id JOIN l USING (term_id)""")
+def triplets(s, d):
+    pos, _ = _sampled(s, d)
+    names = T.table(s, d, "part").select(F.col("p_partkey").alias("item_id"), F.col("p_name").alias("text"))
+    first = S.retrieval_negatives(_hits(s, d), pos, 20).join(names, "item_id").select("term_id", "text", "rank")
+    best = pos.groupBy("term_id").agg(F.min("item_id").alias("item_id")).join(T.pair_terms(s, d), "term_id").join(names, "item_id").select("term_id", "query", F.col("text").alias("positive_doc"))
+    out = S.triplets(first, first.limit(0), best)
+    return out.withColumn("hard_negatives", F.array_join("hard_negatives", "|"))
+
+
+# --- Metrics ----------------------------------------------------------------------------------------------------------
+
+
+def _rank_sql(source: str, score: str, ks: list[int], by: str = "") -> str:
+    k = "".join(f", sum(CASE WHEN rn <= {x} THEN label ELSE 0 END)::DOUBLE AS h{x}, sum(CASE WHEN rn <= {x} AND label = 1 THEN 1 / log2(rn + 1) ELSE 0 END) AS g{x}" for x in ks)
+    out = ", ".join(f"round(coalesce(avg(CASE WHEN np > 0 THEN h{x} / np END), 0), 6) AS recall_{x}, round(avg(h{x} / {x}), 6) AS precision_{x}, round(coalesce(avg(CASE WHEN np > 0 THEN g{x} / list_sum(list_transform(range(1, least(np, {x})::BIGINT + 1), lambda i: 1 / log2(i + 1))) END), 0), 6) AS ndcg_{x}" for x in ks)
+    b = f"{by}, " if by else ""
+    return f"""rk AS (SELECT *, row_number() OVER (PARTITION BY {b}term_id ORDER BY {score} DESC, item_id) AS rn FROM {source}), pq AS (SELECT {b}term_id, sum(label)::BIGINT AS np, min(CASE WHEN label = 1 THEN rn END) AS fp, count(*) AS ni{k} FROM rk GROUP BY ALL),
+ rep AS (SELECT {b}{out}, round(avg(coalesce(1.0 / fp, 0)), 6) AS mrr, count(*) AS n_queries, sum(ni)::BIGINT AS n_pairs FROM pq {'GROUP BY ' + by if by else ''})"""
+
+
+@query(f"WITH {Z.SCORED}, {_rank_sql('scored', 'p', [1, 5, 10, 20, 50, 100])} SELECT * EXCLUDE (n_pairs) FROM rep")
+def ranking_report(s, d):
+    r = M.ranking_report(T.scored(s, d), score="p")
+    return rounded(r, *[c for c in r.columns if c != "n_queries"])
+
+
+@query(f"WITH {Z.LABELLED}, {_rank_sql('labelled', 'score', [10])} SELECT * EXCLUDE (n_pairs) FROM rep")
+def ranking_report_labelled(s, d):
+    r = M.ranking_report(T.labelled(s, d), [10])
+    return rounded(r, *[c for c in r.columns if c != "n_queries"])
+
+
+@query(f"WITH {Z.SCORED}, {_rank_sql('scored', 'p', [10])}, z AS (SELECT avg(CASE WHEN fp <= 10 THEN 1.0 / fp ELSE 0 END) AS a, avg(CASE WHEN np > 0 THEN g10 / list_sum(list_transform(range(1, least(np, 10)::BIGINT + 1), lambda i: 1 / log2(i + 1))) ELSE 0 END) AS b FROM pq) SELECT round(a, 6) AS mrr_at_k, round(b, 6) AS ndcg_at_k FROM z")
+def nested_cut_metrics(s, d):
+    return rounded(M.nested_cut_metrics(T.scored(s, d), 10, score="p"), "mrr_at_k", "ndcg_at_k")
+
+
+@query(f"WITH {Z.SCORED}, c AS (SELECT {Z.counts('label', '(p >= 0.5)::INT')} FROM scored) SELECT tp, tn, fp, fn, round({Z.MACRO}, 6) AS macro_f1, round({Z.f1('tp', 'fp', 'fn')}, 6) AS positive_f1 FROM c")
+def macro_f1(s, d):
+    return rounded(M.macro_f1_at(T.scored(s, d)), "macro_f1", "positive_f1")
+
+
+_GRID = [i / 20 for i in range(21)]
+
+
+@query(f"""WITH {Z.SCORED}, c AS (SELECT threshold, {Z.counts('label', '(p >= threshold)::INT')} FROM scored, (SELECT unnest({_GRID}::DOUBLE[]) AS threshold) GROUP BY 1) SELECT threshold, round({Z.MACRO}, 6) AS macro_f1, round({Z.f1('tp', 'fp', 'fn')}, 6) AS f1_positive, round({Z.f1('tn', 'fn', 'fp')}, 6) AS f1_negative,
+ round(CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END, 6) AS precision, round(CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END, 6) AS recall, tn, fp, fn, tp, round((tp + fp) / (tp + fp + tn + fn), 6) AS positive_rate FROM c""")
+def threshold_table(s, d):
+    return rounded(M.threshold_table(T.scored(s, d), _GRID), "macro_f1", "f1_positive", "f1_negative", "precision", "recall", "positive_rate")
+
+
+@query(f"WITH {Z.SCORED}, {Z.curve('', 'scored')} SELECT threshold, tp, fp, fn, tn, round({Z.MACRO}, 6) AS macro_f1 FROM cv")
+def threshold_curve(s, d):
+    return rounded(M.with_macro(M.curve(T.scored(s, d))), "macro_f1")
+
+
+def _best(keys: str, objective: str = "s") -> str:
+    part = f"PARTITION BY {keys}" if keys else ""
+    k = f"{keys}, " if keys else ""
+    return f"bt AS (SELECT {k}threshold, s FROM (SELECT {k}threshold, s, row_number() OVER ({part} ORDER BY s DESC, abs(threshold - 0.5), threshold) AS k FROM sc) WHERE k = 1)"
+
+
+@query(f"WITH {Z.SCORED}, {Z.curve('', 'scored')}, sc AS (SELECT threshold, round({Z.MACRO}, 12) AS s FROM cv), {_best('')} SELECT threshold, round(s, 6) AS macro_f1 FROM bt")
+def best_threshold(s, d):
+    return rounded(M.best_threshold(T.scored(s, d)), "macro_f1")
+
+
+@query(f"WITH {Z.SCORED}, {Z.curve('event_type', 'scored')}, sc AS (SELECT event_type, threshold, round({Z.f1('tp', 'fp', 'fn')}, 12) AS s FROM cv WHERE threshold BETWEEN 0.1 AND 0.9), {_best('event_type')}, a AS (SELECT event_type, max(label) AS m FROM scored GROUP BY 1) SELECT event_type, CASE WHEN m = 1 THEN coalesce(threshold, 0.5) ELSE 0.5 END AS threshold FROM a LEFT JOIN bt USING (event_type)")
+def category_threshold(s, d):
+    return L.category_thresholds(T.scored(s, d), "event_type")
+
+
+_LOO = "loo AS (SELECT s.*, held FROM scored s, (SELECT unnest(range(5)) AS held) WHERE held <> fold)"
+
+
+@query(f"""WITH {Z.SCORED}, {_LOO}, {Z.curve('held', 'loo')}, sc AS (SELECT held, threshold, round({Z.MACRO}, 12) AS s FROM cv), {_best('held')}, m AS (SELECT held, {Z.counts('label', '(p >= threshold)::INT')} FROM scored JOIN bt ON fold = held GROUP BY 1)
+ SELECT held::INT AS held, threshold, round(s, 6) AS fit_f1, round({Z.MACRO}, 6) AS macro_f1 FROM bt JOIN m USING (held)""")
+def cross_fitted_threshold(s, d):
+    return rounded(M.cross_fitted_threshold(T.scored(s, d), [0, 1, 2, 3, 4]), "fit_f1", "macro_f1")
+
+
+_W = [i / 4 for i in range(5)]
+
+
+@query(f"""WITH {Z.SCORED}, gr AS (SELECT s.label, fold, held, weight, round(weight * p + (1 - weight) * q, 9) AS b FROM scored s, (SELECT unnest(range(5)) AS held), (SELECT unnest({_W}::DOUBLE[]) AS weight) WHERE held <> fold), {Z.curve('held, weight', 'gr', 'b')}, sc AS (SELECT held, weight, threshold, round({Z.MACRO}, 12) AS s FROM cv), {_best('held, weight')},
+ ch AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY held ORDER BY s DESC, round(abs(weight - 0.5), 9), abs(threshold - 0.5), weight) AS k FROM bt) WHERE k = 1), m AS (SELECT held, {Z.counts('label', '(round(weight * p + (1 - weight) * q, 9) >= threshold)::INT')} FROM scored JOIN ch ON fold = held GROUP BY 1)
+ SELECT held::INT AS held, weight, threshold, round(s, 6) AS fit_f1, round({Z.MACRO}, 6) AS macro_f1 FROM ch JOIN m USING (held)""")
+def cross_fitted_blend(s, d):
+    return rounded(M.cross_fitted_blend(T.scored(s, d), [0, 1, 2, 3, 4], _W, a="p", b="q"), "fit_f1", "macro_f1")
+
+
+_EDGES = "[" + ", ".join(f"{i * 0.1!r}::DOUBLE" for i in range(10)) + ", 1.0::DOUBLE]"
+
+
+def _ece(source: str, p: str, key: str = "") -> str:
+    k = f"{key}, " if key else ""
+    return f"""bn AS (SELECT {k}len(list_filter({_EDGES}, lambda e: e <= {p})) - 1 AS bin, count(*) AS n, sum(label)::DOUBLE AS sy, sum({p}) AS sq FROM {source} GROUP BY ALL),
+ ce AS (SELECT {k}coalesce(sum(CASE WHEN bin < 10 THEN abs(sy - sq) END), 0) / sum(n) AS ece, coalesce(max(CASE WHEN bin < 10 THEN abs(sy - sq) / n END), 0) AS mce, sum(sq) / sum(n) AS avg_confidence, sum(sy) / sum(n) AS avg_accuracy, (sum(sq) - sum(sy)) / sum(n) AS bias FROM bn {'GROUP BY ' + key if key else ''})"""
+
+
+@query(f"WITH {Z.SCORED}, {_ece('scored', 'p')} SELECT round(ece, 6) AS ece, round(mce, 6) AS mce, round(avg_confidence, 6) AS avg_confidence, round(avg_accuracy, 6) AS avg_accuracy, round(bias, 6) AS bias FROM ce")
+def calibration_report(s, d):
+    return rounded(M.calibration(T.scored(s, d)), "ece", "mce", "avg_confidence", "avg_accuracy", "bias")
+
+
+@query(f"WITH {Z.SCORED}, {_ece('scored', 'p', 'term_id')} SELECT term_id, round(ece + 3.1e-8, 6) AS ece, round(mce + 3.1e-8, 6) AS mce FROM ce")
+def calibration_by_term(s, d):
+    return nudged(M.calibration(T.scored(s, d), keys=["term_id"]).select("term_id", "ece", "mce"), "ece", "mce")
+
+
+@query(f"WITH {Z.SCORED}, t AS (SELECT term_id, ln(sum(exp(label::DOUBLE))) AS ly, ln(sum(exp(p))) AS lp FROM scored GROUP BY 1), l AS (SELECT term_id, sum(-exp(label - ly) * (p - lp)) AS l FROM scored JOIN t USING (term_id) GROUP BY 1) SELECT round(avg(l), 6) AS loss FROM l")
+def listnet_loss(s, d):
+    return rounded(M.listnet_loss(T.scored(s, d), score="p"), "loss")
+
+
+@query(f"WITH {Z.SCORED} SELECT round(avg(greatest(0.0, 1.0 - (p - q))), 6) AS loss FROM scored")
+def hinge_loss(s, d):
+    return rounded(M.hinge_loss(T.scored(s, d), "p", "q"), "loss")
+
+
+@query(f"WITH {Z.SCORED} SELECT sum(((p >= 0.5) <> (q >= 0.5))::INT)::BIGINT AS rows, round(avg(((p >= 0.5) <> (q >= 0.5))::INT), 6) AS rate FROM scored")
+def disagreement(s, d):
+    e = T.scored(s, d).select(N.at_least(F.col("p"), 0.5).alias("a"), N.at_least(F.col("q"), 0.5).alias("b"))
+    return rounded(M.disagreement(e, "a", "b"), "rate")
+
+
+@query(f"""WITH {Z.SCORED}, tall AS (SELECT 'p' AS variant, term_id, item_id, label, p AS score FROM scored UNION ALL SELECT 'q', term_id, item_id, label, q FROM scored), {_rank_sql('tall', 'score', [10, 50, 100], 'variant')}, {_ece('tall', 'score', 'variant')}
+ SELECT variant, recall_50, recall_100, precision_10, ndcg_10, mrr, round(ece, 6) AS ece FROM rep JOIN ce USING (variant)""")
+def ablation_matrix(s, d):
+    return rounded(M.ablation(T.scored(s, d), ["p", "q"]), "recall_50", "recall_100", "precision_10", "ndcg_10", "mrr", "ece")
+
+
+@query(f"WITH {Z.SCORED}, e AS (SELECT min(p) AS a, max(p) AS b, min(q) AS c, max(q) AS d FROM scored) SELECT item_id, round(round(0.6 * (p - a) / (b - a) + 0.4 * (q - c) / (d - c), 9) + 3.1e-8, 6) AS blend FROM scored, e")
+def ensemble_blend(s, d):
+    return nudged(M.global_blend(T.scored(s, d), {"p": 0.6, "q": 0.4}).select("item_id", "blend"), "blend")
+
+
+@query(f"WITH {Z.SCORED} SELECT item_id AS id, (CASE WHEN item_id % 4 = 0 THEN q >= 0.6 ELSE p >= 0.5 END)::INT AS prediction FROM scored")
+def band_override(s, d):
+    e = T.scored(s, d).select(F.col("item_id").alias("id"), "p", "q")
+    return M.band_override(e.select("id", "p"), e.filter("id % 4 = 0").select("id", F.col("q").alias("p")), 0.5, 0.6)
+
+
+@query(f"WITH {Z.SCORED}, g AS (SELECT event_type, avg(p) AS pm, stddev_pop(p) AS ps, avg(q) AS qm, stddev_pop(q) AS qs, sum((p > 0)::INT)::BIGINT AS nz FROM scored GROUP BY 1) SELECT event_type AS feature, round(pm, 6) AS gain_mean, round(ps, 6) AS gain_std, round(qm, 6) AS split_mean, round(qs, 6) AS split_std, nz AS non_zero_folds, round(pm / (SELECT sum(pm) FROM g), 6) AS gain_share FROM g")
+def fold_importance(s, d):
+    e = T.scored(s, d).select(F.col("event_type").alias("feature"), F.col("p").alias("gain"), F.col("q").alias("split"))
+    return rounded(M.fold_importance(e), "gain_mean", "gain_std", "split_mean", "split_std", "gain_share")
+
+
+@query(f"WITH {Z.SCORED}, c AS (SELECT {Z.counts('label', '(p >= 0.5)::INT')} FROM scored) SELECT 'all' AS model, m AS metric, v::DOUBLE AS value FROM (SELECT unnest(['tp', 'tn', 'fp', 'fn', 'macro_f1', 'positive_f1']) AS m, unnest([tp::DOUBLE, tn, fp, fn, round({Z.MACRO}, 6), round({Z.f1('tp', 'fp', 'fn')}, 6)]) AS v FROM c)")
+def metric_table(s, d):
+    return M.long_table(macro_f1(s, d).withColumn("model", F.lit("all")), ["model"])
+
+
+# --- Drift ------------------------------------------------------------------------------------------------------------
+
+
+def _halves(s, d):
+    e = T.scored(s, d)
+    return e.filter("ts < '2024-01-16'"), e.filter("ts >= '2024-01-16'")
+
+
+_HALF = f"{Z.SCORED}, r AS (SELECT * FROM scored WHERE ts < '2024-01-16'), c AS (SELECT * FROM scored WHERE ts >= '2024-01-16')"
+_PSI = """ed AS (SELECT list_sort(list_distinct(quantile_cont(value, [0, .1, .2, .3, .4, .5, .6, .7, .8, .9, 1])))[2:-2] AS e FROM r), bb AS (SELECT len(e) + 1 AS b FROM ed),
+ x AS (SELECT len(list_filter(e, lambda v: v <= value)) AS bin, 1 AS r, 0 AS c FROM r, ed UNION ALL SELECT len(list_filter(e, lambda v: v <= value)), 0, 1 FROM c, ed), y AS (SELECT bin, sum(r) AS r, sum(c) AS c FROM x GROUP BY 1), n AS (SELECT sum(r) AS nr, sum(c) AS nc FROM y),
+ ps AS (SELECT sum(((c + 1e-4) / (nc + 1e-4 * b) - (r + 1e-4) / (nr + 1e-4 * b)) * ln(((c + 1e-4) / (nc + 1e-4 * b)) / ((r + 1e-4) / (nr + 1e-4 * b)))) AS psi FROM y, n, bb)"""
+
+
+@query(f"WITH {_HALF}, {_PSI} SELECT round(psi, 6) AS psi FROM ps")
+def psi(s, d):
+    return rounded(D.psi(*_halves(s, d), "value"), "psi")
+
+
+@query(f"WITH {_HALF}, x AS (SELECT value AS v, 1 AS r, 0 AS c FROM r UNION ALL SELECT value, 0, 1 FROM c), y AS (SELECT v, sum(r) AS r, sum(c) AS c FROM x GROUP BY 1), z AS (SELECT sum(r) OVER w AS cr, sum(c) OVER w AS cc, sum(r) OVER () AS n, sum(c) OVER () AS m FROM y WINDOW w AS (ORDER BY v ROWS UNBOUNDED PRECEDING)) SELECT round(max(abs(cr / n - cc / m)), 6) AS statistic, max(n)::BIGINT AS n_reference, max(m)::BIGINT AS n_current FROM z")
+def ks_stat(s, d):
+    return rounded(D.ks(*_halves(s, d), "value"), "statistic")
+
+
+_QS = "[" + ", ".join(repr(i / 100) for i in range(101)) + "]"
+
+
+@query(f"WITH {_HALF}, a AS (SELECT quantile_cont(value, {_QS}) AS q, stddev_pop(value) AS s FROM r), b AS (SELECT quantile_cont(value, {_QS}) AS q2 FROM c) SELECT round(list_sum(list_transform(range(1, 102), lambda i: abs(q[i] - q2[i]))) / 101 / greatest(s, 1e-12), 6) AS distance FROM a, b")
+def quantile_distance(s, d):
+    return rounded(D.quantile_distance(*_halves(s, d), "value"), "distance")
+
+
+@query()
+def drift_report(s, d):
+    return rounded(D.drift_report(*_halves(s, d), ["value", "p", "q"]), "psi", "ks", "p_value")
+
+
+@query(f"WITH {Z.SCORED} SELECT event_type, f AS feature, round(avg(x), 6) AS mean, round(avg((x = 0)::INT), 6) AS zero_rate FROM (SELECT event_type, 'p' AS f, p AS x FROM scored UNION ALL SELECT event_type, 'q', q FROM scored) GROUP BY ALL")
+def shift_rows(s, d):
+    return rounded(D.shift_rows(T.scored(s, d), ["p", "q"], "event_type"), "mean", "zero_rate")
+
+
+# --- Quality, errors, segments ----------------------------------------------------------------------------------------
+
+
+@query(f"WITH x AS (SELECT p_partkey AS term_id, {Z.spaced('p_name')} AS normal FROM part) SELECT normal, count(DISTINCT term_id) AS n_ids, array_to_string(list_sort(list(DISTINCT term_id)), ',') AS ids FROM x GROUP BY 1 HAVING count(DISTINCT term_id) > 1")
+def duplicate_queries(s, d):
+    t = T.table(s, d, "part").select(F.col("p_partkey").alias("term_id"), F.col("p_name").alias("query"))
+    return Q.duplicate_queries(t).withColumn("ids", F.array_join(F.transform("ids", lambda x: x.cast("string")), ","))
+
+
+@query(f"""WITH {Z.CATALOGUE}, x AS (SELECT NULL AS category_l1, attributes FROM catalogue UNION ALL SELECT trim(split_part(category, '/', 1)), attributes FROM catalogue), g AS (SELECT category_l1, count(*) AS n_items, round(avg((trim(attributes) <> '')::INT), 6) AS non_null_rate, round(avg(contains(attributes, 'renk:')::INT), 6) AS renk_coverage,
+ round(avg(contains(attributes, 'beden:')::INT), 6) AS beden_coverage, 0.0::DOUBLE AS materyal_coverage FROM x GROUP BY 1) SELECT * FROM g WHERE category_l1 IS NULL OR n_items >= 10""")
+def attribute_coverage(s, d):
+    return rounded(Q.attribute_coverage(T.catalogue(s, d)), "non_null_rate", "renk_coverage", "beden_coverage", "materyal_coverage")
+
+
+@query("WITH g AS (SELECT l_suppkey, l_partkey, min((l_returnflag = 'R')::INT) AS lo, max((l_returnflag = 'R')::INT) AS hi, count(*) AS n FROM lineitem GROUP BY 1, 2) SELECT count(*) AS n_pairs, sum((lo <> hi)::INT)::BIGINT AS n_conflicts, sum((n > 1)::INT)::BIGINT AS n_duplicates FROM g")
+def label_consistency(s, d):
+    return Q.label_consistency(T.table(s, d, "lineitem").select(F.col("l_suppkey").alias("term_id"), F.col("l_partkey").alias("item_id"), (F.col("l_returnflag") == "R").cast("int").alias("label")))
+
+
+@query(f"WITH {Z.CATALOGUE} SELECT count(*) AS n_items, count(DISTINCT brand) AS n_brands, avg((trim(brand) = '')::INT) AS brand_null_rate, avg(len(string_split(category, '/'))) AS depth_mean, min(len(string_split(category, '/')))::INT AS depth_min, max(len(string_split(category, '/')))::INT AS depth_max FROM catalogue")
+def metadata_report(s, d):
+    return Q.metadata_report(T.catalogue(s, d))
+
+
+@query("SELECT lower(p_type) AS value, count(*) AS n, round(count(*)::DOUBLE / (SELECT count(*) FROM part), 4) AS share FROM part GROUP BY 1")
+def value_shares(s, d):
+    return Q.value_shares(T.table(s, d, "part"), "p_type")
+
+
+@query("SELECT p_brand, count(*) AS n FROM part GROUP BY 1 ORDER BY n DESC, p_brand LIMIT 10")
+def top_brands(s, d):
+    return Q.top_values(T.table(s, d, "part"), "p_brand")
+
+
+_ERR = "er AS (SELECT *, CASE WHEN label = 1 AND p >= 0.5 THEN 'TP' WHEN label = 0 AND p < 0.5 THEN 'TN' WHEN label = 0 THEN 'FP' ELSE 'FN' END AS error_type FROM scored)"
+
+
+@query(f"WITH {Z.SCORED}, {_ERR} SELECT item_id, error_type FROM er")
+def error_split(s, d):
+    return Q.error_split(T.scored(s, d)).select("item_id", "error_type")
+
+
+@query(f"WITH {Z.SCORED}, {_ERR} (SELECT item_id, p, error_type FROM er WHERE error_type = 'FP' ORDER BY p DESC, item_id LIMIT 10) UNION ALL (SELECT item_id, p, error_type FROM er WHERE error_type = 'FN' ORDER BY p, item_id LIMIT 10)")
+def error_topn(s, d):
+    return Q.confident_errors(Q.error_split(T.scored(s, d)).select("item_id", "p", "error_type"))
+
+
+@query(f"WITH {Z.SCORED}, {_ERR}, g AS (SELECT error_type, event_type AS value, count(*) AS n FROM er WHERE error_type IN ('FP', 'FN') GROUP BY ALL) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY error_type ORDER BY n DESC, value) AS rank FROM g) WHERE rank <= 3")
+def error_patterns(s, d):
+    return Q.error_patterns(Q.error_split(T.scored(s, d)), "event_type", 3)
+
+
+@query(f"""WITH {_LEX}, y AS (SELECT *, (item_id % 3 = 0)::INT AS label FROM lex) SELECT label, CASE WHEN query_color_match = -1 THEN 'COLOR_CONFLICT' WHEN query_size_match = -1 THEN 'SIZE_CONFLICT' WHEN query_material_match = -1 THEN 'MATERIAL_CONFLICT' WHEN query_title_overlap = 0 AND query_category_overlap = 0 THEN 'NO_LEXICAL_EVIDENCE'
+ WHEN label = 0 AND query_title_coverage >= 0.5 THEN 'LEXICAL_DECOY' ELSE 'OTHER' END AS signal, count(*) AS n FROM y GROUP BY ALL""")
+def error_taxonomy(s, d):
+    f = _pair_features(s, d).withColumn("label", (F.col("item_id") % 3 == 0).cast("int"))
+    return Q.crosstab(f.withColumn("signal", Q.error_signal()), "label", "signal")
+
+
+@query(f"WITH {Z.SCORED}, t AS (SELECT 'p' AS feature, p AS x FROM scored UNION ALL SELECT 'q', q FROM scored) SELECT feature, count(x) AS count, round(avg(x), 3) AS mean, round(stddev_samp(x), 3) AS std, round(min(x), 3) AS min, round(quantile_cont(x, .25), 3) AS q25, round(median(x), 3) AS q50, round(quantile_cont(x, .75), 3) AS q75, round(max(x), 3) AS max FROM t GROUP BY 1")
+def describe_features(s, d):
+    return Q.describe_features(T.scored(s, d), ["p", "q"])
+
+
+@query(f"""WITH {Z.LABELLED}, sg AS (SELECT *, split_part(item_category, '/', 1) AS segment FROM labelled), {_rank_sql('sg', 'score', [10], 'segment')}, {_ece('sg', 'score', 'segment')} SELECT segment, n_queries, n_pairs, recall_10, ndcg_10, mrr, round(ece, 6) AS ece FROM rep JOIN ce USING (segment)""")
+def segment_breakdown(s, d):
+    df = T.labelled(s, d).withColumn("segment_", X.category_level(X.category_levels(F.col("item_category")), 1))
+    return rounded(Q.segment_breakdown(df, "segment_"), "recall_10", "ndcg_10", "mrr", "ece")
+
+
+_UNC = "u AS (SELECT *, least(greatest(p, 1e-7), 1 - 1e-7) AS c FROM scored), v AS (SELECT term_id, item_id, -(c * log2(c) + (1 - c) * log2(1 - c)) AS entropy, 1 - 2 * abs(c - 0.5) AS margin, 1 - greatest(c, 1 - c) AS least_conf FROM u)"
+
+
+@query(f"WITH {Z.SCORED}, {_UNC} SELECT term_id, item_id, round(entropy, 6) AS entropy, round(margin, 6) AS margin, round(least_conf, 6) AS least_conf, round((entropy + margin + least_conf) / 3, 6) AS hybrid FROM v")
+def uncertainty_scores(s, d):
+    return rounded(Q.uncertainty(T.scored(s, d)).select("term_id", "item_id", "entropy", "margin", "least_conf", "hybrid"), "entropy", "margin", "least_conf", "hybrid")
+
+
+@query(f"WITH {Z.SCORED}, {_UNC}, w AS (SELECT term_id, item_id, round(margin, 9) AS uncertainty FROM v), k AS (SELECT *, row_number() OVER (PARTITION BY term_id ORDER BY uncertainty DESC, item_id) AS k FROM w) SELECT term_id, item_id FROM (SELECT * FROM k WHERE k <= 5 ORDER BY uncertainty DESC, term_id, item_id LIMIT 100)")
+def uncertain_topn(s, d):
+    return Q.uncertain_pairs(T.scored(s, d), 100, "margin").select("term_id", "item_id")
+
+
+def _pool(s, d):
+    li = T.table(s, d, "lineitem")
+    old, new = (li.filter(f"l_returnflag = '{x}'").select(F.col("l_suppkey").alias("term_id"), F.col("l_partkey").alias("item_id")) for x in "AR")
+    pool = Q.pool_insert(s.createDataFrame([], Q.POOL), old.select(*[F.col(c).cast("string").alias(c) for c in old.columns]), "first", "2024-01-01T00:00:00+00:00")
+    pool = Q.pool_insert(pool, new.select(*[F.col(c).cast("string").alias(c) for c in new.columns]), "second", "2024-01-02T00:00:00+00:00")
+    verdicts = pool.filter("cast(term_id as long) % 7 = 0 and source = 'first'").select("term_id", "item_id", F.when(F.col("item_id").cast("long") % 2 == 0, "VERIFIED_NEGATIVE").otherwise("FALSE_NEGATIVE_POS").alias("status"), F.lit("2024-01-03").alias("verified_at"), F.lit("a1").alias("annotator_id"), F.lit("").alias("notes"))
+    return Q.pool_verify(pool, verdicts)
+
+
+_POOL = """f AS (SELECT DISTINCT l_suppkey::VARCHAR AS term_id, l_partkey::VARCHAR AS item_id FROM lineitem WHERE l_returnflag = 'A'), g AS (SELECT DISTINCT l_suppkey::VARCHAR AS term_id, l_partkey::VARCHAR AS item_id FROM lineitem WHERE l_returnflag = 'R'),
+ pool AS (SELECT term_id, item_id, 'first' AS source, CASE WHEN term_id::BIGINT % 7 <> 0 THEN 'UNVERIFIED' WHEN item_id::BIGINT % 2 = 0 THEN 'VERIFIED_NEGATIVE' ELSE 'FALSE_NEGATIVE_POS' END AS status FROM f UNION ALL SELECT term_id, item_id, 'second', 'UNVERIFIED' FROM g ANTI JOIN f USING (term_id, item_id))"""
+
+
+@query(f"WITH {_POOL} SELECT term_id, item_id, source, status, CASE WHEN source = 'first' THEN '2024-01-01T00:00:00+00:00' ELSE '2024-01-02T00:00:00+00:00' END AS added_at, CASE WHEN status <> 'UNVERIFIED' THEN '2024-01-03' END AS verified_at, CASE WHEN status <> 'UNVERIFIED' THEN 'a1' END AS annotator_id FROM pool")
+def pool_upsert(s, d):
+    return _pool(s, d).drop("notes")
+
+
+@query(f"WITH {_POOL} SELECT source, status, count(*) AS n FROM pool GROUP BY ALL")
+def pool_summary(s, d):
+    return Q.pool_summary(_pool(s, d))
+
+
+@query(f"WITH {Z.SCORED}, n AS (SELECT count(*) AS n FROM scored) SELECT n AS n_rows, 0::BIGINT AS n_null, 0::BIGINT AS n_repeated, 0::BIGINT AS n_not_binary, 0::BIGINT AS n_misplaced, n AS n_expected, true AS valid FROM n")
+def submission_qa(s, d):
+    e = T.scored(s, d).select(F.col("item_id").alias("row_idx"), F.col("item_id").cast("string").alias("id"), N.at_least(F.col("p"), 0.5).alias("prediction"))
+    return IO.submission_qa(e, e.select("row_idx", "id"))
+
+
+# --- Models -----------------------------------------------------------------------------------------------------------
+
+
+@query()
+def platt(s, d):
+    return L.platt(T.scored(s, d).select("item_id", "label", "p"))
+
+
+@query()
+def isotonic(s, d):
+    return L.isotonic(T.scored(s, d).select("item_id", "label", "p"))
+
+
+@query()
+def gbt_score(s, d):
+    return L.gbt_scores(T.scored(s, d).select("item_id", "label", "fold", "q", "value"), ["q", "value"], folds=[0, 1], maxIter=5).select("item_id", "label", "p")
+
+
+@query(f"WITH {Z.SCORED}, o AS (SELECT *, ts - lag(ts) OVER (PARTITION BY term_id ORDER BY ts) AS gap FROM scored), k AS (SELECT *, sum((gap IS NULL OR gap > INTERVAL 6 HOUR)::INT) OVER (PARTITION BY term_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM o) SELECT term_id, min(ts) AS start, count(*) AS n FROM k GROUP BY term_id, k")
+def event_sessions(s, d):
+    """An extension: sessions of a term's events."""
+    return G.sessions(T.scored(s, d), "ts", "term_id", "6 hours").select("term_id", "start", "n")
