@@ -8,8 +8,8 @@ arranged. Both are mixed as (1 - GAMMA**l) * presentation + GAMMA**l * content f
 ``min_pages`` pages of the host take the values of the tree of all hosts.
 
 Markup that names its role is prior knowledge: 1 is added at and below article and main, 1 taken off menus, headers,
-footers, sidebars, notices, adverts, forms and reader comments. A branch whose sum is below ``least`` is removed from
-each page. If a page has an article or main element, only those are looked at.
+footers, sidebars, notices, adverts, forms and reader comments. Branches all of whose nodes have a sum below ``least`` are
+removed from each page; html and body are never removed. If a page has an article or main element, only those count.
 
 Counting works on (host, node, text) keys with partial sums, so a host with a third of all pages is no hot spot; verdicts
 go back to pages by a broadcast of checked size or, beyond it, by a join that broadcasts only the provably few hot hosts.
@@ -199,20 +199,19 @@ def page_text(page: str | None, low: frozenset[int]) -> str:
     blocks, every = parsed(page)
     only_main = any(e.main and not e.removed for e in every)
     poor: dict[str, bool] = {}
-
-    def removed(e: Element) -> bool:
-        if e.prior:
-            return e.removed
-        if e.path not in poor:
-            poor[e.path] = bool(low) and code(e.path) in low
-        return e.removed or poor[e.path]
-
     out = []
     for chain, text in blocks:
         if only_main and not (chain and chain[-1].main):
             continue
-        if any(e.tag == "head" for e in chain) or any(removed(e) for e in chain if not only_main or e.main):
+        if any(e.tag == "head" or (e.removed and (e.main or not only_main)) for e in chain):
             continue
+        # A branch goes only if all below it is of low importance, so a block's own element decides.
+        own = chain[-1] if chain else None
+        if low and own is not None and not own.prior and own.tag not in ("html", "body"):
+            if own.path not in poor:
+                poor[own.path] = code(own.path) in low
+            if poor[own.path]:
+                continue
         out.append(text)
     return "\n".join(out)
 
