@@ -99,12 +99,13 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     common = written(runs.merged().filter(F.col("n_docs") >= min_docs), "common")
     hits = lookup(lines, common, ["h1", "h2"], "n_docs", total, "inner").filter(F.col("doc_id") < F.col("holder"))
     drops = hits.groupBy("doc_id").agg(F.collect_set(F.struct("h1", "h2")).alias("_drops"))
-    joined = docs.select(*cols, F.col(id_col).alias("_doc"), F.split(text, "\n").alias("_lines")).join(drops.withColumnRenamed("doc_id", "_doc"), "_doc", "left")
-    marked = joined.withColumn("_keys", F.when(F.col("_drops").isNotNull(), line_keys(text, min_chars)))
+    # The rows' own columns travel in one struct, so that none can clash with those made here.
+    joined = docs.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("_row"), F.col(id_col).alias("_doc"), text.alias("_text")).join(drops.withColumnRenamed("doc_id", "_doc"), "_doc", "left")
+    joined = joined.withColumn("_lines", F.split("_text", "\n")).withColumn("_keys", F.when(F.col("_drops").isNotNull(), line_keys(F.col("_text"), min_chars)))
     left = F.zip_with("_lines", "_keys", lambda x, k: F.when(~F.coalesce(F.array_contains(F.col("_drops"), k), F.lit(False)), x))
     kept = F.when(F.col("_drops").isNull(), F.col("_lines")).otherwise(F.filter(left, lambda x: x.isNotNull()))
-    out = marked.select(*cols, F.size("_lines").cast("long").alias("n_lines"), kept.alias("_kept"))
-    return out.select(*cols, "n_lines", (F.col("n_lines") - F.size("_kept")).cast("long").alias("n_dropped"), F.array_join("_kept", "\n").alias("kept_text"))
+    out = joined.select("_row", F.size("_lines").cast("long").alias("_n"), kept.alias("_kept"))
+    return out.select(*[F.col("_row")[c].alias(c) for c in cols], F.col("_n").alias("n_lines"), (F.col("_n") - F.size("_kept")).cast("long").alias("n_dropped"), F.array_join("_kept", "\n").alias("kept_text"))
 
 
 def op9_line_dedup(spark, sf_dir: str) -> DataFrame:
