@@ -13,8 +13,8 @@ less often. A small set, where that would take more signatures than it has featu
 partition, where no linked pair can be missed.
 
 Candidates from shared signatures are tested with exact lower bounds (sizes, 64-cell histograms of the features)
-and then by exact intersection. Buckets keep one row a candidate pair with the bucket's smallest set, and the member
-lists of larger ones; pairs of a list are tried only where its members still are in different components, in blocks.
+and then by exact intersection. Buckets keep one row a candidate pair with a signature's smallest set, its head, and the
+member lists of larger ones; pairs of a list are tried only where its members still are in different components.
 
 Edge cases: null or empty text is the empty set, linked with nothing; under ``size`` words the whole sequence is the
 one shingle; equal sets are one class from the start; an empty table gives an empty result; other columns are ignored.
@@ -37,11 +37,11 @@ from querylens.llm._tokens import NOT_WHITE, U, Words, chunks, gram_hash, mix
 
 MISS = 1e-9
 BITS = 10
-CELLS = 64
+CELLS, FINE = 64, 512
 #: Signatures in one bucket, about; a task holds one bucket.
 BUCKET_SIGNATURES = 2_000_000
 #: Signatures that a mapper gathers before it sends them on.
-FLUSH = 4_000_000
+FLUSH = 1_000_000
 BLOCK = 1024
 #: Most document ids that are broadcast to fetch candidates' texts; beyond, they are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
@@ -108,11 +108,12 @@ def set_names(features: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.where(np.diff(first) > 0, name, U(0)).view(np.int64)
 
 
-def histograms(features: np.ndarray, first: np.ndarray) -> np.ndarray:
+def histograms(features: np.ndarray, first: np.ndarray, cells: int) -> np.ndarray:
+    """Features of each set by cell, at most 255 in one: differences never exceed the sets'."""
     docs = len(first) - 1
     owner = np.repeat(np.arange(docs), np.diff(first))
-    cell = (features & U(CELLS - 1)).astype(np.int64)
-    return np.minimum(np.bincount(owner * CELLS + cell, minlength=docs * CELLS), 255).astype(np.int32).reshape(docs, CELLS)
+    cell = (features & U(cells - 1)).astype(np.int64)
+    return np.minimum(np.bincount(owner * cells + cell, minlength=docs * cells), 255).astype(np.uint8).reshape(docs, cells)
 
 
 def signatures(features: np.ndarray, first: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
@@ -152,16 +153,16 @@ def signatures(features: np.ndarray, first: np.ndarray, num: int, den: int) -> t
 
 
 def described(size: int):
-    """Arrow batches (doc_id, text) -> one row a document: doc_id, n, name, cells."""
+    """Arrow batches (doc_id, text) -> one row a document: doc_id, n, name, cells, fine (finer cells, as bytes)."""
 
     def run(batches):
         for b in batches:
             for i, j, data, offsets in chunks(b.column(1)):
                 features, first = shingle_sets(data, offsets, size)
-                cells = histograms(features, first)
+                cells, fine = histograms(features, first, CELLS), histograms(features, first, FINE)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(i, j - i), pa.array(np.diff(first)), pa.array(set_names(features, first)), pa.ListArray.from_arrays(pa.array(np.arange(0, cells.size + 1, CELLS, dtype=np.int32)), pa.array(cells.ravel()))],
-                    ["doc_id", "n", "name", "cells"],
+                    [b.column(0).slice(i, j - i), pa.array(np.diff(first)), pa.array(set_names(features, first)), pa.ListArray.from_arrays(pa.array(np.arange(0, cells.size + 1, CELLS, dtype=np.int32)), pa.array(cells.ravel().astype(np.int32))), pa.array([r.tobytes() for r in fine], pa.binary())],
+                    ["doc_id", "n", "name", "cells", "fine"],
                 )
 
     return run
@@ -199,7 +200,7 @@ def signed(size: int, num: int, den: int, buckets: int):
                 sig.append(s[mine])
                 name.append(names[d[mine]])
                 held, docs = held + len(sig[-1]), docs + len(new)
-                if held >= FLUSH or docs > 60_000:
+                if held >= FLUSH or docs > 30_000:
                     yield send(sig, name)
                     sig, name, held, docs = [], [], 0, 0
         if held:
@@ -244,13 +245,15 @@ def close_cells(ha, hb, na, nb, num: int, den: int):
 
 
 def block_pairs(num: int, den: int):
-    """Rows of one list and pair of blocks (name, label, n, cells, side) -> pairs that the bounds allow."""
+    """Rows of one group and pair of blocks (name, label, n, fine, side) -> pairs that the bounds allow."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         left, right = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
         same = len(right) == 0
         right = left if same else right
-        hl, hr = np.stack(left["cells"].to_numpy()).astype(np.int16), np.stack(right["cells"].to_numpy()).astype(np.int16)
+        if not len(left):
+            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
+        hl, hr = (np.frombuffer(b"".join(x["fine"]), dtype=np.uint8).reshape(-1, FINE).astype(np.int16) for x in (left, right))
         nl, nr = left["n"].to_numpy(), right["n"].to_numpy()
         ll, lr, al, ar = left["label"].to_numpy(), right["label"].to_numpy(), left["name"].to_numpy(), right["name"].to_numpy()
         out = []
@@ -258,7 +261,7 @@ def block_pairs(num: int, den: int):
             j = np.flatnonzero((lr != ll[i]) & (np.minimum(nr, nl[i]) * den >= np.maximum(nr, nl[i]) * num))
             if same:
                 j = j[j > i]
-            apart = np.abs(hr[j] - hl[i]).sum(axis=1, dtype=np.int64)
+            apart = np.abs(hr[j] - hl[i]).sum(axis=1, dtype=np.int32)
             j = j[apart * (num + den) <= (nr[j] + nl[i]) * (den - num)]
             out.append(np.stack([np.minimum(al[i], ar[j]), np.maximum(al[i], ar[j])], axis=1))
         return pd.DataFrame(np.concatenate(out) if out else np.zeros((0, 2), dtype=np.int64), columns=["a", "b"])
@@ -284,6 +287,28 @@ def components(edges: DataFrame, labels: DataFrame | None = None) -> DataFrame:
             return now
 
 
+def open_pairs(found: DataFrame, labels: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
+    """Distinct pairs (a, b) that share a list, lie in different components and pass the exact bounds.
+
+    Lists that share sets are mostly parts of one family, so they are tried as one group when that compares fewer pairs
+    than one by one. Groups are cut into blocks; a task holds two blocks.
+    """
+    lists = found.filter("list_id is not null").dropDuplicates(["list_id"]).select("list_id", F.explode("members").alias("name"))
+    members = lists.join(labels, "name", "left").withColumn("label", F.coalesce("label", "name"))
+    spread = members.groupBy("list_id").agg(F.count("*").alias("m"), F.min("name").alias("head"), F.min("label").alias("x"), F.max("label").alias("y")).filter("x != y").select("list_id", "m", "head")
+    members = written(members.join(spread, "list_id"), "members")
+    family = components(members.filter("name != head").select(F.col("head").alias("a"), F.col("name").alias("b")).distinct()).withColumnRenamed("label", "family")
+    placed = members.join(family, "name")
+    alone = members.select("list_id", "m", F.col("head").alias("name")).distinct().join(family, "name").groupBy("family").agg(F.sum(F.col("m") * F.col("m")).alias("one_by_one"))
+    whole = family.groupBy("family").agg(F.count("*").alias("size")).join(alone, "family").select("family", "size", (F.col("size") * F.col("size") <= F.col("one_by_one")).alias("whole"))
+    placed = placed.join(whole, "family")
+    grouped = placed.select(F.when(F.col("whole"), F.col("family")).otherwise(F.col("list_id")).alias("id"), "whole", F.when(F.col("whole"), F.col("size")).otherwise(F.col("m")).alias("m"), "name", "label").distinct()
+    info = classes.select("name", "n", "fine")
+    dealt = grouped.join(info, "name").withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("mine", F.pmod(F.xxhash64("name"), F.col("blocks")).cast("int"))
+    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("id", "whole", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"), F.when(F.col("mine") <= F.col("other"), 0).otherwise(1).alias("side"), "name", "label", "n", "fine")
+    return met.groupBy("id", "whole", "p", "q").applyInPandas(block_pairs(num, den), "a long, b long").distinct()
+
+
 def feature_sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
     """(name, features) of the documents in ``ids`` (doc_id), one for each name."""
 
@@ -314,43 +339,38 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """doc_id, n_shingles, component_id for each row of ``docs``."""
     num, den = (threshold[0] // math.gcd(*threshold), threshold[1] // math.gcd(*threshold))
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    seen = written(docs.mapInArrow(described(size), "doc_id long, n long, name long, cells array<int>"), "described")
+    seen = written(docs.mapInArrow(described(size), "doc_id long, n long, name long, cells array<int>, fine binary"), "described")
     total = seen.agg(F.sum("n")).first()[0] or 0
     own = seen.select("doc_id", F.col("n").alias("n_shingles"), "name")
     if not total:
         return own.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    classes = written(seen.filter("n > 0").groupBy("name").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("cells").alias("cells"), F.count("*").alias("rows")), "classes")
+    classes = written(seen.filter("n > 0").groupBy("name").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("cells").alias("cells"), F.first("fine").alias("fine"), F.count("*").alias("rows")), "classes")
     buckets = max(64, total // BUCKET_SIGNATURES)
     sent = docs.mapInArrow(signed(size, num, den, buckets), "bucket int, signatures binary, names binary")
     found = written(sent.groupBy("bucket").applyInPandas(bucket_pairs, PAIR_SCHEMA), "found")
-    info = classes.select("name", "n", "cells")
 
     def side(x: str) -> DataFrame:
-        return info.select(F.col("name").alias(x), F.col("n").alias(f"n{x}"), F.col("cells").alias(f"h{x}"))
+        return classes.select(F.col("name").alias(x), F.col("n").alias(f"n{x}"), F.col("cells").alias(f"h{x}"))
 
+    def label_of(df: DataFrame, labels: DataFrame, col: str, out: str) -> DataFrame:
+        return df.join(labels.select(F.col("name").alias(col), F.col("label").alias(out)), col, "left").withColumn(out, F.coalesce(out, F.col(col)))
+
+    # First each set with the bucket head that it shares most signatures with, then the other heads while still apart.
     star = found.filter("a is not null").groupBy("a", "b").agg(F.sum("shared").alias("shared")).join(side("b"), "b").join(side("a"), "a")
     star = written(star.filter(close_cells(F.col("ha"), F.col("hb"), F.col("na"), F.col("nb"), num, den)).select("a", "b", "shared"), "star")
-    best = star.groupBy("b").agg(F.max_by("a", F.struct("shared", -F.col("a"))).alias("a"))
-    links = linked(written(best, "best"), docs, classes, size, num, den)
+    best = written(star.groupBy("b").agg(F.max_by("a", F.struct("shared", -F.col("a"))).alias("a")).select("a", "b"), "best")
+    links = linked(best, docs, classes, size, num, den)
     labels = components(links)
-    # What is left: other pairs whose sets are still apart.
-    lab = labels.select("name", "label")
-
-    def label_of(df: DataFrame, col: str, out: str) -> DataFrame:
-        return df.join(lab.select(F.col("name").alias(col), F.col("label").alias(out)), col, "left").withColumn(out, F.coalesce(out, F.col(col)))
-
-    rest = star.join(best.select("a", "b"), ["a", "b"], "left_anti").select("a", "b")
-    rest = label_of(label_of(rest, "a", "la"), "b", "lb").filter("la != lb").select("a", "b")
-    lists = found.filter("list_id is not null").dropDuplicates(["list_id"]).select("list_id", F.explode("members").alias("name"))
-    members = label_of(lists, "name", "label")
-    spread = members.groupBy("list_id").agg(F.count("*").alias("m"), F.min("label").alias("x"), F.max("label").alias("y")).filter("x != y").select("list_id", "m")
-    open_ = members.join(spread, "list_id").join(info, "name").withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("mine", F.pmod(F.xxhash64("name"), F.col("blocks")).cast("int"))
-    met = open_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("list_id", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"), F.when(F.col("mine") <= F.col("other"), 0).otherwise(1).alias("side"), "name", "label", "n", "cells")
-    tried = met.groupBy("list_id", "p", "q").applyInPandas(block_pairs(num, den), "a long, b long")
-    rest = written(rest.union(tried).distinct().join(best.select("a", "b"), ["a", "b"], "left_anti"), "rest")
+    others = label_of(label_of(star.join(best, ["a", "b"], "left_anti"), labels, "a", "la"), labels, "b", "lb")
+    others = written(others.filter("la != lb").select("a", "b"), "others")
+    if others.limit(1).count():
+        links = written(links.union(linked(others, docs, classes, size, num, den)), "links")
+        labels = components(links)
+    # Then pairs of the longer lists whose sets are still apart.
+    rest = written(open_pairs(found, labels, classes, num, den).join(star.select("a", "b"), ["a", "b"], "left_anti"), "rest")
     if rest.limit(1).count():
-        more = linked(rest, docs, classes, size, num, den)
-        labels = components(links.union(more))
+        links = links.union(linked(rest, docs, classes, size, num, den))
+        labels = components(links)
     reps = classes.join(labels, "name", "left").withColumn("label", F.coalesce("label", "name")).select("name", "rep", "rows", "label")
     low = reps.groupBy("label").agg(F.min("rep").alias("component_id"))
     final = written(reps.join(low, "label").select("name", "rows", "component_id"), "final")
