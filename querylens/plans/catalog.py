@@ -18,8 +18,10 @@ from querylens.operators import quality as Q
 from querylens.operators import ranking as K
 from querylens.operators import retrieval as R
 from querylens.operators import sampling as S
+from querylens.operators import selection as C
 from querylens.plans import adapters as T
 from querylens.plans import sql as Z
+from querylens.sources import manifests as MF
 from querylens.sources import tables as IO
 from querylens.streaming import groups as G
 
@@ -689,6 +691,50 @@ def submission_qa(s, d):
     return IO.submission_qa(e, e.select("row_idx", "id"))
 
 
+# --- Selection --------------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {Z.SCORED}, c AS (SELECT threshold, {Z.counts('label', '(p >= threshold)::INT')} FROM scored, (SELECT unnest({_GRID}::DOUBLE[]) AS threshold) GROUP BY 1) SELECT threshold, round({Z.MACRO}, 6) AS macro_f1 FROM c ORDER BY round(abs(threshold - 0.3), 9), threshold LIMIT 11")
+def nearest_thresholds(s, d):
+    return rounded(C.nearest_thresholds(M.threshold_table(T.scored(s, d), _GRID), 0.3).select("threshold", "macro_f1"), "macro_f1")
+
+
+@query(f"WITH {_HITS}, {_POS} SELECT term_id, item_id, round(CASE WHEN coalesce(rank, 0) > 0 THEN 1.0 / (1 + rank) ELSE 0.5 END, 6) AS score FROM pos LEFT JOIN h USING (term_id, item_id)")
+def placeholder_scores(s, d):
+    pos = _sampled(s, d)[0].join(_hits(s, d).select("term_id", "item_id", "rank"), ["term_id", "item_id"], "left")
+    return rounded(C.placeholder_score(pos, "rank").select("term_id", "item_id", "score"), "score")
+
+
+@query(f"WITH {Z.SCORED} SELECT item_id, (0.7 * p + 0.3 * q >= 0.45)::INT AS prediction FROM scored")
+def candidate_predictions(s, d):
+    return C.candidate_predictions(T.scored(s, d), "p", "q", 0.7, 0.3, 0.45).select("item_id", "prediction")
+
+
+@query()
+def model_selection(s, d):
+    return rounded(C.model_selection(T.scored(s, d), [0, 1, 2, 3, 4], _W, "p", "q"), "score")
+
+
+_EVAL = ", ".join(f"round(avg(coalesce(h{k}, 0) / np), 6) AS recall_{k}" for k in (5, 10, 50, 100))
+_EVH = ", ".join(f"sum((rank <= {k})::INT) AS h{k}" for k in (5, 10, 50, 100))
+
+
+@query(f"""WITH {_LISTS}, po AS (SELECT term_id AS query_id, item_id FROM scored WHERE label = 1), n AS (SELECT query_id, count(*) AS np FROM po GROUP BY 1),
+ r AS (SELECT 'a' AS run, * FROM la UNION ALL SELECT 'b', * FROM lb), f AS (SELECT run, query_id, min(rank) AS first, {_EVH} FROM r JOIN po USING (query_id, item_id) GROUP BY ALL), g AS (SELECT run, n.query_id, np FROM n, (SELECT unnest(['a', 'b']) AS run))
+ SELECT run, {_EVAL}, round(avg(coalesce(1.0 / first, 0)), 6) AS mrr FROM g LEFT JOIN f USING (run, query_id) GROUP BY run""")
+def retrieval_evaluation(s, d):
+    a, b = _two_lists(s, d)
+    pos = T.scored(s, d).filter("label = 1").select(F.col("term_id").alias("query_id"), "item_id")
+    e = C.retrieval_evaluation({"a": a, "b": b}, pos)
+    return rounded(e, *[c for c in e.columns if c != "run"])
+
+
+@query("SELECT count(*) AS n, count(DISTINCT vec_id) AS ids, any_value(len(embedding))::INT AS dims FROM embeddings")
+def vector_census(s, d):
+    v = MF.check_vectors(T.table(s, d, "embeddings"))
+    return v.agg(F.count("*").alias("n"), F.count_distinct("vec_id").alias("ids"), F.first(F.size("embedding")).alias("dims"))
+
+
 # --- Models -----------------------------------------------------------------------------------------------------------
 
 
