@@ -29,7 +29,7 @@ from querylens.llm._spark import written
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Documents in one bucket of a source's random order: what one task sums up in sequence.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 2_000
 MAX_TIMES = 3
 
 
