@@ -110,8 +110,8 @@ def compile_items(items: list[tuple[str, np.ndarray]], window: int) -> tuple[lis
     return [Patterns(m, np.concatenate([x for x, _ in g]), np.concatenate([y for _, y in g])) for m, g in sorted(by.items())], ids
 
 
-def searched(slice_):
-    """Arrow batches (doc_id, text, n_words, hits, items) -> the same with this slice's hits and items added."""
+def searched(slice_, last: bool):
+    """Arrow batches (doc_id, text, n_words, spans, items) -> the same with this slice's added, or the sums after the last."""
 
     def run(batches):
         patterns, ids = slice_.value
@@ -135,8 +135,13 @@ def searched(slice_):
                         got = found.setdefault(int(d), set())
                         for k in np.unique(which[mine]):
                             got.update(ids[x] for x in p.items[p.first[k] : p.first[k + 1]])
+                all_spans = [joined(spans.get(k, ())) for k in range(j - i)]
+                all_items = [sorted(found.get(k, ())) for k in range(j - i)]
+                if last:
+                    yield summed_up(b.column(0).slice(i, j - i), w.counts, all_spans, all_items)
+                    continue
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), pa.array(w.counts), pa.array([joined(spans.get(k, ())) for k in range(j - i)], pa.list_(pa.list_(pa.int64()))), pa.array([sorted(found.get(k, ())) for k in range(j - i)], pa.list_(pa.string()))],
+                    [b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), pa.array(w.counts), pa.array(all_spans, pa.list_(pa.list_(pa.int64()))), pa.array(all_items, pa.list_(pa.string()))],
                     ["doc_id", "text", "n_words", "spans", "items"],
                 )
 
@@ -154,36 +159,39 @@ def joined(spans) -> list[list[int]]:
     return out
 
 
-def summed_up(batches):
-    for b in batches:
-        spans, items = b.column(3).to_pylist(), b.column(4).to_pylist()
-        yield pa.RecordBatch.from_arrays(
-            [b.column(0), b.column(2), pa.array([sum(y - x for x, y in s) for s in spans], pa.int64()), pa.array([len(x) for x in items], pa.int64()), pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in items], pa.string()), pa.array([bool(s) for s in spans], pa.bool_()), b.column(3)],
-            ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans"],
-        )
+def summed_up(ids: pa.Array, counts: np.ndarray, spans: list, items: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [
+            ids, pa.array(counts), pa.array([sum(y - x for x, y in s) for s in spans], pa.int64()), pa.array([len(x) for x in items], pa.int64()),
+            pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in items], pa.string()), pa.array([bool(s) for s in spans], pa.bool_()), pa.array(spans, pa.list_(pa.list_(pa.int64()))),
+        ],
+        ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans"],
+    )
 
 
 SCHEMA = "doc_id long, text string, n_words long, spans array<array<long>>, items array<string>"
+RESULT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<array<long>>"
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = 10) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated and the hit word ranges ``spans``."""
     sc = docs.sparkSession.sparkContext
     out = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.lit(0).cast("long").alias("n_words"), F.array().cast("array<array<bigint>>").alias("spans"), F.array().cast("array<string>").alias("items"))
-    held, words, any_slice = [], 0, False
+    held, words, ready = [], 0, None
 
-    def one_more(out: DataFrame) -> DataFrame:
-        return out.mapInArrow(searched(sc.broadcast(compile_items(held, window))), SCHEMA)
+    def passed(out: DataFrame, patterns, last: bool) -> DataFrame:
+        return out.mapInArrow(searched(sc.broadcast(patterns), last), RESULT if last else SCHEMA)
 
     for row in benchmark.select(F.col(item_col).cast("string"), item_text).toLocalIterator():
         w = item_words(row[1])
         held.append((str(row[0]), w))
         words += len(w)
         if words >= SLICE_WORDS:
-            out, held, words, any_slice = one_more(out), [], 0, True
-    if held or not any_slice:
-        out = one_more(out)
-    return out.mapInArrow(summed_up, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<array<long>>")
+            out = out if ready is None else passed(out, ready, False)
+            ready, held, words = compile_items(held, window), [], 0
+    if ready is not None and held:
+        out, ready = passed(out, ready, False), None
+    return passed(out, compile_items(held, window) if ready is None else ready, True)
 
 
 def op2_decontaminate(spark, sf_dir: str) -> DataFrame:
