@@ -3,8 +3,9 @@
 Unigram and bigram counts of all training texts are summed in buckets of the hash space. A count c becomes the level
 1 + floor(log_b c); an n-gram is entered once for each level up to its own, and its count is read back by probing levels
 until one is absent: b ** (level - 1), never more than the count but for false positives. Bigrams seen fewer than
-``min_count`` times are left out. Each bucket builds its own segment of the filter in its own task; the segments, at
-BITS_PER_ENTRY bits an entry and at most ``max_bits`` in all, are gathered and broadcast.
+``min_count`` times are left out. Each bucket builds its own segment of the filter in its own task, at BITS_PER_ENTRY bits
+an entry whatever their number; segments never leave their tasks. Texts are cut into batches of about BATCH tokens, each
+batch sends its distinct n-grams to their buckets, and the levels found there come back to the batch.
 
 A word's probability is interpolated: half the bigram's share of its context (where the context is known) and the rest
 from the smoothed unigram. The base score uses exact counts: those of words frequent enough that there can be no more
@@ -20,8 +21,8 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,9 +33,10 @@ END = U(mix1(0x656E64))
 BASE = 2**0.5
 BITS_PER_ENTRY, PROBES = 12, 4
 SALT = np.arange(1, PROBES + 1, dtype=U) * U(0x9E3779B97F4A7C15)
-MAX_BITS = 1 << 29
 HOT = 1_000_000
 FLUSH = 3_000_000
+#: Tokens of a batch of texts; a longer single text is a batch of its own.
+BATCH = 1_000_000
 WEIGHT = 0.5
 
 
@@ -54,12 +56,17 @@ def bigrams(tokens: np.ndarray, first: np.ndarray) -> np.ndarray:
     return mix(before * U(0x9E3779B97F4A7C15) + tokens)
 
 
+def cuts(h: np.ndarray, buckets: int) -> np.ndarray:
+    """Where each bucket's part of sorted hashes begins, and the end."""
+    return np.searchsorted((h >> U(40)) * U(buckets) >> U(24), np.arange(buckets + 1, dtype=U))
+
+
 def counted(buckets: int):
     """Arrow batches (text) -> rows (bucket, kind, packed): sorted 48-bit hashes over 16-bit counts; kind 1, 2: n."""
 
     def sent(parts: list[np.ndarray], kind: int):
         h, c = np.unique(np.concatenate(parts), return_counts=True)
-        cut = np.searchsorted((h >> U(40)) * U(buckets) >> U(24), np.arange(buckets + 1, dtype=U))
+        cut = cuts(h, buckets)
         if kind == 1:  # whole hashes, as they name words in the exact table
             packed = [np.stack([h[x:y], c[x:y].astype(U)]) for x, y in zip(cut[:-1], cut[1:], strict=True)]
         else:
@@ -93,6 +100,11 @@ def levels(counts: np.ndarray) -> np.ndarray:
     return 1 + np.floor(np.log(counts) / math.log(BASE) + 1e-9).astype(np.int64)
 
 
+def quantised(level: np.ndarray) -> np.ndarray:
+    """The least count of each level; 0 of level 0."""
+    return np.where(level > 0, BASE ** (level - 1.0), 0.0)
+
+
 def entry(keys: np.ndarray, level) -> np.ndarray:
     return mix(keys + np.asarray(level, dtype=U) * U(0xC2B2AE3D27D4EB4F))
 
@@ -116,7 +128,7 @@ class Segment:
 class LogBloom:
     """All segments in one array."""
 
-    def __init__(self, segments: list[bytes]):
+    def __init__(self, segments: list):
         self.sizes = np.array([len(s) for s in segments], dtype=np.int64)
         self.base = np.concatenate(([0], np.cumsum(self.sizes)))[:-1] * 8
         self.bits = np.frombuffer(b"".join(segments), dtype=np.uint8)
@@ -135,41 +147,113 @@ class LogBloom:
 
     def counts(self, keys: np.ndarray, hashes: np.ndarray) -> np.ndarray:
         """The quantised count of each key; ``hashes`` say the buckets."""
+        return quantised(self.levels(keys, hashes))
+
+    def levels(self, keys: np.ndarray, hashes: np.ndarray) -> np.ndarray:
         bucket = ((hashes >> U(40)) * U(len(self.sizes)) >> U(24)).astype(np.int64)
         level = np.zeros(len(keys), dtype=np.int64)
         on = np.arange(len(keys))
         while len(on):
             on = on[self.holds(bucket[on], entry(keys[on], level[on] + 1))]
             level[on] += 1
-        return np.where(level > 0, BASE ** (level - 1.0), 0.0)
+        return level
 
 
 def key1(h: np.ndarray) -> np.ndarray:
     return mix(h + U(11))
 
 
-def key2(h: np.ndarray) -> np.ndarray:
-    return mix((h & U((1 << 56) - 1)) >> U(8)) + U(22)
+BODY = "batch long, doc_id array<long>, held_out array<boolean>, n_tokens array<long>, kinds binary, which binary"
+
+
+def bodies():
+    """Arrow batches (doc_id, held_out, text) -> one row a batch of texts: its sorted distinct tokens, and where each token is in them.
+
+    A batch is named by the number of its first text, so that ``batch`` plus a place numbers all texts.
+    """
+
+    def body(batch: int, held: list[tuple]):
+        kinds, which = np.unique(np.concatenate([x[2] for x in held]), return_inverse=True)
+        lists = [pa.concat_arrays([x[0] for x in held]), pa.concat_arrays([x[1] for x in held]), pa.array(np.concatenate([x[3] for x in held]))]
+        whole = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in lists]
+        return pa.RecordBatch.from_arrays([pa.array([batch], pa.int64()), *whole, pa.array([kinds.tobytes()], pa.binary()), pa.array([which.astype(np.uint32).tobytes()], pa.binary())], ["batch", "doc_id", "held_out", "n_tokens", "kinds", "which"])
+
+    def run(batches):
+        at, held, size = TaskContext.get().partitionId() << 33, [], 0
+        for b in batches:
+            for i, j, data, offsets in chunks(b.column(2)):
+                tokens, first = sequences(data, offsets)
+                held.append((b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), tokens, np.diff(first)))
+                size += len(tokens)
+                if size >= BATCH:
+                    yield body(at, held)
+                    at, held, size = at + sum(len(x[3]) for x in held), [], 0
+        if held:
+            yield body(at, held)
+
+    return run
+
+
+def restored(n_tokens, kinds: bytes, which: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct tokens, places of tokens in them, offsets of texts, hashes of bigrams) of a body."""
+    k, w = np.frombuffer(kinds, dtype=U), np.frombuffer(which, dtype=np.uint32)
+    first = np.concatenate(([0], np.cumsum(np.asarray(n_tokens, dtype=np.int64))))
+    return k, w, first, bigrams(k[w], first)
 
 
-def merged(min_count: int, bits_left: int):
-    """All rows of one bucket -> its filter segment, and chunks of its exact unigram counts."""
+def short(h: np.ndarray) -> bytes:
+    """The 48 bits of each bigram's hash that count inside its bucket."""
+    return np.ascontiguousarray((h << U(8) >> U(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        one = [np.frombuffer(x, dtype=U).reshape(2, -1) for x, k in zip(pdf["packed"], pdf["kind"], strict=True) if k == 1]
-        two = [np.frombuffer(x, dtype=U) for x, k in zip(pdf["packed"], pdf["kind"], strict=True) if k == 2]
+
+def long(packed: bytes) -> np.ndarray:
+    out = np.zeros((len(packed) // 6, 8), dtype=np.uint8)
+    out[:, :6] = np.frombuffer(packed, dtype=np.uint8).reshape(-1, 6)
+    return out.reshape(-1).view("<u8").astype(U)
+
+
+def asked(buckets: int):
+    """Arrow batches (batch, n_tokens, kinds, which) -> rows (bucket, batch, one, two): the n-grams that a batch asks a bucket for."""
+
+    def run(batches):
+        for b in batches:
+            for r in range(b.num_rows):
+                kinds, _, _, grams = restored(b.column(1)[r].values, b.column(2)[r].as_py(), b.column(3)[r].as_py())
+                grams = np.unique(grams)
+                x, y = cuts(kinds, buckets), cuts(grams, buckets)
+                keep = np.flatnonzero((np.diff(x) > 0) | (np.diff(y) > 0))
+                one = [kinds[x[k] : x[k + 1]].tobytes() for k in keep]
+                two = [short(grams[y[k] : y[k + 1]]) for k in keep]
+                yield pa.RecordBatch.from_arrays([pa.array(keep, pa.int32()), pa.array([b.column(0)[r].as_py()] * len(keep), pa.int64()), pa.array(one, pa.binary()), pa.array(two, pa.binary())], ["bucket", "batch", "one", "two"])
+
+    return run
+
+
+MODEL = pa.schema([("bucket", pa.int32()), ("h", pa.list_(pa.int64())), ("c", pa.list_(pa.int64())), ("batch", pa.int64()), ("one", pa.binary()), ("two", pa.binary())])
+
+
+def merged(min_count: int):
+    """A bucket's sums and what is asked of it -> chunks of its exact unigram counts, and the levels of each batch's n-grams."""
+
+    def run(key, sums: pa.Table, requests: pa.Table) -> pa.Table:
+        kinds, packed = sums.column("kind").to_pylist(), sums.column("packed").to_pylist()
+        one = [np.frombuffer(x, dtype=U).reshape(2, -1) for x, k in zip(packed, kinds, strict=True) if k == 1]
+        two = [np.frombuffer(x, dtype=U) for x, k in zip(packed, kinds, strict=True) if k == 2]
         h, c = summed(np.concatenate([x[0] for x in one]), np.concatenate([x[1] for x in one])) if one else (np.zeros(0, dtype=U),) * 2
-        packed = np.concatenate(two) if two else np.zeros(0, dtype=U)
-        g, d = summed(packed >> U(16), packed & U(0xFFFF))
+        both = np.concatenate(two) if two else np.zeros(0, dtype=U)
+        g, d = summed(both >> U(16), both & U(0xFFFF))
         g, d = g[d >= min_count], d[d >= min_count]
         keys, level = np.concatenate([key1(h), mix(g) + U(22)]), levels(np.concatenate([c, d]).astype(np.float64))
-        entries = int(level.sum())
-        segment = Segment(np.zeros(min(bits_left, max(64, entries * BITS_PER_ENTRY)) // 8 + 1, dtype=np.uint8))
+        segment = Segment(np.zeros(max(64, int(level.sum()) * BITS_PER_ENTRY) // 8 + 1, dtype=np.uint8))
         for k in range(1, int(level.max(initial=0)) + 1):
             segment.add(entry(keys[level >= k], k))
-        rows = [{"segment": segment.bits.tobytes(), "h": None, "c": None}]
-        rows += [{"segment": None, "h": h[i : i + 100_000].view(np.int64), "c": c[i : i + 100_000].view(np.int64)} for i in range(0, len(h), 100_000)]
-        return pd.DataFrame(rows).assign(bucket=pdf["bucket"].iloc[0])[["bucket", "segment", "h", "c"]]
+        bloom = LogBloom([segment.bits])
+        rows = [{"h": h[i : i + 100_000].view(np.int64), "c": c[i : i + 100_000].view(np.int64)} for i in range(0, len(h), 100_000)]
+        for batch, x, y in zip(*(requests.column(k).to_pylist() for k in ("batch", "one", "two")), strict=True):
+            a, b = np.frombuffer(x, dtype=U), long(y)
+            found = bloom.levels(np.concatenate([key1(a), mix(b) + U(22)]), np.zeros(len(a) + len(b), dtype=U)).astype(np.uint8)
+            rows.append({"batch": batch, "one": found[: len(a)].tobytes(), "two": found[len(a) :].tobytes()})
+        return pa.Table.from_pylist([{"bucket": key[0].as_py()} | r for r in rows], MODEL)
 
     return run
 
@@ -183,65 +267,65 @@ def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys[starts], np.add.reduceat(counts, starts)
 
 
-def scored(model, total: int, distinct: int):
-    """Arrow batches (row, doc_id, held_out, text) -> what one pass over a text gives; rare words are left for the join."""
+SCORED = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_hot", pa.int64()), ("hot", pa.float64()), ("score", pa.float64()), ("rare", pa.list_(pa.int64()))])
 
-    def run(batches):
-        bloom, hot_h, hot_c = model.value
+
+def scored(hot, total: int, distinct: int):
+    """A batch's body and the levels of its n-grams -> what is known of each text; rare words are left for the join."""
+
+    def run(body: pa.Table, replies: pa.Table) -> pa.Table:
+        hot_h, hot_c = hot.value
         floor = total + distinct + 1
-        for b in batches:
-            for i, j, data, offsets in chunks(b.column(3)):
-                tokens, first = sequences(data, offsets)
-                owner = np.repeat(np.arange(j - i), np.diff(first))
-                kinds, which = np.unique(tokens, return_inverse=True)
-                c_one = bloom.counts(key1(kinds), kinds)
-                before = np.empty_like(which)
-                end_at = int(np.searchsorted(kinds, END))
-                before[1:], before[first[:-1]] = which[:-1], end_at
-                grams, gram_of = np.unique(bigrams(tokens, first), return_inverse=True)
-                c_two = bloom.counts(key2(grams), grams)[gram_of]
-                context = c_one[before]
-                share = np.where(context > 0, np.minimum(c_two / np.maximum(context, 1), 1.0), 0.0)
-                weight = np.where(context > 0, WEIGHT, 0.0)
-                p = weight * share + (1 - weight) * (np.minimum(c_one[which], total) + 1) / floor
-                score = np.add.reduceat(np.log10(p), first[:-1])
-                spot = np.minimum(np.searchsorted(hot_h, kinds), max(0, len(hot_h) - 1))
-                known = hot_h[spot] == kinds if len(hot_h) else np.zeros(len(kinds), dtype=bool)
-                exact = np.where(known, np.log10(np.where(known, hot_c[spot] if len(hot_c) else 0, 0) + 1.0), 0.0)
-                base = np.add.reduceat(exact[which], first[:-1])
-                n_hot = np.add.reduceat(known[which].astype(np.int64), first[:-1])
-                rare = np.flatnonzero(~known[which])
-                cut = np.searchsorted(owner[rare], np.arange(j - i + 1)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), b.column(2).slice(i, j - i), pa.array(np.diff(first)), pa.array(n_hot), pa.array(base), pa.array(score), pa.ListArray.from_arrays(pa.array(cut), pa.array(tokens[rare].view(np.int64)))],
-                    ["row", "doc_id", "held_out", "n_tokens", "n_hot", "hot", "score", "rare"],
-                )
+        n_tokens = body.column("n_tokens").combine_chunks().flatten().to_numpy()
+        kinds, which, first, pairs = restored(n_tokens, body.column("kinds")[0].as_py(), body.column("which")[0].as_py())
+        # Buckets are ranges of the hash, so their replies in order are in the order of the sorted n-grams.
+        replies = replies.sort_by("bucket")
+        c_one, c_two = (quantised(np.frombuffer(b"".join(replies.column(k).to_pylist()), dtype=np.uint8).astype(np.int64)) for k in ("one", "two"))
+        c_two = c_two[np.unique(pairs, return_inverse=True)[1]]
+        before = np.empty_like(which)
+        before[1:], before[first[:-1]] = which[:-1], int(np.searchsorted(kinds, END))
+        context = c_one[before]
+        share = np.where(context > 0, np.minimum(c_two / np.maximum(context, 1), 1.0), 0.0)
+        weight = np.where(context > 0, WEIGHT, 0.0)
+        p = weight * share + (1 - weight) * (np.minimum(c_one[which], total) + 1) / floor
+        score = np.add.reduceat(np.log10(p), first[:-1])
+        spot = np.minimum(np.searchsorted(hot_h, kinds), max(0, len(hot_h) - 1))
+        known = hot_h[spot] == kinds if len(hot_h) else np.zeros(len(kinds), dtype=bool)
+        exact = np.where(known, np.log10(np.where(known, hot_c[spot] if len(hot_c) else 0, 0) + 1.0), 0.0)
+        base = np.add.reduceat(exact[which], first[:-1])
+        n_hot = np.add.reduceat(known[which].astype(np.int64), first[:-1])
+        rare = np.flatnonzero(~known[which])
+        cut = np.searchsorted(rare, first).astype(np.int32)
+        row = body.column("batch")[0].as_py() + np.arange(len(n_tokens))
+        own = [body.column(k).combine_chunks().flatten() for k in ("doc_id", "held_out", "n_tokens")]
+        return pa.Table.from_arrays([pa.array(row), *own, pa.array(n_hot), pa.array(base), pa.array(score), pa.ListArray.from_arrays(pa.array(cut), pa.array(kinds[which[rare]].view(np.int64)))], schema=SCORED)
 
     return run
 
 
-def ngram_lm(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_count: int = 2, max_bits: int = MAX_BITS, fold: tuple[int, int] = (7, 2)) -> DataFrame:
+def ngram_lm(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_count: int = 2, fold: tuple[int, int] = (7, 2)) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     sc = docs.sparkSession.sparkContext
     remainder = F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(fold[0]))
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(remainder == fold[1], F.lit(False)).alias("held_out"), F.col(text_col).cast("string").alias("text"))
     buckets = max(64, 2 * docs.rdd.getNumPartitions())
     sums = docs.filter("not held_out").select("text").mapInArrow(counted(buckets), "bucket int, kind int, packed binary")
-    model = written(sums.groupBy("bucket").applyInPandas(merged(min_count, max_bits // buckets), "bucket int, segment binary, h array<long>, c array<long>"), "counts")
+    texts = written(docs.mapInArrow(bodies(), BODY), "bodies")
+    requests = texts.select("batch", "n_tokens", "kinds", "which").mapInArrow(asked(buckets), "bucket int, batch long, one binary, two binary")
+    model = written(sums.groupBy("bucket").cogroup(requests.groupBy("bucket")).applyInArrow(merged(min_count), "bucket int, h array<long>, c array<long>, batch long, one binary, two binary"), "counts")
     vocabulary = model.filter("h is not null").select(F.explode(F.arrays_zip("h", "c")).alias("x")).select("x.h", "x.c")
     about = vocabulary.agg(F.sum("c"), F.count("*")).first()
     total, distinct = int(about[0] or 0), int(about[1])
     # Counts above total / HOT: fewer than HOT words can have one.
     least = total // HOT + 1
-    segments = {r[0]: bytes(r[1]) for r in model.filter("segment is not null").select("bucket", "segment").toLocalIterator()}
     hot = vocabulary.filter(F.col("c") >= least).toArrow() if total else None
     hot_h = hot.column("h").to_numpy().view(U) if hot else np.zeros(0, dtype=U)
     hot_c = hot.column("c").to_numpy() if hot else np.zeros(0, dtype=np.int64)
     order = np.argsort(hot_h)
-    shipped = sc.broadcast((LogBloom([segments.get(k, b"") for k in range(buckets)]), hot_h[order], hot_c[order]))
-    numbered = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "held_out", "text")
+    shipped = sc.broadcast((hot_h[order], hot_c[order]))
+    replies = model.filter("batch is not null").select("batch", "bucket", "one", "two")
     schema = "row long, doc_id long, held_out boolean, n_tokens long, n_hot long, hot double, score double, rare array<long>"
-    first = written(numbered.mapInArrow(scored(shipped, total, distinct), schema), "scored")
+    first = written(texts.groupBy("batch").cogroup(replies.groupBy("batch")).applyInArrow(scored(shipped, total, distinct), schema), "scored")
     rare = first.select("row", F.explode("rare").alias("h"))
     exact = rare.join(vocabulary.filter(F.col("c") < least), "h").groupBy("row").agg(F.sum(F.log10(F.col("c") + 1)).alias("more"), F.count("*").alias("n_more"))
     out = first.join(exact, "row", "left")

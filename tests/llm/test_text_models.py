@@ -8,6 +8,7 @@ from collections import Counter
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -130,6 +131,48 @@ def test_bloom_never_undercounts_a_level():
     assert (bloom.counts(LM.mix(keys + np.uint64(10**9)), keys) > 0).mean() < 0.05
 
 
+def plain_scores(rows, least):
+    """Scores from exact counts, rounded down to levels; {doc_id: score}."""
+    one, two = Counter(), Counter()
+    tokens = [(i, [*brute.SPACE.findall(brute.low(t)), b" end"]) for i, t in rows]
+    for i, t in tokens:
+        if held(i, 7) != 2:
+            one.update(t)
+            two.update(zip([b" end", *t], t))
+    n, v = sum(one.values()), len(one)
+    step = lambda c: LM.BASE ** math.floor(2 * math.log2(c) + 1e-9) if c else 0.0
+    out = {}
+    for i, t in tokens:
+        score = 0.0
+        for a, b in zip([b" end", *t], t):
+            context = step(one[a])
+            share = min(1.0, step(two[a, b] if two[a, b] >= least else 0) / context) if context else 0.0
+            w = LM.WEIGHT if context else 0.0
+            score += math.log10(w * share + (1 - w) * (min(step(one[b]), n) + 1) / (n + v + 1))
+        out[i] = score
+    return out
+
+
+def test_lm_scores_against_a_plain_version(spark, edge_docs, edge_rows, monkeypatch):
+    monkeypatch.setattr(LM, "BITS_PER_ENTRY", 64)  # no false positives at this size
+    want = plain_scores([(i, t) for i, t, *_ in edge_rows], 2)
+    for size in (1_000_000, 50):  # one batch a partition, or many
+        monkeypatch.setattr(LM, "BATCH", size)
+        got = {r["doc_id"]: r["score"] for r in LM.ngram_lm(edge_docs, min_count=2).collect()}
+        assert all(got[i] == pytest.approx(want[i], rel=1e-3) for i in want)
+
+
+def test_segments_grow_with_their_entries():
+    n = 1_000_000  # of one bucket in 64, where the whole filter was held to 2**29 bits
+    keys = LM.mix(np.arange(n + 100_000, dtype=np.uint64)) >> np.uint64(16)
+    sums = pa.table({"kind": [2], "packed": [(keys[:n] << np.uint64(16) | np.uint64(4)).tobytes()]})
+    asked = pa.table({"batch": [7], "one": [b""], "two": [LM.short(keys << np.uint64(8))]})
+    out = LM.merged(2)((pa.scalar(3),), sums, asked).to_pylist()
+    level = np.frombuffer(out[0]["two"], dtype=np.uint8)
+    assert (out[0]["bucket"], out[0]["batch"]) == (3, 7) and (level[:n] >= 5).all()
+    assert (level[:n] == 5).mean() > 0.98 and (level[n:] > 0).mean() < 0.02
+
+
 def test_lm_beats_the_base_on_held_out_text(spark):
     rng, rows = random.Random(2), []
     for i in range(400):
