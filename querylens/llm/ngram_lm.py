@@ -3,7 +3,7 @@
 Unigram and bigram counts of all training texts are summed in buckets of the hash space. A count c becomes the level
 1 + floor(log_b c); an n-gram is entered once for each level up to its own, and its count is read back by probing levels
 until one is absent: b ** (level - 1), never more than the count but for false positives. Bigrams seen fewer than
-``min_count`` times are left out. Each bucket builds its own segment of the filter in its own task, at BITS_PER_ENTRY bits
+``min_count`` times are left out; by default none is. Each bucket builds its own segment of the filter in its own task, at BITS_PER_ENTRY bits
 an entry whatever their number; segments never leave their tasks. Texts are cut into batches of about BATCH tokens, each
 batch sends its distinct n-grams to their buckets, and the levels found there come back to the batch.
 
@@ -303,7 +303,7 @@ def scored(hot, total: int, distinct: int):
     return run
 
 
-def ngram_lm(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_count: int = 2, fold: tuple[int, int] = (7, 2)) -> DataFrame:
+def ngram_lm(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_count: int = 1, fold: tuple[int, int] = (7, 2)) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     sc = docs.sparkSession.sparkContext
     remainder = F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(fold[0]))

@@ -162,6 +162,15 @@ def test_lm_scores_against_a_plain_version(spark, edge_docs, edge_rows, monkeypa
         assert all(got[i] == pytest.approx(want[i], rel=1e-3) for i in want)
 
 
+def test_lm_knows_bigrams_seen_once(spark, edge_docs, edge_rows, monkeypatch):
+    monkeypatch.setattr(LM, "BITS_PER_ENTRY", 64)
+    rows = [(i, t) for i, t, *_ in edge_rows]
+    want, without = plain_scores(rows, 1), plain_scores(rows, 2)
+    got = {r["doc_id"]: r["score"] for r in LM.ngram_lm(edge_docs).collect()}
+    assert all(got[i] == pytest.approx(want[i], rel=1e-3) for i in want)
+    assert any(want[i] > 0.9 * without[i] for i in want)
+
+
 def test_segments_grow_with_their_entries():
     n = 1_000_000  # of one bucket in 64, where the whole filter was held to 2**29 bits
     keys = LM.mix(np.arange(n + 100_000, dtype=np.uint64)) >> np.uint64(16)
