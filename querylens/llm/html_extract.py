@@ -7,9 +7,11 @@ presentation importance is the entropy, to the base of the number of its pages,
 arranged. Both are mixed as (1 - GAMMA**l) * presentation + GAMMA**l * content for l arrangements. Nodes seen on fewer than
 ``min_pages`` pages of the host take the values of the tree of all hosts.
 
-Markup that names its role is prior knowledge: 1 is added at and below article and main, 1 taken off menus, headers,
-footers, sidebars, notices, adverts, forms and reader comments. Branches all of whose nodes have a sum below ``least`` are
-removed from each page; html and body are never removed. If a page has an article or main element, only those count.
+Markup that names its role is prior knowledge: INSIDE is added at and below article and main, OUTSIDE taken off what is
+elsewhere on a page that has one, and 1 taken off menus, headers, footers, sidebars, notices, adverts, forms and reader
+comments. Blocks whose own element has a sum of prior and importance below ``least`` are removed from each page. Where too few
+pages have a node to know its importance, markup alone decides: it stays, unless it stands outside a page's article or main.
+On pages without one, html and body are never removed.
 
 Counting works on (host, node, text) keys with partial sums, so a host with a third of all pages is no hot spot; verdicts
 go back to pages by a broadcast of checked size or, beyond it, by a join that broadcasts only the provably few hot hosts.
@@ -32,6 +34,7 @@ from pyspark.sql import functions as F
 from querylens.llm._spark import BROADCAST_ROWS, lookup, written
 
 GAMMA = 0.9
+INSIDE, OUTSIDE = 0.2, 0.3
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|template|noscript|textarea|title|svg|iframe|select|object|canvas|math)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*(?:>|\Z)|([^<]+|<)", re.S | re.I)
 ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -192,26 +195,31 @@ def importances(nodes: DataFrame) -> DataFrame:
     return node.select("host", "node", "pages", F.when(F.col("pages") > 1, (1 - damp) * presentation + damp * content).otherwise(F.lit(1.0)).alias("importance"))
 
 
-def page_text(page: str | None, low: frozenset[int]) -> str:
-    """The blocks of a page that no removed branch holds; ``low`` are the host's nodes of low importance."""
+def page_text(page: str | None, known: dict[int, float], least: float) -> str:
+    """The blocks of a page that stay; ``known`` has the importance of the host's nodes that enough pages have."""
     if not page:
         return ""
     blocks, every = parsed(page)
-    only_main = any(e.main and not e.removed for e in every)
-    poor: dict[str, bool] = {}
+    has_main = any(e.main and not e.removed for e in every)
+    importance: dict[str, float | None] = {}
     out = []
     for chain, text in blocks:
-        if only_main and not (chain and chain[-1].main):
-            continue
-        if any(e.tag == "head" or (e.removed and (e.main or not only_main)) for e in chain):
+        if any(e.tag == "head" or e.removed for e in chain):
             continue
         # A branch goes only if all below it is of low importance, so a block's own element decides.
         own = chain[-1] if chain else None
-        if low and own is not None and not own.prior and own.tag not in ("html", "body"):
-            if own.path not in poor:
-                poor[own.path] = code(own.path) in low
-            if poor[own.path]:
+        inside = own is not None and own.main
+        if own is not None and (has_main or own.tag not in ("html", "body")):
+            if own.path not in importance:
+                importance[own.path] = known.get(code(own.path))
+            found = importance[own.path]
+        else:
+            found = None
+        if found is None:
+            if has_main and not inside:
                 continue
+        elif (INSIDE if inside else -OUTSIDE if has_main else 0.0) + found < least:
+            continue
         out.append(text)
     return "\n".join(out)
 
@@ -229,28 +237,28 @@ def html_extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     whole = written(whole.join(hosts_of, "node"), "whole")
     rows = own.count()
     both = lookup(own, whole, ["node"], "rows", rows, "left")
-    value = F.when(F.col("pages") >= min_pages, F.col("importance")).when(F.col("all_pages") >= min_pages, F.col("all_importance")).otherwise(F.lit(1.0))
-    low = both.filter(value < least).groupBy("host").agg(F.collect_list("node").alias("low"))
+    value = F.when(F.col("pages") >= min_pages, F.col("importance")).when(F.col("all_pages") >= min_pages, F.col("all_importance"))
+    known = both.filter(value.isNotNull()).groupBy("host").agg(F.collect_list(F.struct("node", value.alias("value"))).alias("x")).select("host", "x.node", "x.value")
     counts = nodes.filter("not leaf").groupBy("host").agg(F.max("n").alias("n"))
-    low = written(low.join(counts, "host"), "low")
+    known = written(known.join(counts, "host"), "known")
 
     def texts(frames):
-        known: dict = {}
+        held: dict = {}
         for pdf in frames:
             out = []
-            for h, page, nodes_ in zip(pdf["host"], pdf["html"], pdf["low"], strict=True):
-                if h not in known:
-                    if len(known) > 10_000:
-                        known.clear()
-                    known[h] = frozenset(() if nodes_ is None else [int(x) for x in nodes_])
-                out.append(page_text(page, known[h]))
+            for h, page, nodes_, values in zip(pdf["host"], pdf["html"], pdf["node"], pdf["value"], strict=True):
+                if h not in held:
+                    if len(held) > 10_000:
+                        held.clear()
+                    held[h] = {} if nodes_ is None else {int(x): float(v) for x, v in zip(nodes_, values, strict=True)}
+                out.append(page_text(page, held[h], least))
             yield pd.DataFrame({"page_id": pdf["page_id"], "url": pdf["url"], "text": out, "n_chars": [len(x) for x in out]})
 
-    if low.count() <= BROADCAST_ROWS:
-        ready = pages.join(F.broadcast(low.drop("n")), "host", "left")
+    if known.count() <= BROADCAST_ROWS:
+        ready = pages.join(F.broadcast(known.drop("n")), "host", "left")
     else:
-        ready = lookup(pages, low, ["host"], "n", pages.count(), "left").drop("n")
-    return ready.select("page_id", "url", "host", "html", "low").mapInPandas(texts, "page_id long, url string, text string, n_chars long")
+        ready = lookup(pages, known, ["host"], "n", pages.count(), "left").drop("n")
+    return ready.select("page_id", "url", "host", "html", "node", "value").mapInPandas(texts, "page_id long, url string, text string, n_chars long")
 
 
 def op6_html_extract(spark, sf_dir: str) -> DataFrame:

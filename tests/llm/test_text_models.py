@@ -259,6 +259,15 @@ def test_pages(spark):
     assert H.html_extract(df.limit(0)).count() == 0
 
 
+def test_importance_counts_inside_and_outside_articles(spark):
+    page = "<body><article><h1>Head {n}</h1><p>First {n}<p>Second {n}<div class=x7><p>Buy our things today</p></div></article><div class=xb>Body {n}</div><div class=xc>Open all day</div></body>"
+    rows = [(i, f"https://a.example/{i}", page.format(n=i)) for i in range(12)] + [(100, "http://b.example/", "<article><p class=q>one</p></article><div class=r>outside</div>")]
+    got = {r["page_id"]: r["text"] for r in H.html_extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(12):
+        assert got[i] == f"Head {i}\nFirst {i}\nSecond {i}\nBody {i}"
+    assert got[100] == "one"  # nothing is known of its nodes
+
+
 def test_all_pages_of_the_sample(spark, sf_dir):
     got = {r["page_id"]: r["text"] for r in H.op6_html_extract(spark, sf_dir).collect()}
     import html
