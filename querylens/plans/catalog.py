@@ -750,7 +750,7 @@ def isotonic(s, d):
 
 @query()
 def gbt_score(s, d):
-    return L.gbt_scores(T.scored(s, d).select("item_id", "label", "fold", "q", "value"), ["q", "value"], folds=[0, 1], maxIter=5).select("item_id", "label", "p")
+    return L.gbt_scores(T.scored(s, d).select("item_id", "label", "fold", "q", "value"), ["q", "value"]).select("item_id", "label", "p")
 
 
 @query(f"WITH {Z.SCORED}, o AS (SELECT *, ts - lag(ts) OVER (PARTITION BY term_id ORDER BY ts) AS gap FROM scored), k AS (SELECT *, sum((gap IS NULL OR gap > INTERVAL 6 HOUR)::INT) OVER (PARTITION BY term_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM o) SELECT term_id, min(ts) AS start, count(*) AS n FROM k GROUP BY term_id, k")

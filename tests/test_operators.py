@@ -205,3 +205,11 @@ def test_ivf_finds_itself(spark):
     q = v.filter("vec_id = 69").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv"))
     exact = [r["vec_id"] for r in R.dense_top(q, v, 3).orderBy("rank").collect()]
     assert [r["vec_id"] for r in L.ivf_search(model, index, q, 3, probes=4).orderBy("rank").collect()] == exact
+
+
+def test_gbt_scores_every_event(spark, sf_dir):
+    from querylens.plans import adapters, catalog
+
+    want = adapters.scored(spark, sf_dir).select("item_id", "label")
+    got = catalog.queries()["gbt_score"](spark, sf_dir).select("item_id", "label")
+    assert got.count() == want.count() and got.exceptAll(want).count() == 0
