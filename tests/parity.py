@@ -1,8 +1,7 @@
 """Compare a query's rows with those of its SQL on DuckDB."""
 
-import math
-
 import duckdb
+import pandas as pd
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -15,11 +14,19 @@ def connect(sf_dir):
     return c
 
 
+def plain(x):
+    """A value that both engines give alike: numbers as floats, every kind of null as an empty string."""
+    if pd.api.types.is_scalar(x) and pd.isna(x):
+        return ""
+    number = isinstance(x, (int, float)) or hasattr(x, "dtype") and x.dtype.kind in "iufb"
+    return round(float(x), 7) if number else str(x)
+
+
 def rows(frame):
     frame = frame[sorted(frame.columns)]
     out = []
     for r in frame.itertuples(index=False):
-        out.append(tuple("" if x is None or (isinstance(x, float) and math.isnan(x)) else round(float(x), 7) if isinstance(x, (int, float)) or hasattr(x, "dtype") and x.dtype.kind in "iufb" else str(x) for x in r))
+        out.append(tuple(plain(x) for x in r))
     return sorted(out, key=lambda r: tuple(map(str, r)))
 
 
