@@ -8,17 +8,20 @@ partitions of three second-level ones and enumerates the two-of-three subsets: e
 features in it. Sets whose differences spare a subset that is not empty share its signature.
 
 ``groups`` is the least number with which a pair exactly at the threshold, its k differences and 3 k common features
-thrown on the cells at random, shares no signature with probability under MISS; more similar pairs are missed far
+thrown on the cells at random, shares no signature with probability under ``miss``; more similar pairs are missed far
 less often. A small set, where that would take more signatures than it has features, has every feature as its own
-partition, where no linked pair can be missed.
+partition, where no linked pair can be missed; with ``miss`` 0 every set has, at the price of a signature a feature.
 
-Candidates from shared signatures are tested with exact lower bounds (sizes, 64-cell histograms of the features)
-and then by exact intersection. Buckets keep one row a candidate pair with a signature's smallest set, its head, and the
-member lists of larger ones; pairs of a list are tried only where its members still are in different components.
+The smallest set of a signature is its head. All sets that share a signature with a head form its group, one row a
+member, so each candidate pair lies in some group. Pairs with a head are tested first: by exact lower bounds (sizes,
+histograms of the features), then by exact intersection. Members that are not linked to their head by then are compared
+with the rest of the group in blocks of BLOCK members, where the bounds are applied before any pair is emitted.
 
 Edge cases: null or empty text is the empty set, linked with nothing; under ``size`` words the whole sequence is the
-one shingle; equal sets are one class from the start; an empty table gives an empty result; other columns are ignored.
-Features are 54-bit hashes, sets are named by 64-bit hashes.
+one shingle; equal sets (repeated rows and ties among them) are one class from the start, named by its smallest doc_id;
+texts of any length are read whole, a text longer than a chunk alone; a set of which all rows have a null doc_id links
+with nothing; an empty table gives an empty result; other columns are ignored. Features are 54-bit hashes, sets are named by
+64-bit hashes.
 """
 
 from __future__ import annotations
@@ -32,12 +35,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from querylens.llm._spark import lookup, written
+from querylens.llm._spark import dropped, lookup, written
 from querylens.llm._tokens import NOT_WHITE, U, Words, chunks, gram_hash, mix
 
 MISS = 1e-9
 BITS = 10
-CELLS, FINE = 64, 512
+#: Least cells of a histogram, and the features a cell holds on average at most.
+CELLS, CELL_FEATURES = 64, 8
 #: Signatures in one bucket, about; a task holds one bucket.
 BUCKET_SIGNATURES = 2_000_000
 #: Signatures that a mapper gathers before it sends them on.
@@ -58,7 +62,7 @@ def bands(num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 @functools.cache
-def groups_for(band: int, num: int, den: int) -> int:
+def groups_for(band: int, num: int, den: int, most: float = MISS) -> int:
     """First-level partitions of a band's instance; 0: every feature is its own partition."""
     _, high = bands(num, den)
     r = int(high[band])
@@ -71,14 +75,16 @@ def groups_for(band: int, num: int, den: int) -> int:
         hit = 3 * clean**2 * (1 - clean) * (1 - math.exp(-2 * common)) + clean**3 * (1 - math.exp(-3 * common))
         return (1 - hit) ** g
 
+    if most <= 0:
+        return 0
     low, up = 1, 4
-    while miss(up) > MISS:
+    while miss(up) > most:
         if 3 * up > r:
             return 0
         up *= 2
     while low < up:
         mid = (low + up) // 2
-        low, up = (low, mid) if miss(mid) <= MISS else (mid + 1, up)
+        low, up = (low, mid) if miss(mid) <= most else (mid + 1, up)
     return low if 3 * low < r else 0
 
 
@@ -108,15 +114,27 @@ def set_names(features: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.where(np.diff(first) > 0, name, U(0)).view(np.int64)
 
 
-def histograms(features: np.ndarray, first: np.ndarray, cells: int) -> np.ndarray:
-    """Features of each set by cell, at most 255 in one: differences never exceed the sets'."""
-    docs = len(first) - 1
-    owner = np.repeat(np.arange(docs), np.diff(first))
-    cell = (features & U(cells - 1)).astype(np.int64)
-    return np.minimum(np.bincount(owner * cells + cell, minlength=docs * cells), 255).astype(np.uint8).reshape(docs, cells)
+def cells_of(n: np.ndarray) -> np.ndarray:
+    """Cells of the histograms of sets of these sizes: powers of two."""
+    return CELLS * 2 ** np.ceil(np.log2(np.maximum(1, n / (CELLS * CELL_FEATURES)))).astype(np.int64)
+
+
+def histograms(features: np.ndarray, first: np.ndarray) -> list[bytes]:
+    """Features of each set by cell (their low bits), at most 255 in one: differences never exceed the sets'."""
+    n = np.diff(first)
+    cells = cells_of(n)
+    base = np.concatenate(([0], np.cumsum(cells)))
+    at = np.repeat(base[:-1], n) + (features & np.repeat(cells - 1, n).astype(U)).astype(np.int64)
+    flat = np.minimum(np.bincount(at, minlength=base[-1]), 255).astype(np.uint8).tobytes()
+    return [flat[x:y] for x, y in zip(base[:-1], base[1:], strict=True)]
+
+
+def folded(histogram: np.ndarray, cells: int) -> np.ndarray:
+    """Histograms (a row each) over fewer cells."""
+    return histogram.reshape(len(histogram), histogram.shape[1] // cells, cells).sum(axis=1, dtype=np.int32)
 
 
-def signatures(features: np.ndarray, first: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+def signatures(features: np.ndarray, first: np.ndarray, num: int, den: int, miss: float = MISS) -> tuple[np.ndarray, np.ndarray]:
     """(signature, index of the set) for all sets; both instances of each."""
     low, _ = bands(num, den)
     n = np.diff(first)
@@ -124,7 +142,7 @@ def signatures(features: np.ndarray, first: np.ndarray, num: int, den: int) -> t
     out_s, out_d = [], []
     for step in (0, 1):
         inst = band + step
-        g = np.array([groups_for(int(b), num, den) if b >= 0 else 0 for b in range(int(inst.max(initial=0)) + 1)], dtype=np.int64)[inst]
+        g = np.array([groups_for(int(b), num, den, miss) if b >= 0 else 0 for b in range(int(inst.max(initial=0)) + 1)], dtype=np.int64)[inst]
         owner = np.repeat(np.arange(len(n)), n)
         tag = mix(inst.astype(U) + U(1))
         single = g[owner] == 0
@@ -153,22 +171,19 @@ def signatures(features: np.ndarray, first: np.ndarray, num: int, den: int) -> t
 
 
 def described(size: int):
-    """Arrow batches (doc_id, text) -> one row a document: doc_id, n, name, cells, fine (finer cells, as bytes)."""
+    """Arrow batches (doc_id, text) -> one row a document: doc_id, n, name, cells (a histogram, as bytes)."""
 
     def run(batches):
         for b in batches:
             for i, j, data, offsets in chunks(b.column(1)):
                 features, first = shingle_sets(data, offsets, size)
-                cells, fine = histograms(features, first, CELLS), histograms(features, first, FINE)
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(i, j - i), pa.array(np.diff(first)), pa.array(set_names(features, first)), pa.ListArray.from_arrays(pa.array(np.arange(0, cells.size + 1, CELLS, dtype=np.int32)), pa.array(cells.ravel().astype(np.int32))), pa.array([r.tobytes() for r in fine], pa.binary())],
-                    ["doc_id", "n", "name", "cells", "fine"],
-                )
+                columns = [b.column(0).slice(i, j - i), pa.array(np.diff(first)), pa.array(set_names(features, first)), pa.array(histograms(features, first), pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "name", "cells"])
 
     return run
 
 
-def signed(size: int, num: int, den: int, buckets: int):
+def signed(size: int, num: int, den: int, buckets: int, miss: float):
     """Arrow batches (doc_id, text) -> a row for each bucket and flush: sorted (signature, set name) columns as bytes."""
 
     def send(sig: list, name: list):
@@ -183,37 +198,36 @@ def signed(size: int, num: int, den: int, buckets: int):
             names, local = np.unique(m[x:y], return_inverse=True)
             # 6 bytes of the signature, 2 of the place in the table of names: flushes have fewer names than that.
             packed.append((((s[x:y] << U(8)) & ~U(0xFFFF)) | local.astype(U), names))
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([p[0].tobytes() for p in packed], pa.binary()), pa.array([p[1].tobytes() for p in packed], pa.binary())], ["bucket", "signatures", "names"])
+        columns = [pa.array([r[0] for r in rows], pa.int32()), pa.array([p[0].tobytes() for p in packed], pa.binary()), pa.array([p[1].tobytes() for p in packed], pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, ["bucket", "signatures", "names"])
 
     def run(batches):
-        sig, name, held, docs = [], [], 0, 0
-        seen = np.zeros(0, dtype=np.int64)
+        sig, name, held, seen = [], [], 0, set()
         for b in batches:
             for _, _, data, offsets in chunks(b.column(1)):
                 features, first = shingle_sets(data, offsets, size)
                 names = set_names(features, first)
-                _, new = np.unique(names, return_index=True)
-                new = new[(names[new] != 0) & ~np.isin(names[new], seen)]
-                seen = np.union1d(seen, names[new])  # eight bytes for each different text of the partition
-                s, d = signatures(features, first, num, den)
+                # A set that this flush has already signed is not signed again.
+                new = np.array([k for k, x in enumerate(names.tolist()) if x and not (x in seen or seen.add(x))], dtype=np.int64)
+                s, d = signatures(features, first, num, den, miss)
                 mine = np.isin(d, new)
                 sig.append(s[mine])
                 name.append(names[d[mine]])
-                held, docs = held + len(sig[-1]), docs + len(new)
-                if held >= FLUSH or docs > 30_000:
+                held += len(sig[-1])
+                if held >= FLUSH or len(seen) > 30_000:
                     yield send(sig, name)
-                    sig, name, held, docs = [], [], 0, 0
+                    sig, name, held, seen = [], [], 0, set()
         if held:
             yield send(sig, name)
 
     return run
 
 
-PAIR_SCHEMA = "a long, b long, shared long, list_id long, members array<long>"
+PAIR_SCHEMA = "a long, b long, shared long"
 
 
 def bucket_pairs(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Within one bucket: (smallest set, other set, number of shared signatures), and the lists of three sets or more."""
+    """Within one bucket: (head, member, number of shared signatures), a row for each member of a head's group."""
     sig, name = [], []
     for s, m in zip(pdf["signatures"], pdf["names"], strict=True):
         x = np.frombuffer(s, dtype=U)
@@ -226,50 +240,99 @@ def bucket_pairs(pdf: pd.DataFrame) -> pd.DataFrame:
     sig, name = sig[keep], name[keep]
     starts = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))
     sizes = np.diff(np.append(starts, len(sig)))
-    many = np.repeat(sizes > 1, sizes)
-    first = np.repeat(name[starts], sizes)
-    other = many & (np.arange(len(sig)) != np.repeat(starts, sizes))
-    pairs = pd.DataFrame({"a": first[other], "b": name[other]}).groupby(["a", "b"], as_index=False).size().rename(columns={"size": "shared"})
-    lists = {}
-    sums = np.add.reduceat(mix(name.view(U)), starts) if len(starts) else starts
-    for k in np.flatnonzero(sizes > 2):
-        lists.setdefault(int(sums[k].view(np.int64)), name[starts[k] : starts[k] + sizes[k]])
-    more = pd.DataFrame({"list_id": list(lists), "members": list(lists.values())})
-    return pd.concat([pairs.assign(list_id=None, members=None), more.assign(a=None, b=None, shared=None)])[["a", "b", "shared", "list_id", "members"]].astype({"a": "Int64", "b": "Int64", "shared": "Int64", "list_id": "Int64"})
+    other = np.arange(len(sig)) != np.repeat(starts, sizes)
+    head, member = np.repeat(name[starts], sizes)[other], name[other]
+    order = np.lexsort((member, head))
+    head, member = head[order], member[order]
+    if not len(head):
+        return pd.DataFrame({"a": head, "b": member, "shared": head})
+    first = np.flatnonzero(np.concatenate(([True], (head[1:] != head[:-1]) | (member[1:] != member[:-1]))))
+    return pd.DataFrame({"a": head[first], "b": member[first], "shared": np.diff(np.append(first, len(head)))})
 
 
-def close_cells(ha, hb, na, nb, num: int, den: int):
-    """The exact lower bound on the difference of two sets, from their histograms, allows a link."""
-    apart = F.aggregate(F.zip_with(ha, hb, lambda x, y: F.abs(x - y)), F.lit(0), lambda s, x: s + x)
-    return (apart * (num + den) <= (na + nb) * (den - num)) & (F.least(na, nb) * den >= F.greatest(na, nb) * num)
+def may_link(n1: np.ndarray, h1: np.ndarray, n2: np.ndarray, h2: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Whether the exact lower bounds on the difference of sets allow links; histograms have equal cells."""
+    apart = np.abs(h1.astype(np.int16) - h2.astype(np.int16)).sum(axis=1, dtype=np.int64)
+    return (np.minimum(n1, n2) * den >= np.maximum(n1, n2) * num) & (apart * (num + den) <= (n1 + n2) * (den - num))
+
+
+def shapes(column: pa.Array, n: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Histograms of sets of these sizes by their number of cells: {cells: (rows, histograms)}."""
+    data, offsets = np.frombuffer(column.buffers()[2], dtype=np.uint8), np.frombuffer(column.buffers()[1], dtype=np.int32)[column.offset :]
+    cells = cells_of(n)
+    out = {}
+    for c in np.unique(cells).tolist():
+        rows = np.flatnonzero(cells == c)
+        out[c] = rows, data[(offsets[rows][:, None] + np.arange(c)).ravel()].reshape(-1, c)
+    return out
+
+
+def head_bounds(num: int, den: int):
+    """Arrow batches (a, b, shared, na, ha, nb, hb) -> (a, b, shared, near, nb, hb); near: the bounds allow a link."""
+
+    def run(batches):
+        for batch in batches:
+            na, nb = batch.column(3).to_numpy(), batch.column(5).to_numpy()
+            near = np.zeros(len(na), dtype=bool)
+            left, right = shapes(batch.column(4), na), shapes(batch.column(6), nb)
+            for c1, (r1, h1) in left.items():
+                for c2, (r2, h2) in right.items():
+                    both, i, j = np.intersect1d(r1, r2, assume_unique=True, return_indices=True)
+                    c = min(c1, c2)
+                    near[both] = may_link(na[both], folded(h1[i], c), nb[both], folded(h2[j], c), num, den)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(near), batch.column(5), batch.column(6)], ["a", "b", "shared", "near", "nb", "hb"])
+
+    return run
 
 
 def block_pairs(num: int, den: int):
-    """Rows of one group and pair of blocks (name, label, n, fine, side) -> pairs that the bounds allow."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        left, right = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
-        same = len(right) == 0
-        right = left if same else right
-        if not len(left):
-            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
-        hl, hr = (np.frombuffer(b"".join(x["fine"]), dtype=np.uint8).reshape(-1, FINE).astype(np.int16) for x in (left, right))
-        nl, nr = left["n"].to_numpy(), right["n"].to_numpy()
-        ll, lr, al, ar = left["label"].to_numpy(), right["label"].to_numpy(), left["name"].to_numpy(), right["name"].to_numpy()
+    """Arrow batches (left, right: lists of (name, label, n, cells)) -> pairs (a, b) that the bounds allow.
+
+    An empty right list stands for the left one again.
+    """
+
+    def members(rows: pa.Array) -> tuple:
+        name, label, n, cells = (rows.field(k) for k in range(4))
+        n = n.to_numpy()
+        return name.to_numpy(), label.to_numpy(), n, shapes(cells, n)
+
+    def compared(left: tuple, right: tuple, same: bool) -> list:
         out = []
-        for i in range(len(left)):
-            j = np.flatnonzero((lr != ll[i]) & (np.minimum(nr, nl[i]) * den >= np.maximum(nr, nl[i]) * num))
-            if same:
-                j = j[j > i]
-            apart = np.abs(hr[j] - hl[i]).sum(axis=1, dtype=np.int32)
-            j = j[apart * (num + den) <= (nr[j] + nl[i]) * (den - num)]
-            out.append(np.stack([np.minimum(al[i], ar[j]), np.maximum(al[i], ar[j])], axis=1))
-        return pd.DataFrame(np.concatenate(out) if out else np.zeros((0, 2), dtype=np.int64), columns=["a", "b"])
+        for c1, (r1, h1) in left[3].items():
+            for c2, (r2, h2) in right[3].items():
+                if max(c1, c2) > 2 * min(c1, c2):
+                    continue  # sizes so different cannot link
+                c = min(c1, c2)
+                f1, f2 = folded(h1, c), folded(h2, c)
+                order = np.argsort(right[2][r2], kind="stable")
+                r2o, f2, sizes = r2[order], f2[order], right[2][r2][order]
+                for k, x in enumerate(r1.tolist()):
+                    n = left[2][x]
+                    lo, hi = np.searchsorted(sizes, -(-n * num // den)), np.searchsorted(sizes, n * den // num, side="right")
+                    y = lo + np.flatnonzero(right[1][r2o[lo:hi]] != left[1][x])
+                    if same:
+                        y = y[r2o[y] > x]
+                    y = y[may_link(np.full(len(y), n), np.broadcast_to(f1[k], (len(y), c)), sizes[y], f2[y], num, den)]
+                    if len(y):
+                        one, two = np.full(len(y), left[0][x]), right[0][r2o[y]]
+                        out.append(np.stack([np.minimum(one, two), np.maximum(one, two)]))
+        return out
+
+    def run(batches):
+        for batch in batches:
+            found = []
+            for k in range(batch.num_rows):
+                left, right = (batch.column(c).slice(k, 1).flatten() for c in (0, 1))
+                first = members(left)
+                found += compared(first, first if not len(right) else members(right), not len(right))
+            if found:
+                pairs = np.concatenate(found, axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
 
     return run
 
 
-def components(edges: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(name, label): the smallest name that each name of ``edges`` (a, b) reaches.
 
     Every round takes the smallest label around a name and then that label's own label; rounds are written.
@@ -282,31 +345,34 @@ def components(edges: DataFrame, labels: DataFrame | None = None) -> DataFrame:
         jump = now.select(F.col("name").alias("near"), F.col("label").alias("far"))
         new = written(step.join(jump, "near", "left").select("name", "old", F.least("near", F.coalesce("far", "near")).alias("label")), "labels")
         changed = new.filter("old != label").limit(1).count()
+        dropped(now)
         now = new.select("name", "label")
         if not changed:
+            dropped(both)
             return now
 
 
-def open_pairs(found: DataFrame, labels: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
-    """Distinct pairs (a, b) that share a list, lie in different components and pass the exact bounds.
+def labelled(df: DataFrame, labels: DataFrame, col: str, out: str) -> DataFrame:
+    """``df`` with the component of its sets ``col``; sets without links are their own."""
+    return df.join(labels.select(F.col("name").alias(col), F.col("label").alias(out)), col, "left").withColumn(out, F.coalesce(out, F.col(col)))
+
 
-    Lists that share sets are mostly parts of one family, so they are tried as one group when that compares fewer pairs
-    than one by one. Groups are cut into blocks; a task holds two blocks.
+def open_pairs(groups: DataFrame, labels: DataFrame, num: int, den: int) -> DataFrame:
+    """Distinct pairs (a, b) of members of one group that lie in different components and pass the exact bounds.
+
+    ``groups``: (a, b, nb, hb), the members b of each head a. Pairs with the head itself are known already. Groups are
+    cut into blocks of BLOCK members, and each row holds two blocks at most.
     """
-    lists = found.filter("list_id is not null").dropDuplicates(["list_id"]).select("list_id", F.explode("members").alias("name"))
-    members = lists.join(labels, "name", "left").withColumn("label", F.coalesce("label", "name"))
-    spread = members.groupBy("list_id").agg(F.count("*").alias("m"), F.min("name").alias("head"), F.min("label").alias("x"), F.max("label").alias("y")).filter("x != y").select("list_id", "m", "head")
-    members = written(members.join(spread, "list_id"), "members")
-    family = components(members.filter("name != head").select(F.col("head").alias("a"), F.col("name").alias("b")).distinct()).withColumnRenamed("label", "family")
-    placed = members.join(family, "name")
-    alone = members.select("list_id", "m", F.col("head").alias("name")).distinct().join(family, "name").groupBy("family").agg(F.sum(F.col("m") * F.col("m")).alias("one_by_one"))
-    whole = family.groupBy("family").agg(F.count("*").alias("size")).join(alone, "family").select("family", "size", (F.col("size") * F.col("size") <= F.col("one_by_one")).alias("whole"))
-    placed = placed.join(whole, "family")
-    grouped = placed.select(F.when(F.col("whole"), F.col("family")).otherwise(F.col("list_id")).alias("id"), "whole", F.when(F.col("whole"), F.col("size")).otherwise(F.col("m")).alias("m"), "name", "label").distinct()
-    info = classes.select("name", "n", "fine")
-    dealt = grouped.join(info, "name").withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("mine", F.pmod(F.xxhash64("name"), F.col("blocks")).cast("int"))
-    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("id", "whole", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"), F.when(F.col("mine") <= F.col("other"), 0).otherwise(1).alias("side"), "name", "label", "n", "fine")
-    return met.groupBy("id", "whole", "p", "q").applyInPandas(block_pairs(num, den), "a long, b long").distinct()
+    members = labelled(groups, labels, "b", "lb")
+    sizes = members.groupBy("a").agg(F.count("*").alias("m"), F.min("lb").alias("x"), F.max("lb").alias("y")).filter("x != y").select("a", "m")
+    dealt = members.join(sizes, "a").withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("mine", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int"))
+    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    row = F.struct(F.col("b").alias("name"), F.col("lb").alias("label"), F.col("nb").alias("n"), F.col("hb").alias("cells"))
+    met = met.select("a", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"), (F.col("mine") <= F.col("other")).alias("low"), row.alias("row"))
+    parts = int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = met.repartition(parts, "a", "p", "q").groupBy("a", "p", "q").agg(F.collect_list(F.when(F.col("low"), F.col("row"))).alias("left"), F.collect_list(F.when(~F.col("low"), F.col("row"))).alias("right"))
+    blocks = blocks.filter((F.size("left") > 0) & ((F.col("p") == F.col("q")) | (F.size("right") > 0)))
+    return blocks.select("left", "right").mapInArrow(block_pairs(num, den), "a long, b long").distinct()
 
 
 def feature_sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
@@ -332,48 +398,53 @@ def linked(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int, num
     there = pairs.select("a", "b").join(sets.select(F.col("name").alias("b"), F.col("features").alias("fb")), "b")
     met = there.join(sets.select(F.col("name").alias("a"), F.col("features").alias("fa")), "a")
     m = F.size(F.array_intersect("fa", "fb"))
-    return written(met.filter(m * den >= (F.size("fa") + F.size("fb") - m) * num).select("a", "b"), "links")
+    out = written(met.filter(m * den >= (F.size("fa") + F.size("fb") - m) * num).select("a", "b"), "links")
+    dropped(ids)
+    dropped(sets)
+    return out
 
 
-def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, threshold: tuple[int, int] = (75, 100)) -> DataFrame:
+def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, threshold: tuple[int, int] = (75, 100), miss: float = MISS) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of ``docs``."""
     num, den = (threshold[0] // math.gcd(*threshold), threshold[1] // math.gcd(*threshold))
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    seen = written(docs.mapInArrow(described(size), "doc_id long, n long, name long, cells array<int>, fine binary"), "described")
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    seen = written(docs.mapInArrow(described(size), "doc_id long, n long, name long, cells binary"), "described")
     total = seen.agg(F.sum("n")).first()[0] or 0
     own = seen.select("doc_id", F.col("n").alias("n_shingles"), "name")
     if not total:
         return own.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    classes = written(seen.filter("n > 0").groupBy("name").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("cells").alias("cells"), F.first("fine").alias("fine"), F.count("*").alias("rows")), "classes")
+    by_name = seen.filter("n > 0").groupBy("name").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("cells").alias("cells"), F.count("*").alias("rows"))
+    classes = written(by_name, "classes")
     buckets = max(64, total // BUCKET_SIGNATURES)
-    sent = docs.mapInArrow(signed(size, num, den, buckets), "bucket int, signatures binary, names binary")
+    sent = docs.mapInArrow(signed(size, num, den, buckets, miss), "bucket int, signatures binary, names binary")
     found = written(sent.groupBy("bucket").applyInPandas(bucket_pairs, PAIR_SCHEMA), "found")
 
     def side(x: str) -> DataFrame:
         return classes.select(F.col("name").alias(x), F.col("n").alias(f"n{x}"), F.col("cells").alias(f"h{x}"))
 
-    def label_of(df: DataFrame, labels: DataFrame, col: str, out: str) -> DataFrame:
-        return df.join(labels.select(F.col("name").alias(col), F.col("label").alias(out)), col, "left").withColumn(out, F.coalesce(out, F.col(col)))
-
-    # First each set with the bucket head that it shares most signatures with, then the other heads while still apart.
-    star = found.filter("a is not null").groupBy("a", "b").agg(F.sum("shared").alias("shared")).join(side("b"), "b").join(side("a"), "a")
-    star = written(star.filter(close_cells(F.col("ha"), F.col("hb"), F.col("na"), F.col("nb"), num, den)).select("a", "b", "shared"), "star")
-    best = written(star.groupBy("b").agg(F.max_by("a", F.struct("shared", -F.col("a"))).alias("a")).select("a", "b"), "best")
+    pairs = found.groupBy("a", "b").agg(F.sum("shared").alias("shared")).join(side("b"), "b").join(side("a"), "a").select("a", "b", "shared", "na", "ha", "nb", "hb")
+    groups = written(pairs.mapInArrow(head_bounds(num, den), "a long, b long, shared long, near boolean, nb long, hb binary"), "groups")
+    dropped(found)
+    near = groups.filter("near").select("a", "b", "shared")
+    # First each set with the head that it shares most signatures with, then the other heads while still apart.
+    best = written(near.groupBy("b").agg(F.max_by("a", F.struct("shared", -F.col("a"))).alias("a")).select("a", "b"), "best")
     links = linked(best, docs, classes, size, num, den)
     labels = components(links)
-    others = label_of(label_of(star.join(best, ["a", "b"], "left_anti"), labels, "a", "la"), labels, "b", "lb")
+    others = labelled(labelled(near.join(best, ["a", "b"], "left_anti"), labels, "a", "la"), labels, "b", "lb")
     others = written(others.filter("la != lb").select("a", "b"), "others")
     if others.limit(1).count():
         links = written(links.union(linked(others, docs, classes, size, num, den)), "links")
         labels = components(links)
-    # Then pairs of the longer lists whose sets are still apart.
-    rest = written(open_pairs(found, labels, classes, num, den).join(star.select("a", "b"), ["a", "b"], "left_anti"), "rest")
+    # Then pairs of members that are still apart.
+    rest = written(open_pairs(groups, labels, num, den).join(near.select("a", "b"), ["a", "b"], "left_anti"), "rest")
     if rest.limit(1).count():
         links = links.union(linked(rest, docs, classes, size, num, den))
         labels = components(links)
     reps = classes.join(labels, "name", "left").withColumn("label", F.coalesce("label", "name")).select("name", "rep", "rows", "label")
     low = reps.groupBy("label").agg(F.min("rep").alias("component_id"))
     final = written(reps.join(low, "label").select("name", "rows", "component_id"), "final")
+    for table in (classes, groups, best, others, rest):
+        dropped(table)
     return lookup(own, final, ["name"], "rows", seen.count(), "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 

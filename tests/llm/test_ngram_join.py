@@ -54,11 +54,48 @@ def test_signatures_of_pairs_at_the_limit_meet():
             assert np.intersect1d(s[owner == 0], s[owner == 1]).size
 
 
-def test_open_pairs_whole_and_single_lists(spark):
-    """Whether lists are tried together or one by one, the same pairs remain."""
-    found = spark.createDataFrame([(1, [1, 2, 3]), (2, [1, 2, 4]), (3, [5, 6, 7])], "list_id long, members array<long>").withColumn("a", F.lit(None))
-    labels = spark.createDataFrame([(1, 1), (2, 1)], "name long, label long")
-    fine = bytes([1] * 40 + [0] * 472)
-    classes = spark.createDataFrame([(i, 40, bytearray(fine)) for i in range(1, 8)], "name long, n long, fine binary")
-    got = {(r["a"], r["b"]) for r in J.open_pairs(found, labels, classes, 3, 4).collect()}
-    assert {(1, 3), (2, 3), (1, 4), (2, 4), (5, 6), (5, 7), (6, 7)} <= got <= {(1, 3), (2, 3), (1, 4), (2, 4), (3, 4), (5, 6), (5, 7), (6, 7)}
+def member(i, n, cells):
+    return (0, i, n, bytearray(bytes(cells)))
+
+
+def test_open_pairs(spark, monkeypatch):
+    """Members of a group in different components meet, in one block or in several, unless the bounds keep them apart."""
+    even, other = [1] * 40 + [0] * 24, [0] * 24 + [1] * 40
+    rows = [member(i, 40, even) for i in range(1, 8)] + [member(8, 40, other), member(9, 60, even)]
+    groups = spark.createDataFrame(rows, "a long, b long, nb long, hb binary")
+    labels = spark.createDataFrame([(1, 1), (2, 1), (3, 1)], "name long, label long")
+    want = {(x, y) for x in range(1, 8) for y in range(x + 1, 8) if y > 3}
+    for block in (1024, 2):
+        monkeypatch.setattr(J, "BLOCK", block)
+        assert {(r["a"], r["b"]) for r in J.open_pairs(groups, labels, 3, 4).collect()} == want
+    same = spark.createDataFrame([(i, 1) for i in range(1, 10)], "name long, label long")
+    assert J.open_pairs(groups, same, 3, 4).count() == 0
+
+
+def test_bounds_never_part_linked_sets():
+    """Sets of different sizes and so of histograms of different lengths: what links always passes."""
+    rng = np.random.default_rng(3)
+    for union in (20, 500, 540, 700, 1100, 5000):
+        f = np.sort(rng.choice(1 << 54, union, replace=False).astype(np.uint64))
+        order = rng.permutation(union)
+        a, b = np.delete(f, order[: union // 4]), np.delete(f, order[union // 4 : union // 4])
+        ha, hb = (np.frombuffer(J.histograms(x, np.array([0, len(x)]))[0], dtype=np.uint8)[None] for x in (a, b))
+        c = min(ha.shape[1], hb.shape[1])
+        assert J.may_link(np.array([len(a)]), J.folded(ha, c), np.array([len(b)]), J.folded(hb, c), 3, 4)[0]
+
+
+@pytest.mark.parametrize("miss", [J.MISS, 0.0])
+def test_edited_texts_near_the_threshold(spark, miss):
+    """Contiguous edits, which are not random differences: texts with a run of words replaced, from 0.6 to 0.9."""
+    rng = np.random.default_rng(11)
+    word = lambda n: [f"u{x}" for x in rng.integers(0, 10**7, n)]
+    rows = []
+    for size in (30, 90, 250, 700):
+        base = word(size)
+        for share in np.linspace(0.02, 0.25, 12):
+            w, at = list(base), int(rng.integers(0, size // 2))
+            w[at : at + int(size * share)] = word(int(size * share))
+            rows.append(" ".join(w))
+    rows = [(i, t) for i, t in enumerate(rows)]
+    got = result(J.ngram_join(spark.createDataFrame(rows, "doc_id int, text string").repartition(4), miss=miss))
+    assert got == brute.components(rows)
