@@ -1,36 +1,46 @@
 """Token counts from pre-token frequencies.
 
 A byte-level BPE never merges across pre-tokens, so a text's count is the sum over its pre-tokens of their piece
-counts. Each Arrow partition keeps a table pre-token -> pieces: a text is reduced to its pre-token frequencies, the
-pre-tokens that the table lacks are encoded once in one batch, and the frequencies are joined to the table and summed.
-Ids are never kept. The table is per partition, so nothing is shuffled or broadcast; it starts anew at CACHE entries.
+counts. Texts are cut into batches and reduced to their pre-token frequencies: a batch is one row with its distinct
+pre-tokens, and for each text the places of its own among them and how often they occur. The pre-tokens of all batches
+are one table; each distinct one of the corpus is encoded once, its number of pieces is joined back to the batches that
+hold it, and a batch's frequencies are multiplied and summed. Ids are never kept. A pre-token has at most one row a
+batch in that join and a batch has tens of thousands of them, so no key is hot.
 
 Pre-tokens of texts whose code points all lie below SAFE are cut by one regular expression; others by the library
 itself, whose Unicode tables may differ from those of ``regex``. Special strings split a text first and count as one
 token each, as the library does by default.
 
-Edge cases: null and empty texts have 0 bytes and tokens; repeated rows are counted one by one; an empty table gives an
-empty result; other columns are ignored.
+Edge cases: null and empty texts have 0 bytes and tokens; repeated rows are counted one by one; a text of any length is
+read whole and lies in one batch; there are no ties; null ids are kept; an empty table gives an empty result; other
+columns are ignored.
 """
 
 from __future__ import annotations
 
 import json
 import os
+from array import array
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CACHE = 400_000
+from querylens.llm._spark import written
+from querylens.llm._tokens import packed, unpacked
+
+#: A batch ends with the text that brings it to so many distinct pre-tokens, or to so many (text, pre-token) entries.
+KINDS, ENTRIES = 100_000, 2_000_000
 SAFE = 0x250
 # Fixed value: the pre-token pattern of byte-level BPE vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
-class PieceCounter:
+class PreTokens:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import regex
@@ -48,7 +58,6 @@ class PieceCounter:
         self.special = sorted((x["content"] for x in spec["added_tokens"]), key=len, reverse=True)
         self.cut = regex.compile("|".join(map(regex.escape, self.special))) if self.special else None
         self.unsafe = regex.compile(f"[^\\x00-{chr(SAFE - 1)}]")
-        self.pieces: dict[str, int] = {}
 
     def pretokens(self, text: str) -> list[str]:
         if self.unsafe.search(text) is None:
@@ -64,29 +73,88 @@ class PieceCounter:
             freq.update(self.pretokens(part))
         return freq, len(parts) - 1
 
-    def count(self, text: str) -> int:
-        freq, special = self.frequencies(text)
-        new = [x for x in freq if x not in self.pieces]
-        if new:
-            if len(self.pieces) + len(new) > CACHE:
-                self.pieces.clear()
-                new = list(freq)
-            encoded = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
-            self.pieces.update(zip(new, map(len, encoded), strict=True))
-        return special + sum(n * self.pieces[x] for x, n in freq.items())
+    def pieces(self, tokens: list[str]) -> list[int]:
+        """The number of pieces of each pre-token."""
+        return [len(x) for x in self.tokenizer.encode_batch_fast(tokens, add_special_tokens=False)]
 
 
-def token_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 512) -> DataFrame:
-    """doc_id, n_bytes, n_tokens, over_limit; ``tokenizer`` is a path that every worker has, as an installed file."""
+BODY = "batch long, doc_id array<long>, n_bytes array<long>, special array<long>, distinct array<long>, kinds array<string>, which binary, times binary"
+
+
+def frequencies(tokenizer: str):
+    """Arrow batches (doc_id, text) -> one row a batch of texts: its distinct pre-tokens and those of each text."""
+
+    def body(number: int, ids: list, lists: tuple, kinds: dict, which: array, times: array) -> pa.RecordBatch:
+        def one(x: pa.Array) -> pa.Array:
+            return pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+
+        columns = [pa.array([number], pa.int64()), one(pa.concat_arrays(ids)), *(one(pa.array(np.frombuffer(x, dtype=np.int64))) for x in lists), one(pa.array(list(kinds), pa.string()))]
+        columns += [pa.array([packed(np.frombuffer(x, dtype=np.uint32))], pa.binary()) for x in (which, times)]
+        return pa.RecordBatch.from_arrays(columns, ["batch", "doc_id", "n_bytes", "special", "distinct", "kinds", "which", "times"])
+
+    def run(batches):
+        cutter, number = PreTokens(tokenizer), TaskContext.get().partitionId() << 33
+        ids, lists, kinds, which, times = [], (array("q"), array("q"), array("q")), {}, array("I"), array("I")
+        for b in batches:
+            texts, begin = b.column(1).fill_null(""), 0
+            lengths = pc.binary_length(texts).to_pylist()
+            for k in range(len(texts)):
+                freq, special = cutter.frequencies(texts[k].as_py())
+                which.extend([kinds.setdefault(x, len(kinds)) for x in freq])
+                times.extend(freq.values())
+                for out, x in zip(lists, (lengths[k], special, len(freq)), strict=True):
+                    out.append(x)
+                if len(kinds) >= KINDS or len(which) >= ENTRIES:
+                    ids.append(b.column(0).slice(begin, k + 1 - begin))
+                    yield body(number, ids, lists, kinds, which, times)
+                    begin, number = k + 1, number + 1
+                    ids, lists, kinds, which, times = [], (array("q"), array("q"), array("q")), {}, array("I"), array("I")
+            if begin < len(texts):
+                ids.append(b.column(0).slice(begin))
+        if ids:
+            yield body(number, ids, lists, kinds, which, times)
+
+    return run
+
+
+def encoded(tokenizer: str):
+    """Arrow batches (token) -> (token, pieces)."""
 
     def run(batches):
-        counter = PieceCounter(tokenizer)
+        cutter = PreTokens(tokenizer)
         for b in batches:
-            texts = b.column(1).fill_null("")
-            n = [counter.count(x.as_py()) for x in texts]
-            yield pa.RecordBatch.from_arrays([b.column(0), pc.binary_length(texts).cast(pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cutter.pieces(b.column(0).to_pylist()), pa.int32())], ["token", "pieces"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return run
+
+
+RESULT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("over_limit", pa.bool_())])
+
+
+def summed(limit: int):
+    """A batch's body and the pieces of its pre-tokens (place, pieces) -> its texts' counts."""
+
+    def run(body: pa.Table, replies: pa.Table) -> pa.Table:
+        ids, n_bytes, special, distinct = (body.column(k).combine_chunks().flatten() for k in ("doc_id", "n_bytes", "special", "distinct"))
+        which, times = (unpacked(body.column(k)[0].as_py()).astype(np.int64) for k in ("which", "times"))
+        pieces = np.zeros(len(replies), dtype=np.int64)
+        pieces[replies.column("place").to_numpy()] = replies.column("pieces").to_numpy()
+        sums = np.concatenate(([0], np.cumsum(pieces[which] * times)))
+        end = np.cumsum(distinct.to_numpy())
+        n = sums[end] - sums[end - distinct.to_numpy()] + special.to_numpy()
+        return pa.Table.from_arrays([ids, n_bytes, pa.array(n), pa.array(n > limit)], schema=RESULT)
+
+    return run
+
+
+def token_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 512) -> DataFrame:
+    """doc_id, n_bytes, n_tokens, over_limit; ``tokenizer`` is a path that every worker has, as an installed file."""
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    bodies = written(texts.mapInArrow(frequencies(tokenizer), BODY), "frequencies")
+    kinds = bodies.select("batch", F.posexplode("kinds").alias("place", "token"))
+    pieces = kinds.groupBy("token").agg(F.count("*").alias("n")).select("token").mapInArrow(encoded(tokenizer), "token string, pieces int")
+    replies = kinds.join(pieces, "token").select(F.col("batch").alias("of"), "place", "pieces")
+    return bodies.drop("kinds").groupBy("batch").cogroup(replies.groupBy("of")).applyInArrow(summed(limit), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
 
 
 def op8_token_counts(spark, sf_dir: str) -> DataFrame:

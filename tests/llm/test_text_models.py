@@ -43,15 +43,38 @@ def test_token_counts(spark, edge_docs, edge_rows, no_docs, tokenizer_path):
     assert TC.token_counts(no_docs, tokenizer_path).count() == 0
 
 
-@pytest.mark.parametrize("cache", [400_000, 5])
-def test_pieces_equal_the_library(tokenizer_path, monkeypatch, cache):
-    monkeypatch.setattr(TC, "CACHE", cache)
-    c = TC.PieceCounter(tokenizer_path)
+def odd_texts():
     rng = random.Random(1)
-    texts = ["a<|endoftext|>b  <|endoftext|>", "don't we'll  I'M\n\n x", "数据   　x", "１２３ ²½ Ⅷ", "é ​ x", "\U0001f600 ok", "   a b", "<|endoftext"]
-    texts += ["".join(rng.choice("ab 1.'\n\t éß  数") for _ in range(60)) for _ in range(200)]
-    for x in texts:
-        assert c.count(x) == len(c.tokenizer.encode(x, add_special_tokens=False).ids), repr(x)
+    texts = ["a<|endoftext|>b  <|endoftext|>", "don't we'll  I'M\n\n x", "数据   　x", "１２３ ²½ Ⅷ", "é ​ x", "\U0001f600 ok", "   a b", "<|endoftext"]
+    return texts + ["".join(rng.choice("ab 1.'\n\t éß  数") for _ in range(60)) for _ in range(200)]
+
+
+@pytest.mark.parametrize(("kinds", "entries"), [(100_000, 2_000_000), (20, 2_000_000), (100_000, 30)])
+def test_token_counts_equal_the_library(spark, tokenizer_path, monkeypatch, kinds, entries):
+    """Whether a partition is one batch or many, each text counts as the library has it."""
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(TC, "KINDS", kinds)
+    monkeypatch.setattr(TC, "ENTRIES", entries)
+    t = Tokenizer.from_file(tokenizer_path)
+    rows = list(enumerate(odd_texts())) + [(None, "no id"), (3, "twice 3")]
+    got = Counter((r["doc_id"], r["n_tokens"]) for r in TC.token_counts(spark.createDataFrame(rows, "doc_id long, text string"), tokenizer_path).collect())
+    assert got == Counter((i, len(t.encode(x, add_special_tokens=False).ids)) for i, x in rows)
+
+
+def test_each_pre_token_is_encoded_once(spark, tokenizer_path):
+    rows = [(i, "one two two three") for i in range(50)]
+    plan = TC.token_counts(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), tokenizer_path)
+    assert {tuple(r)[1:3] for r in plan.collect()} == {(17, 4)}
+    kinds = spark.createDataFrame([(b, p, x) for b in range(5) for p, x in enumerate(["one", " two"])], "batch long, place int, token string")
+    out = kinds.groupBy("token").count().select("token").mapInArrow(TC.encoded(tokenizer_path), "token string, pieces int").collect()
+    assert sorted(map(tuple, out)) == [(" two", 1), ("one", 1)]
+
+
+@pytest.mark.parametrize("values", [[], [0], [1, 65535, 65536, 2**32 - 1, 7]])
+def test_packed_numbers(values):
+    x = np.array(values, dtype=np.uint32)
+    assert TC.unpacked(TC.packed(x)).tolist() == values
 
 
 # --- Licence scans
