@@ -67,14 +67,14 @@ def line_dedup(rows, min_chars=20, min_docs=3):
         return line.strip(" \t\n\x0b\x0c\r").translate({k: k + 32 for k in range(65, 91)})
 
     held = {}
-    for n, (i, text) in enumerate(rows):
+    for i, text in rows:
         for k in {key(x) for x in (text or "").split("\n")}:
-            if len(k) >= min_chars:
-                held.setdefault(k, []).append((i, n))
+            if len(k) >= min_chars and i is not None:
+                held.setdefault(k, set()).add(i)
     out = []
     for i, text in rows:
         lines = (text or "").split("\n")
-        kept = [x for x in lines if not (len(held.get(key(x), ())) >= min_docs and i < max(held[key(x)])[0])]
+        kept = [x for x in lines if i is None or not (len(held.get(key(x), ())) >= min_docs and i < max(held[key(x)]))]
         out.append((len(lines), len(lines) - len(kept), "\n".join(kept)))
     return out
 

@@ -45,12 +45,31 @@ def test_line_dedup_edges(spark, edge_docs, edge_rows, no_docs):
     assert L.line_dedup(no_docs).count() == 0
 
 
-def test_line_runs_compact_by_levels(spark):
+def shared_lines(n=300):
     rng = random.Random(3)
-    rows = [(i, "\n".join(f"shared line number {rng.randrange(30):04d} of the set" for _ in range(6))) for i in range(300)]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r["doc_id"]: r["kept_text"] for r in L.line_dedup(df, batch_lines=100).collect()}  # many batches, two levels
-    assert got == {i: w[2] for (i, _), w in zip(rows, brute.line_dedup(rows), strict=True)}
+    return [(i, "\n".join(f"shared line number {rng.randrange(30 + i):04d} of the set" for _ in range(6))) for i in range(n)]
+
+
+@pytest.mark.parametrize("batch_bytes", [1 << 32, 3000])
+def test_line_runs_compact_by_levels(spark, batch_bytes):
+    """Few batches or many, with merged levels; ids that occur twice are one document, null ids none."""
+    rows = shared_lines()
+    rows += [(5, rows[7][1]), (299, rows[3][1]), (None, rows[9][1]), (None, rows[10][1]), (4, rows[4][1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = Counter((r["doc_id"], r["n_lines"], r["n_dropped"], r["kept_text"]) for r in L.line_dedup(df, batch_bytes=batch_bytes).collect())
+    assert got == Counter((i, *w) for (i, _), w in zip(rows, brute.line_dedup(rows), strict=True))
+
+
+def test_runs_hold_each_key_once_and_answer_later_batches(spark):
+    runs = L.LineRuns(spark, fan=2)
+    rows = [(9, [1, 2, 2]), (8, [2, 3]), (7, [1, 4])]
+    seen = []
+    for doc, keys in rows:
+        out = runs.add(spark.createDataFrame([(doc, k, k) for k in keys], "doc_id long, h1 long, h2 long"))
+        seen.append({r["h1"]: r["seen"] for r in out.collect()})
+    assert seen == [{1: False, 2: False}, {2: True, 3: False}, {1: True, 4: False}]
+    held = [r["h1"] for run in runs.runs() for r in run.filter("not seen").collect()]
+    assert sorted(held) == [1, 2, 3, 4] and [len(x) for x in runs.levels] == [1, 1]
 
 
 def test_water_fill():
