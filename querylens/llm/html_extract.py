@@ -14,11 +14,14 @@ pages have a node to know its importance, markup alone decides: it stays, unless
 On pages without one, html and body are never removed.
 
 Counting works on (host, node, text) keys with partial sums, so a host with a third of all pages is no hot spot; verdicts
-go back to pages by a broadcast of checked size or, beyond it, by a join that broadcasts only the provably few hot hosts.
+go back to pages by a broadcast of at most BROADCAST_NODES nodes or, beyond it, by a join in which the provably few hot
+hosts are salted. Pages are read in one pass over their characters, whatever their markup.
 
 Edge cases: null or empty html gives an empty text; broken and unclosed markup is read as browsers would, roughly: p, li,
-table cells and options close their predecessors, an end tag closes up to its start tag or is ignored; null urls share
-one host; pages are handled one by one, repeated or not; an empty table gives an empty result; other columns are ignored.
+table cells and options close their predecessors, an end tag closes up to its start tag or is ignored, a quote that
+nothing closes is an ordinary character, a tag that the page's end cuts off is no text, elements deeper than DEPTH count
+as their ancestor there; null urls share one host; pages are handled one by one, repeated or not, and pages of any length
+whole; ties (importance equal to ``least``) stay; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,17 +29,30 @@ from __future__ import annotations
 import html as entities
 import re
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from querylens.llm._spark import BROADCAST_ROWS, lookup, written
+from querylens.llm._spark import HOT_SHARE, lookup, written
 
 GAMMA = 0.9
 INSIDE, OUTSIDE = 0.2, 0.3
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|template|noscript|textarea|title|svg|iframe|select|object|canvas|math)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*(?:>|\Z)|([^<]+|<)", re.S | re.I)
+DEPTH = 512
+#: Most nodes of known importance that are broadcast, and most pages of a hot host that one salt takes beyond that.
+BROADCAST_NODES, SALT_PAGES = 500_000, 5_000
+#: Most tags of a page whose quotes are weighed although a tag before had no end outside of quotes.
+MISREAD = 16
+
+NAME = re.compile(r"[a-zA-Z][^\s/>]*+")
+#: The rest of a tag: quotes count where a value begins and if something closes them.
+REST = re.compile(r"((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')|=)*+)>")
+#: Elements whose text is never shown, and those of them that end with the page if nothing closes them.
+HIDDEN = frozenset("script style template noscript textarea title svg iframe select object canvas math".split())
+RAW = frozenset("script style textarea title iframe".split())
 ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset("address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
@@ -54,12 +70,21 @@ MAIN_TAGS = frozenset({"article", "main"})
 WHITE = re.compile(r"\s+")
 
 
+def code(text: str, seed: int = 0) -> int:
+    """A 64-bit hash that all workers agree on."""
+    import xxhash
+
+    return int(np.uint64(xxhash.xxh64_intdigest(text, seed)).view(np.int64))
+
+
 class Element:
-    __slots__ = ("tag", "path", "prior", "removed", "main", "children", "names")
+    """``node`` names the path of tags, classes and ids from the top."""
+
+    __slots__ = ("tag", "node", "prior", "removed", "main", "children", "names")
 
     def __init__(self, tag: str, names: str, parent: Element | None):
         self.tag, self.names, self.children = tag, names, []
-        self.path = f"{parent.path if parent else ''}/{tag}{names}"
+        self.node = code(tag + names, parent.node & 0xFFFFFFFFFFFFFFFF if parent else 0)
         inside = parent is not None and parent.main
         self.main = inside or tag in MAIN_TAGS or " role:main" in names
         noise = noisy(tag, names, inside)
@@ -87,6 +112,55 @@ def names_of(attributes: str) -> str:
     return " " + " ".join(sorted(set(out))) if out else ""
 
 
+def tokens(page: str) -> Iterator[tuple[str, str, str]]:
+    """("text", characters, ""), ("open", tag, attributes) and ("close", tag, "") in order; each character is read once."""
+    at, misread, unclosed = 0, 0, set()
+    while at < len(page):
+        begin = page.find("<", at)
+        if begin < 0:
+            yield "text", page[at:], ""
+            return
+        if begin > at:
+            yield "text", page[at:begin], ""
+        closing = page.startswith("/", begin + 1)
+        name = NAME.match(page, begin + 1 + closing)
+        if name is None:
+            if page.startswith("<!--", begin):
+                end, at = page.find("-->", begin + 2), 3
+            elif page.startswith(("<!", "<?", "</"), begin):
+                end, at = page.find(">", begin), 1
+            else:
+                yield "text", "<", ""
+                at = begin + 1
+                continue
+            if end < 0:
+                return
+            at += end
+            continue
+        rest = REST.match(page, name.end()) if misread < MISREAD else None
+        if rest is None:
+            misread += 1
+            end = page.find(">", name.end())
+            if end < 0:
+                return
+            attributes, at = page[name.end() : end], end + 1
+        else:
+            attributes, at = rest[1], rest.end()
+        tag = name[0].lower()
+        if closing:
+            yield "close", tag, ""
+        elif tag not in HIDDEN or (tag in ("svg", "math") and attributes.endswith("/")):
+            yield "open", tag, attributes
+        elif tag not in unclosed:
+            end = re.compile(f"</{tag}(?=[\\s/>])[^>]*+(?:>|\\Z)", re.I).search(page, at)
+            if end is not None:
+                at = end.end()
+            elif tag in RAW:
+                return
+            else:
+                unclosed.add(tag)
+
+
 def parsed(page: str) -> tuple[list[tuple[list[Element], str]], list[Element]]:
     """(text blocks with their chain of elements in page order, all elements)."""
     stack: list[Element] = []
@@ -106,15 +180,15 @@ def parsed(page: str) -> tuple[list[tuple[list[Element], str]], list[Element]]:
             flush()
         del stack[index:]
 
-    for m in TOKEN.finditer(page):
-        raw, closing, tag, attributes, text = m.groups()
-        if text is not None:
-            held.append(entities.unescape(text) if "&" in text else text)
+    deeper: dict[str, int] = {}
+    for kind, tag, attributes in tokens(page):
+        if kind == "text":
+            held.append(entities.unescape(tag) if "&" in tag else tag)
             continue
-        if tag is None:
-            continue  # comments, declarations, and elements whose text is never shown
-        tag = tag.lower()
-        if closing:
+        if kind == "close":
+            if deeper.get(tag):
+                deeper[tag] -= 1
+                continue
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k].tag == tag:
                     pop_to(k)
@@ -142,6 +216,9 @@ def parsed(page: str) -> tuple[list[tuple[list[Element], str]], list[Element]]:
                     break
         if tag in VOID or attributes.endswith("/"):
             continue
+        if len(stack) >= DEPTH:
+            deeper[tag] = deeper.get(tag, 0) + 1
+            continue
         parent = stack[-1] if stack else None
         e = Element(tag, names_of(attributes), parent)
         if parent is not None:
@@ -152,13 +229,6 @@ def parsed(page: str) -> tuple[list[tuple[list[Element], str]], list[Element]]:
     return blocks, every
 
 
-def code(text: str) -> int:
-    """A 64-bit hash that all workers agree on."""
-    import xxhash
-
-    return int(np.uint64(xxhash.xxh64_intdigest(text)).view(np.int64))
-
-
 NODE_SCHEMA = "host string, node long, leaf boolean, part long, n long"
 
 
@@ -170,12 +240,13 @@ def merged_nodes(frames):
             blocks, every = parsed(page or "")
             own = set()
             for chain, text in blocks:
-                own.update((e.path, True, text) for e in chain)
-            own.update((e.path, False, ",".join(dict.fromkeys(e.children))) for e in every)
-            for path, leaf, part in own:
-                key = (host, path, leaf, part)
+                part = code(text)
+                own.update((e.node, True, part) for e in chain)
+            own.update((e.node, False, code(",".join(dict.fromkeys(e.children)))) for e in every)
+            for node, leaf, part in own:
+                key = (host, node, leaf, part)
                 seen[key] = seen.get(key, 0) + 1
-        yield pd.DataFrame([(h, code(p), leaf, code(x), n) for (h, p, leaf, x), n in seen.items()], columns=["host", "node", "leaf", "part", "n"])
+        yield pd.DataFrame([(*key, n) for key, n in seen.items()], columns=["host", "node", "leaf", "part", "n"])
 
 
 def importances(nodes: DataFrame) -> DataFrame:
@@ -201,7 +272,6 @@ def page_text(page: str | None, known: dict[int, float], least: float) -> str:
         return ""
     blocks, every = parsed(page)
     has_main = any(e.main and not e.removed for e in every)
-    importance: dict[str, float | None] = {}
     out = []
     for chain, text in blocks:
         if any(e.tag == "head" or e.removed for e in chain):
@@ -210,9 +280,7 @@ def page_text(page: str | None, known: dict[int, float], least: float) -> str:
         own = chain[-1] if chain else None
         inside = own is not None and own.main
         if own is not None and (has_main or own.tag not in ("html", "body")):
-            if own.path not in importance:
-                importance[own.path] = known.get(code(own.path))
-            found = importance[own.path]
+            found = known.get(own.node)
         else:
             found = None
         if found is None:
@@ -254,10 +322,14 @@ def html_extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
                 out.append(page_text(page, held[h], least))
             yield pd.DataFrame({"page_id": pdf["page_id"], "url": pdf["url"], "text": out, "n_chars": [len(x) for x in out]})
 
-    if known.count() <= BROADCAST_ROWS:
+    if (known.agg(F.sum(F.size("node") + 1)).first()[0] or 0) <= BROADCAST_NODES:
         ready = pages.join(F.broadcast(known.drop("n")), "host", "left")
-    else:
-        ready = lookup(pages, known, ["host"], "n", pages.count(), "left").drop("n")
+    else:  # hosts with at least HOT_SHARE of all pages, at most 1 / HOT_SHARE of them, are salted
+        many = max(1, int(pages.count() * HOT_SHARE))
+        hot = F.broadcast(known.filter(F.col("n") >= many).select("host", F.ceil(F.col("n") / SALT_PAGES).cast("int").alias("salts")))
+        salts = F.coalesce("salts", F.lit(1))
+        dealt = known.join(hot, "host", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("salts", "n")
+        ready = pages.join(hot, "host", "left").withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), salts).cast("int")).join(dealt, ["host", "salt"], "left")
     return ready.select("page_id", "url", "host", "html", "node", "value").mapInPandas(texts, "page_id long, url string, text string, n_chars long")
 
 

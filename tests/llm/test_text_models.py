@@ -147,7 +147,7 @@ def test_bloom_never_undercounts_a_level():
     s = LM.Segment(np.zeros(int(level.sum()) * LM.BITS_PER_ENTRY // 8, dtype=np.uint8))
     for k in range(1, int(level.max()) + 1):
         s.add(LM.entry(keys[level >= k], k))
-    bloom = LM.LogBloom([s.bits.tobytes()])
+    bloom = LM.LogBloom([s.bits.tobytes()], int(level.max()))
     got = bloom.counts(keys, keys)
     exact = LM.BASE ** (level - 1.0)
     assert (got >= exact * (1 - 1e-12)).all() and (got <= exact * 1.0001).mean() > 0.95 and (exact <= counts * (1 + 1e-9)).all()
@@ -155,7 +155,7 @@ def test_bloom_never_undercounts_a_level():
 
 
 def plain_scores(rows, least):
-    """Scores from exact counts, rounded down to levels; {doc_id: score}."""
+    """Scores from exact counts, rounded down to levels, contexts up; {doc_id: score}."""
     one, two = Counter(), Counter()
     tokens = [(i, [*brute.SPACE.findall(brute.low(t)), b" end"]) for i, t in rows]
     for i, t in tokens:
@@ -164,11 +164,12 @@ def plain_scores(rows, least):
             two.update(zip([b" end", *t], t))
     n, v = sum(one.values()), len(one)
     step = lambda c: LM.BASE ** math.floor(2 * math.log2(c) + 1e-9) if c else 0.0
+    high = lambda c: math.ceil(step(c) * LM.BASE - 1e-6) - 1 if c else 0
     out = {}
     for i, t in tokens:
         score = 0.0
         for a, b in zip([b" end", *t], t):
-            context = step(one[a])
+            context = high(one[a])
             share = min(1.0, step(two[a, b] if two[a, b] >= least else 0) / context) if context else 0.0
             w = LM.WEIGHT if context else 0.0
             score += math.log10(w * share + (1 - w) * (min(step(one[b]), n) + 1) / (n + v + 1))
@@ -196,15 +197,40 @@ def test_lm_knows_bigrams_seen_once(spark, edge_docs, edge_rows, monkeypatch):
 
 def test_segments_grow_with_their_entries():
     n = 1_000_000  # of one bucket in 64, where the whole filter was held to 2**29 bits
-    keys = LM.mix(np.arange(n + 100_000, dtype=np.uint64)) >> np.uint64(16)
-    sums = pa.table({"kind": [2], "packed": [(keys[:n] << np.uint64(16) | np.uint64(4)).tobytes()]})
-    asked = pa.table({"batch": [7], "one": [b""], "two": [LM.short(keys << np.uint64(8))]})
+    keys = LM.mix(np.arange(n + 100_000, dtype=np.uint64))
+    sums = pa.table({"kind": [2], "packed": [LM.short(keys[:n]) + bytes([4]) * n]})
+    asked = pa.table({"batch": [7], "one": [b""], "two": [LM.short(keys)]})
     out = LM.merged(2)((pa.scalar(3),), sums, asked).to_pylist()
     level = np.frombuffer(out[0]["two"], dtype=np.uint8)
     assert (out[0]["bucket"], out[0]["batch"]) == (3, 7) and (level[:n] >= 5).all()
     assert (level[:n] == 5).mean() > 0.98 and (level[n:] > 0).mean() < 0.02
 
 
+def test_full_segment_ends():
+    bloom = LM.LogBloom([b"\xff" * 100], 9)
+    keys = LM.mix(np.arange(10, dtype=np.uint64))
+    assert bloom.levels(keys, keys).tolist() == [9] * 10
+
+
+def test_shares_and_unigrams_sum_to_one_at_most():
+    """For any counts: low ends of the bigrams' levels over the high end of the context's."""
+    rng = np.random.default_rng(4)
+    for _ in range(200):
+        counts = rng.integers(1, rng.integers(2, 500), rng.integers(1, 40))
+        level, context = LM.levels(counts.astype(float)), LM.levels(np.array([float(counts.sum())]))
+        assert (LM.quantised(level) / LM.ceiling(context)).sum() <= 1 + 1e-9
+        assert (LM.quantised(level) <= counts + 1e-9).all() and (LM.ceiling(level) >= counts).all()
+        total = counts.sum()
+        assert ((LM.quantised(level) + 1) / (total + len(counts) + 1)).sum() <= 1
+
+
+def test_counts_over_a_byte(spark):
+    rows = [(i, " ".join(["x"] * n)) for i, n in ((0, 700), (1, 256), (3, 511))]
+    want = plain_scores(rows, 1)
+    got = {r["doc_id"]: r["score"] for r in LM.ngram_lm(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[i] == pytest.approx(want[i], rel=1e-3) for i in want)
+
+
 def test_lm_beats_the_base_on_held_out_text(spark):
     rng, rows = random.Random(2), []
     for i in range(400):
@@ -291,6 +317,46 @@ def test_importance_counts_inside_and_outside_articles(spark):
     assert got[100] == "one"  # nothing is known of its nodes
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<p><b title='it's'>bold</b> on", "bold on"), ('<p>a<a href="x>y">b</a>c', "abc"), ('<p>a<a href="x>b</a> c', "ab c"), ("<p>1 < 2 <3 & x", "1 < 2 <3 & x"), ("<p>one<svg/><p>two", "one\ntwo"),
+        ("<p>a<select><option>b", "a\nb"), ("<p>a<script>if (a<b) x='</p>'", "a"), ("<p>a<script>x</SCRIPT >b", "ab"), ("<p>a<!-->b<!-- c", "ab"), ("<p>a</><b", "a"), ("<p>a<!doctype x>b<?php x ?>c", "abc"),
+        ("<p title=a>b>c</p>", "b>c"), ("<p>a<noscript>x</noscript>b", "ab"), ("<p>x<br/>y<img src='a>b'/>z", "x\nyz"), ("<P CLASS=a>x<DIV>y</DIV>", "x\ny"), ('<p>say "a>b" <i x="1" y=\'"\'>c</i>', 'say "a>b" c'),
+    ],
+)
+def test_markup(page, want):
+    assert H.page_text(page, {}, 0.35) == want
+
+
+@pytest.mark.parametrize("page", ["<a href=\"x'>" * 80_000, "<a href='x\">y " * 70_000, "<a " * 300_000, "<a b='c\" " * 100_000, "<select><p>x" * 80_000, "<b>" * 300_000 + "x", "<div><p>x" * 100_000, "<!-- " * 200_000, "<" * 10**6, "<svg>x<math>" * 80_000, "<li><b>" * 120_000, "<p ='\">" * 120_000])
+def test_broken_pages_take_time_in_proportion(page):
+    """About 1 MB of each; quadratic reading would take hours."""
+    import time
+
+    began = time.process_time()
+    H.page_text(page, {}, 0.35)
+    assert time.process_time() - began < 30
+
+
+def test_tree_decides_without_article_tags(spark, sf_dir):
+    """With every <article> a <div>, the tree alone finds the main text of nearly all pages."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    plain = pages.withColumn("html", F.regexp_replace("html", "(</?)(?:article|main)\\b", "$1div"))
+    with_tags = {r["page_id"]: r["text"].split("\n") for r in H.html_extract(pages).collect()}
+    without = {r["page_id"]: r["text"].split("\n") for r in H.html_extract(plain).collect()}
+    kept = sum(len(set(with_tags[i]) & set(without[i])) for i in with_tags)
+    assert kept >= 0.95 * sum(len(set(x)) for x in with_tags.values())
+    assert kept >= 0.9 * sum(len(set(x)) for x in without.values())
+
+
+def test_salted_hosts_give_the_same(spark, sf_dir, monkeypatch):
+    want = sorted(map(tuple, H.op6_html_extract(spark, sf_dir).collect()))
+    monkeypatch.setattr(H, "BROADCAST_NODES", 0)
+    monkeypatch.setattr(H, "SALT_PAGES", 3)
+    assert sorted(map(tuple, H.op6_html_extract(spark, sf_dir).collect())) == want
+
+
 def test_all_pages_of_the_sample(spark, sf_dir):
     got = {r["page_id"]: r["text"] for r in H.op6_html_extract(spark, sf_dir).collect()}
     import html
