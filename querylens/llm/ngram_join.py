@@ -352,11 +352,32 @@ def components(edges: DataFrame) -> DataFrame:
             return now
 
 
+def rooted(links: DataFrame) -> DataFrame:
+    """(name, label) of links (a, b) with one a < b for each b: the root that each name leads to, by doubling of steps."""
+    now = written(links.select(F.col("b").alias("name"), F.col("a").alias("label")), "labels")
+    while True:
+        step = now.join(now.select(F.col("name").alias("label"), F.col("label").alias("up")), "label", "left")
+        new = written(step.select("name", F.coalesce("up", "label").alias("label"), F.col("up").isNotNull().alias("on")), "labels")
+        dropped(now)
+        on = new.filter("on").limit(1).count()
+        now = new.select("name", "label")
+        if not on:
+            return now.union(now.select("label", "label").distinct())
+
+
 def labelled(df: DataFrame, labels: DataFrame, col: str, out: str) -> DataFrame:
     """``df`` with the component of its sets ``col``; sets without links are their own."""
     return df.join(labels.select(F.col("name").alias(col), F.col("label").alias(out)), col, "left").withColumn(out, F.coalesce(out, F.col(col)))
 
 
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` after further links (a, b): only the components that these tie together are gone through."""
+    between = labelled(labelled(links, labels, "a", "x"), labels, "b", "y").filter("x != y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
+    tied = components(between)
+    far = labels.join(tied.select(F.col("name").alias("label"), F.col("label").alias("far")), "label", "left").select("name", F.coalesce("far", "label").alias("label"))
+    return written(far.union(tied.join(labels, "name", "left_anti").select("name", "label")), "labels")
+
+
 def open_pairs(groups: DataFrame, labels: DataFrame, num: int, den: int) -> DataFrame:
     """Distinct pairs (a, b) of members of one group that lie in different components and pass the exact bounds.
 
@@ -428,18 +449,15 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     near = groups.filter("near").select("a", "b", "shared")
     # First each set with the head that it shares most signatures with, then the other heads while still apart.
     best = written(near.groupBy("b").agg(F.max_by("a", F.struct("shared", -F.col("a"))).alias("a")).select("a", "b"), "best")
-    links = linked(best, docs, classes, size, num, den)
-    labels = components(links)
+    labels = written(rooted(linked(best, docs, classes, size, num, den)), "labels")
     others = labelled(labelled(near.join(best, ["a", "b"], "left_anti"), labels, "a", "la"), labels, "b", "lb")
     others = written(others.filter("la != lb").select("a", "b"), "others")
     if others.limit(1).count():
-        links = written(links.union(linked(others, docs, classes, size, num, den)), "links")
-        labels = components(links)
+        labels = merged(labels, linked(others, docs, classes, size, num, den))
     # Then pairs of members that are still apart.
     rest = written(open_pairs(groups, labels, num, den).join(near.select("a", "b"), ["a", "b"], "left_anti"), "rest")
     if rest.limit(1).count():
-        links = links.union(linked(rest, docs, classes, size, num, den))
-        labels = components(links)
+        labels = merged(labels, linked(rest, docs, classes, size, num, den))
     reps = classes.join(labels, "name", "left").withColumn("label", F.coalesce("label", "name")).select("name", "rep", "rows", "label")
     low = reps.groupBy("label").agg(F.min("rep").alias("component_id"))
     final = written(reps.join(low, "label").select("name", "rows", "component_id"), "final")

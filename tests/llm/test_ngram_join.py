@@ -72,6 +72,15 @@ def test_open_pairs(spark, monkeypatch):
     assert J.open_pairs(groups, same, 3, 4).count() == 0
 
 
+def test_labels_of_forests_and_further_links(spark):
+    forest = spark.createDataFrame([(k, k + 1) for k in range(1, 20)] + [(50, 60), (50, 70)], "a long, b long")
+    labels = J.rooted(forest)
+    assert {tuple(r) for r in labels.collect()} == {(k, 1) for k in range(1, 21)} | {(50, 50), (60, 50), (70, 50)}
+    more = spark.createDataFrame([(60, 90), (15, 70), (100, 101), (60, 70)], "a long, b long")
+    want = {(k, 1) for k in [*range(1, 21), 50, 60, 70, 90]} | {(100, 100), (101, 100)}
+    assert {tuple(r) for r in J.merged(labels, more).collect()} == want
+
+
 def test_bounds_never_part_linked_sets():
     """Sets of different sizes and so of histograms of different lengths: what links always passes."""
     rng = np.random.default_rng(3)
