@@ -2,16 +2,20 @@
 
 Labelled training rows, at most ``sample_rows`` of them in the order of a hash of their id, are reduced to sets of hashed
 features: words, and their beginnings of PREFIXES bytes. Features whose share differs between the labels by more than
-``min_z`` standard errors stay. A logistic model is fitted on the driver with a ridge penalty and a counterfactual one:
-in every labelled text that mentions a group, the mention is swapped for each other group of its family and the squared
-change of the score's log odds is penalised, so neutral mentions do not raise a score.
+``min_z`` standard errors stay; they are counted on the executors and only those that stay reach the driver. In every
+labelled text that mentions a group, each mentioned word is swapped for SWAPS other words of its family, the swapped text
+is reduced to features anew, and what the swap takes away and adds makes a counterfactual row. A logistic model is fitted
+on the driver with a ridge penalty and a counterfactual one, the mean squared change of the log odds over these rows, so
+neutral mentions do not raise a score.
 
 The sample is bounded by its parameter and the features by FEATURE_BITS, so is the model, which is broadcast. Scoring
 is one pass over Arrow batches of whole texts. Labels, lang, source and doc_id are never features.
 
 Edge cases: null and empty texts score the model's intercept; without labelled rows of both kinds the score is the
 share of toxic training rows (0 without any); several labels of a document count as their largest, null labels do not
-count; repeated rows are scored one by one; an empty table gives an empty result; other columns are ignored.
+count; repeated rows are scored one by one, and each is learned from if its id is in the sample; ties of the hash go to
+the smaller id; texts of any length are scored whole, one longer than a chunk alone; null ids are kept, in no fold; an
+empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,10 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from querylens.llm._tokens import ALNUM, U, Words, chunks, mix
+from querylens.llm._spark import written
+from querylens.llm._tokens import ALNUM, U, Words, chunks, mix, word_hash
 
 FEATURE_BITS = 22
 PREFIXES = (5, 6, 8)
+#: Words that a mention is swapped for in turn.
+SWAPS = 2
 # Words that name groups, by family; within a family they are swapped for each other.
 GROUPS = {
     "gender": "women men woman man girls boys female male transgender nonbinary frauen männer femmes hommes mujeres hombres",
@@ -48,22 +55,86 @@ def features_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return (key >> U(FEATURE_BITS)).astype(np.int64), (key & U((1 << FEATURE_BITS) - 1)).astype(np.int64)
 
 
-def word_features(word: str) -> list[int]:
-    data = np.frombuffer(word.encode(), dtype=np.uint8)
-    return features_of(data, np.array([0, len(data)]))[1].tolist()
+class Mentions:
+    """The words that name groups, by hash, and the others of their families."""
+
+    def __init__(self):
+        families = [[w.encode() for w in words.split()] for words in GROUPS.values()]
+        self.others = {word_hash(w): [x for x in f if x != w] for f in families for w in f}
+        self.hashes = np.array(sorted(self.others), dtype=U)
+
+    def swapped(self, w: Words, doc: int) -> list[bytes]:
+        """The text with each word that it mentions swapped everywhere, for SWAPS others in turn."""
+        first, last = w.first[doc], w.first[doc + 1]
+        hashes = w.hash[first:last]
+        out = []
+        for h in np.unique(hashes[np.isin(hashes, self.hashes)]):
+            at = first + np.flatnonzero(hashes == h)
+            others = self.others[int(h)]
+            begin, end = w.start[first], w.end[last - 1]
+            cut = [begin, *np.stack([w.start[at], w.end[at]], axis=1).ravel().tolist(), end]
+            parts = [w.data[x:y].tobytes() for x, y in zip(cut[0::2], cut[1::2], strict=True)]
+            # Which others come first differs from text to text.
+            turn = int(np.bitwise_xor.reduce(hashes) % U(len(others)))
+            out += [others[(turn + k) % len(others)].join(parts) for k in range(min(SWAPS, len(others)))]
+        return out
+
+
+def feature_counts(batches):
+    """Arrow batches (text, toxic) -> (feature, n, n_toxic): in how many texts a feature is."""
+    n, toxic = np.zeros(1 << FEATURE_BITS, dtype=np.int64), np.zeros(1 << FEATURE_BITS, dtype=np.int64)
+    for b in batches:
+        y = b.column(1).to_numpy(zero_copy_only=False)
+        for i, _, data, offsets in chunks(b.column(0)):
+            owner, feature = features_of(data, offsets)
+            n += np.bincount(feature, minlength=len(n))
+            toxic += np.bincount(feature[y[i + owner] > 0], minlength=len(n))
+    some = np.flatnonzero(n)
+    yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(n[some]), pa.array(toxic[some])], ["feature", "n", "n_toxic"])
 
 
-def group_features() -> list[list[list[int]]]:
-    return [[word_features(w) for w in words.split()] for words in GROUPS.values()]
+ROWS = "toxic int, columns array<int>, minus array<array<int>>, plus array<array<int>>"
 
 
-def featured(batches):
-    """Arrow batches (text, toxic) -> (toxic, features)."""
-    for b in batches:
-        for i, j, data, offsets in chunks(b.column(0)):
-            owner, feature = features_of(data, offsets)
-            cut = np.searchsorted(owner, np.arange(j - i + 1)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([b.column(1).slice(i, j - i), pa.ListArray.from_arrays(pa.array(cut), pa.array(feature.astype(np.int32)))], ["toxic", "features"])
+def model_rows(chosen):
+    """Arrow batches (text, toxic) -> the columns that a text has, and which each of its swaps takes away and adds."""
+
+    def run(batches):
+        column = np.full(1 << FEATURE_BITS, -1, dtype=np.int32)
+        column[chosen.value] = np.arange(len(chosen.value), dtype=np.int32)
+        mentions = Mentions()
+
+        def kept(feature: np.ndarray) -> np.ndarray:
+            c = column[feature]
+            return c[c >= 0]
+
+        for b in batches:
+            out = []
+            for i, j, data, offsets in chunks(b.column(0)):
+                owner, feature = features_of(data, offsets)
+                cut = np.searchsorted(owner, np.arange(j - i + 1))
+                w = Words(data, offsets, ALNUM)
+                named = set(w.docs()[np.isin(w.hash, mentions.hashes)].tolist())
+                for d in range(j - i):
+                    own = kept(feature[cut[d] : cut[d + 1]])
+                    swaps = []
+                    for text in mentions.swapped(w, d) if d in named else ():
+                        other = kept(features_of(np.frombuffer(text, dtype=np.uint8), np.array([0, len(text)]))[1])
+                        swaps.append((np.setdiff1d(own, other).tolist(), np.setdiff1d(other, own).tolist()))
+                    swaps = [x for x in swaps if x[0] or x[1]]
+                    out.append({"toxic": b.column(1)[i + d].as_py(), "columns": own.tolist(), "minus": [x for x, _ in swaps], "plus": [x for _, x in swaps]})
+            yield from pa.Table.from_pylist(out, ROW_SCHEMA).to_batches()
+
+    return run
+
+
+ROW_SCHEMA = pa.schema([("toxic", pa.int32()), ("columns", pa.list_(pa.int32())), ("minus", pa.list_(pa.list_(pa.int32()))), ("plus", pa.list_(pa.list_(pa.int32())))])
+
+
+def ragged(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """(list index, value) of all values."""
+    owner = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+    return owner, np.array([v for x in lists for v in x], dtype=np.int64)
 
 
 class Model:
@@ -77,46 +148,29 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def fit(y: np.ndarray, owner: np.ndarray, feature: np.ndarray, min_z: float = 4.0, ridge: float = 0.03, counterfactual: float = 1.0, steps: int = 800) -> Model:
-    """The model of rows with labels ``y``; (owner, feature) are the rows' feature sets."""
+def fit(chosen: np.ndarray, y: np.ndarray, columns: list[list[int]], minus: list[list[int]], plus: list[list[int]], ridge: float = 0.03, counterfactual: float = 1.0, steps: int = 800) -> Model:
+    """The model of rows with labels ``y`` and ``columns`` (places in ``chosen``); (minus, plus) are the swaps' changes."""
     n, pos = len(y), int(y.sum())
     neg = n - pos
     if not pos or not neg:
         share = pos / n if n else 0.0
         return Model(np.zeros(0, dtype=np.int64), np.zeros(0), float(np.log((share + 1e-12) / (1 - share + 1e-12))))
-    total = np.bincount(feature, minlength=1 << FEATURE_BITS)
-    with_pos = np.bincount(feature, weights=y[owner], minlength=1 << FEATURE_BITS)
-    p1, p0, p = with_pos / pos, (total - with_pos) / neg, total / n
-    z = (p1 - p0) / np.sqrt(np.maximum(p * (1 - p), 1 / n) * (1 / pos + 1 / neg))
-    chosen = np.flatnonzero((np.abs(z) >= min_z) & (total >= 3))
-    column = np.full(1 << FEATURE_BITS, -1)
-    column[chosen] = np.arange(len(chosen))
-    keep = column[feature] >= 0
-    row, col = owner[keep], column[feature[keep]]
-    # Swaps: for each text and family, the change of the feature counts when its mention becomes another group's.
-    swaps = []
-    for family in group_features():
-        own = [set(column[f].tolist()) - {-1} for f in map(np.array, family)]
-        for a, fa in enumerate(own):
-            texts = np.isin(feature, family[a][0:1])
-            times = len(np.unique(owner[texts]))
-            if times:
-                swaps += [(fa, fb, times) for b, fb in enumerate(own) if b != a and fa != fb]
-    change = np.zeros((len(swaps), len(chosen))) if swaps else None
-    for k, (fa, fb, times) in enumerate(swaps):
-        for f in fa:
-            change[k, f] += np.sqrt(times / n)
-        for f in fb:
-            change[k, f] -= np.sqrt(times / n)
-    w, bias = np.zeros(len(chosen)), float(np.log(pos / neg))
+    size = len(chosen)
+    row, col = ragged(columns)
+    (r1, c1), (r2, c2) = ragged(minus), ragged(plus)
+    # Counterfactual rows: -1 where the swap takes a feature away, 1 where it adds one.
+    swap, at = np.concatenate([r1, r2]), np.concatenate([c1, c2])
+    sign = np.concatenate([np.full(len(r1), -1.0), np.ones(len(r2))])
+    w, bias = np.zeros(size), float(np.log(pos / neg))
     weight = np.where(y == 1, n / (2 * pos), n / (2 * neg))
-    square = np.zeros(len(chosen) + 1)
+    square = np.zeros(size + 1)
     for _ in range(steps):  # AdaGrad on the whole sample
         margin = bias + np.bincount(row, weights=w[col], minlength=n)
         error = weight * (1 / (1 + np.exp(-np.clip(margin, -40, 40))) - y) / n
-        grad = np.bincount(col, weights=error[row], minlength=len(chosen)) + ridge * w / n
-        if change is not None:
-            grad += 2 * counterfactual * change.T @ (change @ w)
+        grad = np.bincount(col, weights=error[row], minlength=size) + ridge * w / n
+        if counterfactual and len(minus):
+            change = np.bincount(swap, weights=sign * w[at], minlength=len(minus))
+            grad += 2 * counterfactual / len(minus) * np.bincount(at, weights=sign * change[swap], minlength=size)
         full = np.append(grad, error.sum())
         square += full**2
         step = 0.3 * full / np.sqrt(square + 1e-12)
@@ -124,7 +178,7 @@ def fit(y: np.ndarray, owner: np.ndarray, feature: np.ndarray, min_z: float = 4.
     return Model(chosen, w, bias)
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = 20_000, threshold: float = 0.7, fold: tuple[int, int] = (3, 1)) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = 20_000, threshold: float = 0.7, fold: tuple[int, int] = (3, 1), min_z: float = 4.0, counterfactual: float = 1.0) -> DataFrame:
     """doc_id, held_out, score, predicted; rows of the fold's remainder are never learned from."""
     sc = docs.sparkSession.sparkContext
 
@@ -134,13 +188,19 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("toxic")).filter("toxic is not null and doc_id is not null")
     known = known.filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
-    rows = docs.join(F.broadcast(sample), "doc_id").select("text", "toxic").mapInArrow(featured, "toxic int, features array<int>").toArrow()
-    lists = rows.column("features").combine_chunks()
-    lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
-    y = rows.column("toxic").to_numpy().astype(np.float64)
-    owner = np.repeat(np.arange(len(y)), np.diff(lists.offsets.to_numpy())) if len(y) else np.zeros(0, dtype=np.int64)
-    model = sc.broadcast(fit(y, owner, lists.values.to_numpy().astype(np.int64) if len(y) else owner))
+    ids = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
+    sample = written(docs.join(F.broadcast(ids), "doc_id").select("text", "toxic"), "labelled")
+    about = sample.agg(F.count("*").alias("n"), F.sum((F.col("toxic") > 0).cast("long")).alias("pos")).first()
+    n, pos = int(about["n"]), int(about["pos"] or 0)
+    counts = sample.mapInArrow(feature_counts, "feature int, n long, n_toxic long").groupBy("feature").agg(F.sum("n").alias("n"), F.sum("n_toxic").alias("t"))
+    p = F.col("n") / F.lit(max(1, n))
+    apart = F.col("t") / F.lit(max(1, pos)) - (F.col("n") - F.col("t")) / F.lit(max(1, n - pos))
+    z = apart / F.sqrt(F.greatest(p * (1 - p), F.lit(1 / max(1, n))) * F.lit(1 / max(1, pos) + 1 / max(1, n - pos)))
+    chosen = np.sort(counts.filter((F.abs(z) >= min_z) & (F.col("n") >= 3)).select("feature").toArrow().column("feature").to_numpy().astype(np.int64))
+    rows = sample.mapInArrow(model_rows(sc.broadcast(chosen)), ROWS).toArrow()
+    swaps = [x for m in ("minus", "plus") for x in [[y for z in rows.column(m).to_pylist() for y in z]]]
+    y = (rows.column("toxic").to_numpy() > 0).astype(np.float64)
+    model = sc.broadcast(fit(chosen, y, rows.column("columns").to_pylist(), *swaps, counterfactual=counterfactual))
 
     def scored(batches):
         m = model.value
@@ -154,5 +214,3 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
 def op3_toxicity(spark, sf_dir: str) -> DataFrame:
     return toxicity(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
-
-

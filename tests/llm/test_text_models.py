@@ -275,6 +275,41 @@ def test_mentions_do_not_raise_scores(spark):
     assert abs(s[0] - s[1]) < 0.1 and max(s) < 0.5
 
 
+def test_swapped_texts():
+    from querylens.llm._tokens import ALNUM, Words
+
+    text = "Women and the women's, deaf MEN".encode()
+    w = Words(np.frombuffer(text, dtype=np.uint8), np.array([0, len(text)]), ALNUM)
+    out = [x.decode() for x in TX.Mentions().swapped(w, 0)]
+    assert len(out) == 3 * TX.SWAPS and len(set(out)) == len(out)
+    for x in out:
+        a, b = text.decode().lower().split(), x.split()
+        changed = [(p, q) for p, q in zip(a, b, strict=True) if p != q]
+        assert changed and len({p.strip("',s") for p, _ in changed}) == 1
+
+
+def test_swaps_reduce_false_positives_on_neutral_mentions(spark):
+    """A group word that stands mostly in toxic texts: without the penalty its neutral mentions score as toxic."""
+    rng, docs, labels = random.Random(8), [], []
+    for i in range(900):
+        bad = i % 3 == 0
+        w = [f"w{rng.randrange(300)}" for _ in range(12)] + (["muslim"] if rng.random() < (0.9 if bad else 0.03) else []) + (["christian"] if rng.random() < 0.2 else [])
+        w += rng.sample(["idiot", "scum", "moron", "loser"], 1) if bad and rng.random() < 0.8 else []
+        docs.append((i, " ".join(w)))
+        labels.append((i, int(bad)))
+    neutral = [(5000 + k, " ".join([f"w{rng.randrange(300)}" for _ in range(12)] + ["muslim"])) for k in range(60)]
+    plain = [(7000 + k, " ".join(f"w{rng.randrange(300)}" for _ in range(12))) for k in range(60)]
+    df, ls = spark.createDataFrame(docs + neutral + plain, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    wrong, gap = {}, {}
+    for c in (0.0, 1.0):
+        got = {r["doc_id"]: r for r in TX.toxicity(df, ls, counterfactual=c).collect()}
+        wrong[c] = sum(got[i]["predicted"] for i, _ in neutral)
+        gap[c] = sum(got[i]["score"] for i, _ in neutral) / 60 - sum(got[i]["score"] for i, _ in plain) / 60
+        test = [i for i, _ in docs if got[i]["held_out"]]
+        assert sum(got[i]["predicted"] for i in test if i % 3 == 0) > 0.6 * sum(i % 3 == 0 for i in test)
+    assert wrong[1.0] < 0.25 * wrong[0.0] and gap[1.0] < 0.5 * gap[0.0]
+
+
 def test_toxicity_edges(spark, edge_docs, edge_rows, no_docs):
     _, labels = labelled(spark, 20)
     labels = labels.union(spark.createDataFrame([(3, None), (None, 1), (6, 1), (6, 0)], "doc_id long, toxic int"))
