@@ -3,17 +3,23 @@
 Unigram and bigram counts of all training texts are summed in buckets of the hash space. A count c becomes the level
 1 + floor(log_b c); an n-gram is entered once for each level up to its own, and its count is read back by probing levels
 until one is absent: b ** (level - 1), never more than the count but for false positives. Bigrams seen fewer than
-``min_count`` times are left out; by default none is. Each bucket builds its own segment of the filter in its own task, at BITS_PER_ENTRY bits
-an entry whatever their number; segments never leave their tasks. Texts are cut into batches of about BATCH tokens, each
-batch sends its distinct n-grams to their buckets, and the levels found there come back to the batch.
+``min_count`` times are left out; by default none is. Each bucket builds its own segment of the filter in its own task,
+at BITS_PER_ENTRY bits an entry whatever their number; segments never leave their tasks, as a filter of all n-grams of a
+large corpus is too large to send to each worker. Texts are cut into batches of about BATCH tokens, each batch sends its
+distinct n-grams to their buckets, and the levels found there come back to the batch. No level above the largest that a
+segment holds is probed.
 
 A word's probability is interpolated: half the bigram's share of its context (where the context is known) and the rest
-from the smoothed unigram. The base score uses exact counts: those of words frequent enough that there can be no more
+from the smoothed unigram. A bigram's count is taken from the low end of its level and its context's from the high end,
+so that but for false positives the shares of a context never sum to more than 1, nor do the smoothed unigrams. The base
+score uses exact counts: those of words frequent enough that there can be no more
 than HOT of them are broadcast, the rest are joined to the texts' remaining words by a shuffle.
 
 Edge cases: null and empty texts are one end token; repeated rows are learned and scored one by one; without training
-texts the counts are 0 and V is 0, so that base terms are log10(1 / 1) = 0; an empty table gives an empty result; other
-columns are ignored. Words are named by 64-bit hashes; the last bits of a bigram's hash are cut to 48 within its bucket.
+texts the counts are 0 and V is 0, so that base terms are log10(1 / 1) = 0; a null id is in no fold and is learned from;
+texts of any length are scored whole, a text longer than BATCH as a batch of its own; there are no ties; an empty table
+gives an empty result; other columns are ignored. Words are named by 64-bit hashes; a bigram's hash is cut to 40 bits
+within its bucket, far more than the filter's own false positives leave.
 """
 
 from __future__ import annotations
@@ -27,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from querylens.llm._spark import lookup, written
-from querylens.llm._tokens import NOT_WHITE, U, Words, chunks, mix, mix1
+from querylens.llm._tokens import NOT_WHITE, U, Words, chunks, mix, mix1, packed, unpacked
 
 END = U(mix1(0x656E64))
 BASE = 2**0.5
@@ -61,21 +67,37 @@ def cuts(h: np.ndarray, buckets: int) -> np.ndarray:
     return np.searchsorted((h >> U(40)) * U(buckets) >> U(24), np.arange(buckets + 1, dtype=U))
 
 
+SHORT = 5
+
+
+def short(h: np.ndarray) -> bytes:
+    """The SHORT bytes of each bigram's hash that count inside its bucket."""
+    return np.ascontiguousarray((h << U(8) >> U(64 - 8 * SHORT)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :SHORT]).tobytes()
+
+
+def long(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // SHORT, 8), dtype=np.uint8)
+    out[:, :SHORT] = np.frombuffer(data, dtype=np.uint8).reshape(-1, SHORT)
+    return out.reshape(-1).view("<u8").astype(U)
+
+
 def counted(buckets: int):
-    """Arrow batches (text) -> rows (bucket, kind, packed): sorted 48-bit hashes over 16-bit counts; kind 1, 2: n."""
+    """Arrow batches (text) -> rows (bucket, kind, packed); kind 1, unigrams: hashes, then counts; 2, bigrams: short hashes, then counts of a byte."""
 
     def sent(parts: list[np.ndarray], kind: int):
         h, c = np.unique(np.concatenate(parts), return_counts=True)
         cut = cuts(h, buckets)
         if kind == 1:  # whole hashes, as they name words in the exact table
-            packed = [np.stack([h[x:y], c[x:y].astype(U)]) for x, y in zip(cut[:-1], cut[1:], strict=True)]
-        else:
-            top = np.minimum(c, 65535).astype(U)
-            again = c > 65535  # the rest of a larger count goes into further entries
-            low = (h << U(8)) & ~U(0xFFFF)
-            packed = [np.concatenate([low[x:y] | top[x:y], *(np.repeat(low[k] | U(65535), (c[k] - 65535) // 65535) for k in x + np.flatnonzero(again[x:y])), np.array([low[k] | U((c[k] - 65535) % 65535) for k in x + np.flatnonzero(again[x:y])], dtype=U)]) for x, y in zip(cut[:-1], cut[1:], strict=True)]
-        keep = [k for k, p in enumerate(packed) if p.size]
-        return pa.RecordBatch.from_arrays([pa.array(keep, pa.int32()), pa.array([kind] * len(keep), pa.int32()), pa.array([packed[k].tobytes() for k in keep], pa.binary())], ["bucket", "kind", "packed"])
+            rows = [np.stack([h[x:y], c[x:y].astype(U)]) for x, y in zip(cut[:-1], cut[1:], strict=True)]
+        else:  # a larger count takes several entries of at most 255
+            times = (c + 254) // 255
+            last = np.cumsum(times) - 1
+            some = np.full(int(times.sum()), 255, dtype=np.uint8)
+            some[last] = c - 255 * (times - 1)
+            h, cut = np.repeat(h, times), np.append(0, last + 1)[cut]
+            rows = [np.concatenate([np.frombuffer(short(h[x:y]), dtype=np.uint8), some[x:y]]) for x, y in zip(cut[:-1], cut[1:], strict=True)]
+        keep = [k for k, p in enumerate(rows) if p.size]
+        return pa.RecordBatch.from_arrays([pa.array(keep, pa.int32()), pa.array([kind] * len(keep), pa.int32()), pa.array([rows[k].tobytes() for k in keep], pa.binary())], ["bucket", "kind", "packed"])
 
     def run(batches):
         one, two, held = [], [], 0
@@ -105,6 +127,11 @@ def quantised(level: np.ndarray) -> np.ndarray:
     return np.where(level > 0, BASE ** (level - 1.0), 0.0)
 
 
+def ceiling(level: np.ndarray) -> np.ndarray:
+    """The largest count of each level; 0 of level 0."""
+    return np.where(level > 0, np.maximum(np.ceil(BASE ** level.astype(float) - 1e-6) - 1, 1.0), 0.0)
+
+
 def entry(keys: np.ndarray, level) -> np.ndarray:
     return mix(keys + np.asarray(level, dtype=U) * U(0xC2B2AE3D27D4EB4F))
 
@@ -126,9 +153,10 @@ class Segment:
 
 
 class LogBloom:
-    """All segments in one array."""
+    """Segments in one array; ``top`` is the largest level that they hold."""
 
-    def __init__(self, segments: list):
+    def __init__(self, segments: list, top: int):
+        self.top = top
         self.sizes = np.array([len(s) for s in segments], dtype=np.int64)
         self.base = np.concatenate(([0], np.cumsum(self.sizes)))[:-1] * 8
         self.bits = np.frombuffer(b"".join(segments), dtype=np.uint8)
@@ -153,9 +181,9 @@ class LogBloom:
         bucket = ((hashes >> U(40)) * U(len(self.sizes)) >> U(24)).astype(np.int64)
         level = np.zeros(len(keys), dtype=np.int64)
         on = np.arange(len(keys))
-        while len(on):
-            on = on[self.holds(bucket[on], entry(keys[on], level[on] + 1))]
-            level[on] += 1
+        for step in range(1, self.top + 1):
+            on = on[self.holds(bucket[on], entry(keys[on], step))]
+            level[on] = step
         return level
 
 
@@ -167,16 +195,21 @@ BODY = "batch long, doc_id array<long>, held_out array<boolean>, n_tokens array<
 
 
 def bodies():
-    """Arrow batches (doc_id, held_out, text) -> one row a batch of texts: its sorted distinct tokens, and where each token is in them.
+    """Arrow batches (doc_id, held_out, text) -> one row a batch of texts: its distinct tokens by frequency, and where each token is in them.
 
     A batch is named by the number of its first text, so that ``batch`` plus a place numbers all texts.
     """
 
     def body(batch: int, held: list[tuple]):
-        kinds, which = np.unique(np.concatenate([x[2] for x in held]), return_inverse=True)
+        kinds, which, times = np.unique(np.concatenate([x[2] for x in held]), return_inverse=True, return_counts=True)
+        # Tokens are written by rank of frequency, as small numbers pack better.
+        order = np.argsort(-times, kind="stable")
+        rank = np.empty_like(order)
+        rank[order] = np.arange(len(order))
+        which, kinds = rank[which], kinds[order]
         lists = [pa.concat_arrays([x[0] for x in held]), pa.concat_arrays([x[1] for x in held]), pa.array(np.concatenate([x[3] for x in held]))]
         whole = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in lists]
-        return pa.RecordBatch.from_arrays([pa.array([batch], pa.int64()), *whole, pa.array([kinds.tobytes()], pa.binary()), pa.array([which.astype(np.uint32).tobytes()], pa.binary())], ["batch", "doc_id", "held_out", "n_tokens", "kinds", "which"])
+        return pa.RecordBatch.from_arrays([pa.array([batch], pa.int64()), *whole, pa.array([kinds.tobytes()], pa.binary()), pa.array([packed(which)], pa.binary())], ["batch", "doc_id", "held_out", "n_tokens", "kinds", "which"])
 
     def run(batches):
         at, held, size = TaskContext.get().partitionId() << 33, [], 0
@@ -195,23 +228,16 @@ def bodies():
 
 
 def restored(n_tokens, kinds: bytes, which: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(distinct tokens, places of tokens in them, offsets of texts, hashes of bigrams) of a body."""
-    k, w = np.frombuffer(kinds, dtype=U), np.frombuffer(which, dtype=np.uint32)
+    """(sorted distinct tokens, places of tokens in them, offsets of texts, hashes of bigrams) of a body."""
+    k = np.frombuffer(kinds, dtype=U)
+    order = np.argsort(k)
+    place = np.empty(len(k), dtype=np.uint32)
+    place[order] = np.arange(len(k), dtype=np.uint32)
+    k, w = k[order], place[unpacked(which)]
     first = np.concatenate(([0], np.cumsum(np.asarray(n_tokens, dtype=np.int64))))
     return k, w, first, bigrams(k[w], first)
 
 
-def short(h: np.ndarray) -> bytes:
-    """The 48 bits of each bigram's hash that count inside its bucket."""
-    return np.ascontiguousarray((h << U(8) >> U(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
-
-
-def long(packed: bytes) -> np.ndarray:
-    out = np.zeros((len(packed) // 6, 8), dtype=np.uint8)
-    out[:, :6] = np.frombuffer(packed, dtype=np.uint8).reshape(-1, 6)
-    return out.reshape(-1).view("<u8").astype(U)
-
-
 def asked(buckets: int):
     """Arrow batches (batch, n_tokens, kinds, which) -> rows (bucket, batch, one, two): the n-grams that a batch asks a bucket for."""
 
@@ -236,18 +262,17 @@ def merged(min_count: int):
     """A bucket's sums and what is asked of it -> chunks of its exact unigram counts, and the levels of each batch's n-grams."""
 
     def run(key, sums: pa.Table, requests: pa.Table) -> pa.Table:
-        kinds, packed = sums.column("kind").to_pylist(), sums.column("packed").to_pylist()
-        one = [np.frombuffer(x, dtype=U).reshape(2, -1) for x, k in zip(packed, kinds, strict=True) if k == 1]
-        two = [np.frombuffer(x, dtype=U) for x, k in zip(packed, kinds, strict=True) if k == 2]
+        kinds, data = sums.column("kind").to_pylist(), sums.column("packed").to_pylist()
+        one = [np.frombuffer(x, dtype=U).reshape(2, -1) for x, k in zip(data, kinds, strict=True) if k == 1]
+        two = [(x[: len(x) // (SHORT + 1) * SHORT], x[len(x) // (SHORT + 1) * SHORT :]) for x, k in zip(data, kinds, strict=True) if k == 2]
         h, c = summed(np.concatenate([x[0] for x in one]), np.concatenate([x[1] for x in one])) if one else (np.zeros(0, dtype=U),) * 2
-        both = np.concatenate(two) if two else np.zeros(0, dtype=U)
-        g, d = summed(both >> U(16), both & U(0xFFFF))
+        g, d = summed(long(b"".join(x for x, _ in two)), np.frombuffer(b"".join(x for _, x in two), dtype=np.uint8).astype(U))
         g, d = g[d >= min_count], d[d >= min_count]
         keys, level = np.concatenate([key1(h), mix(g) + U(22)]), levels(np.concatenate([c, d]).astype(np.float64))
         segment = Segment(np.zeros(max(64, int(level.sum()) * BITS_PER_ENTRY) // 8 + 1, dtype=np.uint8))
         for k in range(1, int(level.max(initial=0)) + 1):
             segment.add(entry(keys[level >= k], k))
-        bloom = LogBloom([segment.bits])
+        bloom = LogBloom([segment.bits], int(level.max(initial=0)))
         rows = [{"h": h[i : i + 100_000].view(np.int64), "c": c[i : i + 100_000].view(np.int64)} for i in range(0, len(h), 100_000)]
         for batch, x, y in zip(*(requests.column(k).to_pylist() for k in ("batch", "one", "two")), strict=True):
             a, b = np.frombuffer(x, dtype=U), long(y)
@@ -280,12 +305,12 @@ def scored(hot, total: int, distinct: int):
         kinds, which, first, pairs = restored(n_tokens, body.column("kinds")[0].as_py(), body.column("which")[0].as_py())
         # Buckets are ranges of the hash, so their replies in order are in the order of the sorted n-grams.
         replies = replies.sort_by("bucket")
-        c_one, c_two = (quantised(np.frombuffer(b"".join(replies.column(k).to_pylist()), dtype=np.uint8).astype(np.int64)) for k in ("one", "two"))
-        c_two = c_two[np.unique(pairs, return_inverse=True)[1]]
+        one, two = (np.frombuffer(b"".join(replies.column(k).to_pylist()), dtype=np.uint8).astype(np.int64) for k in ("one", "two"))
+        c_one, c_two = quantised(one), quantised(two)[np.unique(pairs, return_inverse=True)[1]]
         before = np.empty_like(which)
         before[1:], before[first[:-1]] = which[:-1], int(np.searchsorted(kinds, END))
-        context = c_one[before]
-        share = np.where(context > 0, np.minimum(c_two / np.maximum(context, 1), 1.0), 0.0)
+        context = ceiling(one)[before]
+        share = np.where(context > 0, np.minimum(c_two / np.maximum(context, 1), 1.0), 0.0)  # a false positive may exceed its context
         weight = np.where(context > 0, WEIGHT, 0.0)
         p = weight * share + (1 - weight) * (np.minimum(c_one[which], total) + 1) / floor
         score = np.add.reduceat(np.log10(p), first[:-1])
