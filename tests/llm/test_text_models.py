@@ -112,6 +112,51 @@ def test_automaton(text, want):
     assert got == 1.0 if want == 1.0 else got < 1.0
 
 
+@pytest.mark.parametrize(
+    ("template", "text", "want"),
+    [
+        ("permission [is] hereby granted", "x permission hereby granted y", 1.0), ("permission [is] hereby granted", "x permission is hereby granted", 1.0), ("permission [is] hereby granted", "permission was hereby granted", 0.0),
+        ("[the] mit (license|licence) [ok]", "MIT licence", 1.0), ("{2} granted {3}", "granted", 1.0), ("mit {2} license", "mit a b license", 1.0), ("mit {2} license", "mit a b c license", 0.5), ("(a|b) [c] {1} d", "b d", 1.0), ("one", "one", 1.0),
+    ],
+)
+def test_templates_are_started_wherever_they_can_begin(spark, template, text, want):
+    """Against a regular expression of the same template, on words split at blanks."""
+    got = LI.license_scan(spark.createDataFrame([(1, text)], "doc_id long, text string").coalesce(1), templates={"t": template}).first()
+    assert got["score"] == want and got["labels"] == ("t" if want == 1.0 else "")
+
+
+def test_templates_need_a_mandatory_word(spark):
+    for template in ("", "[a b] {3}"):
+        with pytest.raises(ValueError, match="mandatory"):
+            LI.Automaton(template)
+
+
+def as_pattern(template):
+    """The template as a regular expression over words followed by a blank each."""
+    out = ""
+    for optional, free, choice, word in LI._PART.findall(template):
+        out += f"(?:{''.join(f'(?:{x}) ' for x in optional.split())})?" if optional else f"(?:\\S+ ){{0,{free}}}" if free else f"(?:{choice or word}) "
+    return re.compile("(?:^| )" + out)
+
+
+def test_shipped_templates_against_regular_expressions(spark):
+    """Each template's own wording with names filled in, alone, within other words, and with a word changed."""
+    rng, rows = random.Random(6), []
+    for t in LI.TEMPLATES.values():
+        text = ""
+        for optional, free, choice, word in LI._PART.findall(t):
+            text += (optional.replace("|", " ").split(" ")[0] + " " if optional and "|" in optional else optional + " " if optional and rng.random() < 0.5 else "") + ("Jane Q " if free else "") + ((choice.split("|")[-1] if choice else word) + " " if not optional and not free else "")
+        w = text.split()
+        bad = [*w[: len(w) // 2], "other", *w[len(w) // 2 + 1 :]]
+        rows += [(len(rows), text), (len(rows) + 1, "We say: " + text.upper() + ". End"), (len(rows) + 2, " ".join(bad))]
+    got = {r["doc_id"]: set(r["labels"].split(",")) - {""} for r in LI.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, text in rows:
+        words = " ".join(x.decode() for x in brute.ALNUM.findall(brute.low(text))) + " "
+        base = {label for p, label in LI.PHRASES.items() if f" {p} " in " " + words}
+        assert got[i] == base | {label for label, t in LI.TEMPLATES.items() if as_pattern(t).search(words)}, text
+        assert i % 3 == 2 or list(LI.TEMPLATES)[i // 3] in got[i]
+
+
 def test_template_needs_all_mandatory_words(spark):
     rows = [(1, "Licensed under the Apache License, Version 2.0 (the License)"), (2, "Licensed under the Apache License"), (3, "licensed under CC BY-NC 4.0"), (4, "nothing")]
     got = {r["doc_id"]: (r["labels"], r["score"]) for r in LI.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
