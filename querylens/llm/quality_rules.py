@@ -1,11 +1,14 @@
 """Host-level quality rules (native).
 
-Each document is measured against per-document rules; failures are counted by host, each host's rate is
-shrunk towards the corpus with an empirical beta prior, and the hosts' verdicts are joined back.
-
-Edge cases: a null or empty text has no words, so it fails ``short``; repeated rows are judged one by one; a null
-host gets no host verdict; an empty table gives an empty result; further input columns are ignored.
-Windows of three words are compared by 64-bit hashes within one text.
+Each document is measured against per-document rules: ``base`` (too few words, or too many in repeated windows), which
+rejects by itself, and ``symbols`` and ``dup_lines``, which only count against the host. Failures are counted by host, each
+host's rate of a rule is shrunk towards the corpus with an empirical beta prior, and a host whose worst shrunk rate
+exceeds ``reject_rate`` takes all its documents along. The hosts' verdicts are joined back.
+
+Edge cases: a null or empty text has no words, so it fails ``base``; repeated rows are judged one by one and all count; a
+null host gets no host verdict; a rate equal to ``reject_rate`` (a tie) does not reject; texts of any length are
+measured whole, though the words of one text are one array; null ids are kept; an empty table gives an empty result;
+further input columns are ignored. Windows of three words are compared by 64-bit hashes within one text.
 """
 
 from __future__ import annotations
@@ -13,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from querylens.llm._spark import BROADCAST_ROWS, written
+from querylens.llm._spark import BROADCAST_ROWS, lookup, written
 
 WHITE = r"[\x20\x09-\x0D]+"
 SYMBOLS = r"[#*$%&|<>]"
@@ -70,7 +73,7 @@ def host_rates(measures: DataFrame) -> DataFrame:
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_words: int = 50, max_repeat_pct: int = 50, max_symbol_pct: int = 10, max_dup_line_pct: int = 30, reject_rate: float = 0.5) -> DataFrame:
-    """Measures, ``base_failed`` and ``kept`` per document; ``host_rate`` is the host's worst shrunk rate."""
+    """Measures, ``base_failed`` and ``kept`` per document; ``host_rate`` is the host's worst shrunk rate, rounded."""
     m = measured(docs, id_col, text_col, host_col)
     m = m.withColumns({
         "fail_base": (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_pct * F.col("n_words")),
@@ -78,17 +81,14 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         "fail_dup_lines": 100 * F.col("n_dup_lines") > max_dup_line_pct * F.col("n_lines"),
     })
     m = written(m, "measures")
-    rates = host_rates(m).select("host", F.greatest(*[f"rate_{r}" for r in RULES]).alias("host_rate"))
-    bad = rates.filter(F.col("host_rate") > reject_rate)
-    if bad.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        out = m.join(F.broadcast(bad), "host", "left")
-    else:  # more failing hosts than a broadcast may hold: deal documents of a host over 64 salts
-        salted = bad.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(63))))
-        out = m.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(64)).cast("int")).join(salted, ["host", "salt"], "left")
+    rates = written(host_rates(m).select("host", "n", F.greatest(*[f"rate_{r}" for r in RULES]).alias("host_rate")), "rates")
+    if rates.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        out = m.join(F.broadcast(rates.drop("n")), "host", "left")
+    else:
+        out = lookup(m, rates, ["host"], "n", m.count(), "left").drop("n")
     return out.select(
-        "doc_id", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        F.col("fail_base").alias("base_failed"),
-        (~F.col("fail_base") & F.col("host_rate").isNull()).alias("kept"),
+        "doc_id", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", F.col("fail_base").alias("base_failed"),
+        (~F.col("fail_base") & ~F.coalesce(F.col("host_rate") > reject_rate, F.lit(False))).alias("kept"), F.round("host_rate", 6).alias("host_rate"),
     )
 
 
@@ -116,8 +116,8 @@ va AS (SELECT r, any_value(mu) AS mu, any_value(mu) * (1 - any_value(mu)) AS noi
               sum(long.n * pow(a / long.n - mu, 2)) / any_value(mu.n) - any_value(mu) * (1 - any_value(mu)) * any_value(hosts) / any_value(mu.n) AS between_
        FROM long JOIN mu USING (r) GROUP BY r),
 st AS (SELECT r, mu, CASE WHEN between_ > 0 AND noise > 0 THEN least(greatest(noise / between_ - 1, 1.0), 1e6) ELSE 1e6 END AS s FROM va),
-bad AS (SELECT host FROM long JOIN st USING (r) GROUP BY host HAVING max((a + mu * s) / (n + s)) > 0.5)
+rates AS (SELECT host, max((a + mu * s) / (n + s)) AS rate FROM long JOIN st USING (r) GROUP BY host)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, f1 AS base_failed,
-       NOT f1 AND NOT coalesce(host IN (SELECT host FROM bad), false) AS kept
-FROM f
+       NOT f1 AND NOT coalesce(rate > 0.5, false) AS kept, round(rate, 6) AS host_rate
+FROM f LEFT JOIN rates ON f.host = rates.host
 """

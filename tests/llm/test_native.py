@@ -38,6 +38,25 @@ def test_bad_hosts_take_their_documents_along(spark):
     assert not any(got[1000 + i] for i in range(100))
 
 
+def test_host_rates_are_those_of_the_sql(spark, tmp_path, monkeypatch):
+    """Hosts of 1 to 400 documents, some bad, with the prior at work; by a broadcast and by a shuffle."""
+    import duckdb
+
+    good, bad = " ".join(f"a{i}" for i in range(80)), "### $$$ %%% &&& " * 5
+    rng, rows = random.Random(2), []
+    for host, n, share in (("a", 400, 0.01), ("b", 100, 0.6), ("c", 3, 1.0), ("d", 1, 1.0), ("e", 60, 0.52), ("f", 60, 0.45), (None, 5, 1.0)):
+        rows += [(len(rows) + k, (bad if rng.random() < share else "") + good.replace("a1 ", f"x{rng.random()} "), host) for k in range(n)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    df.toPandas().to_parquet(tmp_path / "documents.parquet")
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet'")
+    want = {tuple(r) for r in c.sql(f"SELECT doc_id, kept, host_rate FROM ({Q.SQL})").fetchall()}
+    assert len({r[2] for r in want}) == 7 and 0 < sum(r[1] for r in want) < len(rows)
+    for most in (Q.BROADCAST_ROWS, 2):
+        monkeypatch.setattr(Q, "BROADCAST_ROWS", most)
+        assert {(r["doc_id"], r["kept"], r["host_rate"]) for r in Q.quality_rules(df).collect()} == want
+
+
 def test_line_dedup_edges(spark, edge_docs, edge_rows, no_docs):
     got = Counter((r["doc_id"], r["n_lines"], r["n_dropped"], r["kept_text"]) for r in L.line_dedup(edge_docs).collect())
     want = Counter((r[0], *w) for r, w in zip(edge_rows, brute.line_dedup([(r[0], r[1]) for r in edge_rows]), strict=True))
