@@ -2,10 +2,10 @@
 
 A byte-level BPE never merges across pre-tokens, so a text's count is the sum over its pre-tokens of their piece
 counts. Texts are cut into batches and reduced to their pre-token frequencies: a batch is one row with its distinct
-pre-tokens, and for each text the places of its own among them and how often they occur. The pre-tokens of all batches
-are one table; each distinct one of the corpus is encoded once, its number of pieces is joined back to the batches that
-hold it, and a batch's frequencies are multiplied and summed. Ids are never kept. A pre-token has at most one row a
-batch in that join and a batch has tens of thousands of them, so no key is hot.
+pre-tokens, and for each text the places of its own among them and how often they occur. A hash deals pre-tokens to
+buckets; a bucket gets those of all batches, encodes each distinct one of the corpus once, and its numbers of pieces are
+joined back to the batches that hold it, whose frequencies are multiplied and summed. Ids are never kept. A batch holds a
+pre-token once and sends tens of thousands, so no bucket is hot.
 
 Pre-tokens of texts whose code points all lie below SAFE are cut by one regular expression; others by the library
 itself, whose Unicode tables may differ from those of ``regex``. Special strings split a text first and count as one
@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import json
 import os
+import zlib
 from array import array
 from collections import Counter
 
@@ -34,7 +35,9 @@ from querylens.llm._spark import written
 from querylens.llm._tokens import packed, unpacked
 
 #: A batch ends with the text that brings it to so many distinct pre-tokens, or to so many (text, pre-token) entries.
-KINDS, ENTRIES = 100_000, 2_000_000
+KINDS, ENTRIES = 300_000, 4_000_000
+#: Buckets of pre-tokens; one for each eight partitions if those are more.
+LEAST_BUCKETS = 64
 SAFE = 0x250
 # Fixed value: the pre-token pattern of byte-level BPE vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -78,19 +81,51 @@ class PreTokens:
         return [len(x) for x in self.tokenizer.encode_batch_fast(tokens, add_special_tokens=False)]
 
 
-BODY = "batch long, doc_id array<long>, n_bytes array<long>, special array<long>, distinct array<long>, kinds array<string>, which binary, times binary"
+BODY = "batch long, doc_id array<long>, n_bytes array<long>, special array<long>, distinct array<long>, which binary, times binary, kinds array<binary>"
 
 
-def frequencies(tokenizer: str):
-    """Arrow batches (doc_id, text) -> one row a batch of texts: its distinct pre-tokens and those of each text."""
+def strings(tokens: list[str]) -> bytes:
+    """Texts as one: lengths and characters, compressed."""
+    raw = [x.encode() for x in tokens]
+    lengths, data = packed(np.array([len(x) for x in raw], dtype=np.uint32)), b"".join(raw)
+    return len(lengths).to_bytes(8, "little") + lengths + len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
+
+
+def listed(data: bytes) -> list[str]:
+    n = int.from_bytes(data[:8], "little")
+    end = np.cumsum(unpacked(data[8 : 8 + n]).astype(np.int64)).tolist()
+    size = int.from_bytes(data[8 + n : 16 + n], "little")
+    raw = pa.decompress(data[16 + n :], decompressed_size=size, codec="zstd", asbytes=True) if size else b""
+    return [raw[a:b].decode() for a, b in zip([0, *end], end, strict=False)]
+
+
+def frequencies(tokenizer: str, buckets: int):
+    """Arrow batches (doc_id, text) -> one row a batch of texts: its distinct pre-tokens and those of each text.
+
+    ``kinds`` has the pre-tokens of each bucket in order; a text's places count through all buckets, ascending, and
+    ``which`` holds their steps.
+    """
 
     def body(number: int, ids: list, lists: tuple, kinds: dict, which: array, times: array) -> pa.RecordBatch:
         def one(x: pa.Array) -> pa.Array:
             return pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
 
-        columns = [pa.array([number], pa.int64()), one(pa.concat_arrays(ids)), *(one(pa.array(np.frombuffer(x, dtype=np.int64))) for x in lists), one(pa.array(list(kinds), pa.string()))]
-        columns += [pa.array([packed(np.frombuffer(x, dtype=np.uint32))], pa.binary()) for x in (which, times)]
-        return pa.RecordBatch.from_arrays(columns, ["batch", "doc_id", "n_bytes", "special", "distinct", "kinds", "which", "times"])
+        dealt: list[list[str]] = [[] for _ in range(buckets)]
+        for x in sorted(kinds):
+            dealt[zlib.crc32(x.encode()) % buckets].append(x)
+        place = np.empty(len(kinds), dtype=np.int64)
+        place[[kinds[x] for part in dealt for x in part]] = np.arange(len(kinds))
+        distinct = np.frombuffer(lists[2], dtype=np.int64)
+        at, n = place[np.frombuffer(which, dtype=np.uint32)], np.frombuffer(times, dtype=np.uint32)
+        order = np.lexsort((at, np.repeat(np.arange(len(distinct)), distinct)))
+        at, n = at[order], n[order]
+        step = np.diff(at, prepend=0)
+        first = (np.cumsum(distinct) - distinct)[distinct > 0]
+        step[first] = at[first]
+        columns = [pa.array([number], pa.int64()), one(pa.concat_arrays(ids)), *(one(pa.array(np.frombuffer(x, dtype=np.int64))) for x in lists)]
+        columns += [pa.array([packed(x.astype(np.uint32))], pa.binary()) for x in (step, n)]
+        columns.append(one(pa.array([strings(part) for part in dealt], pa.binary())))
+        return pa.RecordBatch.from_arrays(columns, ["batch", "doc_id", "n_bytes", "special", "distinct", "which", "times", "kinds"])
 
     def run(batches):
         cutter, number = PreTokens(tokenizer), TaskContext.get().partitionId() << 33
@@ -118,12 +153,17 @@ def frequencies(tokenizer: str):
 
 
 def encoded(tokenizer: str):
-    """Arrow batches (token) -> (token, pieces)."""
-
-    def run(batches):
-        cutter = PreTokens(tokenizer)
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cutter.pieces(b.column(0).to_pylist()), pa.int32())], ["token", "pieces"])
+    """The pre-tokens (bucket, of, tokens) of one bucket -> (of, bucket, pieces): for each batch ``of`` their pieces in order."""
+
+    def run(asked: pa.Table) -> pa.Table:
+        cutter, known = PreTokens(tokenizer), {}
+        out = []
+        for row in range(len(asked)):
+            tokens = listed(asked.column("tokens")[row].as_py())
+            new = [x for x in tokens if x not in known]
+            known.update(zip(new, cutter.pieces(new), strict=True))
+            out.append(packed(np.array([known[x] for x in tokens], dtype=np.uint32)))
+        return pa.table({"of": asked.column("of"), "bucket": asked.column("bucket"), "pieces": pa.array(out, pa.binary())})
 
     return run
 
@@ -132,16 +172,19 @@ RESULT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens"
 
 
 def summed(limit: int):
-    """A batch's body and the pieces of its pre-tokens (place, pieces) -> its texts' counts."""
+    """A batch's body and the pieces of its pre-tokens, a row a bucket -> its texts' counts."""
 
     def run(body: pa.Table, replies: pa.Table) -> pa.Table:
         ids, n_bytes, special, distinct = (body.column(k).combine_chunks().flatten() for k in ("doc_id", "n_bytes", "special", "distinct"))
-        which, times = (unpacked(body.column(k)[0].as_py()).astype(np.int64) for k in ("which", "times"))
-        pieces = np.zeros(len(replies), dtype=np.int64)
-        pieces[replies.column("place").to_numpy()] = replies.column("pieces").to_numpy()
-        sums = np.concatenate(([0], np.cumsum(pieces[which] * times)))
-        end = np.cumsum(distinct.to_numpy())
-        n = sums[end] - sums[end - distinct.to_numpy()] + special.to_numpy()
+        step, times = (unpacked(body.column(k)[0].as_py()).astype(np.int64) for k in ("which", "times"))
+        pieces = np.concatenate([np.zeros(0, dtype=np.uint32), *(unpacked(x) for x in replies.sort_by("bucket").column("pieces").to_pylist())]).astype(np.int64)
+        distinct = distinct.to_numpy()
+        end = np.cumsum(distinct)
+        # Steps begin anew with each text.
+        run_on = np.cumsum(step)
+        base = np.concatenate(([0], run_on))[end - distinct]
+        sums = np.concatenate(([0], np.cumsum(pieces[run_on - np.repeat(base, distinct)] * times)))
+        n = sums[end] - sums[end - distinct] + special.to_numpy()
         return pa.Table.from_arrays([ids, n_bytes, pa.array(n), pa.array(n > limit)], schema=RESULT)
 
     return run
@@ -150,10 +193,10 @@ def summed(limit: int):
 def token_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 512) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit; ``tokenizer`` is a path that every worker has, as an installed file."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    bodies = written(texts.mapInArrow(frequencies(tokenizer), BODY), "frequencies")
-    kinds = bodies.select("batch", F.posexplode("kinds").alias("place", "token"))
-    pieces = kinds.groupBy("token").agg(F.count("*").alias("n")).select("token").mapInArrow(encoded(tokenizer), "token string, pieces int")
-    replies = kinds.join(pieces, "token").select(F.col("batch").alias("of"), "place", "pieces")
+    buckets = max(LEAST_BUCKETS, docs.rdd.getNumPartitions() // 8)
+    bodies = written(texts.mapInArrow(frequencies(tokenizer, buckets), BODY), "frequencies")
+    asked = bodies.select(F.col("batch").alias("of"), F.posexplode("kinds").alias("bucket", "tokens"))
+    replies = asked.groupBy("bucket").applyInArrow(encoded(tokenizer), "of long, bucket int, pieces binary")
     return bodies.drop("kinds").groupBy("batch").cogroup(replies.groupBy("of")).applyInArrow(summed(limit), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
 
 

@@ -62,13 +62,18 @@ def test_token_counts_equal_the_library(spark, tokenizer_path, monkeypatch, kind
     assert got == Counter((i, len(t.encode(x, add_special_tokens=False).ids)) for i, x in rows)
 
 
-def test_each_pre_token_is_encoded_once(spark, tokenizer_path):
-    rows = [(i, "one two two three") for i in range(50)]
-    plan = TC.token_counts(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), tokenizer_path)
-    assert {tuple(r)[1:3] for r in plan.collect()} == {(17, 4)}
-    kinds = spark.createDataFrame([(b, p, x) for b in range(5) for p, x in enumerate(["one", " two"])], "batch long, place int, token string")
-    out = kinds.groupBy("token").count().select("token").mapInArrow(TC.encoded(tokenizer_path), "token string, pieces int").collect()
-    assert sorted(map(tuple, out)) == [(" two", 1), ("one", 1)]
+def test_each_pre_token_is_encoded_once(tokenizer_path, monkeypatch):
+    seen, own = [], TC.PreTokens.pieces
+    monkeypatch.setattr(TC.PreTokens, "pieces", lambda self, tokens: seen.extend(tokens) or own(self, tokens))
+    asked = pa.table({"bucket": [4, 4, 4], "of": [1, 2, 3], "tokens": [TC.strings(x) for x in (["one", " two"], [" two", "three"], [])]})
+    out = TC.encoded(tokenizer_path)(asked).to_pylist()
+    assert seen == ["one", " two", "three"] and [TC.unpacked(r["pieces"]).tolist() for r in out] == [[1, 1], [1, 1], []]
+    assert [(r["of"], r["bucket"]) for r in out] == [(1, 4), (2, 4), (3, 4)]
+
+
+def test_packed_strings():
+    for tokens in ([], [""], ["a", "\0", "é 数", "x" * 1000, ""]):
+        assert TC.listed(TC.strings(tokens)) == tokens
 
 
 @pytest.mark.parametrize("values", [[], [0], [1, 65535, 65536, 2**32 - 1, 7]])
