@@ -7,40 +7,41 @@ from pyspark.sql import functions as F
 
 from querylens.functions.text import match_form, phrase_values
 
-# Lexicons (value: its phrases), in the order that decides which phrase comes first.
+# Lexicons (value: its phrases). A phrase keeps its first place, its last value counts.
 COLOURS = {
-    "siyah": "siyah,black",
-    "beyaz": "beyaz,white,ekru,kırık beyaz",
-    "kırmızı": "kırmızı,kirmizi,red,bordo,şarap,sarap",
-    "mavi": "mavi,blue,lacivert,indigo,navy,deniz mavisi",
-    "yeşil": "yeşil,yesil,green,haki,zeytin,mint",
-    "sarı": "sarı,sari,yellow,gold,altın",
-    "turuncu": "turuncu,orange",
-    "pembe": "pembe,pink,fuşya,fusya",
-    "mor": "mor,purple,violet,lila,leylak",
-    "gri": "gri,gray,grey,antrasit,füme,fume,gümüş,gumus",
-    "kahverengi": "kahverengi,kahve,brown,taba,tan,camel",
-    "bej": "bej,beige,kum,krem",
+    "siyah": ("siyah", "black"),
+    "beyaz": ("beyaz", "white", "krem", "ekru", "kırık beyaz"),
+    "kırmızı": ("kırmızı", "kirmizi", "red", "bordo", "şarap", "sarap"),
+    "mavi": ("mavi", "blue", "lacivert", "indigo", "navy", "deniz mavisi"),
+    "yeşil": ("yeşil", "yesil", "green", "haki", "zeytin", "mint"),
+    "sarı": ("sarı", "sari", "yellow", "gold", "altın"),
+    "turuncu": ("turuncu", "orange"),
+    "pembe": ("pembe", "pink", "fuşya", "fusya"),
+    "mor": ("mor", "purple", "violet", "lila", "leylak"),
+    "gri": ("gri", "gray", "grey", "antrasit", "füme", "fume", "gümüş", "gumus"),
+    "kahverengi": ("kahverengi", "kahve", "brown", "taba", "tan", "camel", "bej", "beige"),
+    "bej": ("bej", "beige", "kum", "krem"),
 }
 MATERIALS = {
-    "deri": "deri,leather,nubuk,süet,suede,nappa",
-    "kumaş": "kumaş,fabric,tekstil,dokuma",
-    "pamuk": "pamuk,pamuklu,cotton,viskon,viscose",
-    "polyester": "polyester,polyamid,naylon,nylon,sentetik",
-    "yün": "yün,wool,kaşmir,cashmere,angora",
-    "keten": "keten,linen",
-    "ipek": "ipek,silk,saten,satin",
-    "spandex": "spandex,elastan,elastane,likra,lycra",
+    "deri": ("deri", "leather", "nubuk", "süet", "suede", "nappa"),
+    "kumaş": ("kumaş", "fabric", "tekstil", "dokuma"),
+    "pamuk": ("pamuk", "pamuklu", "cotton", "viskon", "viscose"),
+    "polyester": ("polyester", "polyamid", "naylon", "nylon", "sentetik"),
+    "yün": ("yün", "wool", "kaşmir", "cashmere", "angora"),
+    "keten": ("keten", "linen"),
+    "ipek": ("ipek", "silk", "saten", "satin"),
+    "spandex": ("spandex", "elastan", "elastane", "likra", "lycra"),
 }
-GENDERS = {"kadın": "kadın,bayan,women,kız,girl", "erkek": "erkek,bay,men,boy"}
-AGES = {"bebek": "bebek,baby,infant", "çocuk": "çocuk,cocuk,kids,kid,child", "genç": "genç,genc,teen,junior", "yetişkin": "yetişkin,yetiskin,adult"}
+GENDERS = {"kadın": ("kadın", "bayan", "women", "kız", "girl"), "erkek": ("erkek", "bay", "men", "boy")}
+AGES = {"bebek": ("bebek", "baby", "infant"), "çocuk": ("çocuk", "cocuk", "kids", "kid", "child"), "genç": ("genç", "genc", "teen", "junior"), "yetişkin": ("yetişkin", "yetiskin", "adult")}
+# The keys under which attributes name a colour, a size or a material.
 COLOUR_KEYS = ("renk", "color", "colour", "ana renk", "primary color")
 SIZE_KEYS = ("beden", "numara", "size", "no", "ayakkabı numarası", "beden/numara", "elbise bedeni", "pantolon bedeni")
 MATERIAL_KEYS = ("materyal", "kumaş", "material", "fabric", "ana madde", "dış malzeme")
 
 
-def lexicon(groups: dict[str, str]) -> dict[str, str]:
-    return {phrase: value for value, phrases in groups.items() for phrase in phrases.split(",")}
+def lexicon(groups: dict[str, tuple[str, ...]]) -> dict[str, str]:
+    return {phrase: value for value, phrases in groups.items() for phrase in phrases}
 
 
 FLAT_KEY = r"(?:^|,)\s*([^,:{}]+?)\s*:"
@@ -87,32 +88,41 @@ def flat_text(m: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(F.array_join(entries, " ")), r"[^\p{L}\p{N}]+", " "))
 
 
+def known_or_raw(raw: Column, groups: dict[str, tuple[str, ...]]) -> Column:
+    """The lexicon's value of what an item says, or the folded words themselves."""
+    return F.coalesce(F.get(phrase_values(raw, lexicon(groups)), 0), F.lower(raw))
+
+
 def item_colour(m: Column) -> Column:
-    return F.coalesce(F.get(phrase_values(attribute_value(m, COLOUR_KEYS), lexicon(COLOURS)), 0), F.lit(""))
+    return known_or_raw(attribute_value(m, COLOUR_KEYS), COLOURS)
 
 
 def item_material(m: Column) -> Column:
-    return F.coalesce(F.get(phrase_values(attribute_value(m, MATERIAL_KEYS), lexicon(MATERIALS)), 0), F.lit(""))
+    return known_or_raw(attribute_value(m, MATERIAL_KEYS), MATERIALS)
 
 
+# Patterns of sizes in queries with the group that holds the size, letter sizes, and numbers in items.
 SIZE_PATTERNS = (
-    r"(?<![\p{L}\p{N}])(3xl|xxl|2xl|xxs|xl|xs|s|m|l)(?![\p{L}\p{N}])",
-    r"(?<![\p{N}.,])(\d{1,3}(?:[.,]\d)?)\s*(?:numara|no|beden|size)(?![\p{L}])",
-    r"(?:numara|beden|size)\s*:?\s*(\d{1,3}(?:[.,]\d)?)(?![\p{N}])",
-    r"(?<![\p{N}])(\d{2,3})\s*cm(?![\p{L}])",
+    (r"(?U)\b(xs|s|m|l|xl|xxl|xxxl|2xl|3xl)\b", 1),
+    (r"(?U)\b(\d{1,2}[.,]?\d?)\s*(numara|no|beden|size)\b", 1),
+    (r"(?U)\b(numara|beden|size)\s*:?\s*(\d{1,2}[.,]?\d?)\b", 2),
+    (r"(?U)\b(\d{2,3})\s*cm\b", 1),
 )
+SIZE_LETTERS = ("xs", "s", "m", "l", "xl", "xxl", "xxxl", "2xl", "3xl")
+SIZE_NUMBER = r"(?U)(\d{1,3}[.,]?\d?)"
 
 
 def query_sizes(c: Column) -> Column:
     low = F.lower(F.coalesce(c, F.lit("")))
-    found = F.flatten(F.array(*[F.regexp_extract_all(low, F.lit(p), F.lit(1)) for p in SIZE_PATTERNS]))
-    return F.array_distinct(F.transform(found, lambda x: F.replace(x, F.lit(","), F.lit("."))))
+    found = F.flatten(F.array(*[F.regexp_extract_all(low, F.lit(p), F.lit(g)) for p, g in SIZE_PATTERNS]))
+    return F.array_distinct(F.transform(found, lambda x: F.replace(F.trim(x), F.lit(","), F.lit("."))))
 
 
 def item_size(m: Column) -> Column:
-    """The size attribute: a letter size or a number with a point."""
-    raw = F.replace(attribute_value(m, SIZE_KEYS), F.lit(","), F.lit("."))
-    return F.regexp_extract(raw, r"(?<![\p{L}\p{N}])(3xl|xxl|2xl|xxs|xl|xs|s|m|l|\d{1,3}(?:\.\d)?)(?![\p{L}\p{N}])", 1)
+    """The size attribute: a letter size, else its first number with a point, else what it says."""
+    raw = F.trim(F.lower(attribute_value(m, SIZE_KEYS)))
+    number = F.replace(F.regexp_extract(raw, SIZE_NUMBER, 1), F.lit(","), F.lit("."))
+    return F.when(raw.isin(*SIZE_LETTERS) | (number == ""), raw).otherwise(number)
 
 
 def query_colours(c: Column) -> Column:

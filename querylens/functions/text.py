@@ -115,9 +115,9 @@ def char_ngram_jaccard(a: Column, b: Column, n: int = 3) -> Column:
     return jaccard(char_ngrams(a, n), char_ngrams(b, n))
 
 
-def category_overlap(a: Column, b: Column) -> Column:
-    """Length of the shared path prefix over the deeper path's depth."""
-    x, y = category_levels(F.lower(_text(a))), category_levels(F.lower(_text(b)))
+def category_overlap(a: Column, b: Column, form=lambda c: F.lower(_text(c))) -> Column:
+    """Length of the shared path prefix over the deeper path's depth; levels are compared in their ``form``."""
+    x, y = (F.filter(F.transform(F.split(_text(c), "/"), lambda p: F.trim(form(p))), lambda p: p != "") for c in (a, b))
     same = F.zip_with(x, y, lambda p, q: F.coalesce(p == q, F.lit(False)))
     prefix = F.aggregate(same, F.struct(F.lit(True).alias("on"), F.lit(0).alias("n")), lambda s, e: F.struct((s["on"] & e).alias("on"), (s["n"] + (s["on"] & e).cast("int")).alias("n")), lambda s: s["n"])
     return ratio(prefix, F.greatest(F.size(x), F.size(y)))

@@ -10,6 +10,7 @@ from querylens.functions import numeric as N
 from querylens.functions import text as X
 from querylens.operators.ranking import average_rank
 
+# The names of the features.
 LEXICAL = (
     "query_title_overlap", "query_title_coverage", "query_title_precision", "query_title_phrase", "query_category_overlap", "query_category_coverage",
     "query_model_token_match", "query_model_token_conflict", "query_brand_match", "query_cat_l1_overlap", "title_len", "query_len", "title_token_count",
@@ -105,32 +106,59 @@ def model_matrix(df: DataFrame) -> DataFrame:
     return df.select(*[F.col(c).cast("float").alias(c) for c in MODEL])
 
 
-def wide_features(df: DataFrame) -> DataFrame:
-    """40 features in four blocks of ten: text, attributes, retrieval, scores.
+# The names of the 40 columns, in four blocks of ten.
+WIDE = (
+    "exact_brand_match", "brand_levenshtein_sim", "brand_jaccard_sim", "char_1gram_jaccard", "char_2gram_jaccard", "char_3gram_jaccard", "word_overlap_ratio", "title_length_ratio", "query_word_count", "title_word_count",
+    "color_match_score", "size_match_score", "material_match_score", "attribute_conflict_penalty", "has_color_in_query", "has_size_in_query", "has_material_in_query", "color_jaccard", "size_jaccard", "material_jaccard",
+    "category_depth_overlap", "category_exact_match", "bm25_score", "dense_cosine_sim", "bm25_rank", "dense_rank", "rrf_fusion_score", "bm25_rank_reciprocal", "dense_rank_reciprocal", "is_top5_hybrid",
+    "cross_encoder_score", "cross_encoder_prob_sigmoid", "cross_encoder_x_bm25", "cross_encoder_x_dense", "score_rank_diff", "score_ratio_bm25_dense", "bm25_normalized", "dense_normalized", "hybrid_blend_score", "final_confidence_signal",
+)
+
+
+def wide_features(df: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """The columns ``keep`` (by default all of the input that are no result) and the 40 features WIDE.
 
-    Input: query, title, brand, category, attributes, bm25_score, dense_score, cross_encoder_score, bm25_rank, dense_rank.
+    Input: query, title, brand, category, attributes (``Key: value | Key: value``), bm25_score, dense_score,
+    cross_encoder_score, bm25_rank, dense_rank; missing scores are 0 and missing ranks 200. Normal forms and the item's
+    attributes are made once, before the features that share them.
     """
-    q, t, qt, tt, ct = (F.col(c) for c in ("_q", "_t", "_qt", "_tt", "_ct"))
-    colour, size, material = F.col("_colour"), F.col("_size"), F.col("_material")
-    cm, sm, mm = F.col("_cm"), F.col("_sm"), F.col("_mm")
-    own = df.columns
-    df = df.withColumns({"_q": X.match_form(F.col("query")), "_t": X.match_form(F.col("title")), "_qt": X.token_set(F.col("query")), "_tt": X.token_set(F.col("title")), "_ct": X.token_set(F.col("category")), "_map": A.attribute_map(F.col("attributes"))})
-    df = df.withColumns({"_colour": A.item_colour(F.col("_map")), "_size": A.item_size(F.col("_map")), "_material": A.item_material(F.col("_map"))})
-    df = df.withColumns({"_cm": A.three_way(A.query_colours(F.col("query")), colour), "_sm": A.three_way(A.query_sizes(F.col("query")), size), "_mm": A.three_way(A.query_materials(F.col("query")), material)})
-    bm25, dense, cross = F.col("bm25_score"), F.col("dense_score"), F.col("cross_encoder_score")
-    rb, rd = F.col("bm25_rank"), F.col("dense_rank")
-    made = {
-        "text_jaccard": X.jaccard(qt, tt), "text_coverage": X.share_of_first(qt, tt), "text_precision": X.share_of_first(tt, qt), "text_levenshtein": X.levenshtein_similarity(q, t),
-        "text_trigram_jaccard": X.char_ngram_jaccard(q, t, 3), "text_bigram_jaccard": X.char_ngram_jaccard(q, t, 2), "text_phrase": X.holds_phrase(F.col("title"), F.col("query")), "text_query_tokens": F.size(qt),
-        "text_title_tokens": F.size(tt), "text_length_ratio": X.ratio(F.length(q), F.length(t)),
-        "attr_brand_match": X.holds_phrase(F.col("query"), F.col("brand")), "attr_color_match": cm, "attr_size_match": sm, "attr_material_match": mm, "attr_conflicts": (cm == -1).cast("int") + (sm == -1).cast("int") + (mm == -1).cast("int"),
-        "attr_has_color": colour != "", "attr_has_size": size != "", "attr_has_material": material != "", "attr_category_jaccard": X.jaccard(qt, ct), "attr_category_depth": F.size(X.category_levels(F.col("category"))),
-        "ret_bm25_score": bm25, "ret_dense_score": dense, "ret_bm25_rank": rb, "ret_dense_rank": rd, "ret_bm25_reciprocal": 1 / (1 + rb), "ret_dense_reciprocal": 1 / (1 + rd), "ret_rrf": 1 / (60 + rb) + 1 / (60 + rd),
-        "ret_rank_gap": F.abs(rb - rd), "ret_best_rank": F.least(rb, rd), "ret_in_both_top10": (rb <= 10) & (rd <= 10),
-        "score_cross": cross, "score_cross_sigmoid": N.sigmoid(cross), "score_bm25_log1p": F.log1p(F.greatest(bm25, F.lit(0.0))), "score_bm25_dense": bm25 * dense, "score_cross_bm25": cross * bm25, "score_cross_dense": cross * dense,
-        "score_mean": (bm25 + dense + cross) / 3, "score_max": F.greatest(bm25, dense, cross), "score_min": F.least(bm25, dense, cross), "score_dense_minus_cross": dense - N.sigmoid(cross),
+    keep = [c for c in df.columns if c not in WIDE] if keep is None else keep
+
+    def given(name: str, default: float) -> Column:
+        return F.coalesce(F.col(name).cast("double"), F.lit(default)) if name in df.columns else F.lit(default)
+
+    attributes = F.col("attributes")
+    size = F.coalesce(F.nullif(A.piped_value(attributes, "beden"), F.lit("")), A.piped_value(attributes, "numara"))
+    raw = {"_colour": A.piped_value(attributes, "renk"), "_size": size, "_material": A.piped_value(attributes, "materyal")}
+    signals = {"_bm": given("bm25_score", 0.0), "_de": given("dense_score", 0.0), "_rb": given("bm25_rank", 200.0), "_rd": given("dense_rank", 200.0), "_ce": given("cross_encoder_score", 0.0)}
+    form = df.withColumns({f"_{c[0]}": X.search_form(F.col(c)) for c in ("query", "title", "brand", "category")} | raw | signals)
+    form = form.withColumns({"_qw": X.words(F.col("_q")), "_tw": X.words(F.col("_t")), "_prob": N.sigmoid(F.col("_ce"))})
+    q, t, brand, qw, tw = (F.col(c) for c in ("_q", "_t", "_b", "_qw", "_tw"))
+    bm, de, rb, rd, ce, prob = (F.col(c) for c in ("_bm", "_de", "_rb", "_rd", "_ce", "_prob"))
+
+    def grams(a: Column, b: Column, n: int) -> Column:
+        """Overlap of the character n-grams of two normal forms; 0 if either is empty."""
+        return F.when((a == "") | (b == ""), F.lit(0.0)).otherwise(X.char_ngram_jaccard(a, b, n))
+
+    made: dict[str, Column] = {
+        "exact_brand_match": (brand != "") & (F.contains(q, brand) | F.contains(t, brand)), "brand_levenshtein_sim": F.when((brand == "") | (q == ""), F.lit(0.0)).otherwise(X.levenshtein_similarity(brand, q)), "brand_jaccard_sim": grams(brand, q, 3),
+        **{f"char_{n}gram_jaccard": grams(q, t, n) for n in (1, 2, 3)},
+        "word_overlap_ratio": X.ratio(F.size(F.array_intersect(qw, tw)), F.size(qw)), "title_length_ratio": F.length(t) / F.greatest(F.length(q), F.lit(1)), "query_word_count": F.size(qw), "title_word_count": F.size(tw),
+    }
+    scores = []
+    for name, own in (("color", "_colour"), ("size", "_size"), ("material", "_material")):
+        value, clean = F.col(own), X.search_form(F.col(own))
+        score = F.when(value == "", 0.5).when(F.contains(q, clean), 1.0).otherwise(0.0)
+        scores.append(score)
+        made |= {f"{name}_match_score": score, f"has_{name}_in_query": value != "", f"{name}_jaccard": grams(clean, q, 2)}
+    rrf = 1 / (60 + rb) + 1 / (60 + rd)
+    made |= {
+        "attribute_conflict_penalty": F.least(*scores) == 0, "category_depth_overlap": X.category_overlap(q, F.col("category"), X.search_form), "category_exact_match": F.contains(q, F.col("_c")),
+        "bm25_score": bm, "dense_cosine_sim": de, "bm25_rank": rb, "dense_rank": rd, "rrf_fusion_score": rrf, "bm25_rank_reciprocal": 1 / F.greatest(rb, F.lit(1.0)), "dense_rank_reciprocal": 1 / F.greatest(rd, F.lit(1.0)), "is_top5_hybrid": (rb <= 5) | (rd <= 5),
+        "cross_encoder_score": ce, "cross_encoder_prob_sigmoid": prob, "cross_encoder_x_bm25": prob * bm, "cross_encoder_x_dense": prob * de, "score_rank_diff": F.abs(rb - rd), "score_ratio_bm25_dense": bm / F.greatest(de, F.lit(1e-5)),
+        "bm25_normalized": F.least(bm / 20, F.lit(1.0)), "dense_normalized": F.least(de, F.lit(1.0)), "hybrid_blend_score": 0.5 * bm + 0.5 * de, "final_confidence_signal": 0.6 * prob + 0.4 * rrf,
     }
-    return df.select(*own, *[c.cast("double").alias(n) for n, c in made.items()])
+    return form.select(*keep, *[made[c].cast("double").alias(c) for c in WIDE])
 
 
 def item_text(df: DataFrame, with_attributes: bool = True) -> Column:
@@ -168,7 +196,7 @@ def query_segments(q: Column) -> dict[str, Column]:
     """Length class by distinct words, and whether the query names a colour, a size, a material or a model."""
     tokens = X.token_set(q)
     n = F.size(tokens)
-    colours, materials = ([w for words in g.values() for w in words.split(",") if " " not in w] for g in (A.COLOURS, A.MATERIALS))
+    colours, materials = ([w for words in g.values() for w in words if " " not in w] for g in (A.COLOURS, A.MATERIALS))
     sizes = "xs s m l xl xxl 3xl beden numara size".split()
     return {
         "length_class": F.when(n == 1, "Head").when(n.between(2, 3), "Medium").otherwise("Tail"),

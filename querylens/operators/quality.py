@@ -10,9 +10,14 @@ from querylens.functions import text as X
 from querylens.operators import metrics as M
 from querylens.operators.ranking import capped_top, top_k
 
-COLOUR_WORD = r"(?i)(^|[,|;{\s'\"])(renk|color|colour)\s*['\"]?\s*:"
-SIZE_WORD = r"(?i)(^|[,|;{\s'\"])(beden|numara|size)\s*['\"]?\s*:"
-MATERIAL_WORD = r"(?i)(^|[,|;{\s'\"])(materyal|kumaş|material|fabric)\s*['\"]?\s*:"
+# What an attribute text must hold to count as naming a colour, a size or a material.
+COVERAGE = {
+    "renk_coverage": r"renk\s*[:\|]?\s*\w+",
+    "beden_coverage": r"(?:beden|numara|size)\s*[:\|]?\s*[\w,]+",
+    "materyal_coverage": r"(?:materyal|kumaş|malzeme)\s*[:\|]?\s*\w+",
+}
+#: How nulls read as text; such attributes and brands count as none.
+NONE = ("", "nan", "None")
 
 
 def duplicate_queries(terms: DataFrame) -> DataFrame:
@@ -22,8 +27,9 @@ def duplicate_queries(terms: DataFrame) -> DataFrame:
 
 
 def coverage_columns(attributes: Column) -> list[Column]:
-    text = F.coalesce(attributes, F.lit(""))
-    return [F.avg((F.trim(text) != "").cast("double")).alias("non_null_rate"), *[F.avg(text.rlike(p).cast("double")).alias(n) for n, p in (("renk_coverage", COLOUR_WORD), ("beden_coverage", SIZE_WORD), ("materyal_coverage", MATERIAL_WORD))]]
+    text = F.coalesce(attributes, F.lit("nan"))
+    filled = F.avg((~text.isin(*NONE)).cast("double")).alias("non_null_rate")
+    return [filled, *[F.avg(text.rlike(f"(?iU){p}").cast("double")).alias(name) for name, p in COVERAGE.items()]]
 
 
 def attribute_coverage(items: DataFrame, least: int = 10) -> DataFrame:
@@ -40,12 +46,24 @@ def label_consistency(pairs: DataFrame) -> DataFrame:
 
 
 def metadata_report(items: DataFrame) -> DataFrame:
-    """One row: brands, null rates and depth of the category path, counted over raw ``/`` splits."""
-    depth = F.size(F.split(F.coalesce("category", F.lit("")), "/"))
-    blank = lambda c: F.lower(F.trim(F.coalesce(F.col(c), F.lit("")))).isin("", "nan", "none")
-    return items.agg(
-        F.count("*").alias("n_items"), F.count_distinct("brand").alias("n_brands"), F.avg(blank("brand").cast("double")).alias("brand_null_rate"), F.avg(depth.cast("double")).alias("depth_mean"), F.min(depth).alias("depth_min"), F.max(depth).alias("depth_max"),
-    )
+    """One row: brands (null is one of them), null rates, and depths of the category path over raw ``/`` splits."""
+    depth = F.size(F.split(F.coalesce("category", F.lit("nan")), "/"))
+    brand = F.coalesce(F.col("brand"), F.lit("nan"))
+    made = [
+        F.count("*").alias("n_items"), F.count_distinct(brand).alias("n_brands"), F.avg(brand.isin(*NONE).cast("double")).alias("brand_null_rate"),
+        F.avg(depth.cast("double")).alias("depth_mean"), F.min(depth).alias("depth_min"), F.max(depth).alias("depth_max"),
+    ]
+    if "gender" in items.columns:  # a null counts by itself and as the text that it reads as
+        gender = F.col("gender")
+        reads = F.lower(F.coalesce(gender, F.lit("nan"))).isin("nan", "none", "")
+        made.append((F.avg(gender.isNull().cast("double")) + F.avg(reads.cast("double"))).alias("gender_null_rate"))
+    return items.agg(*made)
+
+
+def depth_distribution(items: DataFrame) -> DataFrame:
+    """(depth, n): items by the depth of their category path."""
+    depth = F.size(F.split(F.coalesce("category", F.lit("nan")), "/")).alias("depth")
+    return items.groupBy(depth).agg(F.count("*").alias("n"))
 
 
 def value_shares(items: DataFrame, column: str) -> DataFrame:

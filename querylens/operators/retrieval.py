@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from querylens.functions.numeric import dot
 from querylens.operators.ranking import top_k
+from querylens.sources.scratch import saved, spread
 
 #: Query rows (words of all queries) that may be broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
@@ -14,15 +15,10 @@ BROADCAST_ROWS = 500_000
 
 def postings(docs: DataFrame, tokens: Column, doc: str = "doc_id") -> DataFrame:
     """(doc, token, tf, dl): the inverted index."""
-    counted = docs.select(doc, tokens.alias("_t")).select(doc, F.size("_t").alias("dl"), F.explode("_t").alias("token"))
+    counted = spread(docs).select(doc, tokens.alias("_t")).select(doc, F.size("_t").alias("dl"), F.explode("_t").alias("token"))
     return counted.groupBy(doc, "token", "dl").agg(F.count("*").alias("tf"))
 
 
-def corpus_size(docs: DataFrame, tokens: Column) -> tuple[int, float]:
-    row = docs.agg(F.count("*").alias("n"), F.avg(F.size(tokens)).alias("avgdl")).first()
-    return row["n"], row["avgdl"] or 0.0
-
-
 def small_or_not(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` marked for a broadcast if it has no more than ``rows`` rows."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
@@ -35,13 +31,17 @@ def bm25(docs: DataFrame, queries: DataFrame, doc_tokens: Column, query_tokens:
     place of negative values, and "eligible" the same with the mean over the indexed tokens. Tokens in more than
     ``max_df_ratio`` of the documents are left out of the index.
     """
-    n, average = corpus_size(docs, doc_tokens)
+    n = docs.count()
     if not n:
         return docs.select(F.lit(None).cast("long").alias(query), doc, F.lit(0.0).alias("score"), F.lit(1).cast("long").alias("rank")).limit(0)
     words = queries.select(query, F.explode(query_tokens).alias("token")).groupBy(query, "token").agg(F.count("*").alias("qtf"))
-    words = small_or_not(words)
-    index = postings(docs, doc_tokens, doc)
+    words = saved(words, "query-words")
+    # Texts are normalised and split once: the written postings serve every count and the scores.
+    index = saved(postings(docs, doc_tokens, doc), "postings")
+    average = (index.agg(F.sum("tf")).first()[0] or 0) / n
     df = index.groupBy("token").agg(F.count("*").alias("df"))
+    if idf == "okapi":  # no mean over all tokens is asked for
+        df = index.join(small_or_not(words.select("token").distinct()), "token", "left_semi").groupBy("token").agg(F.count("*").alias("df"))
     cut = n * max_df_ratio if max_df_ratio is not None else n
     limit = F.col("df") <= (int(cut) if idf == "eligible" else F.lit(float(cut)))
     if idf == "okapi":
@@ -51,8 +51,8 @@ def bm25(docs: DataFrame, queries: DataFrame, doc_tokens: Column, query_tokens:
         base = df.filter(limit) if idf == "eligible" else df
         mean = base.agg(F.avg(raw)).first()[0] or 0.0
         weights = df.filter(limit).withColumn("idf", F.when(raw < 0, F.lit(0.25 * mean)).otherwise(raw))
-    asked = words.join(weights, "token")
-    part = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(average)))
+    asked = saved(words.join(weights, "token"), "asked")
+    part = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(max(average, 1e-9))))
     scored = index.join(small_or_not(asked), "token").groupBy(query, doc).agg(F.round(F.sum(part), 6).alias("score")).filter("score > 0")
     return top_k(scored, [query], [F.col("score").desc(), F.col(doc)], top)
 
@@ -147,7 +147,7 @@ def tfidf_tokens(c: Column, n: int = 1) -> Column:
 def tfidf_vocabulary(docs: DataFrame, text: str = "text", size: int = 10_000, min_df: int = 2, n: int = 1) -> DataFrame:
     """(token, cf, df, idf): the ``size`` most frequent tokens in at least ``min_df`` texts; ties by token."""
     total = docs.count()
-    once = docs.select(tfidf_tokens(F.col(text), n).alias("t")).withColumn("_id", F.monotonically_increasing_id())
+    once = spread(docs).select(tfidf_tokens(F.col(text), n).alias("t")).withColumn("_id", F.monotonically_increasing_id())
     counts = once.select("_id", F.explode("t").alias("token")).groupBy("_id", "token").agg(F.count("*").alias("tf")).groupBy("token").agg(F.sum("tf").alias("cf"), F.count("*").alias("df"))
     kept = counts.filter(F.col("df") >= min_df).orderBy(F.col("cf").desc(), "token").limit(size)
     return kept.withColumn("idf", F.log((1 + F.lit(total)) / (1 + F.col("df"))) + 1)
@@ -155,7 +155,7 @@ def tfidf_vocabulary(docs: DataFrame, text: str = "text", size: int = 10_000, mi
 
 def tfidf_weights(docs: DataFrame, vocabulary: DataFrame, key: str, text: str = "text", n: int = 1) -> DataFrame:
     """(key, token, w): sublinear, L2-normalised weights. ``vocabulary`` has a bounded size and is broadcast."""
-    tf = docs.select(key, F.explode(tfidf_tokens(F.col(text), n)).alias("token")).groupBy(key, "token").agg(F.count("*").alias("tf"))
+    tf = spread(docs).select(key, F.explode(tfidf_tokens(F.col(text), n)).alias("token")).groupBy(key, "token").agg(F.count("*").alias("tf"))
     raw = tf.join(F.broadcast(vocabulary.select("token", "idf")), "token").withColumn("x", (1 + F.log("tf")) * F.col("idf"))
     return raw.select(key, "token", (F.col("x") / F.sqrt(F.sum(F.col("x") * F.col("x")).over(Window.partitionBy(key)))).alias("w"))
 

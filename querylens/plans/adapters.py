@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from querylens.functions.text import match_form, words
+from querylens.functions.text import match_form
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,9 +16,9 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "text", F.concat_ws("/", "lang", "source").alias("category"))
 
 
-def terms(spark: SparkSession, sf_dir: str, n_words: int = 6) -> DataFrame:
-    """Queries: the first words of each benchmark text."""
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(words(match_form(F.col("text"))), 1, n_words), " ").alias("query"))
+def terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queries: the benchmark texts."""
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), match_form(F.col("text")).alias("query"))
 
 
 def catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:

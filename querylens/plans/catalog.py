@@ -23,6 +23,7 @@ from querylens.plans import adapters as T
 from querylens.plans import sql as Z
 from querylens.sources import manifests as MF
 from querylens.sources import tables as IO
+from querylens.sources.scratch import saved
 from querylens.streaming import groups as G
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -120,6 +121,21 @@ def rrf_weighted(s, d):
     return R.rrf([(a, 0.5), (b, 0.5)])
 
 
+_BM50 = Z.bm25(_search % "text", _search % "query", "okapi", 1.2, 0.75, None, 50)
+
+
+@query(f"""WITH lex AS ({_BM50}), sem AS (SELECT query_id, vec_id AS doc_id, score, rank FROM (SELECT query_id, b.vec_id, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) DESC, b.vec_id) AS rank
+ FROM (SELECT item_id AS query_id, embedding FROM benchmark JOIN embeddings ON vec_id = item_id) a, embeddings b) WHERE rank <= 50),
+ j AS (SELECT query_id, doc_id, lex.score AS bm25_score, lex.rank AS bm25_rank, sem.score AS dense_score, sem.rank AS dense_rank FROM lex FULL JOIN sem USING (query_id, doc_id)),
+ k AS (SELECT *, round(coalesce(0.5::DOUBLE / (60 + bm25_rank), 0.0) + coalesce(0.5::DOUBLE / (60 + dense_rank), 0.0), 9) AS rrf_score FROM j)
+ SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf_score DESC, doc_id) AS rank FROM k) WHERE rank <= 100""")
+def lexical_dense_fusion(s, d):
+    """BM25 hits and dense hits of the benchmark texts, fused; a document's vector is the one with its number."""
+    vectors = T.table(s, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    asked = T.terms(s, d).select("query_id").join(vectors.select(F.col("doc_id").alias("query_id"), F.col("embedding").alias("qv")), "query_id")
+    return R.hybrid(_bm25(s, d, X.search_form, "okapi", 1.2, None, 50), R.dense_top(asked, vectors, 50, item="doc_id"), item="doc_id")
+
+
 def _scale(t: str, flat: str, c: str = "score", group: str = "query_id") -> str:
     w = f"OVER (PARTITION BY {group})"
     return f"CASE WHEN max({c}) {w} > min({c}) {w} THEN ({c} - min({c}) {w}) / (max({c}) {w} - min({c}) {w}) ELSE {flat} END"
@@ -145,17 +161,22 @@ def minmax_rerank(s, d):
 
 
 _TOK = r"list_filter(string_split(regexp_replace(strip_accents(lower(coalesce(%s, ''))), '[^\pL\pN_]+', ' ', 'g'), ' '), lambda t: length(t) >= 2)"
-_VOCAB = f"""tx AS (SELECT row_number() OVER () AS id, {_TOK % 'text'} AS t FROM documents), n AS (SELECT count(*) AS n FROM tx),
+_VOCAB = f"""{Z.TERMS}, tx AS (SELECT row_number() OVER () AS id, t FROM (SELECT {_TOK % 'text'} AS t FROM documents UNION ALL SELECT {_TOK % 'query'} FROM terms)), n AS (SELECT count(*) AS n FROM tx),
  tf AS (SELECT id, token, count(*) AS tf FROM (SELECT id, unnest(t) AS token FROM tx) GROUP BY ALL), vc AS (SELECT token, sum(tf)::BIGINT AS cf, count(*) AS df FROM tf GROUP BY token HAVING count(*) >= 2 ORDER BY cf DESC, token LIMIT 10000),
  vocab AS (SELECT token, cf, df, ln((1 + n)::DOUBLE / (1 + df)) + 1 AS idf FROM vc, n)"""
 
 
+def _vocabulary(s, d):
+    """Fitted on the texts of queries and items together."""
+    return R.tfidf_vocabulary(T.corpus(s, d).select("text").unionByName(T.terms(s, d).select(F.col("query").alias("text"))))
+
+
 @query(f"WITH {_VOCAB} SELECT token, cf, df, round(idf, 6) AS idf FROM vocab")
 def tfidf_vocab(s, d):
-    return rounded(R.tfidf_vocabulary(T.corpus(s, d)), "idf")
+    return rounded(_vocabulary(s, d), "idf")
 
 
-@query(f"""WITH {_VOCAB}, {Z.TERMS}, qs AS (SELECT query_id, token, count(*) AS tf FROM (SELECT query_id, unnest({_TOK % 'query'}) AS token FROM terms) GROUP BY ALL), ds AS (SELECT doc_id, token, count(*) AS tf FROM (SELECT doc_id, unnest({_TOK % 'text'}) AS token FROM documents) GROUP BY ALL),
+@query(f"""WITH {_VOCAB}, qs AS (SELECT query_id, token, count(*) AS tf FROM (SELECT query_id, unnest({_TOK % 'query'}) AS token FROM terms) GROUP BY ALL), ds AS (SELECT doc_id, token, count(*) AS tf FROM (SELECT doc_id, unnest({_TOK % 'text'}) AS token FROM documents) GROUP BY ALL),
  qw AS (SELECT query_id, token, (1 + ln(tf)) * idf AS w FROM qs JOIN vocab USING (token)), dw AS (SELECT doc_id, token, (1 + ln(tf)) * idf AS w FROM ds JOIN vocab USING (token)),
  qn AS (SELECT query_id, sqrt(sum(w * w)) AS n FROM qw GROUP BY 1), dn AS (SELECT doc_id, sqrt(sum(w * w)) AS n FROM dw GROUP BY 1),
  dp AS (SELECT query_id, doc_id, sum(qw.w / qn.n * dw.w / dn.n) AS c FROM qw JOIN dw USING (token) JOIN qn USING (query_id) JOIN dn USING (doc_id) GROUP BY ALL),
@@ -163,7 +184,7 @@ def tfidf_vocab(s, d):
  SELECT query_id, doc_id, round(coalesce(c, 0.0), 6) AS tfidf_cosine FROM pr LEFT JOIN dp USING (query_id, doc_id)""")
 def tfidf_cosine(s, d):
     c, t = T.corpus(s, d), T.terms(s, d)
-    v = R.tfidf_vocabulary(c)
+    v = saved(_vocabulary(s, d), "vocabulary")
     pairs = c.select("doc_id", F.pmod("doc_id", F.lit(t.count())).alias("query_id")).join(t.select("query_id"), "query_id", "left_semi")
     return R.tfidf_cosine(pairs, R.tfidf_weights(t, v, "query_id", "query"), R.tfidf_weights(c, v, "doc_id"), "query_id", "doc_id").select("query_id", "doc_id", "tfidf_cosine")
 
@@ -179,18 +200,17 @@ def _text_pairs(s, d):
 
 
 @query(f"""WITH {Z.TERMS}, x AS (SELECT doc_id, query_id, {Z.tokens('query')} AS q, {Z.tokens('text')} AS t, {Z.match('query')} AS mq, {Z.match('text')} AS mt, lang || '/' || source AS category FROM documents JOIN terms ON query_id = doc_id % (SELECT count(*) FROM terms)),
- y AS (SELECT *, list_distinct(list_transform(range(1, greatest(length(mq) - 1, 2)), lambda i: substring(mq, i, 3))) AS gq, list_distinct(list_transform(range(1, greatest(length(left(mt, 40)) - 1, 2)), lambda i: substring(left(mt, 40), i, 3))) AS gt, regexp_replace(mq, '[^ -~]', '', 'g') AS aq, regexp_replace(left(mt, 40), '[^ -~]', '', 'g') AS ah FROM x)
+ y AS (SELECT *, list_distinct(list_transform(range(1, greatest(length(mq) - 1, 2)), lambda i: substring(mq, i, 3))) AS gq, list_distinct(list_transform(range(1, greatest(length(mt) - 1, 2)), lambda i: substring(mt, i, 3))) AS gt, regexp_replace(mq, '[^ -~]', '', 'g') AS aq, regexp_replace(mt, '[^ -~]', '', 'g') AS ah FROM x)
  SELECT doc_id, query_id, round({Z.jaccard('q', 't')}, 6) AS overlap, round({Z.coverage('q', 't')}, 6) AS coverage, round({Z.coverage('t', 'q')}, 6) AS precision, (contains(' ' || mt || ' ', ' ' || mq || ' ') AND mq <> '')::INT AS phrase,
  len({Z.model_tokens('t')})::INT AS n_model_tokens, round(CASE WHEN greatest(length(aq), length(ah)) = 0 THEN 1.0 ELSE 1 - levenshtein(aq, ah)::DOUBLE / greatest(length(aq), length(ah)) END, 6) AS levenshtein,
  round({Z.jaccard('gq', 'gt')}, 6) AS trigrams FROM y""")
 def text_similarity(s, d):
     q, t, mq, mt = (F.col(c) for c in ("_q", "_t", "_mq", "_mt"))
     forms = _text_pairs(s, d).withColumns({"_mq": X.match_form(F.col("query")), "_mt": X.match_form(F.col("text"))})
-    forms = forms.withColumns({"_q": F.array_distinct(X.words(mq)), "_t": F.array_distinct(X.words(mt)), "_head": F.substring(mt, 1, 40)})
-    head = F.col("_head")
+    forms = forms.withColumns({"_q": F.array_distinct(X.words(mq)), "_t": F.array_distinct(X.words(mt))})
     made = forms.select(
         "doc_id", "query_id", X.jaccard(q, t).alias("overlap"), X.share_of_first(q, t).alias("coverage"), X.share_of_first(t, q).alias("precision"), X.holds_phrase(mt, mq).cast("int").alias("phrase"),
-        F.size(X.model_tokens(t)).alias("n_model_tokens"), X.levenshtein_similarity(F.regexp_replace(mq, "[^ -~]", ""), F.regexp_replace(head, "[^ -~]", "")).alias("levenshtein"), X.char_ngram_jaccard(mq, head).alias("trigrams"),
+        F.size(X.model_tokens(t)).alias("n_model_tokens"), X.levenshtein_similarity(F.regexp_replace(mq, "[^ -~]", ""), F.regexp_replace(mt, "[^ -~]", "")).alias("levenshtein"), X.char_ngram_jaccard(mq, mt).alias("trigrams"),
     )
     return rounded(made, "overlap", "coverage", "precision", "levenshtein", "trigrams")
 
@@ -215,39 +235,90 @@ def text_forms(s, d):
 
 
 def _pair_features(s, d):
-    return FE.lexical_features(T.pairs(s, d).select("term_id", "item_id"), T.pair_terms(s, d), T.catalogue(s, d), literals=False)
+    said = F.when(F.col("term_id") % 4 == 0, " kadın").when(F.col("term_id") % 4 == 1, " boy").when(F.col("term_id") % 4 == 2, " kids").otherwise("")
+    terms = T.pair_terms(s, d).withColumn("query", F.concat("query", said))
+    n = F.col("item_id")
+    items = T.catalogue(s, d).withColumns({"gender": F.when(n % 3 == 0, "Kadın").when(n % 3 == 1, "erkek"), "age_group": F.when(n % 5 == 0, "çocuk").when(n % 5 == 1, "adult").otherwise("unknown")})
+    return FE.lexical_features(T.pairs(s, d).select("term_id", "item_id"), terms, items, literals=False)
 
 
-_QSIZES = r"list_distinct(regexp_extract_all(lower(query), '([0-9]{1,3})\s*beden', 1))"
-_IC = f"coalesce({Z.values('a_renk', A.COLOURS)}[1], '')"
-_LEX = f"""{Z.PAIRS}, {Z.PAIR_TERMS}, {Z.CATALOGUE}, j AS (SELECT term_id, item_id, query, title, category, brand, split_part(split_part(attributes, ',', 1), ': ', 2) AS a_renk, split_part(attributes, 'beden: ', 2) AS a_beden FROM pairs LEFT JOIN pair_terms USING (term_id) LEFT JOIN catalogue USING (item_id)),
- t AS (SELECT *, {Z.tokens('query')} AS qt, {Z.tokens('title')} AS tt, {Z.tokens('category')} AS ct, {Z.levels('category')} AS lv, {Z.values('query', A.COLOURS)} AS qc, {_QSIZES} AS qs, {Z.values('query', A.MATERIALS)} AS qm, {_IC} AS ic FROM j),
+# What the query and the item say of gender and age; items say it in columns made from the part's size.
+_GQ, _GI = Z.values("query", A.GENDERS), "list_filter(['kadın', 'erkek'], lambda g: contains(' ' || " + Z.match("gender") + " || ' ', ' ' || g || ' '))"
+_GENDER = f"(CASE WHEN len({_GQ}) <> 1 OR len({_GI}) <> 1 THEN 0 WHEN {_GQ}[1] = {_GI}[1] THEN 1 ELSE -1 END)"
+_AQ, _AI = Z.values("query", A.AGES), Z.values("age_group", A.AGES)
+_AGE = f"(CASE WHEN len({_AQ}) = 0 OR len({_AI}) = 0 THEN 0 WHEN len(list_intersect({_AQ}, {_AI})) > 0 THEN 1 ELSE -1 END)"
+_LEX = f"""{Z.PAIRS}, {Z.PAIR_TERMS}, {Z.CATALOGUE}, j AS (SELECT term_id, item_id, query, title, category, brand, gender, age_group, split_part(split_part(attributes, ',', 1), ': ', 2) AS a_renk, split_part(attributes, 'beden: ', 2) AS a_beden FROM pairs LEFT JOIN (SELECT term_id, query || CASE term_id % 4 WHEN 0 THEN ' kadın' WHEN 1 THEN ' boy' WHEN 2 THEN ' kids' ELSE '' END AS query FROM pair_terms) USING (term_id) LEFT JOIN (SELECT *, CASE item_id % 3 WHEN 0 THEN 'Kadın' WHEN 1 THEN 'erkek' END AS gender, CASE item_id % 5 WHEN 0 THEN 'çocuk' WHEN 1 THEN 'adult' ELSE 'unknown' END AS age_group FROM catalogue) USING (item_id)),
+ t AS (SELECT *, {Z.tokens('query')} AS qt, {Z.tokens('title')} AS tt, {Z.tokens('category')} AS ct, {Z.levels('category')} AS lv, {Z.values('query', A.COLOURS)} AS qc, {Z.sizes('query')} AS qs, {Z.values('query', A.MATERIALS)} AS qm, {Z.item_value('a_renk', A.COLOURS)} AS ic, {Z.item_size('a_beden')} AS sz FROM j),
  lex AS (SELECT term_id, item_id, round({Z.jaccard('qt', 'tt')}, 5) AS query_title_overlap, round({Z.coverage('qt', 'tt')}, 5) AS query_title_coverage, round({Z.coverage('tt', 'qt')}, 5) AS query_title_precision, {Z.phrase('title', 'query')}::INT AS query_title_phrase,
-  round({Z.jaccard('qt', 'ct')}, 5) AS query_category_overlap, round({Z.coverage('qt', 'ct')}, 5) AS query_category_coverage, {Z.phrase('query', 'brand')}::INT AS query_brand_match, round({Z.jaccard('qt', Z.tokens('lv[1]'))}, 5) AS query_cat_l1_overlap, round({Z.jaccard('qt', Z.tokens('lv[2]'))}, 5) AS query_cat_l2_overlap,
-  (len(list_intersect({Z.model_tokens('qt')}, {Z.model_tokens('tt')})) > 0)::INT AS query_model_token_match, length(title)::INT AS title_len, coalesce(length(query), 0)::INT AS query_len, len(tt)::INT AS title_token_count, len(qt)::INT AS query_token_count, len(lv)::INT AS cat_depth,
-  {Z.three_way('qc', 'ic')} AS query_color_match, {Z.three_way('qs', 'a_beden')} AS query_size_match, {Z.three_way('qm', "''")} AS query_material_match FROM t)"""
+  round({Z.jaccard('qt', 'ct')}, 5) AS query_category_overlap, round({Z.coverage('qt', 'ct')}, 5) AS query_category_coverage, {Z.phrase('query', 'brand')}::INT AS query_brand_match, round({Z.jaccard('qt', Z.tokens('lv[1]'))}, 5) AS query_cat_l1_overlap, round({Z.jaccard('qt', Z.tokens('lv[2]'))}, 5) AS query_cat_l2_overlap, round({Z.jaccard('qt', Z.tokens('lv[3]'))}, 5) AS query_cat_l3_overlap,
+  (len(list_intersect({Z.model_tokens('qt')}, {Z.model_tokens('tt')})) > 0)::INT AS query_model_token_match, (len({Z.model_tokens('qt')}) > 0 AND len({Z.model_tokens('tt')}) > 0 AND len(list_intersect({Z.model_tokens('qt')}, {Z.model_tokens('tt')})) = 0)::INT AS query_model_token_conflict,
+  {_GENDER} AS gender_match, {_AGE} AS age_group_match, ({_GENDER} = -1 OR {_AGE} = -1)::INT AS demographic_conflict, length(title)::INT AS title_len, coalesce(length(query), 0)::INT AS query_len, len(tt)::INT AS title_token_count, len(qt)::INT AS query_token_count, len(lv)::INT AS cat_depth,
+  {Z.three_way('qc', 'ic')} AS query_color_match, {Z.three_way('qs', 'sz')} AS query_size_match, {Z.three_way('qm', "''")} AS query_material_match FROM t)"""
 
 
 @query(f"WITH {_LEX} SELECT * FROM lex")
 def lexical_features(s, d):
     f = _pair_features(s, d)
-    shares = [c for c in f.columns if c.endswith(("overlap", "coverage", "precision")) and "l3" not in c]
-    ints = ["query_title_phrase", "query_brand_match", "query_model_token_match", "title_len", "query_len", "title_token_count", "query_token_count", "cat_depth", "query_color_match", "query_size_match", "query_material_match"]
+    shares = [c for c in f.columns if c.endswith(("overlap", "coverage", "precision"))]
+    ints = [c for c in f.columns if c not in (*shares, "term_id", "item_id")]
     return f.select("term_id", "item_id", *[F.round(F.col(c).cast("double"), 5).alias(c) for c in shares], *[F.col(c).cast("int").alias(c) for c in ints])
 
 
+_COLOUR_WORDS = ("krem mavi", "Deniz Mavisi", "mor", "zzz", "bej", "ekru krem", "", "siyah-beyaz", "turkuaz", "Kum", "taba")
+
+
+@query(f"""WITH c AS (SELECT p_partkey AS item_id, [{", ".join(f"'{x}'" for x in _COLOUR_WORDS)}][1 + p_partkey % {len(_COLOUR_WORDS)}] AS renk, ['38', 'XL', '37,5', 'xxxl', 'std', '', 'M/38'][1 + p_partkey % 7] AS beden, ['Deri', 'satin', 'bambu', '', 'pamuklu', 'naylon'][1 + p_partkey % 6] AS materyal,
+  ['krem ' || p_name || ' xxxl', p_name || ' 38 numara deri', 'zzz beden: 37,5 keten', 'mavi xl saten', p_name, 'mor bej 170 cm satin'][1 + p_partkey // 7 % 6] AS query FROM part),
+ v AS (SELECT item_id, {Z.values('query', A.COLOURS)} AS qc, {Z.sizes('query')} AS qs, {Z.values('query', A.MATERIALS)} AS qm, {Z.item_value('renk', A.COLOURS)} AS colour, {Z.item_size('beden')} AS size, {Z.item_value('materyal', A.MATERIALS)} AS material FROM c)
+ SELECT item_id, colour, size, material, array_to_string(list_sort(qc), ',') AS query_colours, array_to_string(list_sort(qs), ',') AS query_sizes, array_to_string(list_sort(qm), ',') AS query_materials, {Z.three_way('qc', 'colour')} AS color_match, {Z.three_way('qs', 'size')} AS size_match, {Z.three_way('qm', 'material')} AS material_match FROM v""")
+def attribute_match(s, d):
+    """What queries ask for and items say of colours, sizes and materials, known and unknown ones."""
+    k = F.col("p_partkey")
+    pick = lambda values, n: F.get(F.array(*map(F.lit, values)), n.cast("int"))
+    name = F.col("p_name")
+    queries = F.array(F.concat(F.lit("krem "), name, F.lit(" xxxl")), F.concat(name, F.lit(" 38 numara deri")), F.lit("zzz beden: 37,5 keten"), F.lit("mavi xl saten"), name, F.lit("mor bej 170 cm satin"))
+    attributes = F.format_string("renk: %s, beden: %s, materyal: %s", pick(_COLOUR_WORDS, k % len(_COLOUR_WORDS)), pick(("38", "XL", "37,5", "xxxl", "std", "", "M/38"), k % 7), pick(("Deri", "satin", "bambu", "", "pamuklu", "naylon"), k % 6))
+    c = T.table(s, d, "part").select(k.alias("item_id"), A.attribute_map(attributes, False).alias("m"), F.get(queries, (F.floor(k / 7) % 6).cast("int")).alias("query"))
+    v = c.select("item_id", A.item_colour(F.col("m")).alias("colour"), A.item_size(F.col("m")).alias("size"), A.item_material(F.col("m")).alias("material"), A.query_colours(F.col("query")).alias("qc"), A.query_sizes(F.col("query")).alias("qs"), A.query_materials(F.col("query")).alias("qm"))
+    sides = [F.array_join(F.array_sort(x), ",").alias(n) for n, x in (("query_colours", "qc"), ("query_sizes", "qs"), ("query_materials", "qm"))]
+    return v.select("item_id", "colour", "size", "material", *sides, *[A.three_way(F.col(x), F.col(y)).alias(n) for n, x, y in (("color_match", "qc", "colour"), ("size_match", "qs", "size"), ("material_match", "qm", "material"))])
+
+
 @query()
 def all_lexical_features(s, d):
     """All 23 columns, as floats."""
     return _pair_features(s, d)
 
 
-@query()
+def _grams(a: str, b: str, n: int) -> str:
+    """Overlap of character n-grams of two normal forms, 0 if either is empty."""
+    g = [f"(CASE WHEN length({x}) < {n} THEN [{x}] ELSE list_distinct(list_transform(range(1, length({x}) - {n - 2}), lambda i: substring({x}, i, {n}))) END)" for x in (a, b)]
+    return f"(CASE WHEN {a} = '' OR {b} = '' THEN 0.0 ELSE {Z.jaccard(*g)} END)"
+
+
+_clean = r"trim(regexp_replace(regexp_replace(lower(replace(replace(%s, 'İ', 'i'), 'I', 'ı')), '[!-/:-@\[-`{-~]', ' ', 'g'), '\s+', ' ', 'g'))"
+_MATCHES = ", ".join(f"(CASE WHEN {x} = '' THEN 0.5 WHEN contains(q, {x}) THEN 1.0 ELSE 0.0 END) AS {n}_match_score, ({x} <> '')::INT::DOUBLE AS has_{n}_in_query, {_grams(x, 'q', 2)} AS {n}_jaccard" for n, x in (("color", "co"), ("size", "si"), ("material", "ma")))
+
+
+@query(f"""WITH {Z.PAIRS}, {Z.PAIR_TERMS}, {Z.CATALOGUE}, r AS (SELECT term_id, item_id, query, title, brand, category, split_part(p_name, ' ', 1) AS colour, CASE WHEN item_id % 3 = 0 THEN '' ELSE p_size::VARCHAR END AS size, CASE WHEN item_id % 2 = 0 THEN split_part(p_name, ' ', 2) ELSE '' END AS material,
+  (item_id % 97) / 10.0::DOUBLE AS bm, (item_id % 89) / 89.0::DOUBLE AS de, (item_id % 83) / 20.0::DOUBLE - 2.0 AS ce, (item_id % 50 + 1)::DOUBLE AS rb, (item_id % 40 + 1)::DOUBLE AS rd FROM pairs JOIN pair_terms USING (term_id) JOIN catalogue USING (item_id) JOIN part ON p_partkey = item_id),
+ f AS (SELECT *, {_clean % 'query'} AS q, {_clean % 'title'} AS t, {_clean % 'brand'} AS b, {_clean % 'category'} AS c, {_clean % 'colour'} AS co, {_clean % 'size'} AS si, {_clean % 'material'} AS ma, 1 / (1 + exp(-ce)) AS pr, 1 / (60 + rb) + 1 / (60 + rd) AS rrf FROM r),
+ w AS (SELECT *, {Z.split('q')} AS qw, {Z.split('t')} AS tw, list_filter(list_transform(string_split(category, '/'), lambda x: {_clean % 'x'}), lambda x: x <> '') AS lv FROM f),
+ m AS (SELECT *, {_MATCHES} FROM w),
+ o AS (SELECT term_id, item_id, (b <> '' AND (contains(q, b) OR contains(t, b)))::INT::DOUBLE AS exact_brand_match, CASE WHEN b = '' OR q = '' THEN 0.0 ELSE 1 - levenshtein(b, q)::DOUBLE / greatest(length(b), length(q)) END AS brand_levenshtein_sim, {_grams('b', 'q', 3)} AS brand_jaccard_sim,
+  {_grams('q', 't', 1)} AS char_1gram_jaccard, {_grams('q', 't', 2)} AS char_2gram_jaccard, {_grams('q', 't', 3)} AS char_3gram_jaccard, {Z.ratio("len(list_intersect(list_distinct(qw), tw))", "len(qw)")} AS word_overlap_ratio, length(t)::DOUBLE / greatest(length(q), 1) AS title_length_ratio, len(qw)::DOUBLE AS query_word_count, len(tw)::DOUBLE AS title_word_count,
+  color_match_score, size_match_score, material_match_score, (least(color_match_score, size_match_score, material_match_score) = 0)::INT::DOUBLE AS attribute_conflict_penalty, has_color_in_query, has_size_in_query, has_material_in_query, color_jaccard, size_jaccard, material_jaccard,
+  CASE WHEN q = '' OR len(lv) = 0 THEN 0.0 ELSE (lv[1] = q)::INT::DOUBLE / len(lv) END AS category_depth_overlap, contains(q, c)::INT::DOUBLE AS category_exact_match, bm AS bm25_score, de AS dense_cosine_sim, rb AS bm25_rank, rd AS dense_rank, rrf AS rrf_fusion_score, 1 / rb AS bm25_rank_reciprocal, 1 / rd AS dense_rank_reciprocal, (rb <= 5 OR rd <= 5)::INT::DOUBLE AS is_top5_hybrid,
+  ce AS cross_encoder_score, pr AS cross_encoder_prob_sigmoid, pr * bm AS cross_encoder_x_bm25, pr * de AS cross_encoder_x_dense, abs(rb - rd) AS score_rank_diff, bm / greatest(de, 1e-5) AS score_ratio_bm25_dense, least(bm / 20, 1.0) AS bm25_normalized, least(de, 1.0) AS dense_normalized, 0.5 * bm + 0.5 * de AS hybrid_blend_score, 0.6 * pr + 0.4 * rrf AS final_confidence_signal FROM m)
+ SELECT term_id, item_id, {", ".join(f"round({c} + 3.1e-8, 6) AS {c}" for c in FE.WIDE)} FROM o""")
 def wide_features(s, d):
-    j = T.pairs(s, d).join(T.pair_terms(s, d), "term_id").join(T.catalogue(s, d), "item_id")
     n = F.col("item_id")
+    parts = T.table(s, d, "part").select(F.col("p_partkey").alias("item_id"), F.split("p_name", " ")[0].alias("_co"), F.split("p_name", " ")[1].alias("_ma"), F.col("p_size").cast("string").alias("_si"))
+    attributes = F.concat_ws(" | ", F.concat(F.lit("Renk: "), "_co"), F.when(n % 3 == 0, None).otherwise(F.concat(F.when(n % 3 == 1, "Beden: ").otherwise("numara: "), "_si")), F.when(n % 2 == 0, F.concat(F.lit("Materyal: "), "_ma")))
+    j = T.pairs(s, d).select("term_id", "item_id").join(T.pair_terms(s, d), "term_id").join(T.catalogue(s, d), "item_id").join(parts, "item_id").withColumn("attributes", attributes)
     made = j.withColumns({"bm25_score": (n % 97) / 10.0, "dense_score": (n % 89) / 89.0, "cross_encoder_score": (n % 83) / 20.0 - 2.0, "bm25_rank": n % 50 + 1, "dense_rank": n % 40 + 1})
-    return FE.wide_features(made).drop("query", "title", "category", "brand", "attributes", "label")
+    out = FE.wide_features(made, ["term_id", "item_id"])
+    return nudged(out, *FE.WIDE)
 
 
 def _ctx(c: str) -> str:
@@ -268,7 +339,7 @@ _SEG = f"{Z.tokens('query')}"
 
 
 @query(f"""WITH {Z.PAIR_TERMS}, x AS (SELECT term_id, {_SEG} AS t FROM pair_terms) SELECT term_id, CASE WHEN len(t) = 1 THEN 'Head' WHEN len(t) BETWEEN 2 AND 3 THEN 'Medium' ELSE 'Tail' END AS length_class,
- list_has_any(t, [{", ".join(f"'{w}'" for g in A.COLOURS.values() for w in g.split(",") if " " not in w)}]) AS has_color, list_has_any(t, ['xs', 's', 'm', 'l', 'xl', 'xxl', '3xl', 'beden', 'numara', 'size']) AS has_size, list_has_any(t, [{", ".join(f"'{w}'" for g in A.MATERIALS.values() for w in g.split(","))}]) AS has_material,
+ list_has_any(t, [{", ".join(f"'{w}'" for g in A.COLOURS.values() for w in g if " " not in w)}]) AS has_color, list_has_any(t, ['xs', 's', 'm', 'l', 'xl', 'xxl', '3xl', 'beden', 'numara', 'size']) AS has_size, list_has_any(t, [{", ".join(f"'{w}'" for g in A.MATERIALS.values() for w in g)}]) AS has_material,
  len(list_filter(t, lambda w: regexp_matches(w, '[0-9]'))) > 0 AS has_model_code FROM x""")
 def query_segments(s, d):
     return T.pair_terms(s, d).select("term_id", *[c.alias(n) for n, c in FE.query_segments(F.col("query")).items()])
@@ -325,7 +396,7 @@ def category_pool(s, d):
 
 def _sampled(s, d):
     """Positives (returned lines), and the catalogue with category keys."""
-    li = T.table(s, d, "lineitem").filter("l_returnflag = 'R' and l_quantity >= 45")
+    li = T.table(s, d, "lineitem").filter("l_returnflag = 'R'")
     pos = li.select(F.col("l_suppkey").alias("term_id"), F.col("l_partkey").alias("item_id")).distinct().withColumn("label", F.lit(1))
     return pos, T.table(s, d, "part").select(F.col("p_partkey").alias("item_id"), F.col("p_type").alias("category_key"))
 
@@ -359,7 +430,7 @@ def complete_terms(s, d):
 
 
 _HITS = "h AS (SELECT * FROM (SELECT l_suppkey AS term_id, l_partkey AS item_id, round(sum(l_quantity), 2) AS score, row_number() OVER (PARTITION BY l_suppkey ORDER BY round(sum(l_quantity), 2) DESC, l_partkey) AS rank FROM lineitem GROUP BY 1, 2) WHERE rank <= 200)"
-_POS = "pos AS (SELECT DISTINCT l_suppkey AS term_id, l_partkey AS item_id, 1 AS label FROM lineitem WHERE l_returnflag = 'R' AND l_quantity >= 45)"
+_POS = "pos AS (SELECT DISTINCT l_suppkey AS term_id, l_partkey AS item_id, 1 AS label FROM lineitem WHERE l_returnflag = 'R')"
 
 
 @query(f"WITH {_HITS}, {_POS}, f AS (SELECT term_id, item_id, row_number() OVER (PARTITION BY term_id ORDER BY rank, item_id) AS k FROM h ANTI JOIN pos USING (term_id, item_id)), n AS (SELECT term_id, count(*) AS n FROM pos GROUP BY 1) SELECT term_id, item_id, 0 AS label, 'bm25' AS neg_source FROM f JOIN n USING (term_id) WHERE k <= n")
@@ -380,15 +451,23 @@ def golden_set(s, d):
     return S.golden_set(T.pair_terms(s, d), _sampled(s, d)[0], _hits(s, d), items, 20, 10)
 
 
-@query(f"""WITH {_HITS}, {_POS}, {Z.PAIR_TERMS}, f AS (SELECT term_id, p_name AS text, min(rank) AS rank FROM h ANTI JOIN pos USING (term_id, item_id) JOIN part ON p_partkey = item_id WHERE rank <= 20 GROUP BY 1, 2), l AS (SELECT term_id, list(text ORDER BY rank, text)[1:10] AS x FROM f GROUP BY 1),
+def _dear(s, d):
+    """A second ranking of a term's items: by what was paid for them."""
+    li = T.table(s, d, "lineitem").groupBy(F.col("l_suppkey").alias("term_id"), F.col("l_partkey").alias("item_id")).agg(F.round(F.sum("l_extendedprice"), 2).alias("score"))
+    return K.top_k(li, ["term_id"], [F.col("score").desc(), F.col("item_id")], 200)
+
+
+@query(f"""WITH {_HITS}, {_POS}, {Z.PAIR_TERMS}, h2 AS (SELECT * FROM (SELECT l_suppkey AS term_id, l_partkey AS item_id, row_number() OVER (PARTITION BY l_suppkey ORDER BY round(sum(l_extendedprice), 2) DESC, l_partkey) AS rank FROM lineitem GROUP BY 1, 2) WHERE rank <= 200),
+ b AS (SELECT term_id, item_id, 1 AS kind, rank FROM h WHERE rank <= 20 UNION ALL SELECT term_id, item_id, 2, rank FROM h2 WHERE rank <= 20),
+ f AS (SELECT term_id, p_name AS text, min(kind * 1000 + rank) AS o FROM b ANTI JOIN pos USING (term_id, item_id) JOIN part ON p_partkey = item_id GROUP BY 1, 2), l AS (SELECT term_id, list(text ORDER BY o, text)[1:30] AS x FROM f GROUP BY 1),
  p AS (SELECT term_id, min(item_id) AS item_id FROM pos GROUP BY 1) SELECT query, p_name AS positive_doc, array_to_string(x, '|') AS hard_negatives FROM p JOIN pair_terms USING (term_id) JOIN part ON p_partkey = item_id JOIN l USING (term_id)""")
 def triplets(s, d):
+    """Texts of the negatives of two rankings, by quantity and by price."""
     pos, _ = _sampled(s, d)
     names = T.table(s, d, "part").select(F.col("p_partkey").alias("item_id"), F.col("p_name").alias("text"))
-    first = S.retrieval_negatives(_hits(s, d), pos, 20).join(names, "item_id").select("term_id", "text", "rank")
+    first, second = (S.retrieval_negatives(hits(s, d), pos, 20).join(names, "item_id").select("term_id", "text", "rank") for hits in (_hits, _dear))
     best = pos.groupBy("term_id").agg(F.min("item_id").alias("item_id")).join(T.pair_terms(s, d), "term_id").join(names, "item_id").select("term_id", "query", F.col("text").alias("positive_doc"))
-    out = S.triplets(first, first.limit(0), best)
-    return out.withColumn("hard_negatives", F.array_join("hard_negatives", "|"))
+    return S.triplets(first, second, best, 30).withColumn("hard_negatives", F.array_join("hard_negatives", "|"))
 
 
 # --- Metrics ----------------------------------------------------------------------------------------------------------
@@ -587,10 +666,15 @@ def duplicate_queries(s, d):
     return Q.duplicate_queries(t).withColumn("ids", F.array_join(F.transform("ids", lambda x: x.cast("string")), ","))
 
 
-@query(f"""WITH {Z.CATALOGUE}, x AS (SELECT NULL AS category_l1, attributes FROM catalogue UNION ALL SELECT trim(split_part(category, '/', 1)), attributes FROM catalogue), g AS (SELECT category_l1, count(*) AS n_items, round(avg((trim(attributes) <> '')::INT), 6) AS non_null_rate, round(avg(contains(attributes, 'renk:')::INT), 6) AS renk_coverage,
- round(avg(contains(attributes, 'beden:')::INT), 6) AS beden_coverage, 0.0::DOUBLE AS materyal_coverage FROM x GROUP BY 1) SELECT * FROM g WHERE category_l1 IS NULL OR n_items >= 10""")
+_ATTR = "CASE p_partkey % 6 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN 'nan' WHEN 3 THEN 'renk siyah, malzeme deri' WHEN 4 THEN 'color: ' || p_name ELSE 'Renk: ' || p_name || ', numara 38' END"
+
+
+@query(f"""WITH c AS (SELECT p_type AS category, {_ATTR} AS attributes FROM part), x AS (SELECT NULL AS category_l1, attributes FROM c UNION ALL SELECT trim(split_part(category, '/', 1)), attributes FROM c),
+ g AS (SELECT category_l1, count(*) AS n_items, round(avg((coalesce(attributes, 'nan') NOT IN ('', 'nan', 'None'))::INT), 6) AS non_null_rate, {", ".join(f"round(avg(regexp_matches(coalesce(attributes, 'nan'), '(?i){p}')::INT), 6) AS {n}" for n, p in Q.COVERAGE.items())} FROM x GROUP BY 1) SELECT * FROM g WHERE category_l1 IS NULL OR n_items >= 10""")
 def attribute_coverage(s, d):
-    return rounded(Q.attribute_coverage(T.catalogue(s, d)), "non_null_rate", "renk_coverage", "beden_coverage", "materyal_coverage")
+    n, name = F.col("p_partkey") % 6, F.col("p_name")
+    attributes = F.when(n == 0, None).when(n == 1, "").when(n == 2, "nan").when(n == 3, "renk siyah, malzeme deri").when(n == 4, F.concat(F.lit("color: "), name)).otherwise(F.concat(F.lit("Renk: "), name, F.lit(", numara 38")))
+    return rounded(Q.attribute_coverage(T.table(s, d, "part").select(F.col("p_type").alias("category"), attributes.alias("attributes"))), "non_null_rate", "renk_coverage", "beden_coverage", "materyal_coverage")
 
 
 @query("WITH g AS (SELECT l_suppkey, l_partkey, min((l_returnflag = 'R')::INT) AS lo, max((l_returnflag = 'R')::INT) AS hi, count(*) AS n FROM lineitem GROUP BY 1, 2) SELECT count(*) AS n_pairs, sum((lo <> hi)::INT)::BIGINT AS n_conflicts, sum((n > 1)::INT)::BIGINT AS n_duplicates FROM g")
@@ -598,9 +682,25 @@ def label_consistency(s, d):
     return Q.label_consistency(T.table(s, d, "lineitem").select(F.col("l_suppkey").alias("term_id"), F.col("l_partkey").alias("item_id"), (F.col("l_returnflag") == "R").cast("int").alias("label")))
 
 
-@query(f"WITH {Z.CATALOGUE} SELECT count(*) AS n_items, count(DISTINCT brand) AS n_brands, avg((trim(brand) = '')::INT) AS brand_null_rate, avg(len(string_split(category, '/'))) AS depth_mean, min(len(string_split(category, '/')))::INT AS depth_min, max(len(string_split(category, '/')))::INT AS depth_max FROM catalogue")
+_META = "SELECT p_type AS category, CASE p_partkey % 9 WHEN 0 THEN NULL WHEN 1 THEN 'None' WHEN 2 THEN 'none' WHEN 3 THEN ' ' ELSE p_brand END AS brand, CASE p_partkey % 5 WHEN 0 THEN NULL WHEN 1 THEN 'NaN' WHEN 2 THEN '' ELSE 'kadın' END AS gender FROM part"
+
+
+def _metadata(s, d):
+    n = F.col("p_partkey")
+    brand = F.when(n % 9 == 0, None).when(n % 9 == 1, "None").when(n % 9 == 2, "none").when(n % 9 == 3, " ").otherwise(F.col("p_brand"))
+    gender = F.when(n % 5 == 0, None).when(n % 5 == 1, "NaN").when(n % 5 == 2, "").otherwise("kadın")
+    return T.table(s, d, "part").select(F.col("p_type").alias("category"), brand.alias("brand"), gender.alias("gender"))
+
+
+@query(f"SELECT depth, count(*) AS n FROM (SELECT len(string_split(category, '/'))::INT AS depth FROM ({_META})) GROUP BY 1")
+def category_depths(s, d):
+    return Q.depth_distribution(_metadata(s, d))
+
+
+@query(f"""WITH c AS ({_META}) SELECT count(*) AS n_items, count(DISTINCT coalesce(brand, 'nan')) AS n_brands, round(avg((coalesce(brand, 'nan') IN ('', 'nan', 'None'))::INT), 6) AS brand_null_rate, avg(len(string_split(category, '/'))) AS depth_mean, min(len(string_split(category, '/')))::INT AS depth_min,
+ max(len(string_split(category, '/')))::INT AS depth_max, round(avg((gender IS NULL)::INT) + avg((lower(coalesce(gender, 'nan')) IN ('nan', 'none', ''))::INT), 6) AS gender_null_rate FROM c""")
 def metadata_report(s, d):
-    return Q.metadata_report(T.catalogue(s, d))
+    return rounded(Q.metadata_report(_metadata(s, d)), "brand_null_rate", "gender_null_rate")
 
 
 @query("SELECT lower(p_type) AS value, count(*) AS n, round(count(*)::DOUBLE / (SELECT count(*) FROM part), 4) AS share FROM part GROUP BY 1")

@@ -45,21 +45,47 @@ def phrase(text: str, p: str) -> str:
     return f"({match(p)} <> '' AND contains(' ' || {match(text)} || ' ', ' ' || {match(p)} || ' '))"
 
 
-def values(text: str, groups: dict[str, str]) -> str:
+def occurring(text: str, groups: dict[str, tuple[str, ...]]) -> str:
+    """The values of all phrases that occur, in lexicon order."""
     entries = ", ".join(f"{{'p': ' {k} ', 'v': '{v}'}}" for k, v in A.lexicon(groups).items())
-    return f"list_distinct(list_transform(list_filter([{entries}], lambda e: contains(' ' || {match(text)} || ' ', e.p)), lambda e: e.v))"
+    return f"list_transform(list_filter([{entries}], lambda e: contains(' ' || {match(text)} || ' ', e.p)), lambda e: e.v)"
+
+
+def values(text: str, groups: dict[str, tuple[str, ...]]) -> str:
+    return f"list_distinct({occurring(text, groups)})"
 
 
 def levels(x: str) -> str:
     return f"list_filter(list_transform(string_split(coalesce({x}, ''), '/'), lambda y: trim(y)), lambda y: y <> '')"
 
 
+def _quoted(pattern: str) -> str:
+    return "'" + pattern + "'"
+
+
+def sizes(query: str) -> str:
+    """What a query says about sizes, in the order of the patterns."""
+    low = f"lower(coalesce({query}, ''))"
+    return f"list_distinct(list_transform(flatten([{', '.join(f'regexp_extract_all({low}, {_quoted(p)}, {g})' for p, g in A.SIZE_PATTERNS)}]), lambda x: replace(trim(x), ',', '.')))".replace("(?U)", "")
+
+
+def item_size(raw: str) -> str:
+    low = f"trim(lower(coalesce({raw}, '')))"
+    number = f"replace(regexp_extract({low}, '{A.SIZE_NUMBER}', 1), ',', '.')".replace("(?U)", "")
+    return f"(CASE WHEN {low} IN ({', '.join(repr(x) for x in A.SIZE_LETTERS)}) THEN {low} WHEN {number} <> '' THEN {number} ELSE {low} END)"
+
+
+def item_value(raw: str, groups: dict[str, tuple[str, ...]]) -> str:
+    """The lexicon's value of an item, or what it says itself."""
+    return f"coalesce({occurring(raw, groups)}[1], lower(coalesce({raw}, '')))"
+
+
 def three_way(asked: str, has: str) -> str:
     return f"(CASE WHEN len({asked}) = 0 OR coalesce({has}, '') = '' THEN 0 WHEN list_contains({asked}, {has}) THEN 1 ELSE -1 END)"
 
 
 CORPUS = "corpus AS (SELECT doc_id, text, lang || '/' || source AS category FROM documents)"
-TERMS = f"terms AS (SELECT item_id AS query_id, array_to_string({split(match('text'))}[1:6], ' ') AS query FROM benchmark)"
+TERMS = f"terms AS (SELECT item_id AS query_id, {match('text')} AS query FROM benchmark)"
 CATALOGUE = "catalogue AS (SELECT p_partkey AS item_id, p_name AS title, p_type || '/' || split_part(p_name, ' ', 2) AS category, p_brand AS brand, 'renk: ' || split_part(p_name, ' ', 1) || ', beden: ' || p_size AS attributes FROM part)"
 PAIRS = "pairs AS (SELECT DISTINCT l_suppkey AS term_id, l_partkey AS item_id, 1 AS label FROM lineitem)"
 PAIR_TERMS = "pair_terms AS (SELECT s_suppkey AS term_id, p_brand || ' ' || p_name || ' ' || p_size || ' beden' AS query FROM supplier JOIN part ON p_partkey = s_suppkey)"

@@ -86,3 +86,38 @@ def test_thresholds_by_length(spark):
 def test_cross_encoder_template(spark):
     df = spark.createDataFrame([("T", "a/b", "B", "Renk: Mavi | Materyal: Deri")], "title string, category string, brand string, attributes string")
     assert df.select(FE.cross_encoder_text().alias("v")).first()["v"] == "[TITLE] T [SEP] [CAT] a/b [SEP] [ATTR] Marka: B | Renk: Mavi | Beden: Belirtilmemiş | Materyal: Deri"
+
+
+def test_lexicon_keeps_first_places_and_last_values(spark):
+    assert value(spark, A.item_colour(A.attribute_map(F.lit("renk: krem mavi")))) == "bej"
+    assert value(spark, A.item_colour(A.attribute_map(F.lit("renk: Turkuaz Neon")))) == "turkuaz neon"
+    assert value(spark, A.item_colour(A.attribute_map(F.lit("beden: 38")))) == ""
+    assert value(spark, A.three_way(A.query_colours(F.lit("mavi elbise")), A.item_colour(A.attribute_map(F.lit("renk: turkuaz"))))) == -1
+    assert value(spark, A.item_material(A.attribute_map(F.lit("materyal: Bambu")))) == "bambu"
+    assert value(spark, A.query_colours(F.lit("krem"))) == ["bej"]
+
+
+def test_sizes_as_the_patterns_have_them(spark):
+    assert value(spark, A.query_sizes(F.lit("xxxl mont"))) == ["xxxl"] and value(spark, A.query_sizes(F.lit("xxs mont"))) == []
+    assert value(spark, A.query_sizes(F.lit("beden: 37,5"))) == ["37.5"] and value(spark, A.query_sizes(F.lit("42 numara"))) == ["42"]
+    for said, want in (("XL", "xl"), ("37,5 EU", "37.5"), ("std", "std"), ("M/38", "38"), ("", "")):
+        assert value(spark, A.item_size(A.attribute_map(F.lit(f"beden: {said}")))) == want
+
+
+def test_wide_features_of_the_fixture(spark):
+    from querylens.operators import features as FE
+
+    columns = ["query", "title", "brand", "category", "attributes", "bm25_score", "dense_score", "bm25_rank", "dense_rank", "cross_encoder_score"]
+    rows = [
+        ("derimod 38 numara siyah deri kadın babet", "Siyah Deri Kadın Babet Ayakkabı", "Derimod", "Ayakkabı / Kadın Ayakkabı / Babet", "Renk: Siyah | Beden: 38 | Materyal: Deri", 8.5, 0.91, 1, 1, 4.2),
+        ("38 numara siyah deri kadın babet", "Erkek Spor Ayakkabı", "Nike", "Ayakkabı / Erkek Ayakkabı", "Renk: Beyaz | Beden: 42", 1.2, 0.40, 15, 20, -3.1),
+        (None, None, None, None, None, None, None, None, None, None),
+    ]
+    out = FE.wide_features(spark.createDataFrame(rows, "query string, title string, brand string, category string, attributes string, bm25_score double, dense_score double, bm25_rank int, dense_rank int, cross_encoder_score double"))
+    assert out.columns == [*[c for c in columns if c not in FE.WIDE], *FE.WIDE] and len(FE.WIDE) == 40
+    a, b, c = out.collect()
+    assert (a["exact_brand_match"], a["color_match_score"], a["size_match_score"], a["material_match_score"], a["attribute_conflict_penalty"]) == (1, 1, 1, 1, 0)
+    assert a["word_overlap_ratio"] == 4 / 7 and a["is_top5_hybrid"] == 1 and a["category_exact_match"] == 0
+    assert (b["exact_brand_match"], b["color_match_score"], b["size_match_score"], b["material_match_score"], b["attribute_conflict_penalty"], b["score_rank_diff"]) == (0, 0, 0, 0.5, 1, 5)
+    assert abs(b["rrf_fusion_score"] - (1 / 75 + 1 / 80)) < 1e-12 and abs(b["bm25_normalized"] - 0.06) < 1e-12
+    assert (c["bm25_rank"], c["color_match_score"], c["char_3gram_jaccard"], c["cross_encoder_prob_sigmoid"]) == (200, 0.5, 0, 0.5)
