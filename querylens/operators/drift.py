@@ -93,3 +93,21 @@ def shift_rows(df: DataFrame, features: list[str], by: str) -> DataFrame:
     """Mean and share of zeros of each feature for each value of ``by``."""
     tall = df.select(by, *[F.col(c).cast("double").alias(c) for c in features]).unpivot([by], features, "feature", "x")
     return tall.groupBy(by, "feature").agg(F.avg("x").alias("mean"), F.avg((F.col("x") == 0).cast("double")).alias("zero_rate"))
+
+
+def shift_summary(reference: DataFrame, candidates: DataFrame, features: list[str], by: str) -> DataFrame:
+    """(by, mean_distance, max_distance, rank): how far each value's rows lie from the reference; the best is first.
+
+    The distance of a feature is that of ``quantile_distance``; all values and features are one aggregation.
+    """
+    qs = [i / 100 for i in range(101)]
+    ref = reference.agg(*[F.percentile(c, qs).alias(f"q_{c}") for c in features], *[F.stddev_pop(c).alias(f"s_{c}") for c in features]).first()
+    g = candidates.groupBy(by).agg(*[F.percentile(c, qs).alias(c) for c in features])
+
+    def distance(c: str) -> Column:
+        apart = F.zip_with(F.array(*map(F.lit, ref[f"q_{c}"])), F.col(c), lambda x, y: F.abs(x - y))
+        return F.aggregate(apart, F.lit(0.0), lambda s, x: s + x) / 101 / max(ref[f"s_{c}"] or 0.0, 1e-12)
+
+    every = F.array(*[distance(c) for c in features])
+    out = g.select(by, (F.aggregate(every, F.lit(0.0), lambda s, x: s + x) / len(features)).alias("mean_distance"), F.array_max(every).alias("max_distance"))
+    return out.withColumn("rank", F.row_number().over(Window.orderBy("mean_distance", by)))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from querylens.functions import numeric as N
@@ -135,6 +135,62 @@ def describe_features(df: DataFrame, columns: list[str]) -> DataFrame:
 # --- Segments ---------------------------------------------------------------------------------------------------------
 
 
+def error_report(df: DataFrame, by: list[str], top: int = 10, p: str = "p", key: str = "item_id") -> DataFrame:
+    """(section, name, n, share) of rows with ``error_type``: outcomes, the errors' values of ``by``, and the surest errors.
+
+    Shares are of all rows, of all errors of the kind, and for the surest errors (n is their rank) the probability.
+    """
+    total = Window.partitionBy("section")
+    outcomes = df.groupBy(F.lit("outcome").alias("section"), F.col("error_type").alias("name")).agg(F.count("*").alias("n"))
+    wrong = df.filter("error_type in ('FP', 'FN')")
+    tall = wrong.select("error_type", F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v")) for c in by])).alias("x"))
+    patterns = tall.groupBy(F.concat("error_type", F.lit("_by_"), "x.c").alias("section"), F.col("x.v").alias("name")).agg(F.count("*").alias("n"))
+    counts = outcomes.unionByName(patterns).withColumn("share", F.col("n") / F.sum("n").over(total))
+    out = counts
+    for kind, first in (("FP", F.col(p).desc()), ("FN", F.col(p).asc())):
+        surest = top_k(wrong.filter(F.col("error_type") == kind).withColumn("section", F.lit(f"top_{kind}")), ["section"], [first, F.col(key)], top)
+        out = out.unionByName(surest.select("section", F.col(key).cast("string").alias("name"), F.col("rank").cast("long").alias("n"), F.col(p).cast("double").alias("share")))
+    return out
+
+
+def segment_report(df: DataFrame, levels: Column, query: dict[str, Column]) -> DataFrame:
+    """``segment_breakdown`` of five families at once: first category level, length class, and the flags that hold.
+
+    ``query``: length_class and boolean flags of the row's query, as ``query_segments`` of the features makes them.
+    """
+    flags = [F.when(F.coalesce(c, F.lit(False)), F.lit(name)) for name, c in query.items() if name != "length_class"]
+    every = F.array(F.concat(F.lit("category="), X.category_level(levels, 1)), F.concat(F.lit("length="), query["length_class"]), *flags)
+    tall = df.withColumn("segment_", F.explode(F.filter(every, lambda x: x.isNotNull())))
+    return segment_breakdown(tall, "segment_")
+
+
+def mean_separation(df: DataFrame, scores: list[str], label: str = "label") -> DataFrame:
+    """(score, separation): the mean of positives less the mean of others, for each score column; largest first."""
+    tall = df.select(label, *[F.col(c).cast("double").alias(c) for c in scores]).unpivot([label], scores, "score", "x")
+    g = tall.groupBy("score").agg((F.avg(F.when(F.col(label) == 1, F.col("x"))) - F.avg(F.when(F.col(label) != 1, F.col("x")))).alias("separation"))
+    return g.orderBy(F.col("separation").desc(), "score")
+
+
+def pipeline_checks(pairs: DataFrame, terms: DataFrame, items: DataFrame, sample: DataFrame, submission: DataFrame) -> DataFrame:
+    """One row that says what is wrong with the tables: counts, repeats, labels, dangling references, order of ids.
+
+    ``sample`` and ``submission``: (row_idx, id), in the order of their files.
+    """
+    def dangling(df: DataFrame, to: DataFrame, key: str) -> int:
+        return df.join(to.select(key).distinct(), key, "left_anti").count()
+
+    repeats = pairs.groupBy("term_id", "item_id").count().filter("count > 1").count()
+    about = pairs.agg(F.count("*").alias("n_pairs"), F.sum((F.coalesce("label", F.lit(0)) != 1).cast("long")).alias("n_not_positive"))
+    both = sample.select("row_idx", F.col("id").alias("a")).join(submission.select("row_idx", F.col("id").alias("b")), "row_idx", "full_outer")
+    row = about.select(
+        "n_pairs", F.lit(terms.count()).alias("n_terms"), F.lit(items.count()).alias("n_items"), F.lit(repeats).alias("n_repeated_pairs"), F.coalesce("n_not_positive", F.lit(0)).alias("n_not_positive"),
+        F.lit(terms.count() - terms.select("term_id").distinct().count()).alias("n_repeated_terms"), F.lit(items.count() - items.select("item_id").distinct().count()).alias("n_repeated_items"),
+        F.lit(dangling(pairs, terms, "term_id")).alias("n_lost_terms"), F.lit(dangling(pairs, items, "item_id")).alias("n_lost_items"), F.lit(both.filter(~F.col("a").eqNullSafe(F.col("b"))).count()).alias("n_misplaced"),
+    )
+    wrong = sum((F.col(c) for c in ("n_repeated_pairs", "n_not_positive", "n_repeated_terms", "n_repeated_items", "n_lost_terms", "n_lost_items", "n_misplaced")), F.lit(0))
+    return row.withColumn("valid", wrong == 0)
+
+
 def segment_breakdown(df: DataFrame, segment: str, ks: int = 10, p: str = "score", n_bins: int = 10) -> DataFrame:
     """recall, ndcg, mrr and ece for each value of ``segment``; queries are ranked within it."""
     both = df.withColumn("_g", F.concat_ws("\x01", segment, F.col("term_id").cast("string")))

@@ -166,9 +166,9 @@ _VOCAB = f"""{Z.TERMS}, tx AS (SELECT row_number() OVER () AS id, t FROM (SELECT
  vocab AS (SELECT token, cf, df, ln((1 + n)::DOUBLE / (1 + df)) + 1 AS idf FROM vc, n)"""
 
 
-def _vocabulary(s, d):
+def _vocabulary(s, d, size=10_000, min_df=2, n=1):
     """Fitted on the texts of queries and items together."""
-    return R.tfidf_vocabulary(T.corpus(s, d).select("text").unionByName(T.terms(s, d).select(F.col("query").alias("text"))))
+    return R.tfidf_vocabulary(T.corpus(s, d).select("text").unionByName(T.terms(s, d).select(F.col("query").alias("text"))), size=size, min_df=min_df, n=n)
 
 
 @query(f"WITH {_VOCAB} SELECT token, cf, df, round(idf, 6) AS idf FROM vocab")
@@ -647,6 +647,15 @@ def quantile_distance(s, d):
     return rounded(D.quantile_distance(*_halves(s, d), "value"), "distance")
 
 
+@query(f"""WITH {Z.SCORED}, f AS (SELECT *, term_id % 4 AS fraction FROM scored), a AS (SELECT {", ".join(f"quantile_cont({c}, {_QS}) AS a_{c}, stddev_pop({c}) AS s_{c}" for c in ("p", "q", "value"))} FROM f WHERE label = 1),
+ b AS (SELECT fraction, {", ".join(f"quantile_cont({c}, {_QS}) AS b_{c}" for c in ("p", "q", "value"))} FROM f WHERE label = 0 GROUP BY 1), x AS (SELECT fraction, [{", ".join(f"list_sum(list_transform(range(1, 102), lambda i: abs(a_{c}[i] - b_{c}[i]))) / 101 / greatest(s_{c}, 1e-12)" for c in ("p", "q", "value"))}] AS ds FROM a, b)
+ SELECT fraction, round(list_avg(ds), 6) AS mean_distance, round(list_max(ds), 6) AS max_distance, row_number() OVER (ORDER BY list_avg(ds), fraction)::INT AS rank FROM x""")
+def shift_summary(s, d):
+    """Which fraction of the terms has unlabelled pairs most like the positives."""
+    e = T.scored(s, d).withColumn("fraction", F.col("term_id") % 4)
+    return rounded(D.shift_summary(e.filter("label = 1"), e.filter("label = 0"), ["p", "q", "value"], "fraction"), "mean_distance", "max_distance")
+
+
 @query()
 def drift_report(s, d):
     return rounded(D.drift_report(*_halves(s, d), ["value", "p", "q"]), "psi", "ks", "p_value")
@@ -657,6 +666,18 @@ def shift_rows(s, d):
     return rounded(D.shift_rows(T.scored(s, d), ["p", "q"], "event_type"), "mean", "zero_rate")
 
 
+@query("""WITH li AS (SELECT l_suppkey AS term_id, l_partkey AS item_id, (l_returnflag = 'R')::INT AS label FROM lineitem WHERE l_linenumber < 3), o AS (SELECT row_number() OVER (ORDER BY o_orderkey) AS row_idx, o_orderkey AS id FROM orders)
+ SELECT count(*) AS n_pairs, (SELECT count(*) FROM supplier) AS n_terms, (SELECT count(*) FROM part WHERE p_size > 3) AS n_items, (SELECT count(*) FROM (SELECT term_id, item_id FROM li GROUP BY ALL HAVING count(*) > 1)) AS n_repeated_pairs, sum((label <> 1)::INT)::BIGINT AS n_not_positive, 0 AS n_repeated_terms, 0 AS n_repeated_items,
+ 0 AS n_lost_terms, (SELECT count(*) FROM li WHERE item_id NOT IN (SELECT p_partkey FROM part WHERE p_size > 3)) AS n_lost_items, (SELECT count(*) FROM o WHERE id % 5 = 0) AS n_misplaced, false AS valid FROM li""")
+def pipeline_checks(s, d):
+    """On tables with planted faults: unlabelled and repeated pairs, lost items, changed ids."""
+    li = T.table(s, d, "lineitem").filter("l_linenumber < 3").select(F.col("l_suppkey").alias("term_id"), F.col("l_partkey").alias("item_id"), (F.col("l_returnflag") == "R").cast("int").alias("label"))
+    items = T.table(s, d, "part").filter("p_size > 3").select(F.col("p_partkey").alias("item_id"))
+    ids = T.table(s, d, "orders").select(F.col("o_orderkey").alias("row_idx"), F.col("o_orderkey").alias("id"))
+    changed = ids.withColumn("id", F.when(F.col("id") % 5 == 0, -F.col("id") - 1).otherwise(F.col("id")))
+    return Q.pipeline_checks(li, T.table(s, d, "supplier").select(F.col("s_suppkey").alias("term_id")), items, ids, changed)
+
+
 # --- Quality, errors, segments ----------------------------------------------------------------------------------------
 
 
@@ -731,7 +752,7 @@ def error_patterns(s, d):
     return Q.error_patterns(Q.error_split(T.scored(s, d)), "event_type", 3)
 
 
-@query(f"""WITH {_LEX}, y AS (SELECT *, (item_id % 3 = 0)::INT AS label FROM lex) SELECT label, CASE WHEN query_color_match = -1 THEN 'COLOR_CONFLICT' WHEN query_size_match = -1 THEN 'SIZE_CONFLICT' WHEN query_material_match = -1 THEN 'MATERIAL_CONFLICT' WHEN query_title_overlap = 0 AND query_category_overlap = 0 THEN 'NO_LEXICAL_EVIDENCE'
+@query(f"""WITH {_LEX}, y AS (SELECT *, (item_id % 3 = 0)::INT AS label FROM lex) SELECT label, CASE WHEN query_model_token_conflict = 1 THEN 'MODEL_CODE_CONFLICT' WHEN demographic_conflict = 1 THEN 'DEMOGRAPHIC_CONFLICT' WHEN query_color_match = -1 THEN 'COLOR_CONFLICT' WHEN query_size_match = -1 THEN 'SIZE_CONFLICT' WHEN query_material_match = -1 THEN 'MATERIAL_CONFLICT' WHEN query_title_overlap = 0 AND query_category_overlap = 0 THEN 'NO_LEXICAL_EVIDENCE'
  WHEN label = 0 AND query_title_coverage >= 0.5 THEN 'LEXICAL_DECOY' ELSE 'OTHER' END AS signal, count(*) AS n FROM y GROUP BY ALL""")
 def error_taxonomy(s, d):
     f = _pair_features(s, d).withColumn("label", (F.col("item_id") % 3 == 0).cast("int"))
@@ -749,6 +770,53 @@ def segment_breakdown(s, d):
     return rounded(Q.segment_breakdown(df, "segment_"), "recall_10", "ndcg_10", "mrr", "ece")
 
 
+@query(f"""WITH {Z.SCORED}, {_ERR}, o AS (SELECT 'outcome' AS section, error_type AS name, count(*) AS n FROM er GROUP BY ALL UNION ALL SELECT error_type || '_by_event_type', event_type, count(*) FROM er WHERE error_type IN ('FP', 'FN') GROUP BY ALL UNION ALL SELECT error_type || '_by_fold', fold::VARCHAR, count(*) FROM er WHERE error_type IN ('FP', 'FN') GROUP BY ALL),
+ t AS (SELECT 'top_' || error_type AS section, item_id::VARCHAR AS name, row_number() OVER (PARTITION BY error_type ORDER BY CASE WHEN error_type = 'FP' THEN -p ELSE p END, item_id) AS n, p AS share FROM er WHERE error_type IN ('FP', 'FN'))
+ SELECT section, name, n, round(n / sum(n) OVER (PARTITION BY section), 6) AS share FROM o UNION ALL SELECT section, name, n, round(share, 6) FROM t WHERE n <= 10""")
+def error_report(s, d):
+    return rounded(Q.error_report(Q.error_split(T.scored(s, d)), ["event_type", "fold"]), "share")
+
+
+def _words(groups) -> str:
+    return ", ".join(f"'{w}'" for g in groups.values() for w in g if " " not in w)
+
+
+@query(f"""WITH {Z.LABELLED}, tk AS (SELECT *, {Z.tokens('query_text')} AS t FROM labelled), fl AS (SELECT *, list_filter(['category=' || split_part(item_category, '/', 1), 'length=' || CASE WHEN len(t) = 1 THEN 'Head' WHEN len(t) BETWEEN 2 AND 3 THEN 'Medium' ELSE 'Tail' END,
+  CASE WHEN list_has_any(t, [{_words(A.COLOURS)}]) THEN 'has_color' END, CASE WHEN list_has_any(t, ['xs', 's', 'm', 'l', 'xl', 'xxl', '3xl', 'beden', 'numara', 'size']) THEN 'has_size' END, CASE WHEN list_has_any(t, [{_words(A.MATERIALS)}]) THEN 'has_material' END,
+  CASE WHEN len(list_filter(t, lambda w: regexp_matches(w, '[0-9]'))) > 0 THEN 'has_model_code' END], lambda x: x IS NOT NULL) AS segs FROM tk),
+ sg AS (SELECT term_id, item_id, label, score, unnest(segs) AS segment FROM fl), {_rank_sql('sg', 'score', [10], 'segment')}, {_ece('sg', 'score', 'segment')} SELECT segment, n_queries, n_pairs, recall_10, ndcg_10, mrr, round(ece, 6) AS ece FROM rep JOIN ce USING (segment)""")
+def segment_families(s, d):
+    df = T.labelled(s, d)
+    return rounded(Q.segment_report(df, X.category_levels(F.col("item_category")), FE.query_segments(F.col("query_text"))), "recall_10", "ndcg_10", "mrr", "ece")
+
+
+@query(f"WITH {Z.SCORED}, t AS (SELECT label, 'p' AS score, p AS x FROM scored UNION ALL SELECT label, 'q', q FROM scored UNION ALL SELECT label, 'value', value FROM scored) SELECT score, round(avg(CASE WHEN label = 1 THEN x END) - avg(CASE WHEN label <> 1 THEN x END), 6) AS separation FROM t GROUP BY 1")
+def mean_separation(s, d):
+    return rounded(Q.mean_separation(T.scored(s, d), ["p", "q", "value"]), "separation")
+
+
+@query(f"""WITH {_VOCAB}, small AS (SELECT * FROM vocab ORDER BY cf DESC, token LIMIT 500), rare AS (SELECT * FROM vocab WHERE df >= 20), lab AS (SELECT doc_id, quality AS label, query_id FROM documents JOIN labels USING (doc_id) JOIN terms ON query_id = doc_id % (SELECT count(*) FROM terms)),
+ qs AS (SELECT query_id, token, count(*) AS tf FROM (SELECT query_id, unnest({_TOK % 'query'}) AS token FROM terms) GROUP BY ALL), ds AS (SELECT doc_id, token, count(*) AS tf FROM (SELECT doc_id, unnest({_TOK % 'text'}) AS token FROM documents) GROUP BY ALL),
+ vs AS (SELECT 500 AS size, 2 AS min_df, token, idf FROM small UNION ALL SELECT 10000, 20, token, idf FROM rare UNION ALL SELECT 10000, 2, token, idf FROM vocab),
+ qw AS (SELECT size, min_df, query_id, token, (1 + ln(tf)) * idf AS w FROM qs JOIN vs USING (token)), dw AS (SELECT size, min_df, doc_id, token, (1 + ln(tf)) * idf AS w FROM ds JOIN vs USING (token)),
+ qn AS (SELECT size, min_df, query_id, sqrt(sum(w * w)) AS n FROM qw GROUP BY ALL), dn AS (SELECT size, min_df, doc_id, sqrt(sum(w * w)) AS n FROM dw GROUP BY ALL),
+ dp AS (SELECT size, min_df, doc_id, round(sum(qw.w / qn.n * dw.w / dn.n), 6) AS c FROM lab JOIN qw USING (query_id) JOIN dw USING (size, min_df, doc_id, token) JOIN qn USING (size, min_df, query_id) JOIN dn USING (size, min_df, doc_id) GROUP BY ALL),
+ al AS (SELECT size, min_df, label, coalesce(c, 0.0) AS c FROM lab CROSS JOIN (SELECT DISTINCT size, min_df FROM vs) LEFT JOIN dp USING (size, min_df, doc_id))
+ SELECT size, min_df, 1 AS n, round(avg(CASE WHEN label = 1 THEN c END) - avg(CASE WHEN label <> 1 THEN c END), 5) AS separation FROM al GROUP BY ALL""")
+def tfidf_sweep(s, d):
+    """Separation of labelled documents by their cosine with a query, for vocabularies of different size and least df."""
+    c, t = T.corpus(s, d), T.terms(s, d)
+    labelled = T.table(s, d, "labels").select("doc_id", F.col("quality").alias("label"), F.pmod("doc_id", F.lit(t.count())).alias("query_id"))
+    pairs = labelled.join(c.select("doc_id"), "doc_id", "left_semi").join(t.select("query_id"), "query_id", "left_semi")
+    out = None
+    for size, least, n in ((500, 2, 1), (10_000, 20, 1), (10_000, 2, 1)):
+        v = saved(_vocabulary(s, d, size, least, n), "vocabulary")
+        scored = R.tfidf_cosine(pairs, R.tfidf_weights(t, v, "query_id", "query", n), R.tfidf_weights(c, v, "doc_id", n=n), "query_id", "doc_id")
+        row = Q.mean_separation(scored, ["tfidf_cosine"]).select(F.lit(size).alias("size"), F.lit(least).alias("min_df"), F.lit(n).alias("n"), F.round("separation", 5).alias("separation"))
+        out = row if out is None else out.unionByName(row)
+    return out.orderBy(F.col("separation").desc())
+
+
 _UNC = "u AS (SELECT *, least(greatest(p, 1e-7), 1 - 1e-7) AS c FROM scored), v AS (SELECT term_id, item_id, -(c * log2(c) + (1 - c) * log2(1 - c)) AS entropy, 1 - 2 * abs(c - 0.5) AS margin, 1 - greatest(c, 1 - c) AS least_conf FROM u)"
 
 

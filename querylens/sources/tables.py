@@ -105,12 +105,19 @@ def file_digests(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 
 def verify_freeze(spark: SparkSession, expected: list[dict]) -> None:
-    """Compare bytes and digests with what is written down, and report all differences at once."""
-    found = {r["path"].rsplit("/", 1)[-1]: r for r in file_digests(spark, [e["path"] for e in expected]).collect()}
+    """Compare bytes, digests, rows and columns with what is written down, and report all differences at once.
+
+    Each entry has ``path`` and any of bytes, sha256, rows and columns; the last two are read as CSV with a header.
+    """
+    found = {r["path"].split(":", 1)[-1].lstrip("/"): r for r in file_digests(spark, [e["path"] for e in expected]).collect()}
     wrong = []
     for e in expected:
-        r = found.get(e["path"].rsplit("/", 1)[-1])
+        r = found.get(e["path"].split(":", 1)[-1].lstrip("/"))
         wrong += [f"{e['path']}: {k}" for k in ("bytes", "sha256") if k in e and (r is None or r[k] != e[k])]
+        if r is not None and ("rows" in e or "columns" in e):
+            table = spark.read.option("header", True).csv(e["path"])
+            wrong += [f"{e['path']}: rows"] if "rows" in e and table.count() != e["rows"] else []
+            wrong += [f"{e['path']}: columns"] if "columns" in e and table.columns != list(e["columns"]) else []
     if wrong:
         raise ValueError("; ".join(wrong))
 
@@ -161,17 +168,28 @@ def unfinished(all_ids: DataFrame, done: DataFrame, key: str) -> DataFrame:
 
 
 def publish(df: DataFrame, path: str, check) -> None:
-    """Write beside the target, check what was written, then rename; nothing remains after a failure."""
+    """Write beside the target, check what was written, then rename; the old target stands aside until that is done.
+
+    A failure leaves the target as it was, and nothing else.
+    """
     spark = df.sparkSession
     jvm = spark.sparkContext._jvm
-    staged, final = jvm.org.apache.hadoop.fs.Path(path + ".staging"), jvm.org.apache.hadoop.fs.Path(path)
+    staged, aside, final = (jvm.org.apache.hadoop.fs.Path(path + x) for x in (".staging", ".before", ""))
     fs = final.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(aside) and not fs.exists(final):  # an earlier call ended between its renames
+        fs.rename(aside, final)
     try:
         df.write.mode("overwrite").option("header", True).csv(path + ".staging")
         check(spark.read.option("header", True).csv(path + ".staging"))
-        fs.delete(final, True)
+        fs.delete(aside, True)
+        held = fs.exists(final)
+        if held and not fs.rename(final, aside):
+            raise OSError(f"could not set {path} aside")
         if not fs.rename(staged, final):
+            if held:
+                fs.rename(aside, final)
             raise OSError(f"could not rename to {path}")
+        fs.delete(aside, True)
     finally:
         fs.delete(staged, True)
 

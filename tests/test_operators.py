@@ -213,3 +213,27 @@ def test_gbt_scores_every_event(spark, sf_dir):
     want = adapters.scored(spark, sf_dir).select("item_id", "label")
     got = catalog.queries()["gbt_score"](spark, sf_dir).select("item_id", "label")
     assert got.count() == want.count() and got.exceptAll(want).count() == 0
+
+
+def test_publish_keeps_the_old_target_until_the_new_one_stands(spark, tmp_path):
+    path = f"{tmp_path}/out"
+    IO.publish(spark.createDataFrame([(1,)], "a int"), path, lambda df: None)
+    IO.publish(spark.createDataFrame([(2,)], "a int"), path, lambda df: None)
+
+    def wrong(df):
+        raise ValueError("bad")
+
+    with pytest.raises(ValueError, match="bad"):
+        IO.publish(spark.createDataFrame([(3,)], "a int"), path, wrong)
+    assert [r["a"] for r in spark.read.option("header", True).csv(path).collect()] == ["2"]
+    assert sorted(p.name for p in tmp_path.iterdir() if not p.name.startswith(".")) == ["out"]
+
+
+def test_freeze_names_files_of_one_name_apart(spark, tmp_path):
+    for k in (1, 2):
+        (tmp_path / str(k)).mkdir()
+        (tmp_path / str(k) / "x.csv").write_text("a,b\n" + "1,2\n" * k)
+    entries = [{"path": f"{tmp_path}/{k}/x.csv", "bytes": 4 + 4 * k, "rows": k, "columns": ["a", "b"], "sha256": IO.sha256_file(f"{tmp_path}/{k}/x.csv")} for k in (1, 2)]
+    IO.verify_freeze(spark, entries)
+    with pytest.raises(ValueError, match="2/x.csv: rows; .*2/x.csv: columns"):
+        IO.verify_freeze(spark, [entries[0], entries[1] | {"rows": 5, "columns": ["a"]}])
