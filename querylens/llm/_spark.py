@@ -2,42 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from querylens.sources.scratch import saved as written
+from querylens.sources.scratch import shared_dir
+
 #: A key with at least this share of all rows counts as hot, so there are at most 1 / HOT_SHARE of them.
 HOT_SHARE = 0.001
 #: Most rows that a checked side may have to be broadcast whole.
 BROADCAST_ROWS = 20_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which driver and executors share.
-
-    Only where the setting is absent (a local session, as in tests) is a folder of this machine taken.
-    """
-    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if configured:
-        return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    own = getattr(spark.sparkContext, "_querylens_dir", None)
-    if own is None:
-        own = spark.sparkContext._querylens_dir = "file://" + tempfile.mkdtemp(prefix="querylens-")
-    return own
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder, read again: lineage is cut and any executor can read it."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/querylens/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def dropped(df: DataFrame) -> None:
     """Delete the files of a table made by ``written`` that no later plan reads."""
     spark = df.sparkSession

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from querylens.llm._tokens import ALNUM, U, Words, chunks, gram_hash
+from querylens.sources.scratch import spread
 
 BLOCK = 2
 TABLE_BITS = 18
@@ -219,7 +220,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 
 def op2_decontaminate(spark, sf_dir: str) -> DataFrame:
-    return decontaminate(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).drop("spans")
+    return decontaminate(spread(spark.read.parquet(f"{sf_dir}/documents.parquet")), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).drop("spans")
 
 
 SQL = r"""

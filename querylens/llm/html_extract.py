@@ -37,6 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from querylens.llm._spark import HOT_SHARE, lookup, written
+from querylens.sources.scratch import spread
 
 GAMMA = 0.9
 INSIDE, OUTSIDE = 0.2, 0.3
@@ -334,4 +335,4 @@ def html_extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
 
 
 def op6_html_extract(spark, sf_dir: str) -> DataFrame:
-    return html_extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return html_extract(spread(spark.read.parquet(f"{sf_dir}/pages.parquet")))

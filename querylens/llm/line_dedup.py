@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from querylens.llm._spark import dropped, lookup, shared_dir, written
+from querylens.sources.scratch import spread
 
 FAN = 4
 #: Most batches: each is a few jobs, and a partition of the table of lines.
@@ -143,7 +144,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def op9_line_dedup(spark, sf_dir: str) -> DataFrame:
-    out = line_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    out = line_dedup(spread(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 

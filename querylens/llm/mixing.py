@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from querylens.llm._spark import written
+from querylens.sources.scratch import spread
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Documents in one bucket of a source's random order: what one task sums up in sequence.
@@ -165,7 +166,7 @@ def shard_rows(pieces: DataFrame) -> DataFrame:
 
 
 def op4_mixing(spark, sf_dir: str) -> DataFrame:
-    pieces, documents = mixed(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source"))
+    pieces, documents = mixed(spread(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "text", "source"))
     return mix_report(pieces, documents)
 
 

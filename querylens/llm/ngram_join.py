@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 
 from querylens.llm._spark import dropped, lookup, written
 from querylens.llm._tokens import NOT_WHITE, U, Words, chunks, gram_hash, mix
+from querylens.sources.scratch import spread
 
 MISS = 1e-9
 BITS = 10
@@ -467,4 +468,4 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def op1_ngram_join(spark, sf_dir: str) -> DataFrame:
-    return ngram_join(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return ngram_join(spread(spark.read.parquet(f"{sf_dir}/documents.parquet")))

@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 
 from querylens.llm._spark import lookup, written
 from querylens.llm._tokens import NOT_WHITE, U, Words, chunks, mix, mix1, packed, unpacked
+from querylens.sources.scratch import spread
 
 END = U(mix1(0x656E64))
 BASE = 2**0.5
@@ -359,4 +360,4 @@ def ngram_lm(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
 
 
 def op7_ngram_lm(spark, sf_dir: str) -> DataFrame:
-    return ngram_lm(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return ngram_lm(spread(spark.read.parquet(f"{sf_dir}/documents.parquet")))

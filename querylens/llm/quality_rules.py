@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from querylens.llm._spark import BROADCAST_ROWS, lookup, written
+from querylens.sources.scratch import spread
 
 WHITE = r"[\x20\x09-\x0D]+"
 SYMBOLS = r"[#*$%&|<>]"
@@ -93,7 +94,7 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def op10_quality_rules(spark, sf_dir: str) -> DataFrame:
-    return quality_rules(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("host")
+    return quality_rules(spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))).drop("host")
 
 
 SQL = r"""

@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 
 from querylens.llm._spark import written
 from querylens.llm._tokens import packed, unpacked
+from querylens.sources.scratch import spread
 
 #: A batch ends with the text that brings it to so many distinct pre-tokens, or to so many (text, pre-token) entries.
 KINDS, ENTRIES = 300_000, 4_000_000
@@ -203,4 +204,4 @@ def token_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
 def op8_token_counts(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return token_counts(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("byte_bpe_50k.json"))
+    return token_counts(spread(spark.read.parquet(f"{sf_dir}/documents.parquet")), public_tokenizers.path("byte_bpe_50k.json"))

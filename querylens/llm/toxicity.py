@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from querylens.llm._spark import written
 from querylens.llm._tokens import ALNUM, U, Words, chunks, mix, word_hash
+from querylens.sources.scratch import spread
 
 FEATURE_BITS = 22
 PREFIXES = (5, 6, 8)
@@ -213,4 +214,4 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
 
 def op3_toxicity(spark, sf_dir: str) -> DataFrame:
-    return toxicity(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity(spread(spark.read.parquet(f"{sf_dir}/documents.parquet")), spark.read.parquet(f"{sf_dir}/labels.parquet"))
