@@ -1,7 +1,12 @@
 """The corpus pipeline: quality rules, line dedup, near-duplicate removal, decontamination, and source mixing.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before kept. Decisions are by doc_id: where rows
-share one, the decision on any of them holds for all; rows with a null doc_id are never rejected.
+share one, the decision on any of them holds for all; rows with a null doc_id are never rejected, and keep their lines.
+
+Edge cases: a null or empty text fails the quality rules, so it goes; a text whose lines all go to another document is
+empty and stays; rows equal in id and text (exact copies with one doc_id) all stay or all go, and of copies with different
+ids the smallest stays, so there are no ties; texts of any length are taken whole; further columns than COLUMNS are
+dropped; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -15,6 +20,7 @@ from querylens.llm.line_dedup import line_dedup
 from querylens.llm.mixing import mix_report, mixed
 from querylens.llm.ngram_join import ngram_join
 from querylens.llm.quality_rules import quality_rules
+from querylens.sources.scratch import spread
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Most ids of rejected documents that are broadcast; more are joined by a shuffle.
@@ -62,7 +68,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(*COLUMNS)
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select(*COLUMNS))
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)
