@@ -14,8 +14,9 @@ partition, where no linked pair can be missed; with ``miss`` 0 every set has, at
 
 The smallest set of a signature is its head. All sets that share a signature with a head form its group, one row a
 member, so each candidate pair lies in some group. Pairs with a head are tested first: by exact lower bounds (sizes,
-histograms of the features), then by exact intersection. Members that are not linked to their head by then are compared
-with the rest of the group in blocks of BLOCK members, where the bounds are applied before any pair is emitted.
+histograms of the features), then by exact intersection. Where members of a group are in different components by then,
+they are compared with each other in blocks of bounded size, by the bounds and then exactly, and a pair is emitted only if
+it links and ties two components together: never more pairs than members.
 
 Edge cases: null or empty text is the empty set, linked with nothing; under ``size`` words the whole sequence is the
 one shingle; equal sets (repeated rows and ties among them) are one class from the start, named by its smallest doc_id;
@@ -47,7 +48,8 @@ CELLS, CELL_FEATURES = 64, 8
 BUCKET_SIGNATURES = 2_000_000
 #: Signatures that a mapper gathers before it sends them on.
 FLUSH = 1_000_000
-BLOCK = 1024
+#: Most members and features in a block of a group, about, and members of small groups that are compared in one go.
+BLOCK, BLOCK_FEATURES, BIN = 1024, 500_000, 4096
 #: Most document ids that are broadcast to fetch candidates' texts; beyond, they are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -269,7 +271,7 @@ def shapes(column: pa.Array, n: np.ndarray) -> dict[int, tuple[np.ndarray, np.nd
 
 
 def head_bounds(num: int, den: int):
-    """Arrow batches (a, b, shared, na, ha, nb, hb) -> (a, b, shared, near, nb, hb); near: the bounds allow a link."""
+    """Arrow batches (a, b, shared, na, ha, nb, hb) -> (a, b, shared, near, nb); near: the bounds allow a link."""
 
     def run(batches):
         for batch in batches:
@@ -281,54 +283,75 @@ def head_bounds(num: int, den: int):
                     both, i, j = np.intersect1d(r1, r2, assume_unique=True, return_indices=True)
                     c = min(c1, c2)
                     near[both] = may_link(na[both], folded(h1[i], c), nb[both], folded(h2[j], c), num, den)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(near), batch.column(5), batch.column(6)], ["a", "b", "shared", "near", "nb", "hb"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(near), batch.column(5)], ["a", "b", "shared", "near", "nb"])
 
     return run
 
 
-def block_pairs(num: int, den: int):
-    """Arrow batches (left, right: lists of (name, label, n, cells)) -> pairs (a, b) that the bounds allow.
+FEATURE_BYTES = 6
+
+
+def packed_features(features: np.ndarray, first: np.ndarray) -> list[bytes]:
+    """Each set's features, FEATURE_BYTES of each."""
+    flat = (features >> U(54 - 8 * FEATURE_BYTES)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :FEATURE_BYTES].tobytes()
+    return [flat[FEATURE_BYTES * x : FEATURE_BYTES * y] for x, y in zip(first[:-1], first[1:], strict=True)]
 
-    An empty right list stands for the left one again.
-    """
 
-    def members(rows: pa.Array) -> tuple:
-        name, label, n, cells = (rows.field(k) for k in range(4))
-        n = n.to_numpy()
-        return name.to_numpy(), label.to_numpy(), n, shapes(cells, n)
+class Block:
+    """The sets of one group in one or two blocks: names, labels, sizes, and the features as numbers from 0."""
 
-    def compared(left: tuple, right: tuple, same: bool) -> list:
+    def __init__(self, name: np.ndarray, label: np.ndarray, features: list[bytes]):
+        self.name, self.root = name, label.copy()
+        self.n = np.array([len(x) // FEATURE_BYTES for x in features])
+        self.end = np.cumsum(self.n)
+        wide = np.zeros((self.end[-1], 8), dtype=np.uint8)
+        wide[:, :FEATURE_BYTES] = np.frombuffer(b"".join(features), dtype=np.uint8).reshape(-1, FEATURE_BYTES)
+        kinds, self.flat = np.unique(wide.reshape(-1).view("<u8"), return_inverse=True)
+        self.mark = np.zeros(len(kinds), dtype=bool)
+        owner = np.repeat(np.arange(len(name)), self.n)
+        self.cells = np.bincount(owner * CELLS + self.flat % CELLS, minlength=len(name) * CELLS).reshape(-1, CELLS)
+
+    def ties(self, left: np.ndarray, right: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
+        """Links of a left and a right set that tie components together."""
         out = []
-        for c1, (r1, h1) in left[3].items():
-            for c2, (r2, h2) in right[3].items():
-                if max(c1, c2) > 2 * min(c1, c2):
-                    continue  # sizes so different cannot link
-                c = min(c1, c2)
-                f1, f2 = folded(h1, c), folded(h2, c)
-                order = np.argsort(right[2][r2], kind="stable")
-                r2o, f2, sizes = r2[order], f2[order], right[2][r2][order]
-                for k, x in enumerate(r1.tolist()):
-                    n = left[2][x]
-                    lo, hi = np.searchsorted(sizes, -(-n * num // den)), np.searchsorted(sizes, n * den // num, side="right")
-                    y = lo + np.flatnonzero(right[1][r2o[lo:hi]] != left[1][x])
-                    if same:
-                        y = y[r2o[y] > x]
-                    y = y[may_link(np.full(len(y), n), np.broadcast_to(f1[k], (len(y), c)), sizes[y], f2[y], num, den)]
-                    if len(y):
-                        one, two = np.full(len(y), left[0][x]), right[0][r2o[y]]
-                        out.append(np.stack([np.minimum(one, two), np.maximum(one, two)]))
+        right = right[np.argsort(self.n[right], kind="stable")]
+        sizes = self.n[right]
+        for x in left.tolist():
+            n = int(self.n[x])
+            y = right[np.searchsorted(sizes, -(-n * num // den)) : np.searchsorted(sizes, n * den // num, side="right")]
+            y = y[self.root[y] != self.root[x]]
+            apart = np.abs(self.cells[y] - self.cells[x]).sum(axis=1)
+            y = y[apart * (num + den) <= (self.n[y] + n) * (den - num)]
+            if not len(y):
+                continue
+            own = self.flat[self.end[x] - n : self.end[x]]
+            self.mark[own] = True
+            many = self.n[y]
+            starts = np.cumsum(many) - many
+            at = np.arange(many.sum()) + np.repeat(self.end[y] - many - starts, many)
+            shared = np.add.reduceat(self.mark[self.flat[at]].astype(np.int64), starts)
+            self.mark[own] = False
+            for z in y[shared * den >= (n + many - shared) * num].tolist():
+                if self.root[z] != self.root[x]:
+                    self.root[self.root == self.root[z]] = self.root[x]
+                    out.append((int(self.name[x]), int(self.name[z])))
         return out
 
-    def run(batches):
-        for batch in batches:
-            found = []
-            for k in range(batch.num_rows):
-                left, right = (batch.column(c).slice(k, 1).flatten() for c in (0, 1))
-                first = members(left)
-                found += compared(first, first if not len(right) else members(right), not len(right))
-            if found:
-                pairs = np.concatenate(found, axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+
+def block_ties(num: int, den: int):
+    """Rows (a, low, name, label, features) of one block, of two, or of several small groups -> links that tie components."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.combine_chunks().sort_by("a")
+        a, low, name, label = (rows.column(k).to_numpy() for k in ("a", "low", "name", "label"))
+        features = rows.column("features").to_pylist()
+        cut = np.flatnonzero(np.concatenate(([True], a[1:] != a[:-1], [True])))
+        out = []
+        for x, y in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+            block = Block(name[x:y], label[x:y], features[x:y])
+            left, right = np.flatnonzero(low[x:y]), np.flatnonzero(~low[x:y])
+            out += block.ties(left, right if len(right) else left, num, den)
+        return pa.table({"a": pa.array([min(p) for p in out], pa.int64()), "b": pa.array([max(p) for p in out], pa.int64())})
 
     return run
 
@@ -379,36 +402,48 @@ def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     return written(far.union(tied.join(labels, "name", "left_anti").select("name", "label")), "labels")
 
 
-def open_pairs(groups: DataFrame, labels: DataFrame, num: int, den: int) -> DataFrame:
-    """Distinct pairs (a, b) of members of one group that lie in different components and pass the exact bounds.
+def group_ties(groups: DataFrame, labels: DataFrame, docs: DataFrame, classes: DataFrame, size: int, num: int, den: int) -> DataFrame:
+    """Links (a, b) between members of one group that tie different components together.
 
-    ``groups``: (a, b, nb, hb), the members b of each head a. Pairs with the head itself are known already. Groups are
-    cut into blocks of BLOCK members, and each row holds two blocks at most.
+    ``groups``: (a, b, nb), the members b of each head a. Links with the head itself are known already. Large groups are
+    cut into blocks, and each two of a group's blocks meet in a task; small groups share tasks.
     """
-    members = labelled(groups, labels, "b", "lb")
-    sizes = members.groupBy("a").agg(F.count("*").alias("m"), F.min("lb").alias("x"), F.max("lb").alias("y")).filter("x != y").select("a", "m")
-    dealt = members.join(sizes, "a").withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("mine", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int"))
-    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    row = F.struct(F.col("b").alias("name"), F.col("lb").alias("label"), F.col("nb").alias("n"), F.col("hb").alias("cells"))
-    met = met.select("a", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"), (F.col("mine") <= F.col("other")).alias("low"), row.alias("row"))
+    members = written(labelled(groups, labels, "b", "lb"), "members")
+    sizes = members.groupBy("a").agg(F.count("*").alias("m"), F.sum("nb").alias("f"), F.min("lb").alias("x"), F.max("lb").alias("y")).filter("x != y")
+    blocks = F.ceil(F.greatest(F.col("m") / BLOCK, F.col("f") / BLOCK_FEATURES)).cast("int")
+    open_ = written(members.join(sizes.select("a", blocks.alias("blocks")), "a").select("a", "b", "lb", "blocks"), "open")
+    total = open_.count()
+    if not total:
+        return open_.select("a", "b")
+    ids = written(classes.join(open_.select(F.col("b").alias("name")).distinct(), "name", "left_semi").select(F.col("rep").alias("doc_id")), "ids")
+    sets = written(feature_sets(docs, ids, size, True).dropDuplicates(["name"]).withColumnRenamed("name", "b"), "sets")
+    mine, other = F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    dealt = open_.withColumn("mine", mine).withColumn("other", other).join(sets, "b")
+    small = F.col("blocks") == 1
+    shared = F.pmod(F.xxhash64("a"), F.lit(-(-total // BIN))).cast("int")
+    met = dealt.select(
+        F.when(small, shared).otherwise(-1).alias("bin"), F.when(~small, F.col("a")).alias("big"), F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"),
+        "a", (F.col("mine") <= F.col("other")).alias("low"), F.col("b").alias("name"), F.col("lb").alias("label"), "features",
+    )
     parts = int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    blocks = met.repartition(parts, "a", "p", "q").groupBy("a", "p", "q").agg(F.collect_list(F.when(F.col("low"), F.col("row"))).alias("left"), F.collect_list(F.when(~F.col("low"), F.col("row"))).alias("right"))
-    blocks = blocks.filter((F.size("left") > 0) & ((F.col("p") == F.col("q")) | (F.size("right") > 0)))
-    return blocks.select("left", "right").mapInArrow(block_pairs(num, den), "a long, b long").distinct()
+    return met.repartition(parts, "bin", "big", "p", "q").groupBy("bin", "big", "p", "q").applyInArrow(
+        lambda rows: block_ties(num, den)(rows.select(["a", "low", "name", "label", "features"])), "a long, b long"
+    )
 
 
-def feature_sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
-    """(name, features) of the documents in ``ids`` (doc_id), one for each name."""
+def feature_sets(docs: DataFrame, ids: DataFrame, size: int, packed: bool = False) -> DataFrame:
+    """(name, features) of the documents in ``ids`` (doc_id), one for each name; ``packed`` as bytes."""
 
     def run(batches):
         for b in batches:
             for _, _, data, offsets in chunks(b.column(1)):
                 features, first = shingle_sets(data, offsets, size)
-                yield pa.RecordBatch.from_arrays([pa.array(set_names(features, first)), pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(features.view(np.int64)))], ["name", "features"])
+                held = pa.array(packed_features(features, first), pa.binary()) if packed else pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(features.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(set_names(features, first)), held], ["name", "features"])
 
     few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     chosen = docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
-    return chosen.mapInArrow(run, "name long, features array<long>")
+    return chosen.mapInArrow(run, f"name long, features {'binary' if packed else 'array<long>'}")
 
 
 def linked(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int, num: int, den: int) -> DataFrame:
@@ -445,7 +480,7 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return classes.select(F.col("name").alias(x), F.col("n").alias(f"n{x}"), F.col("cells").alias(f"h{x}"))
 
     pairs = found.groupBy("a", "b").agg(F.sum("shared").alias("shared")).join(side("b"), "b").join(side("a"), "a").select("a", "b", "shared", "na", "ha", "nb", "hb")
-    groups = written(pairs.mapInArrow(head_bounds(num, den), "a long, b long, shared long, near boolean, nb long, hb binary"), "groups")
+    groups = written(pairs.mapInArrow(head_bounds(num, den), "a long, b long, shared long, near boolean, nb long"), "groups")
     dropped(found)
     near = groups.filter("near").select("a", "b", "shared")
     # First each set with the head that it shares most signatures with, then the other heads while still apart.
@@ -455,14 +490,14 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     others = written(others.filter("la != lb").select("a", "b"), "others")
     if others.limit(1).count():
         labels = merged(labels, linked(others, docs, classes, size, num, den))
-    # Then pairs of members that are still apart.
-    rest = written(open_pairs(groups, labels, num, den).join(near.select("a", "b"), ["a", "b"], "left_anti"), "rest")
-    if rest.limit(1).count():
-        labels = merged(labels, linked(rest, docs, classes, size, num, den))
+    # Then members of one group that are still apart.
+    ties = written(group_ties(groups, labels, docs, classes, size, num, den).distinct(), "ties")
+    if ties.limit(1).count():
+        labels = merged(labels, ties)
     reps = classes.join(labels, "name", "left").withColumn("label", F.coalesce("label", "name")).select("name", "rep", "rows", "label")
     low = reps.groupBy("label").agg(F.min("rep").alias("component_id"))
     final = written(reps.join(low, "label").select("name", "rows", "component_id"), "final")
-    for table in (classes, groups, best, others, rest):
+    for table in (classes, groups, best, others, ties):
         dropped(table)
     return lookup(own, final, ["name"], "rows", seen.count(), "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 

@@ -54,22 +54,33 @@ def test_signatures_of_pairs_at_the_limit_meet():
             assert np.intersect1d(s[owner == 0], s[owner == 1]).size
 
 
-def member(i, n, cells):
-    return (0, i, n, bytearray(bytes(cells)))
-
-
-def test_open_pairs(spark, monkeypatch):
-    """Members of a group in different components meet, in one block or in several, unless the bounds keep them apart."""
-    even, other = [1] * 40 + [0] * 24, [0] * 24 + [1] * 40
-    rows = [member(i, 40, even) for i in range(1, 8)] + [member(8, 40, other), member(9, 60, even)]
-    groups = spark.createDataFrame(rows, "a long, b long, nb long, hb binary")
-    labels = spark.createDataFrame([(1, 1), (2, 1), (3, 1)], "name long, label long")
-    want = {(x, y) for x in range(1, 8) for y in range(x + 1, 8) if y > 3}
-    for block in (1024, 2):
-        monkeypatch.setattr(J, "BLOCK", block)
-        assert {(r["a"], r["b"]) for r in J.open_pairs(groups, labels, 3, 4).collect()} == want
-    same = spark.createDataFrame([(i, 1) for i in range(1, 10)], "name long, label long")
-    assert J.open_pairs(groups, same, 3, 4).count() == 0
+@pytest.mark.parametrize(("block", "features", "size"), [(1024, 500_000, 4096), (3, 500_000, 4096), (1024, 300, 4096), (1024, 500_000, 2)])
+def test_group_ties(spark, monkeypatch, block, features, size):
+    """Members of groups in different components are tied as all pairs would tie them, in one block or in several."""
+    for name, value in (("BLOCK", block), ("BLOCK_FEATURES", features), ("BIN", size)):
+        monkeypatch.setattr(J, name, value)
+    rng = np.random.default_rng(5)
+    texts = []
+    for k in range(4):  # families whose members lie around the threshold
+        base = [f"t{k}x{x}" for x in range(40)]
+        for _ in range(9):
+            w = list(base)
+            for at in rng.integers(0, 40, rng.integers(0, 4)):
+                w[at] = f"e{rng.integers(10**6)}"
+            texts.append(" ".join(w))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    classes = J.written(docs.mapInArrow(J.described(5), "doc_id long, n long, name long, cells binary").groupBy("name").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")), "classes")
+    names = {r["name"]: (r["rep"], r["n"]) for r in classes.collect()}
+    groups = spark.createDataFrame([(-1, x, n) for x, (_, n) in names.items()] + [(-2, x, n) for x, (i, n) in names.items() if i % 2], "a long, b long, nb long")
+    labels = spark.createDataFrame([], "name long, label long")
+    got = [tuple(r) for r in J.group_ties(groups, labels, docs, classes, 5, 3, 4).collect()]
+    sets = {x: brute.shingles(texts[i]) for x, (i, _) in names.items()}
+    assert got and all(4 * len(sets[x] & sets[y]) >= 3 * len(sets[x] | sets[y]) for x, y in got)
+    assert block < 1024 or features < 1000 or len(got) < 2 * len(names)
+    found = {r["name"]: r["label"] for r in J.components(spark.createDataFrame(got, "a long, b long")).collect()}
+    want = brute.components(list(enumerate(texts)))
+    groups_of = lambda label: sorted(sorted(names[x][0] for x in names if label(x) == k) for k in {label(x) for x in names})
+    assert groups_of(lambda x: found.get(x, x)) == groups_of(lambda x: want[names[x][0]][1])
 
 
 def test_labels_of_forests_and_further_links(spark):
