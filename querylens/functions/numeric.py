@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from querylens.functions.text import search_form, words
+
 EPS = 1e-7
 
 
@@ -60,8 +62,8 @@ def edge_bin(p: Column, n_bins: int) -> Column:
 
 
 def length_threshold(query: Column) -> Column:
-    """0.65 for queries of up to two words, else 0.35."""
-    return F.when(F.size(F.filter(F.split(F.coalesce(query, F.lit("")), r"\s+"), lambda x: x != "")) <= 2, 0.65).otherwise(0.35)
+    """0.65 for queries of up to two words of their search form, else 0.35."""
+    return F.when(F.size(words(search_form(query))) <= 2, 0.65).otherwise(0.35)
 
 
 def adaptive_threshold(category: Column, query: Column) -> Column:

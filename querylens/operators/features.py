@@ -179,16 +179,24 @@ def index_text() -> Column:
     return F.concat_ws(" ", F.coalesce("title", F.lit("")), X.flat_category(F.col("category")), F.coalesce("brand", F.lit("")))
 
 
-def cross_encoder_text(missing: str = "Belirtilmemiş") -> Column:
-    """The fixed document template of the cross encoder; attributes are ``Key: value | Key: value``."""
+def cross_encoder_text(missing: str = "Belirtilmemiş", given: tuple[str, ...] = ()) -> Column:
+    """The fixed document template of the cross encoder; attributes are ``Key: value | Key: value``.
+
+    ``given`` names those of the columns color, size and material that the table has: they come before the attributes.
+    A size may stand under beden or numara, a material under materyal or kumaş.
+    """
     src = F.col("attributes")
 
-    def shown(c: Column) -> Column:
-        return F.when(F.coalesce(c, F.lit("")) == "", missing).otherwise(c)
+    def shown(*values: Column) -> Column:
+        return F.coalesce(*[F.nullif(F.trim(F.coalesce(v, F.lit(""))), F.lit("")) for v in values], F.lit(missing))
+
+    def said(column: str, *keys: str) -> Column:
+        return shown(*[F.col(column).cast("string")] * (column in given), *[A.piped_value(src, k) for k in keys])
 
+    title, category = (F.trim(F.coalesce(c, F.lit(""))) for c in ("title", "category"))
     return F.format_string(
         "[TITLE] %s [SEP] [CAT] %s [SEP] [ATTR] Marka: %s | Renk: %s | Beden: %s | Materyal: %s",
-        F.coalesce("title", F.lit("")), F.coalesce("category", F.lit("")), shown(F.col("brand")), shown(A.piped_value(src, "Renk")), shown(A.piped_value(src, "Beden")), shown(A.piped_value(src, "Materyal")),
+        title, category, shown(F.col("brand")), said("color", "renk"), said("size", "beden", "numara"), said("material", "materyal", "kumaş"),
     )
 
 

@@ -121,3 +121,12 @@ def test_wide_features_of_the_fixture(spark):
     assert (b["exact_brand_match"], b["color_match_score"], b["size_match_score"], b["material_match_score"], b["attribute_conflict_penalty"], b["score_rank_diff"]) == (0, 0, 0, 0.5, 1, 5)
     assert abs(b["rrf_fusion_score"] - (1 / 75 + 1 / 80)) < 1e-12 and abs(b["bm25_normalized"] - 0.06) < 1e-12
     assert (c["bm25_rank"], c["color_match_score"], c["char_3gram_jaccard"], c["cross_encoder_prob_sigmoid"]) == (200, 0.5, 0, 0.5)
+
+
+def test_cross_encoder_text_prefers_columns_and_falls_back(spark):
+    from querylens.operators import features as FE
+
+    rows = [(" T ", "a/b", None, "Numara: 38 | Kumaş: Keten", "Mavi", "")]
+    df = spark.createDataFrame(rows, "title string, category string, brand string, attributes string, color string, size string")
+    got = df.select(FE.cross_encoder_text(given=("color", "size")).alias("v")).first()["v"]
+    assert got == "[TITLE] T [SEP] [CAT] a/b [SEP] [ATTR] Marka: Belirtilmemiş | Renk: Mavi | Beden: 38 | Materyal: Keten"
