@@ -107,7 +107,12 @@ def levenshtein_similarity(a: Column, b: Column) -> Column:
 
 
 def char_ngrams(c: Column, n: int) -> Column:
-    every = F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - (n - 1), F.lit(1))), lambda i: F.substring(c, i, F.lit(n)))
+    """Distinct runs of n characters; a shorter text is its own. Characters are cut out once, so long texts take linear time."""
+    chars = F.regexp_extract_all(c, F.lit("(?s)."), F.lit(0))
+    grams = chars
+    for k in range(2, n + 1):
+        grams = F.zip_with(grams, F.slice(chars, k, F.greatest(F.size(chars), F.lit(1))), lambda x, y: F.concat(x, y))
+    every = F.filter(grams, lambda x: x.isNotNull())
     return F.array_distinct(F.when(F.length(c) == 0, F.array().cast("array<string>")).when(F.length(c) < n, F.array(c)).otherwise(every))
 
 

@@ -199,20 +199,35 @@ def _text_pairs(s, d):
     return T.corpus(s, d).withColumn("query_id", F.pmod("doc_id", F.lit(t.count()))).join(F.broadcast(t), "query_id")
 
 
-@query(f"""WITH {Z.TERMS}, x AS (SELECT doc_id, query_id, {Z.tokens('query')} AS q, {Z.tokens('text')} AS t, {Z.match('query')} AS mq, {Z.match('text')} AS mt, lang || '/' || source AS category FROM documents JOIN terms ON query_id = doc_id % (SELECT count(*) FROM terms)),
- y AS (SELECT *, list_distinct(list_transform(range(1, greatest(length(mq) - 1, 2)), lambda i: substring(mq, i, 3))) AS gq, list_distinct(list_transform(range(1, greatest(length(mt) - 1, 2)), lambda i: substring(mt, i, 3))) AS gt, regexp_replace(mq, '[^ -~]', '', 'g') AS aq, regexp_replace(mt, '[^ -~]', '', 'g') AS ah FROM x)
- SELECT doc_id, query_id, round({Z.jaccard('q', 't')}, 6) AS overlap, round({Z.coverage('q', 't')}, 6) AS coverage, round({Z.coverage('t', 'q')}, 6) AS precision, (contains(' ' || mt || ' ', ' ' || mq || ' ') AND mq <> '')::INT AS phrase,
- len({Z.model_tokens('t')})::INT AS n_model_tokens, round(CASE WHEN greatest(length(aq), length(ah)) = 0 THEN 1.0 ELSE 1 - levenshtein(aq, ah)::DOUBLE / greatest(length(aq), length(ah)) END, 6) AS levenshtein,
- round({Z.jaccard('gq', 'gt')}, 6) AS trigrams FROM y""")
+@query(f"""WITH {Z.TERMS}, x AS (SELECT doc_id, query_id, {Z.tokens('query')} AS q, {Z.tokens('text')} AS t, {Z.match('query')} AS mq, {Z.match('text')} AS mt FROM documents JOIN terms ON query_id = doc_id % (SELECT count(*) FROM terms))
+ SELECT doc_id, query_id, round({Z.jaccard('q', 't')}, 6) AS overlap, round({Z.coverage('q', 't')}, 6) AS coverage, round({Z.coverage('t', 'q')}, 6) AS precision, (contains(' ' || mt || ' ', ' ' || mq || ' ') AND mq <> '')::INT AS phrase, len({Z.model_tokens('t')})::INT AS n_model_tokens FROM x""")
 def text_similarity(s, d):
     q, t, mq, mt = (F.col(c) for c in ("_q", "_t", "_mq", "_mt"))
     forms = _text_pairs(s, d).withColumns({"_mq": X.match_form(F.col("query")), "_mt": X.match_form(F.col("text"))})
     forms = forms.withColumns({"_q": F.array_distinct(X.words(mq)), "_t": F.array_distinct(X.words(mt))})
-    made = forms.select(
-        "doc_id", "query_id", X.jaccard(q, t).alias("overlap"), X.share_of_first(q, t).alias("coverage"), X.share_of_first(t, q).alias("precision"), X.holds_phrase(mt, mq).cast("int").alias("phrase"),
-        F.size(X.model_tokens(t)).alias("n_model_tokens"), X.levenshtein_similarity(F.regexp_replace(mq, "[^ -~]", ""), F.regexp_replace(mt, "[^ -~]", "")).alias("levenshtein"), X.char_ngram_jaccard(mq, mt).alias("trigrams"),
-    )
-    return rounded(made, "overlap", "coverage", "precision", "levenshtein", "trigrams")
+    made = forms.select("doc_id", "query_id", X.jaccard(q, t).alias("overlap"), X.share_of_first(q, t).alias("coverage"), X.share_of_first(t, q).alias("precision"), X.holds_phrase(mt, mq).cast("int").alias("phrase"), F.size(X.model_tokens(t)).alias("n_model_tokens"))
+    return rounded(made, "overlap", "coverage", "precision")
+
+
+def _edits(a, b):
+    return [X.levenshtein_similarity(a, b).alias("levenshtein"), X.char_ngram_jaccard(a, b).alias("trigrams")]
+
+
+@query()
+def text_edit_similarity(s, d):
+    """Edit distance and character trigrams of whole texts and queries; tests compare them with a plain version."""
+    forms = _text_pairs(s, d).withColumns({"_mq": X.match_form(F.col("query")), "_mt": X.match_form(F.col("text"))})
+    return rounded(forms.select("doc_id", "query_id", *_edits(F.col("_mq"), F.col("_mt"))), "levenshtein", "trigrams")
+
+
+@query(f"""WITH {Z.PAIRS}, {Z.PAIR_TERMS}, x AS (SELECT term_id, item_id, {Z.match('query')} AS q, {Z.match('p_name')} AS t FROM pairs JOIN pair_terms USING (term_id) JOIN part ON p_partkey = item_id),
+ g AS (SELECT *, list_distinct(list_transform(range(1, greatest(length(q) - 1, 2)), lambda i: substring(q, i, 3))) AS gq, list_distinct(list_transform(range(1, greatest(length(t) - 1, 2)), lambda i: substring(t, i, 3))) AS gt FROM x)
+ SELECT term_id, item_id, round(CASE WHEN greatest(length(q), length(t)) = 0 THEN 1.0 ELSE 1 - levenshtein(q, t)::DOUBLE / greatest(length(q), length(t)) END, 6) AS levenshtein, round({Z.jaccard('gq', 'gt')}, 6) AS trigrams FROM g""")
+def title_edit_similarity(s, d):
+    """The same of whole titles and queries, which are short."""
+    titles = T.table(s, d, "part").select(F.col("p_partkey").alias("item_id"), X.match_form(F.col("p_name")).alias("_t"))
+    j = T.pairs(s, d).join(T.pair_terms(s, d).select("term_id", X.match_form(F.col("query")).alias("_q")), "term_id").join(titles, "item_id")
+    return rounded(j.select("term_id", "item_id", *_edits(F.col("_q"), F.col("_t"))), "levenshtein", "trigrams")
 
 
 @query(f"""WITH {Z.CATALOGUE}, x AS (SELECT item_id, brand, title, category, {Z.levels('category')} AS l FROM catalogue)

@@ -130,3 +130,17 @@ def test_cross_encoder_text_prefers_columns_and_falls_back(spark):
     df = spark.createDataFrame(rows, "title string, category string, brand string, attributes string, color string, size string")
     got = df.select(FE.cross_encoder_text(given=("color", "size")).alias("v")).first()["v"]
     assert got == "[TITLE] T [SEP] [CAT] a/b [SEP] [ATTR] Marka: Belirtilmemiş | Renk: Mavi | Beden: 38 | Materyal: Keten"
+
+
+def test_character_grams_of_short_and_long_texts(spark):
+    def grams(x, n):
+        return ({x[i : i + n] for i in range(len(x) - n + 1)} if len(x) >= n else {x}) if x else set()
+
+    texts = ["", "a", "ab", "abc", "abcabc", "çağ\U0001f600ğ ç", "line\nbreak here", "xyz " * 5000]
+    rows = [(a, b) for a in texts for b in texts]
+    df = spark.createDataFrame(rows, "a string, b string")
+    for n in (1, 2, 3):
+        got = df.select("a", "b", X.char_ngram_jaccard(F.col("a"), F.col("b"), n).alias("v")).collect()
+        for r in got:
+            x, y = grams(r["a"], n), grams(r["b"], n)
+            assert r["v"] == (len(x & y) / len(x | y) if x | y else 0.0)
