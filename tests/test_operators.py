@@ -104,6 +104,25 @@ def test_shaped_set(spark):
     assert n["t1", "bm25"] == 19 and n["t1", "category"] == 48 and n["t2", "bm25"] == 12
 
 
+def test_category_pool_sizes_count_the_rows_of_the_pool(spark):
+    """Also for items under several keys, listed twice, or without key or id, and for blocked pairs outside of the pool."""
+    listed = [("a", "x"), ("a", "y"), ("b", "x"), ("b", "x"), ("c", "y"), ("d", "z"), ("e", None), (None, "x"), (None, "y"), ("f", "x"), ("f", "z")]
+    items = spark.createDataFrame(listed, "item_id string, category_key string")
+    pos = spark.createDataFrame([("t1", "b"), ("t1", "b"), ("t2", "a"), ("t3", "d"), ("t3", "f"), ("t4", "e"), (None, "c"), ("t5", None), ("t6", "gone")], "term_id string, item_id string")
+    other = spark.createDataFrame([("t1", "c"), ("t2", "a"), ("t2", "a"), ("t3", "a"), (None, "a"), ("t1", None)], "term_id string, item_id string")
+    for blocked in (None, other):
+        want = S.category_pool(pos, items, pos if blocked is None else blocked).groupBy("term_id").agg(F.count("*").alias("n"))
+        assert sorted(map(str, S.category_pool_sizes(pos, items, blocked).collect())) == sorted(map(str, want.collect()))
+
+
+def test_category_pool_sizes_do_not_expand_large_categories(spark):
+    """A million terms times items of one category: 10^12 rows would not end."""
+    items = spark.range(1_000_000).select(F.col("id").alias("item_id"), F.lit("x").alias("category_key"))
+    pos = spark.range(1_000_000).select((F.col("id") % 500_000).alias("term_id"), F.col("id").alias("item_id"))
+    got = S.category_pool_sizes(pos, items).groupBy("n").count().collect()
+    assert [tuple(r) for r in got] == [(999_998, 500_000)]
+
+
 def test_mixed_set_fills_up(spark):
     pos, items = positives(spark), catalogue(spark)
     hits = spark.createDataFrame([("t1", "i0", 1), ("t1", "i100", 2)], "term_id string, item_id string, rank int")
