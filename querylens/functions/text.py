@@ -120,6 +120,32 @@ def char_ngram_jaccard(a: Column, b: Column, n: int = 3) -> Column:
     return jaccard(char_ngrams(a, n), char_ngrams(b, n))
 
 
+def char_codes(c: Column) -> Column:
+    """The code points of a text, each plus one."""
+    return F.transform(F.regexp_extract_all(c, F.lit("(?s)."), F.lit(0)), lambda x: F.ascii(x).cast("long") + 1)
+
+
+def gram_codes(codes: Column, n: int) -> Column:
+    """``char_ngrams`` of ``char_codes`` for n of 3 at most, each run as one long of 21 bits a character.
+
+    Longs are equal where the runs are, and Spark intersects arrays of them in compiled code.
+    """
+    if not 1 <= n <= 3:
+        raise ValueError("a long holds three characters")
+    grams = codes
+    for k in range(2, n + 1):
+        grams = F.zip_with(grams, F.slice(codes, k, F.greatest(F.size(codes), F.lit(1))), lambda x, y: F.shiftleft(x, 21) + y)
+    own = F.aggregate(codes, F.lit(0).cast("long"), lambda a, x: F.shiftleft(a, 21) + x)
+    every = F.filter(grams, lambda x: x.isNotNull())
+    return F.array_distinct(F.when(F.size(codes).between(1, n - 1), F.array(own)).otherwise(every))
+
+
+def set_jaccard(a: Column, b: Column) -> Column:
+    """``jaccard`` of arrays without repeats, from one intersection: no branch keeps Spark from sharing it."""
+    shared = F.size(F.array_intersect(a, b))
+    return shared / F.greatest(F.size(a) + F.size(b) - shared, F.lit(1))
+
+
 def category_overlap(a: Column, b: Column, form=lambda c: F.lower(_text(c))) -> Column:
     """Length of the shared path prefix over the deeper path's depth; levels are compared in their ``form``."""
     x, y = (F.filter(F.transform(F.split(_text(c), "/"), lambda p: F.trim(form(p))), lambda p: p != "") for c in (a, b))

@@ -115,50 +115,70 @@ WIDE = (
 )
 
 
-def wide_features(df: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    """The columns ``keep`` (by default all of the input that are no result) and the 40 features WIDE.
-
-    Input: query, title, brand, category, attributes (``Key: value | Key: value``), bm25_score, dense_score,
-    cross_encoder_score, bm25_rank, dense_rank; missing scores are 0 and missing ranks 200. Normal forms and the item's
-    attributes are made once, before the features that share them.
-    """
-    keep = [c for c in df.columns if c not in WIDE] if keep is None else keep
+def wide_term_side(terms: DataFrame) -> DataFrame:
+    """What the 40 features need of ``query`` alone, once a term and not once a pair."""
+    form = terms.withColumn("_q", X.search_form(F.col("query")))
+    form = form.withColumns({"_qw": X.words(F.col("_q")), "_qc": X.char_codes(F.col("_q")), "_ql": F.trim(X.search_form(F.col("_q")))})
+    return form.withColumns({"_qd": F.array_distinct("_qw"), "_qn": F.size("_qw"), **{f"_q{n}": X.gram_codes(F.col("_qc"), n) for n in (1, 2, 3)}}).drop("_qc", "_qw")
 
-    def given(name: str, default: float) -> Column:
-        return F.coalesce(F.col(name).cast("double"), F.lit(default)) if name in df.columns else F.lit(default)
 
+def wide_item_side(items: DataFrame) -> DataFrame:
+    """What they need of title, brand, category and attributes (``Key: value | Key: value``) alone, once an item."""
     attributes = F.col("attributes")
     size = F.coalesce(F.nullif(A.piped_value(attributes, "beden"), F.lit("")), A.piped_value(attributes, "numara"))
     raw = {"_colour": A.piped_value(attributes, "renk"), "_size": size, "_material": A.piped_value(attributes, "materyal")}
-    signals = {"_bm": given("bm25_score", 0.0), "_de": given("dense_score", 0.0), "_rb": given("bm25_rank", 200.0), "_rd": given("dense_rank", 200.0), "_ce": given("cross_encoder_score", 0.0)}
-    form = df.withColumns({f"_{c[0]}": X.search_form(F.col(c)) for c in ("query", "title", "brand", "category")} | raw | signals)
-    form = form.withColumns({"_qw": X.words(F.col("_q")), "_tw": X.words(F.col("_t")), "_prob": N.sigmoid(F.col("_ce"))})
-    q, t, brand, qw, tw = (F.col(c) for c in ("_q", "_t", "_b", "_qw", "_tw"))
-    bm, de, rb, rd, ce, prob = (F.col(c) for c in ("_bm", "_de", "_rb", "_rd", "_ce", "_prob"))
+    form = items.withColumns({f"_{c[0]}": X.search_form(F.col(c)) for c in ("title", "brand", "category")} | raw)
+    form = form.withColumn("_cl", F.filter(F.transform(F.split(F.coalesce(F.col("category").cast("string"), F.lit("")), "/"), lambda x: F.trim(X.search_form(x))), lambda x: x != ""))
+    clean = {f"{c}_form": X.search_form(F.col(c)) for c in raw}
+    form = form.withColumns({"_tw": X.words(F.col("_t")), "_c1": F.coalesce(F.get("_cl", 0), F.lit("")), "_cn": F.size("_cl"), "_bt": F.contains(F.col("_t"), F.col("_b")), **clean})
+    form = form.withColumns({f"{c}_codes": X.char_codes(F.col(c)) for c in ("_t", "_b", *clean)})
+    grams = {f"_t{n}": X.gram_codes(F.col("_t_codes"), n) for n in (1, 2, 3)} | {"_b3": X.gram_codes(F.col("_b_codes"), 3)} | {f"{c}_2": X.gram_codes(F.col(f"{c}_form_codes"), 2) for c in raw}
+    return form.withColumns(grams).drop("_cl", "_t_codes", "_b_codes", *[f"{c}_codes" for c in clean])
+
+
+def wide_pairs(df: DataFrame, keep: list[str]) -> DataFrame:
+    """The columns ``keep`` and the 40 features over joined ``wide_term_side`` and ``wide_item_side`` columns."""
 
-    def grams(a: Column, b: Column, n: int) -> Column:
-        """Overlap of the character n-grams of two normal forms; 0 if either is empty."""
-        return F.when((a == "") | (b == ""), F.lit(0.0)).otherwise(X.char_ngram_jaccard(a, b, n))
+    def given(name: str, default: float) -> Column:
+        return F.coalesce(F.col(name).cast("double"), F.lit(default)) if name in df.columns else F.lit(default)
 
+    bm, de, rb, rd, ce = given("bm25_score", 0.0), given("dense_score", 0.0), given("bm25_rank", 200.0), given("dense_rank", 200.0), given("cross_encoder_score", 0.0)
+    prob = N.sigmoid(ce)
+    q, t, brand, tw = (F.col(c) for c in ("_q", "_t", "_b", "_tw"))
+    # A lambda keeps this projection out of whole-stage code, whose one method would be too long for the JIT compiler.
+    shared = F.size(F.filter("_qd", lambda w: F.array_contains(tw, w)))
     made: dict[str, Column] = {
-        "exact_brand_match": (brand != "") & (F.contains(q, brand) | F.contains(t, brand)), "brand_levenshtein_sim": F.when((brand == "") | (q == ""), F.lit(0.0)).otherwise(X.levenshtein_similarity(brand, q)), "brand_jaccard_sim": grams(brand, q, 3),
-        **{f"char_{n}gram_jaccard": grams(q, t, n) for n in (1, 2, 3)},
-        "word_overlap_ratio": X.ratio(F.size(F.array_intersect(qw, tw)), F.size(qw)), "title_length_ratio": F.length(t) / F.greatest(F.length(q), F.lit(1)), "query_word_count": F.size(qw), "title_word_count": F.size(tw),
+        "exact_brand_match": (brand != "") & (F.col("_bt") | F.contains(q, brand)), "brand_levenshtein_sim": F.when((brand == "") | (q == ""), F.lit(0.0)).otherwise(X.levenshtein_similarity(brand, q)), "brand_jaccard_sim": X.set_jaccard(F.col("_b3"), F.col("_q3")),
+        **{f"char_{n}gram_jaccard": X.set_jaccard(F.col(f"_q{n}"), F.col(f"_t{n}")) for n in (1, 2, 3)},
+        "word_overlap_ratio": X.ratio(shared, F.col("_qn")), "title_length_ratio": F.length(t) / F.greatest(F.length(q), F.lit(1)), "query_word_count": F.col("_qn"), "title_word_count": F.size(tw),
     }
     scores = []
     for name, own in (("color", "_colour"), ("size", "_size"), ("material", "_material")):
-        value, clean = F.col(own), X.search_form(F.col(own))
-        score = F.when(value == "", 0.5).when(F.contains(q, clean), 1.0).otherwise(0.0)
+        value = F.col(own)
+        score = F.when(value == "", 0.5).when(F.contains(q, F.col(f"{own}_form")), 1.0).otherwise(0.0)
         scores.append(score)
-        made |= {f"{name}_match_score": score, f"has_{name}_in_query": value != "", f"{name}_jaccard": grams(clean, q, 2)}
+        made |= {f"{name}_match_score": score, f"has_{name}_in_query": value != "", f"{name}_jaccard": X.set_jaccard(F.col(f"{own}_2"), F.col("_q2"))}
     rrf = 1 / (60 + rb) + 1 / (60 + rd)
+    # A query's form has no slash, so it is one level of a category at most.
+    depth = F.when((F.col("_ql") != "") & (F.col("_ql") == F.col("_c1")), F.lit(1.0) / F.col("_cn")).otherwise(F.lit(0.0))
     made |= {
-        "attribute_conflict_penalty": F.least(*scores) == 0, "category_depth_overlap": X.category_overlap(q, F.col("category"), X.search_form), "category_exact_match": F.contains(q, F.col("_c")),
+        "attribute_conflict_penalty": F.least(*scores) == 0, "category_depth_overlap": depth, "category_exact_match": F.contains(q, F.col("_c")),
         "bm25_score": bm, "dense_cosine_sim": de, "bm25_rank": rb, "dense_rank": rd, "rrf_fusion_score": rrf, "bm25_rank_reciprocal": 1 / F.greatest(rb, F.lit(1.0)), "dense_rank_reciprocal": 1 / F.greatest(rd, F.lit(1.0)), "is_top5_hybrid": (rb <= 5) | (rd <= 5),
         "cross_encoder_score": ce, "cross_encoder_prob_sigmoid": prob, "cross_encoder_x_bm25": prob * bm, "cross_encoder_x_dense": prob * de, "score_rank_diff": F.abs(rb - rd), "score_ratio_bm25_dense": bm / F.greatest(de, F.lit(1e-5)),
         "bm25_normalized": F.least(bm / 20, F.lit(1.0)), "dense_normalized": F.least(de, F.lit(1.0)), "hybrid_blend_score": 0.5 * bm + 0.5 * de, "final_confidence_signal": 0.6 * prob + 0.4 * rrf,
     }
-    return form.select(*keep, *[made[c].cast("double").alias(c) for c in WIDE])
+    return df.select(*keep, *[made[c].cast("double").alias(c) for c in WIDE])
+
+
+def wide_features(df: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """The columns ``keep`` (by default all of the input that are no result) and the 40 features WIDE.
+
+    Input: query, title, brand, category, attributes (``Key: value | Key: value``), bm25_score, dense_score,
+    cross_encoder_score, bm25_rank, dense_rank; missing scores are 0 and missing ranks 200. Where terms and items are
+    tables of their own, join ``wide_term_side`` and ``wide_item_side`` to the pairs and take ``wide_pairs``.
+    """
+    keep = [c for c in df.columns if c not in WIDE] if keep is None else keep
+    return wide_pairs(wide_item_side(wide_term_side(df)), keep)
 
 
 def item_text(df: DataFrame, with_attributes: bool = True) -> Column:

@@ -123,6 +123,46 @@ def test_wide_features_of_the_fixture(spark):
     assert (c["bm25_rank"], c["color_match_score"], c["char_3gram_jaccard"], c["cross_encoder_prob_sigmoid"]) == (200, 0.5, 0, 0.5)
 
 
+def test_wide_sides_are_made_before_the_join(spark):
+    """Rows are those of the joined table; what is left to a pair has no regular expressions and no character grams."""
+    from querylens.operators import features as FE
+
+    texts = ["", None, "a", "Siyah  Deri/Kadın!", "I\u0307STANBUL İPEK", "çağ\U0001f600ğ ç", "38 numara siyah deri", "deri"]
+    terms = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "term_id int, query string")
+    items = spark.createDataFrame(
+        [(i, x, texts[-i], "a" if i % 2 else x, ["Renk: Siyah | Beden: 38 | Materyal: Deri", "renk: !; numara: 38", "", None][i % 4]) for i, x in enumerate(texts)],
+        "item_id int, title string, brand string, category string, attributes string",
+    )
+    pairs = terms.select("term_id").crossJoin(items.select("item_id"))
+    whole = FE.wide_features(pairs.join(terms, "term_id").join(items, "item_id"), ["term_id", "item_id"])
+    split = FE.wide_pairs(pairs.join(FE.wide_item_side(items), "item_id").join(FE.wide_term_side(terms), "term_id"), ["term_id", "item_id"])
+    assert sorted(map(str, split.collect())) == sorted(map(str, whole.collect()))
+    both = pairs.join(terms, "term_id").join(items, "item_id").withColumns({f"_{c[0]}": X.search_form(F.col(c)) for c in ("query", "title", "brand", "category")})
+    plain = {"char_3gram_jaccard": X.char_ngram_jaccard(F.col("_q"), F.col("_t"), 3), "brand_jaccard_sim": X.char_ngram_jaccard(F.col("_b"), F.col("_q"), 3), "category_depth_overlap": X.category_overlap(F.col("_q"), F.col("category"), X.search_form)}
+    want = both.select("term_id", "item_id", *[c.alias(n) for n, c in plain.items()])
+    assert sorted(map(str, split.select(want.columns).collect())) == sorted(map(str, want.collect()))
+    per_pair = split._jdf.queryExecution().optimizedPlan().expressions().mkString(" ").lower()
+    assert "array_intersect" in per_pair and "regexp" not in per_pair and "split(" not in per_pair
+
+
+def test_gram_codes_are_equal_where_grams_are(spark):
+    texts = ["", "a", "ab", "abc", "abcabc", "çağ\U0001f600ğ ç", "\U0001f600", "\x00", "\x00\x00", "a\x00", "\U0010ffff\U0010ffff\U0010ffff\U0010ffff", "line\nbreak"]
+    df = spark.createDataFrame([(a, b) for a in texts for b in texts], "a string, b string")
+    for n in (1, 2, 3):
+        codes = [X.gram_codes(X.char_codes(F.col(c)), n) for c in "ab"]
+        assert df.filter(X.set_jaccard(*codes) != X.char_ngram_jaccard(F.col("a"), F.col("b"), n)).count() == 0
+        assert df.filter((F.size(codes[0]) != F.size(X.char_ngrams(F.col("a"), n))) | F.exists(codes[0], lambda x: x <= 0)).count() == 0
+
+
+def test_quick_nudge_rounds_as_the_plain_one(spark):
+    from querylens.plans import catalog
+
+    values = [0.0, -0.0, 1.0, -2.0, 0.5, 1 / 3, 2.0000005, 0.1234565, -1e-9, -0.3333335, 960000.0, 123456.7890125, float("inf"), float("nan"), None]
+    df = spark.createDataFrame([(x, x) for x in values], "a double, b double")
+    got = catalog.nudged(df, "a").select("a", catalog.quickly_nudged(F.col("b")).alias("b")).collect()
+    assert [str(r["a"]) for r in got] == [str(r["b"]) for r in got]
+
+
 def test_cross_encoder_text_prefers_columns_and_falls_back(spark):
     from querylens.operators import features as FE
 
