@@ -104,6 +104,38 @@ def test_shaped_set(spark):
     assert n["t1", "bm25"] == 19 and n["t1", "category"] == 48 and n["t2", "bm25"] == 12
 
 
+def test_category_negatives_are_found_among_blocked_ones(spark):
+    """99 of the few free members of a category, in which few draws hit one; all of them if fewer are left."""
+    items = spark.range(10_000).select(F.col("id").alias("item_id"), F.lit("x").alias("category_key")).union(spark.range(10_000, 40_000).select("id", F.lit("y")))
+    hits = spark.createDataFrame([(1, 0, 1)], "term_id long, item_id long, rank int")
+    for n_free, want in ((100, 99), (60, 60)):
+        pos = spark.range(10_000 - n_free).select(F.lit(1).cast("long").alias("term_id"), F.col("id").alias("item_id"))
+        df = S.shaped_set(pos, items, hits, category_share=0.01)
+        check_set(df, pos, {1: 10_000 - n_free})
+        assert {r["neg_source"]: r["count"] for r in df.groupBy("neg_source").count().collect()}["category"] == want
+
+
+def test_shaped_set_draws_grow_with_quotas_and_not_with_categories(spark):
+    """2,000 terms in 40 categories of 5,000 items: 30 draws a wanted row in each category were 192 million rows."""
+    items = spark.range(200_000).select(F.col("id").alias("item_id"), (F.col("id") % 40).alias("category_key"))
+    pos = spark.range(80_000).select((F.col("id") / 40).cast("long").alias("term_id"), F.col("id").alias("item_id"))
+    hits = pos.limit(0).withColumn("rank", F.lit(1))
+    df = S.shaped_set(pos, items, hits, min_candidates=200)
+    got = df.groupBy("neg_source", "term_id").count().groupBy("neg_source", "count").agg(F.count("*").alias("n")).collect()
+    assert {tuple(r) for r in got} == {("positive", 40, 2000), ("category", 80, 2000), ("random", 80, 2000)}
+    positives, targets = pos.select(*S.PAIR), pos.select("term_id").distinct().withColumn("n_cat", F.lit(80).cast("long"))
+    plan = S.category_negatives(targets, positives, items, positives.limit(0))
+    assert plan.filter("neg_source <> 'category'").count() == 0 and plan.count() == 160_000
+
+
+def test_category_places_number_each_category(spark):
+    items = spark.range(120_000).select(F.col("id").alias("item_id"), F.when(F.col("id") % 9 < 8, "big").when(F.col("id") % 2 == 0, "small").alias("category_key"))
+    member, sizes = S.category_places(items)
+    got = member.groupBy("category_key").agg(F.count("*").alias("n"), F.count_distinct("_i").alias("d"), F.min("_i").alias("a"), F.max("_i").alias("z")).filter("category_key is not null").collect()
+    assert len(got) == 2 and all(r["n"] == r["d"] == r["z"] + 1 and r["a"] == 0 for r in got)
+    assert {r["category_key"]: r["_size"] for r in sizes.filter("category_key is not null").collect()} == {r["category_key"]: r["n"] for r in got}
+
+
 def test_category_pool_sizes_count_the_rows_of_the_pool(spark):
     """Also for items under several keys, listed twice, or without key or id, and for blocked pairs outside of the pool."""
     listed = [("a", "x"), ("a", "y"), ("b", "x"), ("b", "x"), ("c", "y"), ("d", "z"), ("e", None), (None, "x"), (None, "y"), ("f", "x"), ("f", "z")]
