@@ -128,6 +128,19 @@ def test_shaped_set_draws_grow_with_quotas_and_not_with_categories(spark):
     assert plan.filter("neg_source <> 'category'").count() == 0 and plan.count() == 160_000
 
 
+def test_shaped_set_does_not_broadcast_draws_or_large_catalogues(spark):
+    """2,000 terms become 416,000 draws, which Spark takes to be as small as the terms' file; the driver built a table of them."""
+    items = spark.range(200_000).select(F.col("id").alias("item_id"), (F.col("id") % 40).alias("category_key"))
+    pos = spark.range(2_000).select(F.col("id").alias("term_id"), F.col("id").alias("item_id"))
+    hits = pos.limit(0).withColumn("rank", F.lit(1))
+    spark.conf.set("spark.sql.maxBroadcastTableSize", "8m")
+    try:
+        got = S.shaped_set(pos, items, hits, min_candidates=200).groupBy("neg_source").count().collect()
+    finally:
+        spark.conf.unset("spark.sql.maxBroadcastTableSize")
+    assert {tuple(r) for r in got} == {("positive", 2_000), ("category", 200_000), ("random", 198_000)}
+
+
 def test_category_places_number_each_category(spark):
     items = spark.range(120_000).select(F.col("id").alias("item_id"), F.when(F.col("id") % 9 < 8, "big").when(F.col("id") % 2 == 0, "small").alias("category_key"))
     member, sizes = S.category_places(items)
